@@ -22,7 +22,8 @@ from spendguard.schemas import ALL_TARGETS
 NUMERIC_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 # Doubles at or beyond this magnitude are kept as text (no exact BIGINT for them).
 _LONG_SAFE = 9e18
-_EDGE_SPACE = r"^\s+|\s+$"
+# The whitespace characters of regex ``\s``: stripped from both ends of list items.
+_WHITESPACE = " \t\n\x0b\x0c\r"
 
 
 def _c(c: Column | str) -> Column:
@@ -31,7 +32,7 @@ def _c(c: Column | str) -> Column:
 
 def strip_text(c: Column | str) -> Column:
     """Remove leading/trailing whitespace of every kind (tabs, newlines), not only spaces."""
-    return F.regexp_replace(_c(c), _EDGE_SPACE, "")
+    return F.trim(_c(c), F.lit(_WHITESPACE))
 
 
 def normalize_id(c: Column | str) -> Column:

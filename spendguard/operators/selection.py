@@ -29,6 +29,15 @@ def _id_frame(ids: DataFrame, name: str) -> DataFrame:
     return ids.select(F.col(col).cast("string").alias(name)).filter(F.col(name).isNotNull())
 
 
+def _id_side(ids: DataFrame, name: str, max_broadcast_rows: int) -> DataFrame:
+    """Broadcast a checked-small id set as is (duplicates cost nothing in a hash semi/anti join);
+    otherwise de-duplicate first: the partial aggregation collapses a hot id map-side, and the
+    join reuses the resulting hash partitioning on the id instead of shuffling again."""
+    frame = _id_frame(ids, name)
+    side, small = broadcast_if_bounded(frame, max_broadcast_rows)
+    return side if small else frame.distinct()
+
+
 def only_targets(df: DataFrame, key: Column | str, targets: IdSet, *,
                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Keep rows whose id (as text) is in ``targets``; ``None`` keeps every row.
@@ -39,7 +48,7 @@ def only_targets(df: DataFrame, key: Column | str, targets: IdSet, *,
         return df
     k = _key(key)
     if isinstance(targets, DataFrame):
-        ids, _ = broadcast_if_bounded(_id_frame(targets, "_target_id"), max_broadcast_rows)
+        ids = _id_side(targets, "_target_id", max_broadcast_rows)
         return df.join(ids, k == F.col("_target_id"), "left_semi")
     values = id_list(targets)
     return df.filter(k.isin(values)) if values else df.filter(F.lit(False))
@@ -56,7 +65,7 @@ def drop_exempt(df: DataFrame, key: Column | str, exempt: IdSet, *,
         return df
     k = _key(key)
     if isinstance(exempt, DataFrame):
-        ids, _ = broadcast_if_bounded(_id_frame(exempt, "_exempt_id"), max_broadcast_rows)
+        ids = _id_side(exempt, "_exempt_id", max_broadcast_rows)
         return df.join(ids, k == F.col("_exempt_id"), "left_anti")
     values = id_list(exempt)
     if not values:

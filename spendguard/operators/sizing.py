@@ -1,8 +1,11 @@
 """Size checks that guard every broadcast.
 
-A side is broadcast only after a bounded count shows it holds at most ``max_rows`` rows; the
-count reads at most ``max_rows + 1`` rows, so the check stays cheap even when the side is
-large. Beyond the bound callers take a shuffle strategy instead.
+A side is broadcast only after counting it shows it holds at most ``max_rows`` rows. The count
+is an ordinary partial/final aggregate: one partial count per partition and a one-row-per-
+partition exchange, so it costs one scan of the side and nothing more. (A ``limit(n+1)`` count
+would instead funnel up to n+1 rows of *every* partition into a single task.) The sides checked
+are dimensions, inventories and id sets, never the fact table. Beyond the bound callers take a
+shuffle strategy instead.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
     if max_rows <= 0:
         return False
-    return df.limit(max_rows + 1).count() <= max_rows
+    return df.count() <= max_rows
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:

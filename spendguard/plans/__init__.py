@@ -8,6 +8,7 @@ from spendguard.plans.budget import (
     month_to_date,
     price_usage,
     report_line,
+    status_values,
     task_values,
 )
 from spendguard.plans.resume import parse_job_id, resume_plan, run_resume
@@ -39,6 +40,7 @@ __all__ = [
     "resume_plan",
     "run_cancel_plan",
     "run_resume",
+    "status_values",
     "stop_plan",
     "task_values",
     "warehouse_stop_plan",

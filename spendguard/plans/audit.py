@@ -43,7 +43,8 @@ def succeeded(plan: DataFrame, outcomes: DataFrame, *,
     """
     ok = outcomes.filter(F.col("ok")).select(
         F.col("resource_type").alias("_ok_type"), F.col("resource_id").cast("string").alias("_ok_id"))
-    ok, _ = broadcast_if_bounded(ok, max_broadcast_rows)
+    ok, small = broadcast_if_bounded(ok, max_broadcast_rows)
+    ok = ok if small else ok.distinct()
     cond = (F.col("resource_type") == F.col("_ok_type")) & (F.col("resource_id").cast("string") == F.col("_ok_id"))
     return plan.join(ok, cond, "left_semi")
 

@@ -72,6 +72,12 @@ def budget_check(usage: DataFrame, prices: DataFrame, threshold: object = DEFAUL
     return budget_status_of(current_spend(priced), threshold)
 
 
+def status_values(status: DataFrame) -> tuple[str, Decimal | None]:
+    """Fetch the one status row to the driver: ``(budget_status, current_spend)``."""
+    row = status.first()
+    return row["budget_status"], row["current_spend"]
+
+
 def task_values(status: DataFrame) -> DataFrame:
     """The status as handed to the next step: spend as a double."""
     return status.select("budget_status", F.col("current_spend").cast("double").alias("current_spend"))

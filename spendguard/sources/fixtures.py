@@ -53,8 +53,18 @@ PRICE_EPOCH = "1995-01-01 00:00:00"
 VERSION_DAYS = 600
 
 
+_SOURCES: dict[tuple[str, str], DataFrame] = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The generated table as a lazy DataFrame. The read-only source tables are listed and their
+    footers read once per application; every query builds its own plan on top."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    df = _SOURCES.get(key)
+    if df is None:
+        df = _SOURCES[key] = spark.read.parquet(path)
+    return df
 
 
 def _text(c: Column) -> Column:
