@@ -53,13 +53,17 @@ def _quote(table: str) -> str:
     return ".".join(f"`{part.strip('`')}`" for part in table.split("."))
 
 
-def ensure_table(spark: SparkSession, table: str, fmt: str = "parquet") -> None:
-    """Create the schema (when the name has one) and the audit table if they are missing."""
+def ensure_table(spark: SparkSession, table: str, fmt: str = "parquet", location: str | None = None) -> None:
+    """Create the schema (when the name has one) and the audit table if they are missing.
+
+    ``location`` makes it an external table at that (shared) path instead of a managed one.
+    """
     parts = table.split(".")
     if len(parts) > 1:
         spark.sql(f"CREATE SCHEMA IF NOT EXISTS {_quote('.'.join(parts[:-1]))}")
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString().upper()}" for f in AUDIT.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {_quote(table)} ({cols}) USING {fmt}")
+    where = "" if location is None else " LOCATION '" + location.replace("'", "\\'") + "'"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {_quote(table)} ({cols}) USING {fmt}{where}")
 
 
 def append(rows: DataFrame, table: str, *, skip_empty: bool = True) -> bool:

@@ -7,6 +7,7 @@ column for column.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,7 @@ from spendguard.plans.stop import (
     warehouse_stop_plan,
 )
 from spendguard.schemas import APP, AUDIT_COLUMNS, CLUSTER, JOB, WAREHOUSE
+from spendguard.session import checkpoint_dir
 from spendguard.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,8 +222,11 @@ def q_audit_previous_month(spark, d):
 
 def q_audit_roundtrip(spark, d):
     """Create the table, append the gated plan's audit rows twice (second append must add, not
-    replace), read it back. The table is dropped first so the query can be rerun."""
+    replace), read it back. Each run writes to a fresh folder under the session's checkpoint
+    folder (the cluster's shared scratch), so reruns and new sessions start from an empty table."""
+    base = checkpoint_dir(spark, fallback=spark.conf.get("spark.sql.warehouse.dir") + "/_spendguard_checkpoints")
     spark.sql(f"DROP TABLE IF EXISTS {ROUNDTRIP_TABLE}")
+    audit_plan.ensure_table(spark, ROUNDTRIP_TABLE, location=f"{base.rstrip('/')}/audit_roundtrip_{uuid.uuid4().hex}")
     rows = audit_plan.audit_rows(gated_stop_plan(_status(spark, d), **_plan_args(spark, d)), fx.NOW)
     audit_plan.append(rows, ROUNDTRIP_TABLE)
     audit_plan.append(rows.select(*reversed(rows.columns)), ROUNDTRIP_TABLE)
