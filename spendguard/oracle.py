@@ -333,6 +333,9 @@ WHERE active AND {NOT_EXEMPT} AND {_targeted('JOB', 'CAST(job_id AS VARCHAR)')}"
 SELECT p.* FROM stop_plan p WHERE (SELECT budget_status FROM status) = 'OVER_BUDGET'""",
     "stop_plan_gated_within": _with(_stop_plan(), _status(UNREACHABLE_THRESHOLD)) + """
 SELECT p.* FROM stop_plan p WHERE (SELECT budget_status FROM status) = 'OVER_BUDGET'""",
+    "run_cancel_plan_gated": _with(_status()) + f"""
+SELECT run_id, job_id FROM runs
+WHERE active AND {NOT_EXEMPT} AND (SELECT budget_status FROM status) = 'OVER_BUDGET'""",
     "action_counts": _with(_stop_plan()) + """
 SELECT step, resource_type, COUNT(*) AS actions FROM stop_plan GROUP BY step, resource_type""",
     "audit_rows": _with(_stop_plan()) + f"SELECT {AUDIT_ROW_COLUMNS} FROM stop_plan",

@@ -13,9 +13,11 @@ from spendguard.plans.budget import (
 )
 from spendguard.plans.resume import parse_job_id, resume_plan, run_resume
 from spendguard.plans.stop import (
+    EnforcementPlan,
     action_counts,
     app_stop_plan,
     cluster_stop_plan,
+    enforcement_plan,
     gated_stop_plan,
     job_stop_plan,
     run_cancel_plan,
@@ -24,6 +26,7 @@ from spendguard.plans.stop import (
 )
 
 __all__ = [
+    "EnforcementPlan",
     "action_counts",
     "app_stop_plan",
     "audit",
@@ -31,6 +34,7 @@ __all__ = [
     "budget_status_of",
     "cluster_stop_plan",
     "current_spend",
+    "enforcement_plan",
     "gated_stop_plan",
     "job_stop_plan",
     "month_to_date",

@@ -7,6 +7,8 @@ empty one means none); ``exempt`` ids are never touched, even when targeted.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from spendguard.schemas import (
     APPS,
     CLUSTER,
     JOB,
+    RUNS,
     STEP,
     WAREHOUSE,
 )
@@ -113,3 +116,22 @@ def gated_stop_plan(status: DataFrame, **plan_args) -> DataFrame:
 def action_counts(plan: DataFrame) -> DataFrame:
     """Number of planned actions per resource type."""
     return plan.groupBy("step", "resource_type").agg(F.count(F.lit(1)).alias("actions"))
+
+
+@dataclass(frozen=True)
+class EnforcementPlan:
+    """What the enforcer would do this run, all lazy and all gated on one budget status."""
+
+    status: DataFrame   # one row: budget_status, current_spend
+    stops: DataFrame    # auditable stop actions (jobs, clusters, warehouses, apps), see stop_plan
+    runs: DataFrame     # active runs to cancel (never audited)
+
+
+def enforcement_plan(status: DataFrame, *, runs: DataFrame | None = None, **plan_args) -> EnforcementPlan:
+    """The whole stop phase in one call: :func:`stop_plan` and :func:`run_cancel_plan` (same job
+    targets and exemptions), both empty unless ``status`` is over budget."""
+    if runs is None:
+        runs = SparkSession.active().createDataFrame([], RUNS)
+    cancel = run_cancel_plan(runs, targets=plan_args.get("job_targets"), exempt=plan_args.get("exempt_jobs"),
+                             max_broadcast_rows=plan_args.get("max_broadcast_rows", DEFAULT_MAX_BROADCAST_ROWS))
+    return EnforcementPlan(status=status, stops=gated_stop_plan(status, **plan_args), runs=gate(cancel, status))

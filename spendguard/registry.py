@@ -29,6 +29,7 @@ from spendguard.plans.resume import resume_plan
 from spendguard.plans.stop import (
     action_counts,
     app_stop_plan,
+    enforcement_plan,
     cluster_stop_plan,
     gated_stop_plan,
     job_stop_plan,
@@ -202,6 +203,10 @@ def _plan_args(spark, d):
                 apps=fx.apps(spark, d), exempt_jobs=fx.EXEMPT_JOBS, own_cluster_id=fx.OWN_CLUSTER)
 
 
+def q_run_cancel_plan_gated(spark, d):
+    return enforcement_plan(_status(spark, d), runs=fx.runs(spark, d), **_plan_args(spark, d)).runs
+
+
 def q_action_counts(spark, d):
     return action_counts(_plan(spark, d))
 
@@ -273,6 +278,7 @@ QUERIES: dict[str, Query] = {
     "stop_plan_targeted": q_stop_plan_targeted,
     "stop_plan_gated": q_stop_plan_gated,
     "stop_plan_gated_within": q_stop_plan_gated_within,
+    "run_cancel_plan_gated": q_run_cancel_plan_gated,
     "action_counts": q_action_counts,
     "audit_rows": q_audit_rows,
     "audit_rows_succeeded": q_audit_rows_succeeded,

@@ -262,3 +262,14 @@ def test_end_to_end_parse_then_filter(spark, jobs_df, clusters_df):
     assert ids(warehouse_stop_plan(w, targets=parse_targets(spark, "w1,w3")), "id") == ["w1", "w3"]
     assert parse_targets(spark, "ALL") is None
     assert ids(job_stop_plan(jobs_df([make_job(200, "A"), make_job(400, "B")]), targets=None), "job_id") == [200, 400]
+
+
+def test_enforcement_plan_gates_stops_and_runs(spark, jobs_df, clusters_df):
+    from spendguard.plans import enforcement_plan
+    inv = _inventory(spark, jobs_df, clusters_df)
+    runs = spark.createDataFrame([(1, 200, True), (2, 100, True), (3, 400, False)], S.RUNS)
+    over = enforcement_plan(_status(spark, "OVER_BUDGET"), runs=runs, **inv)
+    assert over.stops.count() == 5 and ids(over.runs, "run_id") == [1]
+    within = enforcement_plan(_status(spark, "WITHIN_BUDGET"), runs=runs, **inv)
+    assert within.stops.count() == 0 and within.runs.count() == 0
+    assert enforcement_plan(_status(spark, "OVER_BUDGET"), **inv).runs.count() == 0
