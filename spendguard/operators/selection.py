@@ -56,7 +56,11 @@ def only_targets(df: DataFrame, key: Column | str, targets: IdSet, *,
 
 def drop_exempt(df: DataFrame, key: Column | str, exempt: IdSet, *,
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Drop rows whose id (as text) is exempt. NULL or blank exempt ids exempt nothing.
+    """Drop rows whose id (as text) is exempt. Blank exempt ids exempt nothing.
+
+    A ``None`` in a literal list stands for an enforcer id that is not known (not running as a
+    job); it compares equal to a row whose id is NULL, so such rows are exempt, exactly as when
+    both sides are compared as text (``'None' == 'None'``).
 
     Written as an anti-join (or a NULL-safe negated ``IN``), never ``NOT IN`` over a set that
     may hold NULL, which would drop every row.
@@ -67,10 +71,14 @@ def drop_exempt(df: DataFrame, key: Column | str, exempt: IdSet, *,
     if isinstance(exempt, DataFrame):
         ids = _id_side(exempt, "_exempt_id", max_broadcast_rows)
         return df.join(ids, k == F.col("_exempt_id"), "left_anti")
+    if isinstance(exempt, (str, int)):
+        exempt = [exempt]
+    exempt = list(exempt)
     values = id_list(exempt)
-    if not values:
-        return df
-    return df.filter(~F.coalesce(k.isin(values), F.lit(False)))
+    hit = F.coalesce(k.isin(values), F.lit(False)) if values else F.lit(False)
+    if any(v is None for v in exempt):
+        hit = hit | k.isNull()
+    return df.filter(~hit)
 
 
 def drop_self(df: DataFrame, key: Column | str, own_id: object | None) -> DataFrame:

@@ -84,11 +84,13 @@ def run_resume(spark: SparkSession, table: str, jobs: DataFrame, *, placeholder:
                as_of: _dt.date | str | Column | None = None) -> DataFrame | None:
     """Plan the resume from the audit table, then clear the table.
 
-    Returns ``None`` (and leaves the table alone) when there is nothing to resume. Otherwise
-    the plan is checkpointed into the cluster's checkpoint folder *before* the truncate: a lazy
-    plan read after it would see an empty table. The whole table is cleared even under a month
-    filter.
+    Returns ``None`` (and leaves the table alone) when the table does not exist or holds
+    nothing to resume. Otherwise the plan is checkpointed into the cluster's checkpoint folder
+    *before* the truncate: a lazy plan read after it would see an empty table. The whole table
+    is cleared even under a month filter.
     """
+    if not spark.catalog.tableExists(table):
+        return None
     audit = audit_table.read_audit(spark, table, month_filter=month_filter, as_of=as_of)
     if audit.isEmpty():
         return None

@@ -138,6 +138,7 @@ def test_run_resume_materialises_before_truncate(spark):
     assert audit.read_audit(spark, table).count() == 0
     assert sorted(r.resume_action for r in plan.collect()) == ["START", "UNPAUSE"]
     assert run_resume(spark, table, _jobs(spark)) is None  # empty audit: nothing, no truncate
+    assert run_resume(spark, "sg_missing.no_such_table", _jobs(spark)) is None
 
 
 def test_run_resume_previous_month_clears_all(spark):

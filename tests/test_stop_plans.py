@@ -79,6 +79,12 @@ def test_null_or_blank_exempt_ids_exempt_nothing(jobs_df):
     assert ids(job_stop_plan(jobs, exempt=[None, ""]), "job_id") == [200, 400]
 
 
+def test_unknown_enforcer_id_exempts_runs_without_job(spark):
+    runs = spark.createDataFrame([(1, None, True), (2, 200, True)], S.RUNS)
+    assert ids(run_cancel_plan(runs, exempt=[None, "300"]), "run_id") == [2]
+    assert ids(run_cancel_plan(runs, exempt=["100", "300"]), "run_id") == [1, 2]
+
+
 def test_job_kinds_and_pause_rewrites(jobs_df):
     trig = ('{"url": "/x"}', None, "UNPAUSED")
     jobs = jobs_df([
