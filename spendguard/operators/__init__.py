@@ -9,11 +9,22 @@ from spendguard.operators.job_settings import (
     resume_decision,
 )
 from spendguard.operators.range_join import effective_dated_join
-from spendguard.operators.selection import drop_exempt, drop_self, gate, only_targets
+from spendguard.operators.selection import (
+    CheckedIds,
+    check_id_sets,
+    check_ids,
+    drop_exempt,
+    drop_self,
+    gate,
+    only_targets,
+)
 from spendguard.operators.sizing import broadcast_if_bounded, has_at_most
 
 __all__ = [
+    "CheckedIds",
     "broadcast_if_bounded",
+    "check_id_sets",
+    "check_ids",
     "current_pause_status",
     "drop_exempt",
     "drop_self",

@@ -8,7 +8,9 @@ only behind a size check and shuffled otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,25 +19,51 @@ from spendguard.functions.ids import id_list
 from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
 from spendguard.schemas import OVER_BUDGET
 
-IdSet = DataFrame | Iterable[object] | None
+
+@dataclass(frozen=True)
+class CheckedIds:
+    """A table-valued id set whose size was already checked: ``ids`` has one text column
+    ``_id``, broadcast-hinted when small, otherwise de-duplicated for a shuffle join."""
+
+    ids: DataFrame
+    broadcast: bool
+
+
+IdSet = DataFrame | CheckedIds | Iterable[object] | None
 
 
 def _key(key: Column | str) -> Column:
     return (F.col(key) if isinstance(key, str) else key).cast("string")
 
 
-def _id_frame(ids: DataFrame, name: str) -> DataFrame:
+def check_ids(ids: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> CheckedIds:
+    """Count an id set once and decide its join strategy.
+
+    A small set is broadcast as is (duplicates cost nothing in a hash semi/anti join). A large
+    one is de-duplicated first: the partial aggregation collapses a hot id map-side, and the
+    join reuses the resulting hash partitioning on the id instead of shuffling again.
+    """
     col = "target_id" if "target_id" in ids.columns else ids.columns[0]
-    return ids.select(F.col(col).cast("string").alias(name)).filter(F.col(name).isNotNull())
+    frame = ids.select(F.col(col).cast("string").alias("_id")).filter(F.col("_id").isNotNull())
+    side, small = broadcast_if_bounded(frame, max_broadcast_rows)
+    return CheckedIds(side if small else frame.distinct(), small)
 
 
-def _id_side(ids: DataFrame, name: str, max_broadcast_rows: int) -> DataFrame:
-    """Broadcast a checked-small id set as is (duplicates cost nothing in a hash semi/anti join);
-    otherwise de-duplicate first: the partial aggregation collapses a hot id map-side, and the
-    join reuses the resulting hash partitioning on the id instead of shuffling again."""
-    frame = _id_frame(ids, name)
-    side, small = broadcast_if_bounded(frame, max_broadcast_rows)
-    return side if small else frame.distinct()
+def check_id_sets(sets: Sequence[IdSet], max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> list[IdSet]:
+    """Check every table-valued set of ``sets`` at once: the counts run as concurrent Spark jobs
+    (submitted from driver threads) instead of one after another. Other values pass through; the
+    same DataFrame given twice is checked once."""
+    todo = {id(s): s for s in sets if isinstance(s, DataFrame)}
+    if not todo:
+        return list(sets)
+    with ThreadPoolExecutor(max_workers=min(8, len(todo))) as pool:
+        done = dict(zip(todo, pool.map(lambda df: check_ids(df, max_broadcast_rows), todo.values())))
+    return [done.get(id(s), s) if isinstance(s, DataFrame) else s for s in sets]
+
+
+def _side(ids: DataFrame | CheckedIds, max_broadcast_rows: int, name: str) -> DataFrame:
+    checked = ids if isinstance(ids, CheckedIds) else check_ids(ids, max_broadcast_rows)
+    return checked.ids.withColumnRenamed("_id", name)
 
 
 def only_targets(df: DataFrame, key: Column | str, targets: IdSet, *,
@@ -47,8 +75,8 @@ def only_targets(df: DataFrame, key: Column | str, targets: IdSet, *,
     if targets is None:
         return df
     k = _key(key)
-    if isinstance(targets, DataFrame):
-        ids = _id_side(targets, "_target_id", max_broadcast_rows)
+    if isinstance(targets, (DataFrame, CheckedIds)):
+        ids = _side(targets, max_broadcast_rows, "_target_id")
         return df.join(ids, k == F.col("_target_id"), "left_semi")
     values = id_list(targets)
     return df.filter(k.isin(values)) if values else df.filter(F.lit(False))
@@ -68,8 +96,8 @@ def drop_exempt(df: DataFrame, key: Column | str, exempt: IdSet, *,
     if exempt is None:
         return df
     k = _key(key)
-    if isinstance(exempt, DataFrame):
-        ids = _id_side(exempt, "_exempt_id", max_broadcast_rows)
+    if isinstance(exempt, (DataFrame, CheckedIds)):
+        ids = _side(exempt, max_broadcast_rows, "_exempt_id")
         return df.join(ids, k == F.col("_exempt_id"), "left_anti")
     if isinstance(exempt, (str, int)):
         exempt = [exempt]

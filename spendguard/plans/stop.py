@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendguard.operators.job_settings import current_pause_status, is_paused, job_kind, paused_settings
-from spendguard.operators.selection import IdSet, drop_exempt, drop_self, gate, only_targets
+from spendguard.operators.selection import IdSet, check_id_sets, drop_exempt, drop_self, gate, only_targets
 from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS
 from spendguard.schemas import (
     ACTIVE_CLUSTER_STATES,
@@ -98,6 +98,8 @@ def stop_plan(*, jobs: DataFrame, clusters: DataFrame, warehouses: DataFrame, ap
     """All auditable stop actions as ``(step, resource_type, resource_id, resource_name)``:
     UNION ALL of jobs, clusters, warehouses and apps; ``step`` gives the phase order."""
     opts = {"max_broadcast_rows": max_broadcast_rows}
+    job_targets, cluster_targets, warehouse_targets, app_targets, exempt_jobs = check_id_sets(
+        [job_targets, cluster_targets, warehouse_targets, app_targets, exempt_jobs], max_broadcast_rows)
     j = job_stop_plan(jobs, targets=job_targets, exempt=exempt_jobs, **opts)
     c = cluster_stop_plan(clusters, targets=cluster_targets, own_cluster_id=own_cluster_id, **opts)
     w = warehouse_stop_plan(warehouses, targets=warehouse_targets, **opts)
@@ -132,6 +134,11 @@ def enforcement_plan(status: DataFrame, *, runs: DataFrame | None = None, **plan
     targets and exemptions), both empty unless ``status`` is over budget."""
     if runs is None:
         runs = SparkSession.active().createDataFrame([], RUNS)
-    cancel = run_cancel_plan(runs, targets=plan_args.get("job_targets"), exempt=plan_args.get("exempt_jobs"),
-                             max_broadcast_rows=plan_args.get("max_broadcast_rows", DEFAULT_MAX_BROADCAST_ROWS))
+    limit = plan_args.get("max_broadcast_rows", DEFAULT_MAX_BROADCAST_ROWS)
+    keys = ("job_targets", "cluster_targets", "warehouse_targets", "app_targets", "exempt_jobs")
+    # One check per id set, shared by the stop plan and the run plan.
+    checked = check_id_sets([plan_args.get(k) for k in keys], limit)
+    plan_args = {**plan_args, **dict(zip(keys, checked))}
+    cancel = run_cancel_plan(runs, targets=plan_args["job_targets"], exempt=plan_args["exempt_jobs"],
+                             max_broadcast_rows=limit)
     return EnforcementPlan(status=status, stops=gated_stop_plan(status, **plan_args), runs=gate(cancel, status))
