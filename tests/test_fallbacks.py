@@ -49,3 +49,39 @@ def test_outcome_semi_join_shuffle_equals_broadcast(spark):
     a = audit_plan.succeeded(plan, outcomes)
     b = audit_plan.succeeded(plan, outcomes, max_broadcast_rows=0)
     assert len(rows(a)) > 0 and rows(a) == rows(b)
+
+
+def test_hot_sku_is_split_across_tasks(spark):
+    """One SKU holds a third of all usage: beyond the broadcast bound its rows are spread over
+    several join tasks by the time-hash salt instead of landing in one."""
+    import datetime as dt
+    from decimal import Decimal
+
+    from spendguard import schemas as S
+
+    start = dt.datetime(2026, 4, 1)
+    usage_rows = []
+    for i in range(3000):
+        sku = "HOT" if i % 3 == 0 else f"S{i % 97}"
+        t = start + dt.timedelta(minutes=7 * i)
+        usage_rows.append((sku, Decimal(1), t, t.date()))
+    usage = spark.createDataFrame(usage_rows, S.USAGE)
+    skus = ["HOT"] + [f"S{k}" for k in range(97)]
+    prices = spark.createDataFrame([(s, dt.datetime(2026, 1, 1), None, ((Decimal(2),),)) for s in skus], S.LIST_PRICES)
+    # Make the test data behave like large inputs: no automatic broadcast, no partition merging.
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        priced = price_usage(usage, prices, max_broadcast_rows=0, salt_buckets=16)
+        hot = priced.filter(F.col("sku_name") == "HOT").select(F.spark_partition_id().alias("p"))
+        tasks = hot.distinct().count()
+        assert "BroadcastHashJoin" not in priced._jdf.queryExecution().executedPlan().toString()
+        assert priced.count() == 3000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert tasks >= 4, tasks
