@@ -18,7 +18,7 @@ from spendguard.operators.selection import (
     gate,
     only_targets,
 )
-from spendguard.operators.sizing import broadcast_if_bounded, has_at_most
+from spendguard.operators.sizing import broadcast_if_bounded, has_at_most, shuffle_side
 
 __all__ = [
     "CheckedIds",
@@ -36,4 +36,5 @@ __all__ = [
     "only_targets",
     "paused_settings",
     "resume_decision",
+    "shuffle_side",
 ]

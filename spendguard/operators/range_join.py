@@ -2,10 +2,11 @@
 half-open validity ``[start, end)`` holds the fact's time; a NULL end means still in force.
 
 Strategy:
-* The versions side (a price list) is projected to the join columns and broadcast when a
-  bounded count shows it is small. The facts (usage, the big side) are then never shuffled:
+* The versions side (a price list) is projected to the join columns and broadcast when
+  counting it shows it is small. The facts (usage, the big side) are then never shuffled:
   each scan task probes a hash table on the key and checks the range as a residual.
-* Beyond the bound both sides are shuffled. One key may hold a large share of the facts, so
+* Beyond the bound both sides are shuffled (a sort-merge join, so Spark cannot fall back to a
+  broadcast on a file-size estimate). One key may hold a large share of the facts, so
   the facts are spread over ``salt_buckets`` sub-keys by a hash of their time (deterministic,
   so a retried task sees the same rows) and every version row is copied once per sub-key. AQE
   skew-join splitting stays on as a second line.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, has_at_most
+from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, has_at_most, shuffle_side
 
 DEFAULT_SALT_BUCKETS = 32
 
@@ -35,6 +36,6 @@ def effective_dated_join(facts: DataFrame, versions: DataFrame, *, key: str, at:
         return joined.drop(vkey)
     buckets = max(1, int(salt_buckets))
     salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(F.col(at)), F.lit(buckets)).cast("int"))
-    copied = v.withColumn("_version_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    copied = shuffle_side(v.withColumn("_version_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))))
     cond = (F.col(key) == F.col(vkey)) & (F.col("_salt") == F.col("_version_salt")) & in_range
     return salted_facts.join(copied, cond, "inner").drop(vkey, "_salt", "_version_salt")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendguard.functions.ids import id_list
-from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
+from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, shuffle_side
 from spendguard.schemas import OVER_BUDGET
 
 
@@ -46,7 +46,7 @@ def check_ids(ids: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_RO
     col = "target_id" if "target_id" in ids.columns else ids.columns[0]
     frame = ids.select(F.col(col).cast("string").alias("_id")).filter(F.col("_id").isNotNull())
     side, small = broadcast_if_bounded(frame, max_broadcast_rows)
-    return CheckedIds(side if small else frame.distinct(), small)
+    return CheckedIds(side if small else shuffle_side(frame.distinct()), small)
 
 
 def check_id_sets(sets: Sequence[IdSet], max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> list[IdSet]:

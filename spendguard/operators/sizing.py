@@ -24,8 +24,16 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.count() <= max_rows
 
 
+def shuffle_side(df: DataFrame) -> DataFrame:
+    """Mark a join side that must not be broadcast. Without a hint Spark could still broadcast it
+    on a file-size estimate, which a well-compressed large table can make look small; a
+    sort-merge join spills instead of running out of memory and lets AQE split skewed keys."""
+    return df.hint("merge")
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``(broadcast(df), True)`` when ``df`` has at most ``max_rows`` rows, else ``(df, False)``."""
+    """``(broadcast(df), True)`` when ``df`` has at most ``max_rows`` rows, else
+    ``(shuffle_side(df), False)``."""
     if has_at_most(df, max_rows):
         return F.broadcast(df), True
-    return df, False
+    return shuffle_side(df), False

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendguard.functions.dates import month_label, now_timestamp, previous_month_label
-from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
+from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, shuffle_side
 from spendguard.schemas import ACTED_BY, ACTION_STOPPED, AUDIT, AUDIT_COLUMNS
 
 MONTH_ALL = None
@@ -43,8 +43,8 @@ def succeeded(plan: DataFrame, outcomes: DataFrame, *,
     """
     ok = outcomes.filter(F.col("ok")).select(
         F.col("resource_type").alias("_ok_type"), F.col("resource_id").cast("string").alias("_ok_id"))
-    ok, small = broadcast_if_bounded(ok, max_broadcast_rows)
-    ok = ok if small else ok.distinct()
+    side, small = broadcast_if_bounded(ok, max_broadcast_rows)
+    ok = side if small else shuffle_side(ok.distinct())
     cond = (F.col("resource_type") == F.col("_ok_type")) & (F.col("resource_id").cast("string") == F.col("_ok_id"))
     return plan.join(ok, cond, "left_semi")
 

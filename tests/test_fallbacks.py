@@ -21,12 +21,18 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def joins_by_sort_merge(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_range_join_salted_shuffle_equals_broadcast(spark):
     u, p = fx.usage(spark, SF_DIR), fx.list_prices(spark, SF_DIR)
     small = price_usage(u, p)
     salted = price_usage(u, p, max_broadcast_rows=0, salt_buckets=7)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     assert rows(salted) == rows(small)
+    assert joins_by_sort_merge(salted)
     assert rows(budget_check(u, p, as_of=fx.AS_OF, max_broadcast_rows=0)) == rows(budget_check(u, p, as_of=fx.AS_OF))
 
 
@@ -36,11 +42,14 @@ def test_semi_join_shuffle_equals_broadcast(spark):
     a = job_stop_plan(jobs, targets=targets, exempt=fx.EXEMPT_JOBS)
     b = job_stop_plan(jobs, targets=targets, exempt=fx.EXEMPT_JOBS, max_broadcast_rows=0)
     assert len(rows(a)) > 0 and rows(a) == rows(b)
+    assert joins_by_sort_merge(b)
 
 
 def test_resume_shuffle_equals_broadcast(spark):
     audit, jobs = fx.audit(spark, SF_DIR), fx.jobs(spark, SF_DIR)
-    assert rows(resume_plan(audit, jobs)) == rows(resume_plan(audit, jobs, max_broadcast_rows=0))
+    shuffled = resume_plan(audit, jobs, max_broadcast_rows=0)
+    assert rows(resume_plan(audit, jobs)) == rows(shuffled)
+    assert joins_by_sort_merge(shuffled)
 
 
 def test_outcome_semi_join_shuffle_equals_broadcast(spark):
@@ -49,6 +58,7 @@ def test_outcome_semi_join_shuffle_equals_broadcast(spark):
     a = audit_plan.succeeded(plan, outcomes)
     b = audit_plan.succeeded(plan, outcomes, max_broadcast_rows=0)
     assert len(rows(a)) > 0 and rows(a) == rows(b)
+    assert joins_by_sort_merge(b)
 
 
 def test_hot_sku_is_split_across_tasks(spark):
@@ -68,10 +78,8 @@ def test_hot_sku_is_split_across_tasks(spark):
     usage = spark.createDataFrame(usage_rows, S.USAGE)
     skus = ["HOT"] + [f"S{k}" for k in range(97)]
     prices = spark.createDataFrame([(s, dt.datetime(2026, 1, 1), None, ((Decimal(2),),)) for s in skus], S.LIST_PRICES)
-    # Make the test data behave like large inputs: no automatic broadcast, no partition merging.
-    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
-                "spark.sql.autoBroadcastJoinThreshold": "-1",
-                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    # Keep AQE from merging the small test partitions back into one.
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
     old = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
