@@ -299,6 +299,11 @@ FROM usage u WHERE {MTD}""",
 SELECT sku_name, usage_end_time, usage_date, CAST(usage_quantity AS DOUBLE) AS usage_quantity,
        CAST(unit_price AS DOUBLE) AS unit_price, CAST(line_cost AS DOUBLE) AS line_cost,
        price_start_time, price_end_time
+FROM priced""",
+    "price_as_of_usage_shuffled": _with(_priced()) + """
+SELECT sku_name, usage_end_time, usage_date, CAST(usage_quantity AS DOUBLE) AS usage_quantity,
+       CAST(unit_price AS DOUBLE) AS unit_price, CAST(line_cost AS DOUBLE) AS line_cost,
+       price_start_time, price_end_time
 FROM priced""",
     "current_spend": _with(_priced(MTD)) + """
 SELECT CAST(SUM(line_cost) AS DOUBLE) AS current_spend FROM priced""",
@@ -317,6 +322,7 @@ FROM status""",
     "job_kind": _with() + "SELECT job_id, job_kind, previous_pause_status FROM job_kinds WHERE has_settings",
     "job_stop_plan": _with(_job_plan()) + "SELECT * FROM job_plan",
     "job_stop_plan_targeted": _with(_job_plan(True)) + "SELECT * FROM job_plan",
+    "job_stop_plan_targeted_shuffled": _with(_job_plan(True)) + "SELECT * FROM job_plan",
     "run_cancel_plan": _with() + f"SELECT run_id, job_id FROM runs WHERE active AND {NOT_EXEMPT}",
     "run_cancel_plan_targeted": _with() + f"""
 SELECT run_id, job_id FROM runs
@@ -350,5 +356,6 @@ UNION ALL
 SELECT {AUDIT_ROW_COLUMNS} FROM stop_plan WHERE (SELECT budget_status FROM status) = 'OVER_BUDGET'""",
     "resume_plan": _with() + "," + _resume(),
     "resume_plan_unpause_placeholder": _with() + "," + _resume(remove_placeholder=False),
+    "resume_plan_shuffled": _with() + "," + _resume(),
     "resume_previous_month": _with() + "," + _resume(PREVIOUS_MONTH),
 }

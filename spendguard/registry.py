@@ -103,6 +103,14 @@ def q_price_as_of_usage(spark, d):
                     "price_start_time", "price_end_time")
 
 
+def q_price_as_of_usage_shuffled(spark, d):
+    """The same join by its strategy beyond the broadcast bound (salted sort-merge join)."""
+    p = price_usage(fx.usage(spark, d), fx.list_prices(spark, d), max_broadcast_rows=0)
+    return p.select("sku_name", "usage_end_time", "usage_date",
+                    *[F.col(c).cast("double").alias(c) for c in ("usage_quantity", "unit_price", "line_cost")],
+                    "price_start_time", "price_end_time")
+
+
 def q_current_spend(spark, d):
     priced = price_usage(month_to_date(fx.usage(spark, d), fx.AS_OF), fx.list_prices(spark, d))
     return _money(current_spend(priced))
@@ -150,6 +158,11 @@ def q_job_stop_plan_targeted(spark, d):
     return _flat_job_plan(job_stop_plan(fx.jobs(spark, d), targets=_targets(spark, d, JOB), exempt=fx.EXEMPT_JOBS))
 
 
+def q_job_stop_plan_targeted_shuffled(spark, d):
+    return _flat_job_plan(job_stop_plan(fx.jobs(spark, d), targets=_targets(spark, d, JOB), exempt=fx.EXEMPT_JOBS,
+                                        max_broadcast_rows=0))
+
+
 def q_run_cancel_plan(spark, d):
     return run_cancel_plan(fx.runs(spark, d), exempt=fx.EXEMPT_JOBS)
 
@@ -248,6 +261,10 @@ def q_resume_plan_unpause_placeholder(spark, d):
     return _flat_resume(resume_plan(fx.audit(spark, d), fx.jobs(spark, d), placeholder=PLACEHOLDER_UNPAUSE))
 
 
+def q_resume_plan_shuffled(spark, d):
+    return _flat_resume(resume_plan(fx.audit(spark, d), fx.jobs(spark, d), max_broadcast_rows=0))
+
+
 def q_resume_previous_month(spark, d):
     audit = audit_plan.filter_month(fx.audit(spark, d), month_filter=audit_plan.MONTH_PREVIOUS, as_of=fx.AS_OF)
     return _flat_resume(resume_plan(audit, fx.jobs(spark, d)))
@@ -256,6 +273,7 @@ def q_resume_previous_month(spark, d):
 QUERIES: dict[str, Query] = {
     "mtd_usage": q_mtd_usage,
     "price_as_of_usage": q_price_as_of_usage,
+    "price_as_of_usage_shuffled": q_price_as_of_usage_shuffled,
     "current_spend": q_current_spend,
     "budget_status": q_budget_status,
     "budget_status_empty_month": q_budget_status_empty_month,
@@ -266,6 +284,7 @@ QUERIES: dict[str, Query] = {
     "job_kind": q_job_kind,
     "job_stop_plan": q_job_stop_plan,
     "job_stop_plan_targeted": q_job_stop_plan_targeted,
+    "job_stop_plan_targeted_shuffled": q_job_stop_plan_targeted_shuffled,
     "run_cancel_plan": q_run_cancel_plan,
     "run_cancel_plan_targeted": q_run_cancel_plan_targeted,
     "cluster_stop_plan": q_cluster_stop_plan,
@@ -286,5 +305,6 @@ QUERIES: dict[str, Query] = {
     "audit_roundtrip": q_audit_roundtrip,
     "resume_plan": q_resume_plan,
     "resume_plan_unpause_placeholder": q_resume_plan_unpause_placeholder,
+    "resume_plan_shuffled": q_resume_plan_shuffled,
     "resume_previous_month": q_resume_previous_month,
 }

@@ -41,10 +41,24 @@ def plans(spark):
     return out
 
 
+SHUFFLED = {"price_as_of_usage_shuffled", "job_stop_plan_targeted_shuffled", "resume_plan_shuffled"}
+
+
 @pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_quadratic_or_sort_merge_join(plans, name):
+def test_no_quadratic_join(plans, name):
+    joins = summary(plans[name])["joins"]
+    assert not {"CartesianProduct", "BroadcastNestedLoopJoin"} & set(joins), joins
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SHUFFLED))
+def test_small_sides_are_broadcast(plans, name):
+    assert "SortMergeJoin" not in summary(plans[name])["joins"]
+
+
+@pytest.mark.parametrize("name", sorted(SHUFFLED))
+def test_large_side_strategy_is_sort_merge(plans, name):
     joins = summary(plans[name])["joins"]
-    assert not {"CartesianProduct", "BroadcastNestedLoopJoin", "SortMergeJoin"} & set(joins), joins
+    assert joins.get("SortMergeJoin") == 1 and "BroadcastHashJoin" not in joins, joins
 
 
 @pytest.mark.parametrize("name", sorted(NO_SHUFFLE))
