@@ -60,7 +60,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The generated table as a lazy DataFrame. The read-only source tables are listed and their
     footers read once per application; every query builds its own plan on top."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # a remote (Connect) session has no SparkContext: key on the session
+        app = str(id(spark))
+    key = (app, path)
     df = _SOURCES.get(key)
     if df is None:
         df = _SOURCES[key] = spark.read.parquet(path)
