@@ -147,9 +147,10 @@ outcomes AS (
 )"""
 
 
-def _priced(usage_filter: str = "TRUE") -> str:
+def _priced(usage_filter: str = "TRUE", name: str = "priced") -> str:
+    """Usage rows with the price version valid at their end time (inner: unpriced rows drop)."""
     return f"""
-priced AS (
+{name} AS (
   SELECT u.sku_name, u.usage_end_time, u.usage_date, u.usage_quantity,
          p.price_start_time, p.price_end_time, p.unit_price, u.usage_quantity * p.unit_price AS line_cost
   FROM usage u
@@ -165,17 +166,14 @@ MTD = f"u.usage_date >= date_trunc('month', {AS_OF})"
 
 
 def _status(threshold: object = fx.THRESHOLD, as_of: str = AS_OF) -> str:
-    return f"""
+    """One row: the month-to-date total and its verdict (a NULL total is within budget)."""
+    month = _priced(f"u.usage_date >= date_trunc('month', {as_of})", name="month_priced")
+    return month + f""",
+month_total AS (SELECT SUM(line_cost) AS total FROM month_priced),
 status AS (
-  SELECT CASE WHEN SUM(u.usage_quantity * p.unit_price) > {threshold} THEN 'OVER_BUDGET'
-              ELSE 'WITHIN_BUDGET' END AS budget_status,
-         SUM(u.usage_quantity * p.unit_price) AS current_spend
-  FROM usage u
-  JOIN list_prices p
-    ON p.sku_name = u.sku_name
-   AND u.usage_end_time >= p.price_start_time
-   AND (p.price_end_time IS NULL OR u.usage_end_time < p.price_end_time)
-  WHERE u.usage_date >= date_trunc('month', {as_of})
+  SELECT CASE WHEN total > {threshold} THEN 'OVER_BUDGET' ELSE 'WITHIN_BUDGET' END AS budget_status,
+         total AS current_spend
+  FROM month_total
 )"""
 
 
