@@ -6,6 +6,6 @@ an audit table, and plan their resumption from it. Built from Spark's own operat
 semi/anti joins, a checked broadcast join, CASE expressions, unions), with no UDFs.
 """
 
-from spendguard import functions, operators, plans, schemas, sources
+from spendguard import functions, operators, plans, schemas, sources, tasks
 
-__all__ = ["functions", "operators", "plans", "schemas", "sources"]
+__all__ = ["functions", "operators", "plans", "schemas", "sources", "tasks"]
