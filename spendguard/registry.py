@@ -45,7 +45,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 EMPTY_MONTH_AS_OF = _dt.date(2030, 1, 15)
 UNREACHABLE_THRESHOLD = 10 ** 15
-ROUNDTRIP_TABLE = "spendguard_check.paused_jobs_roundtrip"
+ROUNDTRIP_TABLE = "spendguard_audit_roundtrip"
 
 
 def flat_settings(settings: Column, prefix: str = "new_") -> list[Column]:
