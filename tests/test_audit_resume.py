@@ -147,3 +147,22 @@ def test_run_resume_previous_month_clears_all(spark):
     plan = run_resume(spark, table, _jobs(spark), month_filter="previous", as_of=dt.date(2026, 4, 6))
     assert [r.resource_id for r in plan.collect()] == ["200"]
     assert audit.read_audit(spark, table).count() == 0
+
+
+def test_default_now_stamps_one_time_and_its_month(spark):
+    rows = audit.audit_rows(_plan(spark, [(1, "JOB", "1", "a"), (3, "CLUSTER", "c", "b")])).collect()
+    stamps = {(r.timestamp, r.month) for r in rows}
+    assert len(stamps) == 1
+    ts, month = stamps.pop()
+    assert month == ts.strftime("%Y-%m")
+
+
+def test_read_table_and_optional_apps(spark, tmp_path):
+    from spendguard.sources import optional_apps, read_table
+    path = str(tmp_path / "apps")
+    spark.createDataFrame([("a",), ("b",)], S.APPS).write.parquet(path)
+    assert sorted(r.name for r in read_table(spark, path).collect()) == ["a", "b"]
+    table = _table()
+    audit.ensure_table(spark, table)
+    assert read_table(spark, table).columns == list(S.AUDIT_COLUMNS)
+    assert optional_apps(spark, None).count() == 0
