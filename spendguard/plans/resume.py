@@ -81,20 +81,26 @@ def resume_plan(audit: DataFrame, jobs: DataFrame, *, placeholder: str = PLACEHO
 
 def run_resume(spark: SparkSession, table: str, jobs: DataFrame, *, placeholder: str = PLACEHOLDER_REMOVE,
                month_filter: str | None = audit_table.MONTH_ALL,
-               as_of: _dt.date | str | Column | None = None) -> DataFrame | None:
+               as_of: _dt.date | str | Column | None = None, plan_table: str | None = None) -> DataFrame | None:
     """Plan the resume from the audit table, then clear the table.
 
     Returns ``None`` (and leaves the table alone) when the table does not exist or holds
-    nothing to resume. Otherwise the plan is checkpointed into the cluster's checkpoint folder
-    *before* the truncate: a lazy plan read after it would see an empty table. The whole table
-    is cleared even under a month filter.
+    nothing to resume. Otherwise the plan is materialised *before* the truncate (a lazy plan
+    read after it would see an empty table): into ``plan_table`` when given (overwritten; it
+    outlives a driver failure and can be read again by name), else checkpointed into the
+    cluster's checkpoint folder. The whole table is cleared even under a month filter.
     """
     if not spark.catalog.tableExists(table):
         return None
     audit = audit_table.read_audit(spark, table, month_filter=month_filter, as_of=as_of)
     if audit.isEmpty():
         return None
-    checkpoint_dir(spark)
-    plan = resume_plan(audit, jobs, placeholder=placeholder).checkpoint(eager=True)
+    plan = resume_plan(audit, jobs, placeholder=placeholder)
+    if plan_table is not None:
+        plan.write.mode("overwrite").saveAsTable(plan_table)
+        plan = spark.table(plan_table)
+    else:
+        checkpoint_dir(spark)
+        plan = plan.checkpoint(eager=True)
     audit_table.clear(spark, table)
     return plan

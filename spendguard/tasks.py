@@ -72,10 +72,11 @@ def stop_activity(spark: SparkSession, *, catalog: str, schema: str, table: str
 
 def resume_activity(spark: SparkSession, *, catalog: str, schema: str, table: str = AUDIT_TABLE, jobs: DataFrame,
                     placeholder: str = PLACEHOLDER_REMOVE, month_filter: str | None = None,
-                    as_of: _dt.date | str | Column | None = None) -> DataFrame | None:
-    """Plan the resume of everything in the audit table, then clear it (``None``: nothing to do)."""
+                    as_of: _dt.date | str | Column | None = None, plan_table: str | None = None) -> DataFrame | None:
+    """Plan the resume of everything in the audit table, then clear it (``None``: nothing to do).
+    ``plan_table`` keeps the plan as a named table (see :func:`spendguard.plans.run_resume`)."""
     return run_resume(spark, audit_table_name(catalog, schema, table), jobs, placeholder=placeholder,
-                      month_filter=month_filter, as_of=as_of)
+                      month_filter=month_filter, as_of=as_of, plan_table=plan_table)
 
 
 __all__ = ["StopResult", "audit_table_name", "check_budget", "resume_activity", "stop_activity"]

@@ -166,3 +166,13 @@ def test_read_table_and_optional_apps(spark, tmp_path):
     audit.ensure_table(spark, table)
     assert read_table(spark, table).columns == list(S.AUDIT_COLUMNS)
     assert optional_apps(spark, None).count() == 0
+
+
+def test_run_resume_into_named_plan_table(spark):
+    table = _table()
+    plan_table = table.replace("paused_jobs", "resume_plan")
+    audit.append(_audit(spark, [("JOB", "200", "2026-04"), ("APP", "a", "2026-04")]), table)
+    plan = run_resume(spark, table, _jobs(spark), plan_table=plan_table)
+    assert audit.read_audit(spark, table).count() == 0
+    assert sorted(r.resume_action for r in spark.table(plan_table).collect()) == ["START", "UNPAUSE"]
+    assert plan.count() == 2
