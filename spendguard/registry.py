@@ -39,6 +39,7 @@ from spendguard.plans.stop import (
 )
 from spendguard.schemas import APP, AUDIT_COLUMNS, CLUSTER, JOB, WAREHOUSE
 from spendguard.session import checkpoint_dir
+from spendguard.streaming.incremental import budget_from_month_spend, read_month_spend, start_month_spend
 from spendguard.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +121,20 @@ def q_budget_status(spark, d):
     return task_values(_status(spark, d))
 
 
+def q_budget_status_incremental(spark, d):
+    """The budget check run incrementally: a file stream over the usage, priced per micro-batch
+    into per-month totals (in a fresh folder under the checkpoint folder), then summed."""
+    base = checkpoint_dir(spark, fallback=spark.conf.get("spark.sql.warehouse.dir") + "/_spendguard_checkpoints")
+    run = uuid.uuid4().hex
+    table = f"spendguard_month_spend_{run}"
+    spark.sql(f"CREATE TABLE {table} (usage_month DATE, spend DECIMAL(38,12), priced_rows BIGINT) USING parquet "
+              f"LOCATION '{base.rstrip('/')}/month_spend_{run}/table'")
+    query = start_month_spend(fx.usage_stream(spark, d), fx.list_prices(spark, d), table=table,
+                              checkpoint=f"{base.rstrip('/')}/month_spend_{run}/stream")
+    query.awaitTermination()
+    return task_values(budget_from_month_spend(read_month_spend(spark, table), fx.THRESHOLD, fx.AS_OF))
+
+
 def q_budget_status_empty_month(spark, d):
     return task_values(_status(spark, d, as_of=EMPTY_MONTH_AS_OF))
 
@@ -276,6 +291,7 @@ QUERIES: dict[str, Query] = {
     "price_as_of_usage_shuffled": q_price_as_of_usage_shuffled,
     "current_spend": q_current_spend,
     "budget_status": q_budget_status,
+    "budget_status_incremental": q_budget_status_incremental,
     "budget_status_empty_month": q_budget_status_empty_month,
     "budget_report_line": q_budget_report_line,
     "targets_parsed": q_targets_parsed,

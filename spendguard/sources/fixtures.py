@@ -80,7 +80,17 @@ def sku_of(partkey: Column) -> Column:
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _read(spark, sf_dir, "lineitem")
+    return usage_from_lineitem(_read(spark, sf_dir, "lineitem"))
+
+
+def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same usage rows as a file stream over the lineitem files (for incremental runs)."""
+    schema = _read(spark, sf_dir, "lineitem").schema
+    lineitem = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/lineitem*.parquet")
+    return usage_from_lineitem(lineitem)
+
+
+def usage_from_lineitem(li: DataFrame) -> DataFrame:
     return li.select(
         sku_of(F.col("l_partkey")).alias("sku_name"),
         F.col("l_quantity").cast(QUANTITY).alias("usage_quantity"),

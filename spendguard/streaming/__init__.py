@@ -1,7 +1,17 @@
-"""No streaming operators.
+"""Incremental execution of the budget check.
 
-The budget job is batch only: it recurs on a schedule (daily check, monthly resume) and reads
-whole tables each time; nothing in it reads or writes a stream, keeps state across triggers or
-uses watermarks. The plans in :mod:`spendguard.plans` are lazy batch DataFrames, which a
-caller's scheduler runs. This package stays empty on purpose, so no streaming is claimed.
+The original job is batch only (a daily check, a monthly resume) and nothing in it reads or
+writes a stream. The one place where streaming pays at scale is the daily total: instead of
+re-reading the month's usage every day, :mod:`spendguard.streaming.incremental` prices each usage
+file once as it arrives and keeps per-month totals, from which the same budget status follows.
+Every other plan stays batch.
 """
+
+from spendguard.streaming.incremental import (
+    budget_from_month_spend,
+    month_spend,
+    read_month_spend,
+    start_month_spend,
+)
+
+__all__ = ["budget_from_month_spend", "month_spend", "read_month_spend", "start_month_spend"]
