@@ -10,6 +10,11 @@ current one on (no upper bound, as in the batch check).
 
 Equal to :func:`spendguard.plans.budget_check` when price versions are added ahead of the usage
 they price (a version changed after usage was priced is not applied retroactively).
+
+All new usage falls in one or two months, so the month key is hot by nature; the aggregation is
+partial per task first, and only one row per task and month crosses the shuffle. The number of
+state partitions is fixed when the stream first starts (``spark.sql.shuffle.partitions`` at that
+moment); the state holds one row per month, so start it with a small value (8-64).
 """
 
 from __future__ import annotations
