@@ -19,6 +19,11 @@ registered query reads whole tables and its work grows with them.
 |              | part      |                                                                        |
 | outcomes     | all four  | whether each stop call succeeded                                       |
 
+The modulo rules assign attributes (kind, state, type, id format) to every source row; they never
+thin the inputs. Two row sets are subsets by meaning: the price list leaves some SKUs unpriced
+(usage without a price must drop out), and a target list names some resources (that is what a
+target list is). Every query still scans its whole source tables.
+
 The DuckDB oracle derives the same tables independently (flat) in ``spendguard.oracle``.
 """
 
