@@ -47,6 +47,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 EMPTY_MONTH_AS_OF = _dt.date(2030, 1, 15)
 UNREACHABLE_THRESHOLD = 10 ** 15
 ROUNDTRIP_TABLE = "spendguard_audit_roundtrip"
+STREAM_TIMEOUT_SECONDS = 1800
 
 
 def flat_settings(settings: Column, prefix: str = "new_") -> list[Column]:
@@ -131,7 +132,9 @@ def q_budget_status_incremental(spark, d):
               f"LOCATION '{base.rstrip('/')}/month_spend_{run}/table'")
     query = start_month_spend(fx.usage_stream(spark, d), fx.list_prices(spark, d), table=table,
                               checkpoint=f"{base.rstrip('/')}/month_spend_{run}/stream")
-    query.awaitTermination()
+    if not query.awaitTermination(STREAM_TIMEOUT_SECONDS):
+        query.stop()
+        raise TimeoutError(f"incremental pricing did not finish within {STREAM_TIMEOUT_SECONDS}s")
     return task_values(budget_from_month_spend(read_month_spend(spark, table), fx.THRESHOLD, fx.AS_OF))
 
 
