@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 
 import pytest
@@ -30,10 +32,16 @@ def test_two_runs_process_only_new_files_and_match_batch(spark, tmp_path):
               f"USING parquet LOCATION '{tmp_path / 'totals'}'")
     prices = fx.list_prices(spark, SF_DIR)
 
+    plans = []
+
     def run():
         stream = fx.usage_from_lineitem(spark.readStream.schema(lineitem.schema).parquet(landing))
         query = start_month_spend(stream, prices, table=table, checkpoint=checkpoint)
         query.awaitTermination()
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            query.explain()
+        plans.append(buf.getvalue())
         return sum(p["numInputRows"] for p in query.recentProgress)
 
     first.write.parquet(landing)
@@ -43,6 +51,9 @@ def test_two_runs_process_only_new_files_and_match_batch(spark, tmp_path):
 
     second.write.mode("append").parquet(landing)
     assert run() == second.count()  # only the new files are read
+    # Micro-batch plan: the checked price list is broadcast, the month totals are pre-aggregated
+    # per task before the state store.
+    assert "BroadcastHashJoin" in plans[-1] and "partial_sum" in plans[-1] and "StateStoreSave" in plans[-1]
     batch_all = budget_check(fx.usage(spark, SF_DIR), prices, fx.THRESHOLD, fx.AS_OF)
     assert _values(budget_from_month_spend(read_month_spend(spark, table), fx.THRESHOLD, fx.AS_OF)) == _values(batch_all)
     totals = read_month_spend(spark, table)
