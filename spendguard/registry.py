@@ -98,19 +98,19 @@ def q_mtd_usage(spark, d):
     return u.withColumn("usage_quantity", F.col("usage_quantity").cast("double"))
 
 
+def _flat_priced(priced: DataFrame) -> DataFrame:
+    return priced.select("sku_name", "usage_end_time", "usage_date",
+                         *[F.col(c).cast("double").alias(c) for c in ("usage_quantity", "unit_price", "line_cost")],
+                         "price_start_time", "price_end_time")
+
+
 def q_price_as_of_usage(spark, d):
-    p = price_usage(fx.usage(spark, d), fx.list_prices(spark, d))
-    return p.select("sku_name", "usage_end_time", "usage_date",
-                    *[F.col(c).cast("double").alias(c) for c in ("usage_quantity", "unit_price", "line_cost")],
-                    "price_start_time", "price_end_time")
+    return _flat_priced(price_usage(fx.usage(spark, d), fx.list_prices(spark, d)))
 
 
 def q_price_as_of_usage_shuffled(spark, d):
     """The same join by its strategy beyond the broadcast bound (salted sort-merge join)."""
-    p = price_usage(fx.usage(spark, d), fx.list_prices(spark, d), max_broadcast_rows=0)
-    return p.select("sku_name", "usage_end_time", "usage_date",
-                    *[F.col(c).cast("double").alias(c) for c in ("usage_quantity", "unit_price", "line_cost")],
-                    "price_start_time", "price_end_time")
+    return _flat_priced(price_usage(fx.usage(spark, d), fx.list_prices(spark, d), max_broadcast_rows=0))
 
 
 def q_current_spend(spark, d):
