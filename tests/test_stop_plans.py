@@ -279,3 +279,14 @@ def test_enforcement_plan_gates_stops_and_runs(spark, jobs_df, clusters_df):
     within = enforcement_plan(_status(spark, "WITHIN_BUDGET"), runs=runs, **inv)
     assert within.stops.count() == 0 and within.runs.count() == 0
     assert enforcement_plan(_status(spark, "OVER_BUDGET"), **inv).runs.count() == 0
+
+
+def test_check_id_sets_counts_each_set_once(spark):
+    from spendguard.operators import CheckedIds, check_id_sets
+    shared = spark.createDataFrame([("1",), ("2",), ("2",)], "target_id string")
+    other = spark.createDataFrame([("x",)], "id string")
+    a, b, c, d, e = check_id_sets([shared, other, shared, None, ["9"]])
+    assert isinstance(a, CheckedIds) and a is c and a.broadcast
+    assert isinstance(b, CheckedIds) and d is None and e == ["9"]
+    big = check_id_sets([shared], max_broadcast_rows=2)[0]
+    assert not big.broadcast and sorted(r[0] for r in big.ids.collect()) == ["1", "2"]  # de-duplicated
