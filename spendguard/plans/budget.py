@@ -27,8 +27,14 @@ AsOf = _dt.date | str | Column | None
 
 
 def threshold_value(threshold: object) -> Column:
-    """The threshold as an exact decimal literal (never spliced into SQL text)."""
-    return F.lit(Decimal(str(threshold).strip()))
+    """The threshold as an exact decimal literal (never spliced into SQL text). Text such as
+    ``"5e4"`` is read as the number it denotes."""
+    value = Decimal(str(threshold).strip())
+    if not value.is_finite():
+        raise ValueError(f"threshold must be a finite number, got {threshold!r}")
+    if value.as_tuple().exponent > 0:  # 5E+4: Spark has no negative-scale decimals
+        value = value.quantize(Decimal(1))
+    return F.lit(value)
 
 
 def month_to_date(usage: DataFrame, as_of: AsOf = None, date_col: str = "usage_date") -> DataFrame:

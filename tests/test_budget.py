@@ -125,3 +125,13 @@ def test_plan_falls_back_to_salted_shuffle(spark):
     status = budget_check(u, prices(spark, STD_PRICES), as_of=AS_OF, max_broadcast_rows=0, salt_buckets=8)
     assert spend(status) == ("WITHIN_BUDGET", Decimal("10.000000000000"))
     assert "_version_salt" in status._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_threshold_text_forms(spark):
+    u = usage(spark, [("B", 5, dt.datetime(2026, 4, 2))])  # spend 50
+    p = prices(spark, STD_PRICES)
+    assert spend(budget_check(u, p, threshold="5e1", as_of=AS_OF))[0] == "WITHIN_BUDGET"
+    assert spend(budget_check(u, p, threshold=" 4.9E+1 ", as_of=AS_OF))[0] == "OVER_BUDGET"
+    assert report_line(budget_check(u, p, threshold="1e5", as_of=AS_OF), "1e5").first().threshold_text == "$100,000.00"
+    with pytest.raises(ValueError):
+        budget_check(u, p, threshold="inf", as_of=AS_OF)
