@@ -99,7 +99,7 @@ def usage_from_lineitem(li: DataFrame) -> DataFrame:
     return li.select(
         sku_of(F.col("l_partkey")).alias("sku_name"),
         F.col("l_quantity").cast(QUANTITY).alias("usage_quantity"),
-        F.timestamp_add("HOUR", F.col("l_orderkey") % 24, F.col("l_shipdate")).alias("usage_end_time"),
+        (F.col("l_shipdate") + F.make_dt_interval(hours=(F.col("l_orderkey") % 24).cast("int"))).alias("usage_end_time"),
         F.to_date("l_shipdate").alias("usage_date"),
     )
 
@@ -110,8 +110,8 @@ def list_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     epoch = F.lit(PRICE_EPOCH).cast("timestamp_ntz")
     return part.select(
         sku_of(F.col("p_partkey")).alias("sku_name"),
-        F.timestamp_add("DAY", version * VERSION_DAYS, epoch).alias("price_start_time"),
-        F.when(version != 3, F.timestamp_add("DAY", (version + 1) * VERSION_DAYS, epoch)).alias("price_end_time"),
+        (epoch + F.make_dt_interval(days=version * VERSION_DAYS)).alias("price_start_time"),
+        F.when(version != 3, epoch + F.make_dt_interval(days=(version + 1) * VERSION_DAYS)).alias("price_end_time"),
         F.struct(F.struct(F.col("p_retailprice").cast(PRICE).alias("default")).alias("effective_list")).alias("pricing"),
     )
 
