@@ -63,8 +63,7 @@ def flat_settings(settings: Column, prefix: str = "new_") -> list[Column]:
 
 
 def _targets(spark: SparkSession, d: str, resource_type: str) -> DataFrame:
-    lists = fx.target_lists(spark, d).filter(F.col("resource_type") == resource_type)
-    return explode_target_lists(lists).select("target_id")
+    return explode_target_lists(fx.target_lists(spark, d, resource_type)).select("target_id")
 
 
 def _status(spark: SparkSession, d: str, threshold: object = fx.THRESHOLD, as_of=fx.AS_OF) -> DataFrame:

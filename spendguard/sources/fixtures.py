@@ -58,22 +58,40 @@ PRICE_EPOCH = "1995-01-01 00:00:00"
 VERSION_DAYS = 600
 
 
-_SOURCES: dict[tuple[str, str], DataFrame] = {}
+_BUILT: dict[tuple, DataFrame] = {}
+
+
+def _app(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # a remote (Connect) session has no SparkContext: key on the session
+        return str(id(spark))
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The generated table as a lazy DataFrame. The read-only source tables are listed and their
     footers read once per application; every query builds its own plan on top."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # a remote (Connect) session has no SparkContext: key on the session
-        app = str(id(spark))
-    key = (app, path)
-    df = _SOURCES.get(key)
-    if df is None:
-        df = _SOURCES[key] = spark.read.parquet(path)
-    return df
+    key = (_app(spark), "read", path)
+    if key not in _BUILT:
+        _BUILT[key] = spark.read.parquet(path)
+    return _BUILT[key]
+
+
+def _once(build):
+    """Build a fixture input once per application and source folder and hand out the same lazy
+    DataFrame afterwards, as a user holds an input table open: its expressions are constructed
+    and analysed once. No data is cached; each query plans and runs in full."""
+
+    def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
+        key = (_app(spark), build.__name__, sf_dir.rstrip("/"), args, tuple(sorted(kwargs.items())))
+        if key not in _BUILT:
+            _BUILT[key] = build(spark, sf_dir, *args, **kwargs)
+        return _BUILT[key]
+
+    wrapper.__name__ = build.__name__
+    wrapper.__doc__ = build.__doc__
+    return wrapper
 
 
 def _text(c: Column) -> Column:
@@ -84,6 +102,7 @@ def sku_of(partkey: Column) -> Column:
     return F.concat(F.lit("SKU-"), _text(F.floor(partkey / F.lit(4))))
 
 
+@_once
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_from_lineitem(_read(spark, sf_dir, "lineitem"))
 
@@ -104,6 +123,7 @@ def usage_from_lineitem(li: DataFrame) -> DataFrame:
     )
 
 
+@_once
 def list_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part").filter(F.col("p_partkey") % 7 != 0)
     version = (F.col("p_partkey") % 4).cast("int")
@@ -116,6 +136,7 @@ def list_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_once
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -142,6 +163,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(key.alias("job_id"), settings.alias("settings"))
 
 
+@_once
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("run_id"), F.col("user_id").alias("job_id"),
@@ -152,6 +174,7 @@ def cluster_id_of(custkey: Column) -> Column:
     return F.concat(F.lit("0410-"), F.format_string("%06d", custkey), F.lit("-abc"))
 
 
+@_once
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     seg = F.col("c_mktsegment")
@@ -166,6 +189,7 @@ def warehouse_id_of(suppkey: Column) -> Column:
     return F.concat(F.lit("wh"), _text(suppkey))
 
 
+@_once
 def warehouses(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _read(spark, sf_dir, "supplier")
     n = F.col("s_nationkey") % 4
@@ -178,11 +202,13 @@ def app_name_of(name: Column, partkey: Column) -> Column:
     return F.concat(F.regexp_replace(name, " ", "-"), F.lit("-"), _text(partkey))
 
 
+@_once
 def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     return p.select(app_name_of(F.col("p_name"), F.col("p_partkey")).alias("name"))
 
 
+@_once
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -212,29 +238,48 @@ def _scientific(key: Column) -> Column:
                   ).otherwise(F.concat(s, F.lit("e+0")))
 
 
-def target_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(resource_type, raw)``: raw target text per resource type, one list per source row."""
+@_once
+def target_lists(spark: SparkSession, sf_dir: str, resource_type: str | None = None) -> DataFrame:
+    """``(resource_type, raw)``: raw target text per resource type, one list per source row.
+    With ``resource_type`` only that type's lists are built (from its one source table)."""
+    builders = {JOB: _job_target_lists, CLUSTER: _cluster_target_lists, WAREHOUSE: _warehouse_target_lists,
+                APP: _app_target_lists}
+    kinds = [resource_type] if resource_type is not None else list(builders)
+    frames = [builders[k](spark, sf_dir).select(F.lit(k).alias("resource_type"), F.col("raw")) for k in kinds]
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+def _job_target_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
     key = F.col("o_orderkey")
     k = _text(key)
     m = key % 4
-    job_raw = (F.when(m == 0, F.concat(k, F.lit(", "), _text(key + 1)))
-               .when(m == 1, F.concat(F.lit(" "), k, F.lit(".0 ,")))
-               .when(m == 2, F.concat(_scientific(key), F.lit(",job-"), k))
-               .otherwise(F.concat(F.lit("0"), k, F.lit(",,"))))
-    job_lists = o.select(F.lit(JOB).alias("resource_type"), job_raw.alias("raw"))
+    raw = (F.when(m == 0, F.concat(k, F.lit(", "), _text(key + 1)))
+           .when(m == 1, F.concat(F.lit(" "), k, F.lit(".0 ,")))
+           .when(m == 2, F.concat(_scientific(key), F.lit(",job-"), k))
+           .otherwise(F.concat(F.lit("0"), k, F.lit(",,"))))
+    return o.select(raw.alias("raw"))
+
+
+def _cluster_target_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer").filter(F.col("c_nationkey") < 5)
-    cluster_lists = c.select(F.lit(CLUSTER).alias("resource_type"),
-                             F.concat(F.lit(" "), cluster_id_of(F.col("c_custkey")), F.lit(" ,")).alias("raw"))
+    return c.select(F.concat(F.lit(" "), cluster_id_of(F.col("c_custkey")), F.lit(" ,")).alias("raw"))
+
+
+def _warehouse_target_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _read(spark, sf_dir, "supplier").filter(F.col("s_nationkey") < 12)
-    warehouse_lists = s.select(F.lit(WAREHOUSE).alias("resource_type"),
-                               warehouse_id_of(F.col("s_suppkey")).alias("raw"))
+    return s.select(warehouse_id_of(F.col("s_suppkey")).alias("raw"))
+
+
+def _app_target_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part").filter(F.col("p_size") <= 10)
-    app_lists = p.select(F.lit(APP).alias("resource_type"),
-                         app_name_of(F.col("p_name"), F.col("p_partkey")).alias("raw"))
-    return job_lists.unionByName(cluster_lists).unionByName(warehouse_lists).unionByName(app_lists)
+    return p.select(app_name_of(F.col("p_name"), F.col("p_partkey")).alias("raw"))
 
 
+@_once
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(resource_type, resource_id, ok)``: whether the stop call for a resource succeeded."""
     o = _read(spark, sf_dir, "orders").select(

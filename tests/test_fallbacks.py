@@ -38,7 +38,7 @@ def test_range_join_salted_shuffle_equals_broadcast(spark):
 
 def test_semi_join_shuffle_equals_broadcast(spark):
     jobs = fx.jobs(spark, SF_DIR)
-    targets = explode_target_lists(fx.target_lists(spark, SF_DIR).filter(F.col("resource_type") == "JOB"))
+    targets = explode_target_lists(fx.target_lists(spark, SF_DIR, "JOB"))
     a = job_stop_plan(jobs, targets=targets, exempt=fx.EXEMPT_JOBS)
     b = job_stop_plan(jobs, targets=targets, exempt=fx.EXEMPT_JOBS, max_broadcast_rows=0)
     assert len(rows(a)) > 0 and rows(a) == rows(b)
