@@ -56,11 +56,37 @@ def check_id_sets(sets: Sequence[IdSet], max_broadcast_rows: int = DEFAULT_MAX_B
     todo = {id(s): s for s in sets if isinstance(s, DataFrame)}
     if not todo:
         return list(sets)
+    inherit = _job_properties(next(iter(todo.values())))
+
+    def check(df: DataFrame) -> CheckedIds:
+        inherit()
+        return check_ids(df, max_broadcast_rows)
+
     with ThreadPoolExecutor(max_workers=min(8, len(todo))) as pool:
-        done = dict(zip(todo, pool.map(lambda df: check_ids(df, max_broadcast_rows), todo.values())))
+        done = dict(zip(todo, pool.map(check, todo.values())))
     return [done.get(id(s), s) if isinstance(s, DataFrame) else s for s in sets]
 
 
+_INHERITED = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel", "spark.scheduler.pool")
+
+
+def _job_properties(df: DataFrame):
+    """A function that copies the calling thread's job group, description and pool into the
+    thread that runs it (they are thread-local), so concurrent checks are attributed to, and
+    cancelled with, the caller's job group."""
+    try:
+        sc = df.sparkSession.sparkContext
+    except Exception:  # a remote (Connect) session: nothing to copy
+        return lambda: None
+    values = {k: sc.getLocalProperty(k) for k in _INHERITED}
+
+    def apply() -> None:
+        for key, value in values.items():
+            sc.setLocalProperty(key, value)
+
+    return apply
+
+
 def _side(ids: DataFrame | CheckedIds, max_broadcast_rows: int, name: str) -> DataFrame:
     checked = ids if isinstance(ids, CheckedIds) else check_ids(ids, max_broadcast_rows)
     return checked.ids.withColumnRenamed("_id", name)

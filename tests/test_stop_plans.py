@@ -290,3 +290,15 @@ def test_check_id_sets_counts_each_set_once(spark):
     assert isinstance(b, CheckedIds) and d is None and e == ["9"]
     big = check_id_sets([shared], max_broadcast_rows=2)[0]
     assert not big.broadcast and sorted(r[0] for r in big.ids.collect()) == ["1", "2"]  # de-duplicated
+
+
+def test_concurrent_checks_run_in_the_callers_job_group(spark):
+    from spendguard.operators import check_id_sets
+    sc = spark.sparkContext
+    sets = [spark.createDataFrame([(str(i),)], "target_id string") for i in range(3)]
+    sc.setJobGroup("sg-checks", "size checks")
+    try:
+        check_id_sets(sets)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("sg-checks")) >= 3
