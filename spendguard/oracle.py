@@ -249,6 +249,7 @@ PREVIOUS_MONTH = f"\"month\" = strftime({AS_OF} - INTERVAL 1 MONTH, '%Y-%m')"
 
 
 def _resume(audit_where: str = "TRUE", remove_placeholder: bool = True) -> str:
+    """CTEs ending in ``resume_out``: every audit row with its resume action and settings."""
     placeholder = "OR (j.job_kind = 'SCHEDULE' AND j.schedule_cron = '0 0 0 1 1 ? 2099')" if remove_placeholder else ""
     return f"""
 audit_ids AS (
@@ -268,7 +269,8 @@ resume_base AS (
            ELSE 'UNKNOWN'
          END AS resume_action
   FROM audit_ids a LEFT JOIN job_kinds j ON a.job_id = j.job_id
-)
+),
+resume_out AS (
 SELECT resource_type, action, resource_id, resource_name, "timestamp", acted_by, "month", resume_action, job_id,
        CASE WHEN resume_action = 'UNPAUSE' AND job_kind = 'SCHEDULE' THEN schedule_cron END AS new_schedule_cron,
        CASE WHEN resume_action = 'UNPAUSE' AND job_kind = 'SCHEDULE' THEN schedule_tz END AS new_schedule_timezone,
@@ -280,7 +282,8 @@ SELECT resource_type, action, resource_id, resource_name, "timestamp", acted_by,
        CASE WHEN resume_action = 'UNPAUSE' AND job_kind = 'TRIGGER' THEN trigger_table_update END
          AS new_trigger_table_update,
        CASE WHEN resume_action = 'UNPAUSE' AND job_kind = 'TRIGGER' THEN 'UNPAUSED' END AS new_trigger_pause_status
-FROM resume_base"""
+FROM resume_base
+)"""
 
 
 def _with(*ctes: str) -> str:
@@ -323,6 +326,10 @@ FROM status""",
     "job_stop_plan": _with(_job_plan()) + "SELECT * FROM job_plan",
     "job_stop_plan_targeted": _with(_job_plan(True)) + "SELECT * FROM job_plan",
     "job_stop_plan_targeted_shuffled": _with(_job_plan(True)) + "SELECT * FROM job_plan",
+    "job_paused_settings": _with(_job_plan()) + """
+SELECT job_id, new_schedule_cron, new_schedule_timezone, new_schedule_pause_status, new_continuous_pause_status,
+       new_trigger_file_arrival, new_trigger_table_update, new_trigger_pause_status
+FROM job_plan""",
     "run_cancel_plan": _with() + f"SELECT run_id, job_id FROM runs WHERE active AND {NOT_EXEMPT}",
     "run_cancel_plan_targeted": _with() + f"""
 SELECT run_id, job_id FROM runs
@@ -354,8 +361,15 @@ WHERE EXISTS (SELECT 1 FROM outcomes o
 SELECT {AUDIT_ROW_COLUMNS} FROM stop_plan WHERE (SELECT budget_status FROM status) = 'OVER_BUDGET'
 UNION ALL
 SELECT {AUDIT_ROW_COLUMNS} FROM stop_plan WHERE (SELECT budget_status FROM status) = 'OVER_BUDGET'""",
-    "resume_plan": _with() + "," + _resume(),
-    "resume_plan_unpause_placeholder": _with() + "," + _resume(remove_placeholder=False),
-    "resume_plan_shuffled": _with() + "," + _resume(),
-    "resume_previous_month": _with() + "," + _resume(PREVIOUS_MONTH),
+    "resume_plan": _with(_resume()) + "SELECT * FROM resume_out",
+    "resume_plan_unpause_placeholder": _with(_resume(remove_placeholder=False)) + "SELECT * FROM resume_out",
+    "resume_plan_shuffled": _with(_resume()) + "SELECT * FROM resume_out",
+    "resume_previous_month": _with(_resume(PREVIOUS_MONTH)) + "SELECT * FROM resume_out",
+    "resume_job_settings": _with(_resume()) + """
+SELECT job_id, new_schedule_cron, new_schedule_timezone, new_schedule_pause_status, new_continuous_pause_status,
+       new_trigger_file_arrival, new_trigger_table_update, new_trigger_pause_status
+FROM resume_out WHERE resume_action = 'UNPAUSE'""",
+    "resume_unknown": _with(_resume()) + """
+SELECT resource_type, action, resource_id, resource_name, "timestamp", acted_by, "month"
+FROM resume_out WHERE resume_action = 'UNKNOWN'""",
 }

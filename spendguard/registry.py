@@ -180,6 +180,12 @@ def q_job_stop_plan_targeted_shuffled(spark, d):
                                         max_broadcast_rows=0))
 
 
+def q_job_paused_settings(spark, d):
+    """Only the settings that pause each job (the update a caller would send)."""
+    plan = job_stop_plan(fx.jobs(spark, d), exempt=fx.EXEMPT_JOBS)
+    return plan.select("job_id", *flat_settings(F.col("new_settings")))
+
+
 def q_run_cancel_plan(spark, d):
     return run_cancel_plan(fx.runs(spark, d), exempt=fx.EXEMPT_JOBS)
 
@@ -282,6 +288,18 @@ def q_resume_plan_shuffled(spark, d):
     return _flat_resume(resume_plan(fx.audit(spark, d), fx.jobs(spark, d), max_broadcast_rows=0))
 
 
+def q_resume_job_settings(spark, d):
+    """The settings that unpause each job found in the audit table."""
+    plan = resume_plan(fx.audit(spark, d), fx.jobs(spark, d))
+    return plan.filter(F.col("resume_action") == "UNPAUSE").select("job_id", *flat_settings(F.col("new_settings")))
+
+
+def q_resume_unknown(spark, d):
+    """Audit rows of a type no resume exists for."""
+    plan = resume_plan(fx.audit(spark, d), fx.jobs(spark, d))
+    return plan.filter(F.col("resume_action") == "UNKNOWN").select(*AUDIT_COLUMNS)
+
+
 def q_resume_previous_month(spark, d):
     audit = audit_plan.filter_month(fx.audit(spark, d), month_filter=audit_plan.MONTH_PREVIOUS, as_of=fx.AS_OF)
     return _flat_resume(resume_plan(audit, fx.jobs(spark, d)))
@@ -303,6 +321,7 @@ QUERIES: dict[str, Query] = {
     "job_stop_plan": q_job_stop_plan,
     "job_stop_plan_targeted": q_job_stop_plan_targeted,
     "job_stop_plan_targeted_shuffled": q_job_stop_plan_targeted_shuffled,
+    "job_paused_settings": q_job_paused_settings,
     "run_cancel_plan": q_run_cancel_plan,
     "run_cancel_plan_targeted": q_run_cancel_plan_targeted,
     "cluster_stop_plan": q_cluster_stop_plan,
@@ -324,5 +343,7 @@ QUERIES: dict[str, Query] = {
     "resume_plan": q_resume_plan,
     "resume_plan_unpause_placeholder": q_resume_plan_unpause_placeholder,
     "resume_plan_shuffled": q_resume_plan_shuffled,
+    "resume_job_settings": q_resume_job_settings,
+    "resume_unknown": q_resume_unknown,
     "resume_previous_month": q_resume_previous_month,
 }

@@ -27,6 +27,7 @@ NO_SHUFFLE = {
     "cluster_stop_plan_targeted", "warehouse_stop_plan", "warehouse_stop_plan_targeted", "app_stop_plan",
     "app_stop_plan_targeted", "stop_plan_union", "stop_plan_targeted", "audit_rows", "audit_rows_succeeded",
     "audit_previous_month", "resume_plan", "resume_plan_unpause_placeholder", "resume_previous_month",
+    "job_paused_settings", "resume_job_settings", "resume_unknown",
 }
 ONE_EXCHANGE = {"current_spend", "budget_status", "budget_status_empty_month", "budget_report_line"}
 
