@@ -7,8 +7,9 @@ a failed task is retried by Spark and the job commit keeps the table whole.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spendguard.functions.dates import month_label, now_timestamp, previous_month_label
@@ -66,21 +67,26 @@ def ensure_table(spark: SparkSession, table: str, fmt: str = "parquet", location
     spark.sql(f"CREATE TABLE IF NOT EXISTS {_quote(table)} ({cols}) USING {fmt}{where}")
 
 
-def append(rows: DataFrame, table: str, *, skip_empty: bool = True) -> bool:
-    """Append audit rows, matched to the table by column name. Returns False when nothing was
-    written because ``rows`` is empty (checked with a one-row probe, not a count)."""
+def append(rows: DataFrame, table: str, *, skip_empty: bool = True) -> int:
+    """Append audit rows, matched to the table by column name, and return how many were written.
+
+    An empty ``rows`` writes nothing (checked with a one-row probe, not a count). The number is
+    observed while the write runs, so it costs no second pass over the rows.
+    """
     spark = rows.sparkSession
     ensure_table(spark, table)
     if skip_empty and rows.isEmpty():
-        return False
+        return 0
+    written = Observation(f"spendguard_audit_append_{uuid.uuid4().hex}")
     ordered = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in AUDIT.fields])
-    ordered.write.insertInto(table)
-    return True
+    ordered.observe(written, F.count(F.lit(1)).alias("rows")).write.insertInto(table)
+    return int(written.get["rows"])
 
 
 def record_actions(plan: DataFrame, table: str, *, outcomes: DataFrame | None = None,
-                   now: _dt.datetime | str | Column | None = None) -> bool:
-    """Stop plan -> (successful rows only, when outcomes are given) -> audit rows -> append."""
+                   now: _dt.datetime | str | Column | None = None) -> int:
+    """Stop plan -> (successful rows only, when outcomes are given) -> audit rows -> append.
+    Returns the number of actions recorded."""
     done = succeeded(plan, outcomes) if outcomes is not None else plan
     return append(audit_rows(done, now), table)
 

@@ -38,7 +38,7 @@ def check_budget(usage: DataFrame, prices: DataFrame, budget_threshold: object =
 class StopResult:
     plan: EnforcementPlan
     table: str
-    recorded: bool
+    recorded: int  # audit rows written
 
 
 def stop_activity(spark: SparkSession, *, catalog: str, schema: str, table: str = AUDIT_TABLE,

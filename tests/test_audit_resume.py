@@ -41,13 +41,13 @@ def test_only_succeeded_actions_are_audited(spark):
 def test_audit_table_create_append_reorder_truncate(spark):
     table = _table()
     rows = audit.audit_rows(_plan(spark, [(1, "JOB", "1", None), (4, "WAREHOUSE", "w", None)]), NOW)
-    assert audit.append(rows, table)                                   # all names NULL: explicit schema
-    assert audit.append(rows.select(*reversed(rows.columns)), table)   # matched by name, not position
+    assert audit.append(rows, table) == 2                              # all names NULL: explicit schema
+    assert audit.append(rows.select(*reversed(rows.columns)), table) == 2  # matched by name
     back = audit.read_audit(spark, table)
     assert back.columns == list(S.AUDIT_COLUMNS)
     assert sorted((r.resource_type, r.resource_id) for r in back.collect()) == [
         ("JOB", "1"), ("JOB", "1"), ("WAREHOUSE", "w"), ("WAREHOUSE", "w")]
-    assert not audit.append(rows.limit(0), table)                      # nothing to write
+    assert audit.append(rows.limit(0), table) == 0                     # nothing to write
     audit.clear(spark, table)
     assert audit.read_audit(spark, table).count() == 0
     audit.ensure_table(spark, table)                                   # idempotent
@@ -57,7 +57,7 @@ def test_record_actions(spark):
     table = _table()
     plan = _plan(spark, [(1, "JOB", "1", "a"), (3, "CLUSTER", "c1", "b")])
     outcomes = spark.createDataFrame([("JOB", "1", True)], "resource_type string, resource_id string, ok boolean")
-    assert audit.record_actions(plan, table, outcomes=outcomes, now=NOW)
+    assert audit.record_actions(plan, table, outcomes=outcomes, now=NOW) == 1
     assert [r.resource_id for r in audit.read_audit(spark, table).collect()] == ["1"]
 
 

@@ -31,9 +31,10 @@ def test_stop_record_resume_cycle(spark):
     stops = plan.stops.collect()
     assert plan.runs.count() > 0 and len(stops) > 0
     outcomes = fx.outcomes(spark, SF_DIR)
-    assert audit.record_actions(plan.stops, table, outcomes=outcomes, now=fx.NOW)
+    written = audit.record_actions(plan.stops, table, outcomes=outcomes, now=fx.NOW)
 
     recorded = audit.read_audit(spark, table)
+    assert written == recorded.count() > 0
     ok = {(r.resource_type, r.resource_id) for r in outcomes.filter("ok").collect()}
     expected = sorted((r.resource_type, r.resource_id) for r in stops if (r.resource_type, r.resource_id) in ok)
     assert sorted((r.resource_type, r.resource_id) for r in recorded.collect()) == expected
