@@ -114,7 +114,8 @@ def drop_exempt(df: DataFrame, key: Column | str, exempt: IdSet, *,
 
     A ``None`` in a literal list stands for an enforcer id that is not known (not running as a
     job); it compares equal to a row whose id is NULL, so such rows are exempt, exactly as when
-    both sides are compared as text (``'None' == 'None'``).
+    both sides are compared as text (``'None' == 'None'``). A table-valued exempt set lists
+    known ids only: NULL entries in it are ignored.
 
     Written as an anti-join (or a NULL-safe negated ``IN``), never ``NOT IN`` over a set that
     may hold NULL, which would drop every row.
