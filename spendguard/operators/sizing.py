@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A price list, target list or job inventory this small is a few tens of MB at most once
-# projected to the join columns, well under executor memory.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+# A price list, target list or job inventory of up to a million rows, projected to the join
+# columns, builds a hashed relation of roughly 100 MB (Spark reserves about 32 MB even for a few
+# rows): well within executor memory. Real price lists hold thousands of rows.
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:

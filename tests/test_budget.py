@@ -36,7 +36,7 @@ def spend(status):
     return row.budget_status, row.current_spend
 
 
-@pytest.mark.parametrize("max_rows", [2_000_000, 0])
+@pytest.mark.parametrize("max_rows", [1_000_000, 0])
 def test_price_validity_bounds(spark, max_rows):
     u = usage(spark, [
         ("A", 1, dt.datetime(2026, 4, 10)),        # = end of v1 -> out of v1, = start of v2 -> in v2
@@ -54,7 +54,7 @@ def test_price_validity_bounds(spark, max_rows):
     ]
 
 
-@pytest.mark.parametrize("max_rows", [2_000_000, 0])
+@pytest.mark.parametrize("max_rows", [1_000_000, 0])
 def test_overlapping_prices_count_twice(spark, max_rows):
     p = prices(spark, [("A", dt.datetime(2026, 1, 1), None, 2.0), ("A", dt.datetime(2026, 3, 1), None, 5.0)])
     u = usage(spark, [("A", 1, dt.datetime(2026, 4, 2))])

@@ -51,7 +51,7 @@ def test_range_join_matches_brute_force(spark, versions, facts):
         [(s, ts(a), None if n is None else ts(a + n), ((Decimal(p),),)) for s, a, n, p in versions], S.LIST_PRICES)
     usage = spark.createDataFrame([(s, Decimal(q), ts(t), ts(t).date()) for s, t, q in facts], S.USAGE)
     expected = _brute_force(versions, facts)
-    for limit in (2_000_000, 0):
+    for limit in (1_000_000, 0):
         priced = price_usage(usage, prices, max_broadcast_rows=limit, salt_buckets=3)
         got = sorted((r.sku_name, int((r.usage_end_time - BASE).total_seconds() // 3600), int(r.usage_quantity),
                       int(r.unit_price)) for r in priced.collect())
