@@ -72,3 +72,20 @@ def test_normalize_id_matches_oracle_sql(spark, items):
                            THEN CAST(CAST(trunc(TRY_CAST(v AS DOUBLE)) AS BIGINT) AS VARCHAR) ELSE v END
             FROM (SELECT unnest(range(?)) AS i, unnest(?) AS v)""", [len(items), items]).fetchall()
     assert got == dict(rows)
+
+
+job_id_text = st.text(alphabet="0123456789 +-.xe", min_size=0, max_size=22)
+
+
+@SETTINGS
+@given(st.lists(job_id_text, min_size=1, max_size=40))
+def test_job_id_parse_matches_oracle_sql(spark, items):
+    from spendguard.plans import parse_job_id
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(items)], "i int, v string")
+    got = {r.i: r.j for r in df.select("i", parse_job_id(F.col("v")).alias("j")).collect()}
+    con = duckdb.connect()
+    rows = con.execute(
+        r"""SELECT i, TRY_CAST(NULLIF(regexp_extract(v, '^\s*([+-]?[0-9]+)\s*$', 1), '') AS BIGINT)
+            FROM (SELECT unnest(range(?)) AS i, unnest(?) AS v)""", [len(items), items]).fetchall()
+    assert got == dict(rows)
