@@ -93,3 +93,36 @@ def test_hot_sku_is_split_across_tasks(spark):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert tasks >= 4, tasks
+
+
+def test_hot_job_id_in_audit_is_split_by_aqe(spark):
+    """A job id holding a third of the audit rows: on the shuffle path AQE splits its partition
+    (the thresholds are lowered to this data size here; the defaults suit large data)."""
+    import datetime as dt
+
+    from spendguard import schemas as S
+
+    now = dt.datetime(2026, 4, 20)
+    rows = [("JOB", "STOPPED", "7" if i % 3 == 0 else str(1000 + i), None, now, "budget_enforcer", "2026-04")
+            for i in range(6000)]
+    audit = spark.createDataFrame(rows, S.AUDIT)
+    jobs = spark.createDataFrame([(7, ("hot", ("0 0 8 * * ?", "UTC", "PAUSED"), None, None))] +
+                                 [(1000 + i, None) for i in range(6000)], S.JOBS)
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        plan = resume_plan(audit, jobs, max_broadcast_rows=0)
+        counts = {r.resume_action: r.n for r in plan.groupBy("resume_action").agg(F.count(F.lit(1)).alias("n")).collect()}
+        final = resume_plan(audit, jobs, max_broadcast_rows=0)
+        final.collect()
+        text = final._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert counts == {"UNPAUSE": 2000, "FAILED": 4000}
+    assert "SortMergeJoin(skew=true)" in text
