@@ -218,7 +218,9 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rid = (F.when(key % 35 == 0, F.concat(F.lit("bad-"), _text(key)))
            .when(r == 0, _text(cust * 11))
            .otherwise(F.concat(F.lit("r"), _text(cust))))
-    ts = F.col("o_orderdate").cast("timestamp")
+    # Kept as the wall-clock (TIMESTAMP_NTZ) value it is in the source, so the rows read the same
+    # whatever the session time zone; the plans only carry this column along.
+    ts = F.col("o_orderdate")
     return o.select(
         rtype.alias("resource_type"),
         F.lit(ACTION_STOPPED).alias("action"),

@@ -36,3 +36,18 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["budget_status", "current_spend"]
     assert df.count() == 1
+
+
+TIME_SENSITIVE = ["audit_previous_month", "audit_rows", "resume_plan", "resume_unknown", "budget_status",
+                  "mtd_usage", "price_as_of_usage"]
+
+
+@pytest.mark.parametrize("name", TIME_SENSITIVE)
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        ok, line, details = compare(spark, con, SF_DIR, name, entry.queries()[name], entry.oracle_sql()[name])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert ok, line + "\n" + details
