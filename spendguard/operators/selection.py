@@ -112,7 +112,7 @@ def drop_exempt(df: DataFrame, key: Column | str, exempt: IdSet, *,
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Drop rows whose id (as text) is exempt. Blank exempt ids exempt nothing.
 
-    A ``None`` in a literal list stands for an enforcer id that is not known (not running as a
+    A ``None`` in a literal list stands for an own job id that is not known (not running as a
     job); it compares equal to a row whose id is NULL, so such rows are exempt, exactly as when
     both sides are compared as text (``'None' == 'None'``). A table-valued exempt set lists
     known ids only: NULL entries in it are ignored.
@@ -137,7 +137,7 @@ def drop_exempt(df: DataFrame, key: Column | str, exempt: IdSet, *,
 
 
 def drop_self(df: DataFrame, key: Column | str, own_id: object | None) -> DataFrame:
-    """Drop the resource the enforcer itself runs on; NULL equals NULL here, as in Python."""
+    """Drop the resource the controlling job itself runs on; NULL equals NULL here, as in Python."""
     k = F.col(key) if isinstance(key, str) else key
     return df.filter(~k.eqNullSafe(F.lit(own_id)))
 

@@ -1,4 +1,4 @@
-"""The audit table: one row per resource the enforcer stopped, read later to resume them.
+"""The audit table: one row per resource a stop plan stopped, read later to resume them.
 
 Writes go through the catalog (``CREATE TABLE IF NOT EXISTS`` + an append by column name), so
 a failed task is retried by Spark and the job commit keeps the table whole.

@@ -61,7 +61,7 @@ def run_cancel_plan(runs: DataFrame, *, targets: IdSet = None, exempt: IdSet = N
 
 def cluster_stop_plan(clusters: DataFrame, *, targets: IdSet = None, own_cluster_id: str | None = None,
                       max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Running, resizing or pending clusters to terminate, never the enforcer's own."""
+    """Running, resizing or pending clusters to terminate, never the one the controlling job runs on."""
     c = drop_self(clusters, "cluster_id", own_cluster_id)
     c = only_targets(c, "cluster_id", targets, max_broadcast_rows=max_broadcast_rows)
     return c.filter(F.col("state").isin(*ACTIVE_CLUSTER_STATES)).select("cluster_id", "cluster_name", "state")
@@ -122,7 +122,7 @@ def action_counts(plan: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class EnforcementPlan:
-    """What the enforcer would do this run, all lazy and all gated on one budget status."""
+    """What one control run would do, all lazy and all gated on one budget status."""
 
     status: DataFrame   # one row: budget_status, current_spend
     stops: DataFrame    # auditable stop actions (jobs, clusters, warehouses, apps), see stop_plan

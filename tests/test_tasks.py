@@ -20,7 +20,7 @@ NOW = dt.datetime(2026, 4, 20, 8, 0)
 
 def _inv(spark, jobs_df, clusters_df):
     return dict(
-        jobs=jobs_df([make_job(100, "Enforcer"), make_job(200, "A"), make_job(300, "Resumer"), make_job(400, "B"),
+        jobs=jobs_df([make_job(100, "Controller"), make_job(200, "A"), make_job(300, "Resumer"), make_job(400, "B"),
                       make_job(500, "C")]),
         clusters=clusters_df([("c1", "C1", "RUNNING"), ("c2", "C2", "RUNNING"), ("own", "Own", "RUNNING")]),
         warehouses=spark.createDataFrame([("w1", "W1", "RUNNING"), ("w2", "W2", "STOPPED")], S.WAREHOUSES),
