@@ -311,6 +311,8 @@ SELECT CAST(SUM(line_cost) AS DOUBLE) AS current_spend FROM priced""",
     "budget_status": _with(_status()) + """
 SELECT budget_status, CAST(current_spend AS DOUBLE) AS current_spend FROM status""",
     "budget_status_incremental": _with(_status()) + """
+SELECT budget_status, CAST(current_spend AS DOUBLE) AS current_spend FROM status""",
+    "budget_status_at_spend": _with(_status(threshold="(SELECT total FROM month_total)")) + """
 SELECT budget_status, CAST(current_spend AS DOUBLE) AS current_spend FROM status""",
     "budget_status_empty_month": _with(_status(as_of=_EMPTY_AS_OF)) + """
 SELECT budget_status, CAST(current_spend AS DOUBLE) AS current_spend FROM status""",

@@ -28,7 +28,9 @@ AsOf = _dt.date | str | Column | None
 
 def threshold_value(threshold: object) -> Column:
     """The threshold as an exact decimal literal (never spliced into SQL text). Text such as
-    ``"5e4"`` is read as the number it denotes."""
+    ``"5e4"`` is read as the number it denotes; a Column is used as it is."""
+    if isinstance(threshold, Column):
+        return threshold
     value = Decimal(str(threshold).strip())
     if not value.is_finite():
         raise ValueError(f"threshold must be a finite number, got {threshold!r}")

@@ -19,6 +19,7 @@ from spendguard.operators.selection import drop_exempt, only_targets
 from spendguard.plans import audit as audit_plan
 from spendguard.plans.budget import (
     budget_check,
+    budget_status_of,
     current_spend,
     month_to_date,
     price_usage,
@@ -137,6 +138,13 @@ def q_budget_status_incremental(spark, d):
     return task_values(budget_from_month_spend(read_month_spend(spark, table), fx.THRESHOLD, fx.AS_OF))
 
 
+def q_budget_status_at_spend(spark, d):
+    """Threshold equal to the exact month-to-date spend: strictly above it is over budget, so
+    this is within budget."""
+    spend = current_spend(price_usage(month_to_date(fx.usage(spark, d), fx.AS_OF), fx.list_prices(spark, d)))
+    return task_values(budget_status_of(spend, spend.select("current_spend").scalar()))
+
+
 def q_budget_status_empty_month(spark, d):
     return task_values(_status(spark, d, as_of=EMPTY_MONTH_AS_OF))
 
@@ -312,6 +320,7 @@ QUERIES: dict[str, Query] = {
     "current_spend": q_current_spend,
     "budget_status": q_budget_status,
     "budget_status_incremental": q_budget_status_incremental,
+    "budget_status_at_spend": q_budget_status_at_spend,
     "budget_status_empty_month": q_budget_status_empty_month,
     "budget_report_line": q_budget_report_line,
     "targets_parsed": q_targets_parsed,
