@@ -30,8 +30,8 @@ SEQUENCE_TOKENS, BUFFER_TOKENS = 2_048, 1 << 20
 LINEAR, QUADRATIC = 1.0, 4.0 / (24 * 1024)
 #: Closes each document.
 END_ID = 1
-#: Words that a worker remembers the ids of, and how long such a word may be.
-KNOWN_WORDS, KNOWN_CHARS = 400_000, 64
+#: Spellings and words that a worker remembers the ids of (about 200 bytes each), and how long they may be.
+KNOWN_SPELLINGS, KNOWN_WORDS, KNOWN_CHARS = 300_000, 1_200_000, 64
 
 _LETTERS_THEN_MARKS = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 _BEYOND_LATIN = re.compile(r"[^\x00-\xff]").search
@@ -43,24 +43,29 @@ class WordIds(dict):
     The tokenizer drops white space and no match of its pattern spans any, so a text's ids are the
     ids of its words in order. A new word is looked up by its lower-case letters and by the marks
     behind them (two matches of the pattern), so that few spellings reach the tokenizer itself.
-    Both tables are emptied when they are full.
+    The table of spellings is emptied when it is full; of the words' two halves the older one goes
+    when the younger one is full, and words that are met again move to the younger one.
     """
 
-    def __init__(self, tokenizer_path: str, known_words: int = KNOWN_WORDS):
+    def __init__(self, tokenizer_path: str, known_words: int = KNOWN_WORDS, known_spellings: int = KNOWN_SPELLINGS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known_words, self.parts = Tokenizer.from_file(tokenizer_path), known_words, {}
+        self.tokenizer, self.known_words, self.known_spellings = Tokenizer.from_file(tokenizer_path), known_words, known_spellings
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
+        ids = self.young.get(part)
         if ids is None:
-            ids = self._encode(part)
-            if len(self.parts) >= self.known_words:
-                self.parts.clear()
-            self.parts[part] = ids
+            ids = self.old.get(part)
+            if ids is None:
+                ids = self._encode(part)
+            if len(self.young) >= self.known_words // 2:
+                self.young, self.old = {}, self.young
+            self.young[part] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
@@ -70,7 +75,7 @@ class WordIds(dict):
         plain = word if "<|" in word or _BEYOND_LATIN(word) else word.lower()
         parts = _LETTERS_THEN_MARKS(plain)
         ids = self._part(parts[1]) + self._part(parts[2]) if parts else self._part(plain)
-        if len(self) >= self.known_words:
+        if len(self) >= self.known_spellings:
             self.clear()
         self[word] = ids
         return ids

@@ -51,7 +51,7 @@ def rows_of(spark, rows, schema="doc_id long, text string", **options):
 
 
 def test_words_give_the_ids_of_the_whole_text():
-    ids = packing.WordIds(PATH, known_words=5)
+    ids = packing.WordIds(PATH, known_words=6, known_spellings=5)
     for text in ["", "  ", "It's THE end.\n\nof\tit", "<|endoftext|> <|ENDOFTEXT|> a<|startoftext|>b", "Ünï cödé ÀÉ ẞ İ Σς K", "ä é ́x",
                  "x\x1cy\x85z w v", "12 345 3.14 !!! ***a*** don't 'RE word.### (x) µ ª º ÷ × ÿ", "日本語 テキスト", "w" * 200, "﻿ ​ zero​width"]:
         assert np.frombuffer(ids.of(text), "<u4").tolist() == direct(text)[:-1], text
