@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, secrets
+from . import byte_bpe, chat, imatch, licenses, near_dedup, packing, quality, secrets, topk, toxicity
 from .common import bound_batches, table
 
 
@@ -19,6 +20,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(encoded, ranks_path=ranks))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.categories()))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,14 +34,42 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces_with_crc(packed)
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     return secrets.span_digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_packing, op10_secrets)
+    f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_packing, op4_imatch, op5_near_dedup, op6_quality, op7_chat, op8_licenses, op9_topk, op10_secrets)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_chat": chat.SQL, "op9_topk": topk.SQL}

@@ -1,0 +1,59 @@
+from __future__ import annotations
+
+import hashlib
+
+from spendguard.llm import imatch
+from spendguard.llm.queries import op4_imatch
+
+SCHEMA = "doc_id long, text string"
+
+
+def edited(rows):
+    """Each id's edited text, by the smallest text of the next id."""
+    texts = {}
+    for i, t in rows:
+        texts[i] = min(texts.get(i, t or ""), t or "")
+    order = sorted((i for i in texts if i is not None), reverse=True)
+    after = {i: order[(k + 1) % len(order)] for k, i in enumerate(order)}
+    out = []
+    for i, t in rows:
+        t = t or ""
+        cut = len(t) // 3
+        out.append((i, len(t), hashlib.sha256((t[:len(t) - cut] + (texts[after[i]][:cut] if i is not None else "")).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def check(out, rows):
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in out), key=str) == edited(rows)
+    for r in out:
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and r.fingerprint and r.edited_fingerprint
+        same = sum(a == b for a, b in zip(r.fingerprint.split("-"), r.edited_fingerprint.split("-"), strict=True))
+        assert r.near_edited == same / imatch.SEEDS
+
+
+def test_edges(spark):
+    rows = [(1, None), (2, ""), (3, "  \n"), (5, "A b c é ß 日本語"), (7, "a b C É ß 日本語"), (9, "word " * 4000), (4, "x"), (4, "x"), (6, "late y"), (6, "early z"), (None, "no id here"), (-3, "ab")]
+    out = imatch.fingerprints(spark.createDataFrame([(*r, "z", 0.5) for r in rows], SCHEMA + ", n_chars string, _next double")).collect()
+    check(out, rows)
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, r)
+    assert by[1].fingerprint == by[2].fingerprint and by[5].fingerprint == by[7].fingerprint and by[4].fingerprint != by[5].fingerprint
+    assert by[None].near_next == 0.0 and by[2].near_edited == 1.0
+    assert imatch.fingerprints(spark.createDataFrame([], SCHEMA)).collect() == []
+    only = imatch.fingerprints(spark.createDataFrame([(1, "abc def")], SCHEMA)).collect()
+    check(only, [(1, "abc def")])
+    assert only[0].near_next == 1.0
+
+
+def test_query_tells_edits_from_neighbours(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    out = op4_imatch(spark, sf).collect()
+    check(out, rows)
+    prints = {}
+    for (i, t) in rows:
+        prints.setdefault(t, set()).add(next(r.fingerprint for r in out if r.doc_id == i))
+    assert all(len(p) == 1 for p in prints.values())
+    assert sum(r.near_edited for r in out) / len(out) > 0.3 and sum(r.near_next for r in out) / len(out) < 0.05
+    assert sum(r.near_edited > r.near_next for r in out) > 0.95 * len(out)
