@@ -1,5 +1,10 @@
 """A cleaning pipeline over ``documents``: stages of spendguard.llm, each written as Parquet and
-reread as the next one's input."""
+reread as the next one's input.
+
+Order: toxic documents go, low-quality documents go, one document of each group of near copies
+stays, secrets are masked, and what is left is packed into sequences. Null texts, empty texts and
+tables pass through the stages as the operators define it.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +13,43 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spendguard.llm import common, packing, secrets
-from spendguard.llm.common import bound_batches
+from spendguard.llm import common, near_dedup, packing, quality, secrets, toxicity
+from spendguard.llm.common import bound_batches, column, text_of
 from spendguard.session import checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain finds toxic go."""
+    bound_batches(spark)
+    chain = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), toxicity.categories())
+    rows = toxicity.score(docs.withColumn("_all_text", text_of("text")), chain, text_col="_all_text", out_col="_toxicity")
+    return rows.where(F.col("_toxicity.toxic") < toxicity.THRESHOLD).select(*map(column, docs.columns))
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold go."""
+    bound_batches(spark)
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
+    rows = quality.score(docs, model, out_col="_quality")
+    return rows.where(F.col("_quality") >= quality.THRESHOLD).select(*map(column, docs.columns))
+
+
+def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group stays, and of rows that share its id one;
+    documents without words, and without an id, are in no group and stay."""
+    bound_batches(spark)
+    return near_dedup.keep_one(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; no document goes."""
+    """Secrets are masked in the text, and the count of its characters follows; no document goes."""
     bound_batches(spark)
-    return secrets.mask_secrets(docs, text_col="text")
+    masked = secrets.mask_secrets(docs, text_col="text")
+    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +60,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("secret_scan", secret_scan),
+    ("toxicity", toxic_filter),
+    ("quality_classifier", quality_filter),
+    ("minhash_near_dedup", near_dedup_filter),
+    ("secret_scans", secret_scan),
     ("packing", pack),
 ]
 
-#: The trained models and the tokenizer have no SQL; the tests compare stage by stage.
+#: The trained models and the tokenizer have no SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
