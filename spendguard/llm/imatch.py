@@ -75,15 +75,18 @@ def with_fingerprint(rows: DataFrame, text: str, out: str, bitmap: Column) -> Da
     """``rows`` with the hashes of the seeds of column ``text`` as an array in ``out``: of its sorted
     distinct lexicon terms; of a text without any all of its terms, and of one without words its own
     hash, so that texts are never alike for want of terms."""
-    every = f"_{out}_terms"
+    # A subquery may not stand in a lambda; as a column that is used once it is put there by the
+    # optimizer (CollapseProject), and no row ever carries the bitmap.
+    before = rows.columns
     kept = f"_{out}_kept"
-    rows = rows.withColumn(every, terms_of(F.col(text)))
-    rows = rows.withColumn(kept, F.filter(every, lambda t: _in_lexicon(bitmap, t)))
-    rows = rows.withColumn(kept, F.array_sort(F.when(F.size(kept) > 0, F.col(kept)).when(F.size(every) > 0, F.col(every))
+    rows = (rows.select("*", terms_of(F.col(text)).alias("_terms"), bitmap.alias("_bitmap"))
+            .select(*before, F.filter("_terms", lambda t: _in_lexicon(F.col("_bitmap"), t)).alias(kept)))
+    every = terms_of(F.col(text))
+    rows = rows.withColumn(kept, F.array_sort(F.when(F.size(kept) > 0, F.col(kept)).when(F.size(every) > 0, every)
                                               .otherwise(F.array(F.xxhash64(F.lit("text"), F.col(text))))))
     rows = rows.withColumns({f"_{out}_{s}": _least(kept, s) for s in range(SEEDS)})
     hashes = F.array(*(_subset_hash(F.col(kept), s, F.col(f"_{out}_{s}")) for s in range(SEEDS)))
-    return rows.withColumn(out, hashes).drop(every, kept, *(f"_{out}_{s}" for s in range(SEEDS)))
+    return rows.withColumn(out, hashes).drop(kept, *(f"_{out}_{s}" for s in range(SEEDS)))
 
 
 def _least(terms: str, seed: int) -> Column:
