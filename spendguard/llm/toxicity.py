@@ -102,6 +102,9 @@ def _sure(rows: np.ndarray, values: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit_linear(rows: np.ndarray, values: np.ndarray, y: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """Kept features, their weights with those of the dense columns behind, and the intercept: a
     logistic model with a ridge by accelerated gradient steps; and its log-odds of the rows."""
+    if len(y) == 0 or y.min() == y.max():  # nothing to tell apart
+        odds = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+        return np.zeros(0, dtype=np.int64), np.zeros(dense.shape[1]), odds, np.full(len(y), odds)
     kept = _sure(rows, values, y)
     slot = np.full(DIMENSIONS, -1)
     slot[kept] = np.arange(len(kept))
