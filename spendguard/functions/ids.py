@@ -20,8 +20,10 @@ from spendguard.schemas import ALL_TARGETS
 # string->double cast alone would also accept '12345d', '8f' or '0x1p3' and mangle hex-like
 # warehouse ids, which must stay unchanged.
 NUMERIC_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-# Doubles at or beyond this magnitude are kept as text (no exact BIGINT for them).
-_LONG_SAFE = 9e18
+# Doubles from 2^53 on are whole multiples of a power of two: the quotient by 2^53 and the rest are
+# exact, and together they reach up to 2^106.
+_WHOLE = 2 ** 53
+_LIMIT = float(2 ** 106)
 # The whitespace characters of regex ``\s``: stripped from both ends of list items.
 _WHITESPACE = " \t\n\x0b\x0c\r"
 
@@ -37,10 +39,20 @@ def strip_text(c: Column | str) -> Column:
 
 def normalize_id(c: Column | str) -> Column:
     """``'7.11404742026056e+14'`` -> ``'711404742026056'``; ``'-5.7'`` -> ``'-5'``;
-    ``'0410'`` -> ``'410'``; non-numeric, infinite or huge items are returned unchanged."""
+    ``'0410'`` -> ``'410'``; ``'1e19'`` -> ``'10000000000000000000'``: the exact integer of the double
+    that the text denotes, cut towards zero.
+
+    Non-numeric items are returned unchanged, and so are infinite ones and those of 2^106 (8.1e31)
+    and beyond, whose integer has more digits than two exact longs can hold.
+    """
     text = _c(c)
     number = F.when(text.rlike(NUMERIC_TEXT), text.try_cast(T.DoubleType()))
-    return F.when(F.abs(number) < F.lit(_LONG_SAFE), number.cast(T.LongType()).cast(T.StringType())).otherwise(text)
+    size = F.abs(number)
+    high = F.floor(size / F.lit(float(_WHOLE)))
+    low = F.floor(size - high * F.lit(float(_WHOLE)))
+    whole = high.cast("decimal(16,0)") * F.lit(_WHOLE).cast("decimal(16,0)") + low.cast("decimal(16,0)")
+    sign = F.when((number < 0) & (whole > 0), F.lit("-")).otherwise(F.lit(""))
+    return F.when(size < F.lit(_LIMIT), F.concat(sign, whole.cast("decimal(38,0)").cast(T.StringType()))).otherwise(text)
 
 
 def is_all_targets(raw: Column | str) -> Column:
@@ -50,17 +62,20 @@ def is_all_targets(raw: Column | str) -> Column:
 
 
 def explode_target_lists(lists: DataFrame, raw_col: str = "raw", out_col: str = "target_id") -> DataFrame:
-    """One row per normalised item of each raw list; ``ALL``/blank lists give no items.
+    """One row per normalised item of each raw list, and one row without an id and with
+    ``all_targets`` true for each ``ALL``/blank list (a NULL list is no list).
 
     The rows keep every other column of ``lists`` (for example an owner or a resource type), so
     a table of many lists parses in one distributed pass: split, explode, strip, drop empties,
-    normalise. Duplicates within a list collapse later, in the semi-join that uses the ids.
+    normalise. ``only_targets`` takes the result as it is and keeps every row where a list said ALL.
     """
     raw = F.col(raw_col)
     keep = [F.col(c) for c in lists.columns if c != raw_col]
-    items = lists.filter(~is_all_targets(raw)).select(*keep, F.explode(F.split(raw, ",")).alias("_item"))
-    items = items.select(*keep, strip_text("_item").alias("_item")).filter(F.col("_item") != F.lit(""))
-    return items.select(*keep, normalize_id("_item").alias(out_col))
+    whole = is_all_targets(raw)
+    items = lists.filter(raw.isNotNull()).select(
+        *keep, whole.alias("all_targets"), F.explode(F.when(whole, F.array(F.lit(""))).otherwise(F.split(raw, ","))).alias("_item"))
+    items = items.withColumn("_item", strip_text("_item")).filter(F.col("all_targets") | (F.col("_item") != F.lit("")))
+    return items.select(*keep, F.when(~F.col("all_targets"), normalize_id("_item")).alias(out_col), "all_targets")
 
 
 def parse_targets(spark: SparkSession, raw: object) -> DataFrame | None:

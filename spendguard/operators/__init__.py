@@ -7,6 +7,7 @@ from spendguard.operators.job_settings import (
     job_kind,
     paused_settings,
     resume_decision,
+    scheduling_settings,
 )
 from spendguard.operators.range_join import effective_dated_join
 from spendguard.operators.selection import (
@@ -36,5 +37,6 @@ __all__ = [
     "only_targets",
     "paused_settings",
     "resume_decision",
+    "scheduling_settings",
     "shuffle_side",
 ]

@@ -31,6 +31,20 @@ def _s(settings: Column | str) -> Column:
     return F.col(settings) if isinstance(settings, str) else settings
 
 
+def scheduling_settings(settings: Column | str = "settings") -> Column:
+    """Only the fields that the rewrites read, with absent structs absent: whatever else a job's
+    settings hold is not scanned, shuffled or broadcast."""
+    s = _s(settings)
+    return F.when(s.isNotNull(), F.struct(
+        F.when(s.schedule.isNotNull(), F.struct(s.schedule.quartz_cron_expression.alias("quartz_cron_expression"),
+                                                s.schedule.timezone_id.alias("timezone_id"),
+                                                s.schedule.pause_status.alias("pause_status"))).alias("schedule"),
+        F.when(s.continuous.isNotNull(), F.struct(s.continuous.pause_status.alias("pause_status"))).alias("continuous"),
+        F.when(s.trigger.isNotNull(), F.struct(s.trigger.file_arrival.alias("file_arrival"),
+                                               s.trigger.table_update.alias("table_update"),
+                                               s.trigger.pause_status.alias("pause_status"))).alias("trigger")))
+
+
 def job_kind(settings: Column | str = "settings") -> Column:
     s = _s(settings)
     return (F.when(s.schedule.isNotNull(), F.lit(KIND_SCHEDULE))

@@ -6,10 +6,11 @@ Strategy:
   counting it shows it is small. The facts (usage, the big side) are then never shuffled:
   each scan task probes a hash table on the key and checks the range as a residual.
 * Beyond the bound both sides are shuffled (a sort-merge join, so Spark cannot fall back to a
-  broadcast on a file-size estimate). One key may hold a large share of the facts, so
-  the facts are spread over ``salt_buckets`` sub-keys by a hash of their time (deterministic,
-  so a retried task sees the same rows) and every version row is copied once per sub-key. AQE
-  skew-join splitting stays on as a second line.
+  broadcast on a file-size estimate). The keys that hold a large share of the facts are counted
+  first (there are at most ``2 * salt_buckets`` of them); only their facts are spread over
+  ``salt_buckets`` sub-keys by a hash of their time (deterministic, so a retried task sees the
+  same rows), and only their version rows are copied once per sub-key. AQE skew-join splitting
+  stays on as a second line.
 
 Semantics match a plain inner join: facts with no version vanish, facts in two overlapping
 versions appear twice.
@@ -35,7 +36,19 @@ def effective_dated_join(facts: DataFrame, versions: DataFrame, *, key: str, at:
         joined = facts.join(F.broadcast(v), (F.col(key) == F.col(vkey)) & in_range, "inner")
         return joined.drop(vkey)
     buckets = max(1, int(salt_buckets))
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(F.col(at)), F.lit(buckets)).cast("int"))
-    copied = shuffle_side(v.withColumn("_version_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))))
+    heavy = heavy_keys(facts, key, 1 / (2 * buckets)) if buckets > 1 else []
+    salted = facts.withColumn("_salt", F.when(F.col(key).isin(heavy), F.pmod(F.xxhash64(F.col(at)), F.lit(buckets)).cast("int")).otherwise(0))
+    copies = F.when(F.col(vkey).isin(heavy), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
+    copied = shuffle_side(v.withColumn("_version_salt", F.explode(copies)))
     cond = (F.col(key) == F.col(vkey)) & (F.col("_salt") == F.col("_version_salt")) & in_range
-    return salted_facts.join(copied, cond, "inner").drop(vkey, "_salt", "_version_salt")
+    return salted.join(copied, cond, "inner").drop(vkey, "_salt", "_version_salt")
+
+
+def heavy_keys(rows: DataFrame, key: str, share: float) -> list:
+    """The keys that hold at least ``share`` of the rows, so at most ``1 / share`` of them. Counted
+    with a partial aggregate per task; a streaming side cannot be counted and has none."""
+    if rows.isStreaming:
+        return []
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
+    total = counts.agg(F.sum("_rows").alias("_total")).select("_total").scalar()
+    return [r["_key"] for r in counts.filter(F.col("_rows") >= total * share).select("_key").collect()]

@@ -23,10 +23,12 @@ from spendguard.schemas import OVER_BUDGET
 @dataclass(frozen=True)
 class CheckedIds:
     """A table-valued id set whose size was already checked: ``ids`` has one text column
-    ``_id``, broadcast-hinted when small, otherwise de-duplicated for a shuffle join."""
+    ``_id``, hinted for a broadcast when small and for a shuffle join otherwise. ``everything``: one
+    of its lists was ALL or blank, so the set names every id."""
 
     ids: DataFrame
     broadcast: bool
+    everything: bool = False
 
 
 IdSet = DataFrame | CheckedIds | Iterable[object] | None
@@ -39,14 +41,19 @@ def _key(key: Column | str) -> Column:
 def check_ids(ids: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> CheckedIds:
     """Count an id set once and decide its join strategy.
 
-    A small set is broadcast as is (duplicates cost nothing in a hash semi/anti join). A large
-    one is de-duplicated first: the partial aggregation collapses a hot id map-side, and the
-    join reuses the resulting hash partitioning on the id instead of shuffling again.
+    Duplicates stay in either strategy: they cost nothing in a hash semi/anti join, and an
+    aggregation between the exchange and the sort of a large set would keep AQE from splitting a
+    hot id of the other side. A set with an ``all_targets`` column (see
+    ``explode_target_lists``) names every id where that is true.
     """
     col = "target_id" if "target_id" in ids.columns else ids.columns[0]
     frame = ids.select(F.col(col).cast("string").alias("_id")).filter(F.col("_id").isNotNull())
+    if "all_targets" in ids.columns:
+        found = ids.agg(F.count_if(F.col(col).isNotNull()).alias("n"), F.coalesce(F.bool_or("all_targets"), F.lit(False)).alias("everything")).first()
+        small = found["n"] <= max_broadcast_rows and max_broadcast_rows > 0
+        return CheckedIds(F.broadcast(frame) if small else shuffle_side(frame), small, found["everything"])
     side, small = broadcast_if_bounded(frame, max_broadcast_rows)
-    return CheckedIds(side if small else shuffle_side(frame.distinct()), small)
+    return CheckedIds(side, small)
 
 
 def check_id_sets(sets: Sequence[IdSet], max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> list[IdSet]:
@@ -87,23 +94,25 @@ def _job_properties(df: DataFrame):
     return apply
 
 
-def _side(ids: DataFrame | CheckedIds, max_broadcast_rows: int, name: str) -> DataFrame:
-    checked = ids if isinstance(ids, CheckedIds) else check_ids(ids, max_broadcast_rows)
-    return checked.ids.withColumnRenamed("_id", name)
+def _checked(ids: DataFrame | CheckedIds, max_broadcast_rows: int) -> CheckedIds:
+    return ids if isinstance(ids, CheckedIds) else check_ids(ids, max_broadcast_rows)
 
 
 def only_targets(df: DataFrame, key: Column | str, targets: IdSet, *,
                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Keep rows whose id (as text) is in ``targets``; ``None`` keeps every row.
 
-    An empty list or empty DataFrame keeps nothing: "no ids" is not "all ids".
+    An empty list or empty DataFrame keeps nothing: "no ids" is not "all ids". A table of lists of
+    which one is ALL keeps every row.
     """
     if targets is None:
         return df
     k = _key(key)
     if isinstance(targets, (DataFrame, CheckedIds)):
-        ids = _side(targets, max_broadcast_rows, "_target_id")
-        return df.join(ids, k == F.col("_target_id"), "left_semi")
+        checked = _checked(targets, max_broadcast_rows)
+        if checked.everything:
+            return df
+        return df.join(checked.ids.withColumnRenamed("_id", "_target_id"), k == F.col("_target_id"), "left_semi")
     values = id_list(targets)
     return df.filter(k.isin(values)) if values else df.filter(F.lit(False))
 
@@ -124,8 +133,10 @@ def drop_exempt(df: DataFrame, key: Column | str, exempt: IdSet, *,
         return df
     k = _key(key)
     if isinstance(exempt, (DataFrame, CheckedIds)):
-        ids = _side(exempt, max_broadcast_rows, "_exempt_id")
-        return df.join(ids, k == F.col("_exempt_id"), "left_anti")
+        checked = _checked(exempt, max_broadcast_rows)
+        if checked.everything:
+            return df.filter(F.lit(False))
+        return df.join(checked.ids.withColumnRenamed("_id", "_exempt_id"), k == F.col("_exempt_id"), "left_anti")
     if isinstance(exempt, (str, int)):
         exempt = [exempt]
     exempt = list(exempt)

@@ -1,6 +1,6 @@
 """Size checks that guard every broadcast.
 
-A side is broadcast only after counting it shows it holds at most ``max_rows`` rows. The count
+A side is broadcast only after counting shows it holds at most ``max_rows`` rows and 256 MB of text. The count
 is an ordinary partial/final aggregate: one partial count per partition and a one-row-per-
 partition exchange, so it costs one scan of the side and nothing more. (A ``limit(n+1)`` count
 would instead funnel up to n+1 rows of *every* partition into a single task.) The sides checked
@@ -10,8 +10,9 @@ shuffle strategy instead.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A price list, target list or job inventory of up to a million rows, projected to the join
 # columns, builds a hashed relation of roughly 100 MB (Spark reserves about 32 MB even for a few
@@ -19,10 +20,31 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
+# Broadcast text is bounded by its bytes as well: a million rows of long strings are gigabytes.
+DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
+
+
+def _text_bytes(df: DataFrame) -> Column:
+    """Bytes of the strings of a row, nested ones included."""
+    def sizes(column: Column, kind: T.DataType) -> list[Column]:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return [F.coalesce(F.octet_length(column), F.lit(0))]
+        if isinstance(kind, T.StructType):
+            return [x for f in kind.fields for x in sizes(column.getField(f.name), f.dataType)]
+        return []
+
+    out = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        for x in sizes(F.col(f"`{f.name}`"), f.dataType):
+            out = out + x
+    return out
+
+
+def has_at_most(df: DataFrame, max_rows: int, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
     if max_rows <= 0:
         return False
-    return df.count() <= max_rows
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_text_bytes(df)), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= max_rows and found["bytes"] <= max_bytes
 
 
 def shuffle_side(df: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ decimal and cast to DOUBLE, as on the Spark side.
 
 from __future__ import annotations
 
-from spendguard.functions.ids import NUMERIC_TEXT
 from spendguard.registry import EMPTY_MONTH_AS_OF, UNREACHABLE_THRESHOLD
 from spendguard.sources import fixtures as fx
 
@@ -16,6 +15,8 @@ NOW = f"TIMESTAMP '{fx.NOW.isoformat(sep=' ')}'"
 EXEMPT = ", ".join(f"'{j}'" for j in fx.EXEMPT_JOBS)
 OWN_CLUSTER = f"'{fx.OWN_CLUSTER}'"
 EDGE_SPACE = r"'^\s+|\s+$'"
+# Plain decimal or scientific notation, written here on its own.
+NUMBER = r"[+-]?(\d+|\d+\.\d*|\.\d+)([eE][+-]?\d+)?"
 
 FIXTURES = rf"""
 usage AS (
@@ -28,12 +29,13 @@ usage AS (
 list_prices AS (
   SELECT 'SKU-' || CAST(p_partkey // 4 AS VARCHAR) AS sku_name,
          TIMESTAMP '1995-01-01 00:00:00' + to_days(CAST((p_partkey % 4) * 600 AS INTEGER)) AS price_start_time,
-         CASE WHEN p_partkey % 4 <> 3
+         CASE WHEN p_partkey % 7 = 0
+              THEN TIMESTAMP '1995-01-01 00:00:00' + to_days(CAST((p_partkey % 4) * 600 AS INTEGER))
+              WHEN p_partkey % 4 <> 3
               THEN TIMESTAMP '1995-01-01 00:00:00' + to_days(CAST((p_partkey % 4 + 1) * 600 AS INTEGER)) END
            AS price_end_time,
          CAST(p_retailprice AS DECIMAL(18,6)) AS unit_price
   FROM part
-  WHERE p_partkey % 7 <> 0
 ),
 job_src AS (
   SELECT o_orderkey AS job_id,
@@ -104,34 +106,40 @@ audit AS (
 ),
 target_lists AS (
   SELECT 'JOB' AS resource_type,
-         CASE o_orderkey % 4
-           WHEN 0 THEN CAST(o_orderkey AS VARCHAR) || ', ' || CAST(o_orderkey + 1 AS VARCHAR)
-           WHEN 1 THEN ' ' || CAST(o_orderkey AS VARCHAR) || '.0 ,'
-           WHEN 2 THEN (CASE WHEN length(CAST(o_orderkey AS VARCHAR)) > 1
-                             THEN substr(CAST(o_orderkey AS VARCHAR), 1, 1) || '.' || substr(CAST(o_orderkey AS VARCHAR), 2)
-                                  || 'e+' || CAST(length(CAST(o_orderkey AS VARCHAR)) - 1 AS VARCHAR)
-                             ELSE CAST(o_orderkey AS VARCHAR) || 'e+0' END) || ',job-' || CAST(o_orderkey AS VARCHAR)
-           ELSE '0' || CAST(o_orderkey AS VARCHAR) || ',,'
+         CASE WHEN o_orderdate < TIMESTAMP '1996-01-01 00:00:00' THEN
+           CASE o_orderkey % 4
+             WHEN 0 THEN CAST(o_orderkey AS VARCHAR) || ', ' || CAST(o_orderkey + 1 AS VARCHAR)
+             WHEN 1 THEN ' ' || CAST(o_orderkey AS VARCHAR) || '.0 ,'
+             WHEN 2 THEN (CASE WHEN length(CAST(o_orderkey AS VARCHAR)) > 1
+                               THEN substr(CAST(o_orderkey AS VARCHAR), 1, 1) || '.' || substr(CAST(o_orderkey AS VARCHAR), 2)
+                                    || 'e+' || CAST(length(CAST(o_orderkey AS VARCHAR)) - 1 AS VARCHAR)
+                               ELSE CAST(o_orderkey AS VARCHAR) || 'e+0' END) || ',job-' || CAST(o_orderkey AS VARCHAR)
+             ELSE '0' || CAST(o_orderkey AS VARCHAR) || ',,' END
+         ELSE
+           CASE o_orderkey % 4 WHEN 0 THEN ',' WHEN 1 THEN ' , ,' ELSE 'none-' || CAST(o_orderkey AS VARCHAR) END
          END AS raw
-  FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00'
+  FROM orders
+  UNION ALL
+  SELECT 'CLUSTER', CASE WHEN c_nationkey < 5 THEN ' 0410-' || printf('%06d', c_custkey) || '-abc ,' ELSE ',,' END FROM customer
   UNION ALL
-  SELECT 'CLUSTER', ' 0410-' || printf('%06d', c_custkey) || '-abc ,' FROM customer WHERE c_nationkey < 5
+  SELECT 'WAREHOUSE', CASE WHEN s_nationkey < 12 THEN '' ELSE 'gone-' END || 'wh' || CAST(s_suppkey AS VARCHAR) FROM supplier
   UNION ALL
-  SELECT 'WAREHOUSE', 'wh' || CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey < 12
+  SELECT 'APP', replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) || CASE WHEN p_size <= 10 THEN '' ELSE '-old' END FROM part
   UNION ALL
-  SELECT 'APP', replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) FROM part WHERE p_size <= 10
+  SELECT '{fx.EDGE}', [{", ".join("'" + x + "'" for x in fx.EDGE_LISTS)}][CAST(s_suppkey % {len(fx.EDGE_LISTS)} + 1 AS INTEGER)] FROM supplier
+),
+list_kinds AS (
+  SELECT *, (upper(regexp_replace(raw, {EDGE_SPACE}, '', 'g')) = 'ALL' OR regexp_replace(raw, {EDGE_SPACE}, '', 'g') = '') AS all_targets
+  FROM target_lists
 ),
 target_items AS (
   SELECT resource_type, regexp_replace(item, {EDGE_SPACE}, '', 'g') AS item
-  FROM (SELECT resource_type, unnest(string_split(raw, ',')) AS item
-        FROM target_lists
-        WHERE NOT (upper(regexp_replace(raw, {EDGE_SPACE}, '', 'g')) = 'ALL'
-                   OR regexp_replace(raw, {EDGE_SPACE}, '', 'g') = ''))
+  FROM (SELECT resource_type, unnest(string_split(raw, ',')) AS item FROM list_kinds WHERE NOT all_targets)
 ),
 targets AS (
   SELECT DISTINCT resource_type,
-         CASE WHEN regexp_full_match(item, '{NUMERIC_TEXT}') AND abs(TRY_CAST(item AS DOUBLE)) < 9e18
-              THEN CAST(CAST(trunc(TRY_CAST(item AS DOUBLE)) AS BIGINT) AS VARCHAR)
+         CASE WHEN regexp_full_match(item, '{NUMBER}') AND abs(TRY_CAST(item AS DOUBLE)) < pow(2.0, 106)
+              THEN CAST(CAST(trunc(TRY_CAST(item AS DOUBLE)) AS HUGEINT) AS VARCHAR)
               ELSE item END AS target_id
   FROM target_items
   WHERE item <> ''
@@ -321,7 +329,25 @@ SELECT '$' || format('{{:,.2f}}', round_even(current_spend, 2)) AS current_spend
        '$' || format('{{:,.2f}}', CAST({fx.THRESHOLD} AS DOUBLE)) AS threshold_text,
        budget_status
 FROM status""",
-    "targets_parsed": _with() + "SELECT resource_type, target_id FROM targets",
+    "targets_parsed": _with() + """
+SELECT resource_type, target_id, FALSE AS all_targets FROM targets
+UNION ALL
+SELECT DISTINCT resource_type, CAST(NULL AS VARCHAR), TRUE FROM list_kinds WHERE all_targets""",
+    "jobs_not_exempt_shuffled": _with() + f"SELECT job_id FROM jobs WHERE NOT ({_targeted('JOB', 'CAST(job_id AS VARCHAR)')})",
+    "run_cancel_plan_targeted_shuffled": _with() + f"""
+SELECT run_id, job_id FROM runs
+WHERE active AND {NOT_EXEMPT} AND {_targeted('JOB', 'CAST(job_id AS VARCHAR)')}""",
+    "app_stop_plan_all_listed": _with() + f"""
+SELECT name FROM apps
+WHERE EXISTS (SELECT 1 FROM list_kinds WHERE resource_type = '{fx.EDGE}' AND all_targets) OR {_targeted(fx.EDGE, 'name')}""",
+    "app_stop_plan_missing": _with(_stop_plan()) + "SELECT * FROM stop_plan WHERE resource_type <> 'APP'",
+    "audit_append_empty": _with(_stop_plan(), _status()) + f"""
+SELECT {AUDIT_ROW_COLUMNS}, CAST(0 AS BIGINT) AS added_within FROM stop_plan WHERE (SELECT budget_status FROM status) = 'OVER_BUDGET'""",
+    "enforcement_cycle": _with(_stop_plan(), _status()) + f"""
+SELECT {AUDIT_ROW_COLUMNS} FROM stop_plan p
+WHERE (SELECT budget_status FROM status) = 'OVER_BUDGET'
+  AND EXISTS (SELECT 1 FROM outcomes o WHERE o.ok AND o.resource_type = p.resource_type AND o.resource_id = p.resource_id)""",
+    "resume_cycle": _with(_resume()) + "SELECT *, CAST(0 AS BIGINT) AS rows_left FROM resume_out",
     "jobs_not_exempt": _with() + f"SELECT job_id FROM jobs WHERE {NOT_EXEMPT}",
     "jobs_targeted": _with() + f"SELECT job_id FROM jobs WHERE {_targeted('JOB', 'CAST(job_id AS VARCHAR)')}",
     "job_kind": _with() + "SELECT job_id, job_kind, previous_pause_status FROM job_kinds WHERE has_settings",

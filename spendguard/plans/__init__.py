@@ -22,6 +22,7 @@ from spendguard.plans.stop import (
     job_stop_plan,
     run_cancel_plan,
     stop_plan,
+    take_snapshot,
     warehouse_stop_plan,
 )
 
@@ -46,6 +47,7 @@ __all__ = [
     "run_resume",
     "status_values",
     "stop_plan",
+    "take_snapshot",
     "task_values",
     "warehouse_stop_plan",
 ]

@@ -7,10 +7,12 @@ a failed task is retried by Spark and the job commit keeps the table whole.
 from __future__ import annotations
 
 import datetime as _dt
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendguard.functions.dates import month_label, now_timestamp, previous_month_label
 from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, shuffle_side
@@ -45,13 +47,24 @@ def succeeded(plan: DataFrame, outcomes: DataFrame, *,
     ok = outcomes.filter(F.col("ok")).select(
         F.col("resource_type").alias("_ok_type"), F.col("resource_id").cast("string").alias("_ok_id"))
     side, small = broadcast_if_bounded(ok, max_broadcast_rows)
-    ok = side if small else shuffle_side(ok.distinct())
+    ok = side if small else shuffle_side(ok)  # an aggregate here would keep AQE from splitting a hot id
     cond = (F.col("resource_type") == F.col("_ok_type")) & (F.col("resource_id").cast("string") == F.col("_ok_id"))
     return plan.join(ok, cond, "left_semi")
 
 
-def _quote(table: str) -> str:
-    return ".".join(f"`{part.strip('`')}`" for part in table.split("."))
+def _parts(table: str) -> list[str]:
+    """The parts of a dotted name; a dot within backticks belongs to its part."""
+    return [(quoted.replace("``", "`") if quoted else plain)
+            for quoted, plain in re.findall(r"`((?:[^`]|``)+)`|([^.`]+)", table)]
+
+
+def _join(parts: list[str]) -> str:
+    return ".".join("`" + part.replace("`", "``") + "`" for part in parts)
+
+
+def quote_name(table: str) -> str:
+    """The name with every part in backticks, so that hyphens and other characters are allowed."""
+    return _join(_parts(table))
 
 
 def ensure_table(spark: SparkSession, table: str, fmt: str = "parquet", location: str | None = None) -> None:
@@ -59,12 +72,12 @@ def ensure_table(spark: SparkSession, table: str, fmt: str = "parquet", location
 
     ``location`` makes it an external table at that (shared) path instead of a managed one.
     """
-    parts = table.split(".")
+    parts = _parts(table)
     if len(parts) > 1:
-        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {_quote('.'.join(parts[:-1]))}")
+        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {_join(parts[:-1])}")
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString().upper()}" for f in AUDIT.fields)
     where = "" if location is None else " LOCATION '" + location.replace("'", "\\'") + "'"
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {_quote(table)} ({cols}) USING {fmt}{where}")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {quote_name(table)} ({cols}) USING {fmt}{where}")
 
 
 def append(rows: DataFrame, table: str, *, skip_empty: bool = True) -> int:
@@ -78,11 +91,25 @@ def append(rows: DataFrame, table: str, *, skip_empty: bool = True) -> int:
     if skip_empty and rows.isEmpty():
         return 0
     written = Observation(f"spendguard_audit_append_{uuid.uuid4().hex}")
-    ordered = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in AUDIT.fields])
-    ordered.observe(written, F.count(F.lit(1)).alias("rows")).write.insertInto(table)
+    insert_by_name(rows.observe(written, F.count(F.lit(1)).alias("rows")), table, AUDIT)
     return int(written.get["rows"])
 
 
+def insert_by_name(rows: DataFrame, table: str, schema: T.StructType, *, overwrite: bool = False) -> None:
+    """Write the columns of ``schema`` into an existing table, each into the column of its name
+    whatever the table's order; further columns of the table get NULL. A table that lacks one of
+    them is an error."""
+    name = quote_name(table)
+    given = {f.name.lower(): f for f in schema.fields}
+    there = rows.sparkSession.table(name).schema.fields
+    missing = set(given) - {f.name.lower() for f in there}
+    if missing:
+        raise ValueError(f"{table} has no column {', '.join(sorted(missing))}")
+    columns = [F.col(given[f.name.lower()].name).cast(f.dataType).alias(f.name) if f.name.lower() in given
+               else F.lit(None).cast(f.dataType).alias(f.name) for f in there]
+    rows.select(*columns).write.insertInto(name, overwrite=overwrite)
+
+
 def record_actions(plan: DataFrame, table: str, *, outcomes: DataFrame | None = None,
                    now: _dt.datetime | str | Column | None = None) -> int:
     """Stop plan -> (successful rows only, when outcomes are given) -> audit rows -> append.
@@ -95,7 +122,7 @@ def read_audit(spark: SparkSession, table: str, *, month_filter: str | None = MO
                as_of: _dt.date | str | Column | None = None) -> DataFrame:
     """All audit rows, or with ``month_filter="previous"`` only those of the month before
     ``as_of``."""
-    return filter_month(spark.table(table).select(*AUDIT_COLUMNS), month_filter=month_filter, as_of=as_of)
+    return filter_month(spark.table(quote_name(table)).select(*AUDIT_COLUMNS), month_filter=month_filter, as_of=as_of)
 
 
 def filter_month(audit: DataFrame, *, month_filter: str | None = MONTH_ALL,
@@ -108,5 +135,11 @@ def filter_month(audit: DataFrame, *, month_filter: str | None = MONTH_ALL,
 
 
 def clear(spark: SparkSession, table: str) -> None:
-    """Remove every audit row (all months)."""
-    spark.sql(f"TRUNCATE TABLE {_quote(table)}")
+    """Remove every audit row (all months). An external table, which cannot be truncated, is
+    overwritten with no rows."""
+    name = quote_name(table)
+    if spark.catalog.getTable(name).tableType == "EXTERNAL":
+        spark.createDataFrame([], spark.table(name).schema).write.insertInto(name, overwrite=True)
+        spark.catalog.refreshTable(name)
+    else:
+        spark.sql(f"TRUNCATE TABLE {name}")

@@ -5,9 +5,10 @@ unpause whatever kind wins, or drop the schedule of an on-demand job. A job id t
 integer, a job that no longer exists or has no settings gives ``FAILED``. Clusters, warehouses
 and apps are started, without a state check. Other types give ``UNKNOWN``.
 
-Plan at scale: only JOB rows with a usable id enter the join; every other row would carry a
-NULL key, and NULL keys all hash to one shuffle partition. The job inventory is broadcast
-behind a size check, else both sides are shuffled on ``job_id`` (AQE splits a hot id).
+Plan at scale: of the job settings only the scheduling fields are read. The job inventory is broadcast
+behind a check of its rows and bytes, and the audit table is read once; else both sides are shuffled
+on ``job_id`` (AQE splits a hot id), and only JOB rows with a usable id enter the join: every other
+row would carry a NULL key, and NULL keys all hash to one shuffle partition.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendguard.operators.job_settings import PLACEHOLDER_REMOVE, resume_decision
+from spendguard.operators.job_settings import PLACEHOLDER_REMOVE, resume_decision, scheduling_settings
 from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
 from spendguard.plans import audit as audit_table
 from spendguard.schemas import (
@@ -49,34 +50,32 @@ def resume_plan(audit: DataFrame, jobs: DataFrame, *, placeholder: str = PLACEHO
     """Audit rows + ``resume_action`` + ``job_id`` + ``new_settings`` (NULL unless a job is
     unpaused). Duplicate audit rows stay duplicates."""
     keep = [F.col(c) for c in AUDIT_COLUMNS]
-    job_id = F.when(F.col("resource_type") == F.lit(JOB), parse_job_id(F.col("resource_id")))
+    rtype = F.col("resource_type")
+    job_id = F.when(rtype == F.lit(JOB), parse_job_id(F.col("resource_id")))
     rows = audit.select(*keep, job_id.alias("job_id"))
 
-    inventory, _ = broadcast_if_bounded(
-        jobs.select(F.col("job_id").alias("_inv_job_id"), F.col("settings").alias("_inv_settings")),
+    inventory, small = broadcast_if_bounded(
+        jobs.select(F.col("job_id").alias("_inv_job_id"), scheduling_settings(F.col("settings")).alias("_inv_settings")),
         max_broadcast_rows)
-    looked_up = rows.filter(F.col("job_id").isNotNull()).join(
-        inventory, F.col("job_id") == F.col("_inv_job_id"), "left")
     found = F.col("_inv_job_id").isNotNull() & F.col("_inv_settings").isNotNull()
     action, new_settings = resume_decision(F.col("_inv_settings"), placeholder)
-    jobs_part = looked_up.select(
-        *keep,
-        F.when(found, action).otherwise(F.lit(RESUME_FAILED)).alias("resume_action"),
-        F.col("job_id"),
-        F.when(found, new_settings).alias("new_settings"),
-    )
-
-    rtype = F.col("resource_type")
     other_action = (F.when(rtype == F.lit(JOB), F.lit(RESUME_FAILED))
                     .when(rtype.isin(CLUSTER, WAREHOUSE, APP), F.lit(RESUME_START))
                     .otherwise(F.lit(RESUME_UNKNOWN)))
+
+    def looked_up(some: DataFrame) -> DataFrame:
+        return some.join(inventory, F.col("job_id") == F.col("_inv_job_id"), "left").select(
+            *keep,
+            F.when(F.col("job_id").isNull(), other_action).when(found, action).otherwise(F.lit(RESUME_FAILED)).alias("resume_action"),
+            F.col("job_id"),
+            F.when(found, new_settings).alias("new_settings"),
+        )
+
+    if small:  # a NULL id probes the broadcast table and finds nothing: one pass over the audit rows
+        return looked_up(rows)
     others = rows.filter(F.col("job_id").isNull()).select(
-        *keep,
-        other_action.alias("resume_action"),
-        F.col("job_id"),
-        F.lit(None).cast(NEW_JOB_SETTINGS).alias("new_settings"),
-    )
-    return jobs_part.unionByName(others)
+        *keep, other_action.alias("resume_action"), F.col("job_id"), F.lit(None).cast(NEW_JOB_SETTINGS).alias("new_settings"))
+    return looked_up(rows.filter(F.col("job_id").isNotNull())).unionByName(others)
 
 
 def run_resume(spark: SparkSession, table: str, jobs: DataFrame, *, placeholder: str = PLACEHOLDER_REMOVE,
@@ -90,15 +89,16 @@ def run_resume(spark: SparkSession, table: str, jobs: DataFrame, *, placeholder:
     outlives a driver failure and can be read again by name), else checkpointed into the
     cluster's checkpoint folder. The whole table is cleared even under a month filter.
     """
-    if not spark.catalog.tableExists(table):
+    if not spark.catalog.tableExists(audit_table.quote_name(table)):
         return None
     audit = audit_table.read_audit(spark, table, month_filter=month_filter, as_of=as_of)
     if audit.isEmpty():
         return None
     plan = resume_plan(audit, jobs, placeholder=placeholder)
     if plan_table is not None:
-        plan.write.mode("overwrite").saveAsTable(plan_table)
-        plan = spark.table(plan_table)
+        name = audit_table.quote_name(plan_table)
+        plan.write.mode("overwrite").saveAsTable(name)
+        plan = spark.table(name)
     else:
         checkpoint_dir(spark)
         plan = plan.checkpoint(eager=True)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spendguard.operators.job_settings import current_pause_status, is_paused, job_kind, paused_settings
 from spendguard.operators.selection import IdSet, check_id_sets, drop_exempt, drop_self, gate, only_targets
 from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS
+from spendguard.plans.audit import quote_name
 from spendguard.schemas import (
     ACTIVE_CLUSTER_STATES,
     ACTIVE_WAREHOUSE_STATES,
@@ -26,6 +27,7 @@ from spendguard.schemas import (
     STEP,
     WAREHOUSE,
 )
+from spendguard.session import checkpoint_dir
 
 
 def job_stop_plan(jobs: DataFrame, *, targets: IdSet = None, exempt: IdSet = None,
@@ -122,7 +124,8 @@ def action_counts(plan: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class EnforcementPlan:
-    """What one control run would do, all lazy and all gated on one budget status."""
+    """What one control run would do, all gated on one budget status: lazy as
+    :func:`enforcement_plan` returns it, fixed as :func:`take_snapshot` does."""
 
     status: DataFrame   # one row: budget_status, current_spend
     stops: DataFrame    # auditable stop actions (jobs, clusters, warehouses, apps), see stop_plan
@@ -142,3 +145,26 @@ def enforcement_plan(status: DataFrame, *, runs: DataFrame | None = None, **plan
     cancel = run_cancel_plan(runs, targets=plan_args["job_targets"], exempt=plan_args["exempt_jobs"],
                              max_broadcast_rows=limit)
     return EnforcementPlan(status=status, stops=gated_stop_plan(status, **plan_args), runs=gate(cancel, status))
+
+
+def take_snapshot(status: DataFrame, *, runs: DataFrame | None = None, stops_table: str | None = None,
+                  runs_table: str | None = None, **plan_args) -> EnforcementPlan:
+    """:func:`enforcement_plan` evaluated once: one decision, one list of actions.
+
+    The budget status is computed a single time and handed on as a value, and both plans are written
+    once, into the named tables (overwritten) or else into the checkpoint folder. What is acted on,
+    audited and resumed from is then the same rows, whatever the inventories, the usage or the
+    date do meanwhile.
+    """
+    spark = status.sparkSession
+    decided = spark.createDataFrame([status.first()], status.schema)
+    plan = enforcement_plan(decided, runs=runs, **plan_args)
+
+    def fixed(rows: DataFrame, table: str | None) -> DataFrame:
+        if table is None:
+            checkpoint_dir(spark)
+            return rows.checkpoint(eager=True)
+        rows.write.mode("overwrite").saveAsTable(quote_name(table))
+        return spark.table(quote_name(table))
+
+    return EnforcementPlan(status=decided, stops=fixed(plan.stops, stops_table), runs=fixed(plan.runs, runs_table))

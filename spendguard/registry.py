@@ -26,7 +26,7 @@ from spendguard.plans.budget import (
     report_line,
     task_values,
 )
-from spendguard.plans.resume import resume_plan
+from spendguard.plans.resume import resume_plan, run_resume
 from spendguard.plans.stop import (
     action_counts,
     app_stop_plan,
@@ -36,19 +36,18 @@ from spendguard.plans.stop import (
     job_stop_plan,
     run_cancel_plan,
     stop_plan,
+    take_snapshot,
     warehouse_stop_plan,
 )
-from spendguard.schemas import APP, AUDIT_COLUMNS, CLUSTER, JOB, WAREHOUSE
+from spendguard.schemas import APP, AUDIT, AUDIT_COLUMNS, CLUSTER, JOB, WAREHOUSE
 from spendguard.session import checkpoint_dir
-from spendguard.streaming.incremental import budget_from_month_spend, read_month_spend, start_month_spend
+from spendguard.streaming.incremental import read_usage_totals, start_usage_totals
 from spendguard.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 EMPTY_MONTH_AS_OF = _dt.date(2030, 1, 15)
 UNREACHABLE_THRESHOLD = 10 ** 15
-ROUNDTRIP_TABLE = "spendguard_audit_roundtrip"
-STREAM_TIMEOUT_SECONDS = 1800
 
 
 def flat_settings(settings: Column, prefix: str = "new_") -> list[Column]:
@@ -64,7 +63,27 @@ def flat_settings(settings: Column, prefix: str = "new_") -> list[Column]:
 
 
 def _targets(spark: SparkSession, d: str, resource_type: str) -> DataFrame:
-    return explode_target_lists(fx.target_lists(spark, d, resource_type)).select("target_id")
+    return explode_target_lists(fx.target_lists(spark, d, resource_type)).select("target_id", "all_targets")
+
+
+def _scratch_name(kind: str) -> str:
+    """A table name of this call alone, so that concurrent runs do not meet."""
+    return f"spendguard_{kind}_{uuid.uuid4().hex}"
+
+
+def _kept(rows: DataFrame, *tables: str) -> DataFrame:
+    """The rows in the checkpoint folder, and the tables they were read from dropped."""
+    spark = rows.sparkSession
+    checkpoint_dir(spark)
+    rows = rows.checkpoint(eager=True)
+    for table in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {audit_plan.quote_name(table)}")
+    return rows
+
+
+def _wall_clock(audit: DataFrame) -> DataFrame:
+    """The audit table's instants as the session's wall clock shows them."""
+    return audit.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 def _status(spark: SparkSession, d: str, threshold: object = fx.THRESHOLD, as_of=fx.AS_OF) -> DataFrame:
@@ -123,19 +142,12 @@ def q_budget_status(spark, d):
 
 
 def q_budget_status_incremental(spark, d):
-    """The budget check run incrementally: a file stream over the usage, priced per micro-batch
-    into per-month totals (in a fresh folder under the checkpoint folder), then summed."""
-    base = checkpoint_dir(spark, fallback=spark.conf.get("spark.sql.warehouse.dir") + "/_spendguard_checkpoints")
-    run = uuid.uuid4().hex
-    table = f"spendguard_month_spend_{run}"
-    spark.sql(f"CREATE TABLE {table} (usage_month DATE, spend DECIMAL(38,12), priced_rows BIGINT) USING parquet "
-              f"LOCATION '{base.rstrip('/')}/month_spend_{run}/table'")
-    query = start_month_spend(fx.usage_stream(spark, d), fx.list_prices(spark, d), table=table,
-                              checkpoint=f"{base.rstrip('/')}/month_spend_{run}/stream")
-    if not query.awaitTermination(STREAM_TIMEOUT_SECONDS):
-        query.stop()
-        raise TimeoutError(f"incremental pricing did not finish within {STREAM_TIMEOUT_SECONDS}s")
-    return task_values(budget_from_month_spend(read_month_spend(spark, table), fx.THRESHOLD, fx.AS_OF))
+    """The budget check over totals that a file stream summed as the usage arrived."""
+    table = _scratch_name("usage_totals")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{table}"
+    start_usage_totals(fx.usage_stream(spark, d), table=table, checkpoint=folder).awaitTermination()
+    status = budget_check(read_usage_totals(spark, table), fx.list_prices(spark, d), fx.THRESHOLD, fx.AS_OF)
+    return _kept(task_values(status), table)
 
 
 def q_budget_status_at_spend(spark, d):
@@ -163,6 +175,11 @@ def q_jobs_not_exempt(spark, d):
     return drop_exempt(fx.jobs(spark, d), "job_id", fx.EXEMPT_JOBS).select("job_id")
 
 
+def q_jobs_not_exempt_shuffled(spark, d):
+    """A table of exempt ids, by the strategy beyond the broadcast bound."""
+    return drop_exempt(fx.jobs(spark, d), "job_id", _targets(spark, d, JOB), max_broadcast_rows=0).select("job_id")
+
+
 def q_jobs_targeted(spark, d):
     return only_targets(fx.jobs(spark, d), "job_id", _targets(spark, d, JOB)).select("job_id")
 
@@ -202,6 +219,10 @@ def q_run_cancel_plan_targeted(spark, d):
     return run_cancel_plan(fx.runs(spark, d), targets=_targets(spark, d, JOB), exempt=fx.EXEMPT_JOBS)
 
 
+def q_run_cancel_plan_targeted_shuffled(spark, d):
+    return run_cancel_plan(fx.runs(spark, d), targets=_targets(spark, d, JOB), exempt=fx.EXEMPT_JOBS, max_broadcast_rows=0)
+
+
 def q_cluster_stop_plan(spark, d):
     return cluster_stop_plan(fx.clusters(spark, d), own_cluster_id=fx.OWN_CLUSTER)
 
@@ -226,6 +247,16 @@ def q_app_stop_plan_targeted(spark, d):
     return app_stop_plan(fx.apps(spark, d), targets=_targets(spark, d, APP))
 
 
+def q_app_stop_plan_all_listed(spark, d):
+    """A table of lists of which some say ALL: every app."""
+    return app_stop_plan(fx.apps(spark, d), targets=_targets(spark, d, fx.EDGE))
+
+
+def q_app_stop_plan_missing(spark, d):
+    """The whole stop plan when the app listing is not available."""
+    return stop_plan(**{**_plan_args(spark, d), "apps": None})
+
+
 def q_stop_plan_union(spark, d):
     return _plan(spark, d)
 
@@ -270,16 +301,37 @@ def q_audit_previous_month(spark, d):
 
 
 def q_audit_roundtrip(spark, d):
-    """Create the table, append the gated plan's audit rows twice (second append must add, not
-    replace), read it back. Each run writes to a fresh folder under the session's checkpoint
-    folder (the cluster's shared scratch), so reruns and new sessions start from an empty table."""
-    base = checkpoint_dir(spark, fallback=spark.conf.get("spark.sql.warehouse.dir") + "/_spendguard_checkpoints")
-    spark.sql(f"DROP TABLE IF EXISTS {ROUNDTRIP_TABLE}")
-    audit_plan.ensure_table(spark, ROUNDTRIP_TABLE, location=f"{base.rstrip('/')}/audit_roundtrip_{uuid.uuid4().hex}")
+    """Append the gated plan's audit rows twice (the second append must add, not replace) to a table
+    that exists with its columns in another order and one more, and read it back."""
+    table = _scratch_name("audit_roundtrip")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reversed(AUDIT.fields))
+    spark.sql(f"CREATE TABLE {audit_plan.quote_name(table)} (note STRING, {columns}) USING parquet")
     rows = audit_plan.audit_rows(gated_stop_plan(_status(spark, d), **_plan_args(spark, d)), fx.NOW)
-    audit_plan.append(rows, ROUNDTRIP_TABLE)
-    audit_plan.append(rows.select(*reversed(rows.columns)), ROUNDTRIP_TABLE)
-    return audit_plan.read_audit(spark, ROUNDTRIP_TABLE)
+    audit_plan.append(rows, table)
+    audit_plan.append(rows.select(*reversed(rows.columns)), table)
+    return _kept(_wall_clock(audit_plan.read_audit(spark, table)), table)
+
+
+def q_audit_append_empty(spark, d):
+    """In a schema of its own: the plan is recorded, and a later run within the budget adds nothing."""
+    schema = _scratch_name("schema")
+    table = f"{schema}.paused_jobs"
+    over = audit_plan.audit_rows(gated_stop_plan(_status(spark, d), **_plan_args(spark, d)), fx.NOW)
+    within = audit_plan.audit_rows(gated_stop_plan(_status(spark, d, UNREACHABLE_THRESHOLD), **_plan_args(spark, d)), fx.NOW)
+    audit_plan.append(over, table)
+    added = audit_plan.append(within, table)
+    out = _kept(_wall_clock(audit_plan.read_audit(spark, table)).withColumn("added_within", F.lit(added).cast("long")), table)
+    spark.sql(f"DROP SCHEMA {schema}")
+    return out
+
+
+def q_enforcement_cycle(spark, d):
+    """One control run: the plan is fixed once, the calls report their outcomes, and what they did is
+    recorded from the same plan."""
+    table = _scratch_name("audit")
+    plan = take_snapshot(_status(spark, d), runs=fx.runs(spark, d), **_plan_args(spark, d))
+    audit_plan.record_actions(plan.stops, table, outcomes=fx.outcomes(spark, d), now=fx.NOW)
+    return _kept(_wall_clock(audit_plan.read_audit(spark, table)), table)
 
 
 # --- resume --------------------------------------------------------------------------------------
@@ -313,6 +365,15 @@ def q_resume_previous_month(spark, d):
     return _flat_resume(resume_plan(audit, fx.jobs(spark, d)))
 
 
+def q_resume_cycle(spark, d):
+    """The monthly run: plan the resume from the audit table, then clear it (``rows_left`` is 0)."""
+    table = _scratch_name("audit")
+    audit_plan.append(fx.audit(spark, d), table)
+    plan = run_resume(spark, table, fx.jobs(spark, d))
+    left = audit_plan.read_audit(spark, table).count()
+    return _kept(_flat_resume(_wall_clock(plan)).withColumn("rows_left", F.lit(left).cast("long")), table)
+
+
 QUERIES: dict[str, Query] = {
     "mtd_usage": q_mtd_usage,
     "price_as_of_usage": q_price_as_of_usage,
@@ -325,6 +386,7 @@ QUERIES: dict[str, Query] = {
     "budget_report_line": q_budget_report_line,
     "targets_parsed": q_targets_parsed,
     "jobs_not_exempt": q_jobs_not_exempt,
+    "jobs_not_exempt_shuffled": q_jobs_not_exempt_shuffled,
     "jobs_targeted": q_jobs_targeted,
     "job_kind": q_job_kind,
     "job_stop_plan": q_job_stop_plan,
@@ -333,12 +395,15 @@ QUERIES: dict[str, Query] = {
     "job_paused_settings": q_job_paused_settings,
     "run_cancel_plan": q_run_cancel_plan,
     "run_cancel_plan_targeted": q_run_cancel_plan_targeted,
+    "run_cancel_plan_targeted_shuffled": q_run_cancel_plan_targeted_shuffled,
     "cluster_stop_plan": q_cluster_stop_plan,
     "cluster_stop_plan_targeted": q_cluster_stop_plan_targeted,
     "warehouse_stop_plan": q_warehouse_stop_plan,
     "warehouse_stop_plan_targeted": q_warehouse_stop_plan_targeted,
     "app_stop_plan": q_app_stop_plan,
     "app_stop_plan_targeted": q_app_stop_plan_targeted,
+    "app_stop_plan_all_listed": q_app_stop_plan_all_listed,
+    "app_stop_plan_missing": q_app_stop_plan_missing,
     "stop_plan_union": q_stop_plan_union,
     "stop_plan_targeted": q_stop_plan_targeted,
     "stop_plan_gated": q_stop_plan_gated,
@@ -349,10 +414,13 @@ QUERIES: dict[str, Query] = {
     "audit_rows_succeeded": q_audit_rows_succeeded,
     "audit_previous_month": q_audit_previous_month,
     "audit_roundtrip": q_audit_roundtrip,
+    "audit_append_empty": q_audit_append_empty,
+    "enforcement_cycle": q_enforcement_cycle,
     "resume_plan": q_resume_plan,
     "resume_plan_unpause_placeholder": q_resume_plan_unpause_placeholder,
     "resume_plan_shuffled": q_resume_plan_shuffled,
     "resume_job_settings": q_resume_job_settings,
     "resume_unknown": q_resume_unknown,
     "resume_previous_month": q_resume_previous_month,
+    "resume_cycle": q_resume_cycle,
 }

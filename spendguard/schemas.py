@@ -62,6 +62,15 @@ USAGE = T.StructType([
     _f("usage_date", T.DateType()),
 ])
 
+# Usage summed per SKU and end time, by micro-batch (spendguard.streaming).
+USAGE_TOTALS = T.StructType([
+    _f("sku_name", T.StringType()),
+    _f("usage_quantity", T.DecimalType(28, 6)),
+    _f("usage_end_time", T.TimestampType()),
+    _f("usage_date", T.DateType()),
+    _f("batch_id", T.LongType()),
+])
+
 PRICING = T.StructType([_f("effective_list", T.StructType([_f("default", PRICE)]))])
 
 LIST_PRICES = T.StructType([
@@ -120,9 +129,3 @@ AUDIT = T.StructType([
 AUDIT_COLUMNS = tuple(f.name for f in AUDIT.fields)
 
 # The resource rows every stop plan emits before they become audit rows.
-STOP_PLAN = T.StructType([
-    _f("step", T.IntegerType(), False),
-    _f("resource_type", T.StringType(), False),
-    _f("resource_id", T.StringType()),
-    _f("resource_name", T.StringType()),
-])

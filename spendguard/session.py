@@ -6,6 +6,8 @@ Operators never change session settings; only these helpers do, and only for loc
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -35,15 +37,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (a test) is ``fallback`` installed. Lineage is cut with
-    reliable ``checkpoint()`` into this folder, never with a machine-local directory.
+    Only when the session has none is ``fallback`` installed, or, in a session whose tasks all run
+    in this process (master ``local``: tests, the bench), a new temporary folder. On a cluster
+    without the setting this raises: a machine-local folder is invisible to other executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    target = configured or fallback
+    target = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if not target and re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        target = tempfile.mkdtemp(prefix="spendguard-checkpoints-")
     if not target:
         raise RuntimeError("spark.checkpoint.dir is not set and no fallback was given")
     sc.setCheckpointDir(target)

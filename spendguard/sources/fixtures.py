@@ -4,8 +4,8 @@ registered query reads whole tables and its work grows with them.
 | input        | from      | rule                                                                   |
 |--------------|-----------|------------------------------------------------------------------------|
 | usage        | lineitem  | SKU = partkey div 4; quantity; end = shipdate + (orderkey % 24) hours  |
-| list_prices  | part      | partkey % 7 = 0 dropped (gaps); version = partkey % 4, 600 days each,  |
-|              |           | the last one open-ended; price = retail price                          |
+| list_prices  | part      | version = partkey % 4, 600 days each, the last one open-ended; empty   |
+|              |           | validity when partkey % 7 = 0 (gaps); price = retail price             |
 | jobs         | orders    | kind by priority digit, pause status by order status, no settings when |
 |              |           | orderkey % 97 = 0, placeholder cron when orderkey % 10 = 3             |
 | runs         | events    | active when event type is view or click                                |
@@ -19,10 +19,9 @@ registered query reads whole tables and its work grows with them.
 |              | part      |                                                                        |
 | outcomes     | all four  | whether each stop call succeeded                                       |
 
-The modulo rules assign attributes (kind, state, type, id format) to every source row; they never
-thin the inputs. Two row sets are subsets by meaning: the price list leaves some SKUs unpriced
-(usage without a price must drop out), and a target list names some resources (that is what a
-target list is). Every query still scans its whole source tables.
+Every source row gives a row: the modulo rules assign attributes (kind, state, type, id format). Where
+usage must find no price, the price's validity is empty; where a list must target nothing, it
+holds commas or ids that do not exist.
 
 The DuckDB oracle derives the same tables independently (flat) in ``spendguard.oracle``.
 """
@@ -56,42 +55,12 @@ EXEMPT_JOBS = ("100", "300")
 OWN_CLUSTER = "0410-000001-abc"
 PRICE_EPOCH = "1995-01-01 00:00:00"
 VERSION_DAYS = 600
-
-
-_BUILT: dict[tuple, DataFrame] = {}
-
-
-def _app(spark: SparkSession) -> str:
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # a remote (Connect) session has no SparkContext: key on the session
-        return str(id(spark))
+# The type of the lists that hold edge cases.
+EDGE = "EDGE"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The generated table as a lazy DataFrame. The read-only source tables are listed and their
-    footers read once per application; every query builds its own plan on top."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (_app(spark), "read", path)
-    if key not in _BUILT:
-        _BUILT[key] = spark.read.parquet(path)
-    return _BUILT[key]
-
-
-def _once(build):
-    """Build a fixture input once per application and source folder and hand out the same lazy
-    DataFrame afterwards, as a user holds an input table open: its expressions are constructed
-    and analysed once. No data is cached; each query plans and runs in full."""
-
-    def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
-        key = (_app(spark), build.__name__, sf_dir.rstrip("/"), args, tuple(sorted(kwargs.items())))
-        if key not in _BUILT:
-            _BUILT[key] = build(spark, sf_dir, *args, **kwargs)
-        return _BUILT[key]
-
-    wrapper.__name__ = build.__name__
-    wrapper.__doc__ = build.__doc__
-    return wrapper
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _text(c: Column) -> Column:
@@ -102,7 +71,6 @@ def sku_of(partkey: Column) -> Column:
     return F.concat(F.lit("SKU-"), _text(F.floor(partkey / F.lit(4))))
 
 
-@_once
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_from_lineitem(_read(spark, sf_dir, "lineitem"))
 
@@ -123,20 +91,19 @@ def usage_from_lineitem(li: DataFrame) -> DataFrame:
     )
 
 
-@_once
 def list_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _read(spark, sf_dir, "part").filter(F.col("p_partkey") % 7 != 0)
+    part = _read(spark, sf_dir, "part")
     version = (F.col("p_partkey") % 4).cast("int")
-    epoch = F.lit(PRICE_EPOCH).cast("timestamp_ntz")
+    start = F.lit(PRICE_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(days=version * VERSION_DAYS)
+    end = F.when(version != 3, F.lit(PRICE_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(days=(version + 1) * VERSION_DAYS))
     return part.select(
         sku_of(F.col("p_partkey")).alias("sku_name"),
-        (epoch + F.make_dt_interval(days=version * VERSION_DAYS)).alias("price_start_time"),
-        F.when(version != 3, epoch + F.make_dt_interval(days=(version + 1) * VERSION_DAYS)).alias("price_end_time"),
+        start.alias("price_start_time"),
+        F.when(F.col("p_partkey") % 7 == 0, start).otherwise(end).alias("price_end_time"),
         F.struct(F.struct(F.col("p_retailprice").cast(PRICE).alias("default")).alias("effective_list")).alias("pricing"),
     )
 
 
-@_once
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -163,7 +130,6 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(key.alias("job_id"), settings.alias("settings"))
 
 
-@_once
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("run_id"), F.col("user_id").alias("job_id"),
@@ -174,7 +140,6 @@ def cluster_id_of(custkey: Column) -> Column:
     return F.concat(F.lit("0410-"), F.format_string("%06d", custkey), F.lit("-abc"))
 
 
-@_once
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     seg = F.col("c_mktsegment")
@@ -189,7 +154,6 @@ def warehouse_id_of(suppkey: Column) -> Column:
     return F.concat(F.lit("wh"), _text(suppkey))
 
 
-@_once
 def warehouses(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _read(spark, sf_dir, "supplier")
     n = F.col("s_nationkey") % 4
@@ -202,13 +166,11 @@ def app_name_of(name: Column, partkey: Column) -> Column:
     return F.concat(F.regexp_replace(name, " ", "-"), F.lit("-"), _text(partkey))
 
 
-@_once
 def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     return p.select(app_name_of(F.col("p_name"), F.col("p_partkey")).alias("name"))
 
 
-@_once
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -240,12 +202,11 @@ def _scientific(key: Column) -> Column:
                   ).otherwise(F.concat(s, F.lit("e+0")))
 
 
-@_once
 def target_lists(spark: SparkSession, sf_dir: str, resource_type: str | None = None) -> DataFrame:
     """``(resource_type, raw)``: raw target text per resource type, one list per source row.
     With ``resource_type`` only that type's lists are built (from its one source table)."""
     builders = {JOB: _job_target_lists, CLUSTER: _cluster_target_lists, WAREHOUSE: _warehouse_target_lists,
-                APP: _app_target_lists}
+                APP: _app_target_lists, EDGE: _edge_target_lists}
     kinds = [resource_type] if resource_type is not None else list(builders)
     frames = [builders[k](spark, sf_dir).select(F.lit(k).alias("resource_type"), F.col("raw")) for k in kinds]
     out = frames[0]
@@ -255,33 +216,47 @@ def target_lists(spark: SparkSession, sf_dir: str, resource_type: str | None = N
 
 
 def _job_target_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _read(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
+    """Early orders name their job in one of several spellings; of the later ones some lists hold
+    nothing but commas and the others an id that no job has."""
+    o = _read(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     k = _text(key)
     m = key % 4
-    raw = (F.when(m == 0, F.concat(k, F.lit(", "), _text(key + 1)))
-           .when(m == 1, F.concat(F.lit(" "), k, F.lit(".0 ,")))
-           .when(m == 2, F.concat(_scientific(key), F.lit(",job-"), k))
-           .otherwise(F.concat(F.lit("0"), k, F.lit(",,"))))
-    return o.select(raw.alias("raw"))
+    named = (F.when(m == 0, F.concat(k, F.lit(", "), _text(key + 1)))
+             .when(m == 1, F.concat(F.lit(" "), k, F.lit(".0 ,")))
+             .when(m == 2, F.concat(_scientific(key), F.lit(",job-"), k))
+             .otherwise(F.concat(F.lit("0"), k, F.lit(",,"))))
+    other = F.when(m == 0, F.lit(",")).when(m == 1, F.lit(" , ,")).otherwise(F.concat(F.lit("none-"), k))
+    early = F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")
+    return o.select(F.when(early, named).otherwise(other).alias("raw"))
 
 
 def _cluster_target_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _read(spark, sf_dir, "customer").filter(F.col("c_nationkey") < 5)
-    return c.select(F.concat(F.lit(" "), cluster_id_of(F.col("c_custkey")), F.lit(" ,")).alias("raw"))
+    named = F.concat(F.lit(" "), cluster_id_of(F.col("c_custkey")), F.lit(" ,"))
+    return _read(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") < 5, named).otherwise(F.lit(",,")).alias("raw"))
 
 
 def _warehouse_target_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _read(spark, sf_dir, "supplier").filter(F.col("s_nationkey") < 12)
-    return s.select(warehouse_id_of(F.col("s_suppkey")).alias("raw"))
+    own = warehouse_id_of(F.col("s_suppkey"))
+    return _read(spark, sf_dir, "supplier").select(
+        F.when(F.col("s_nationkey") < 12, own).otherwise(F.concat(F.lit("gone-"), own)).alias("raw"))
 
 
 def _app_target_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _read(spark, sf_dir, "part").filter(F.col("p_size") <= 10)
-    return p.select(app_name_of(F.col("p_name"), F.col("p_partkey")).alias("raw"))
+    own = app_name_of(F.col("p_name"), F.col("p_partkey"))
+    return _read(spark, sf_dir, "part").select(F.when(F.col("p_size") <= 10, own).otherwise(F.concat(own, F.lit("-old"))).alias("raw"))
+
+
+# How target text can look at its edges; every supplier has one of them.
+EDGE_LISTS = ("ALL", " all ", "", " \t", ",", "ALL,1", "0x1f,8f,12345d", "nan,inf,-Infinity", "1e19, 12345678901234567890", "-9.9e18,-0.5,+7.",
+              "9007199254740993,9.5e18", "1e400,.5,1e-400", "0410-000001-abc, 0007")
+
+
+def _edge_target_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.element_at(F.array(*map(F.lit, EDGE_LISTS)), (F.col("s_suppkey") % len(EDGE_LISTS) + 1).cast("int"))
+    return _read(spark, sf_dir, "supplier").select(raw.alias("raw"))
 
 
-@_once
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(resource_type, resource_id, ok)``: whether the stop call for a resource succeeded."""
     o = _read(spark, sf_dir, "orders").select(

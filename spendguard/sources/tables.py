@@ -1,19 +1,12 @@
-"""Reading the inputs: catalog tables or Parquet paths; an app listing may be missing."""
+"""Reading the inputs: catalog tables or Parquet paths."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendguard.schemas import APPS
-
 
 def read_table(spark: SparkSession, source: str) -> DataFrame:
     """A catalog table name (``catalog.schema.table``) or a Parquet path/directory."""
     if "/" in source or source.endswith(".parquet"):
         return spark.read.parquet(source)
     return spark.table(source)
-
-
-def optional_apps(spark: SparkSession, apps: DataFrame | None) -> DataFrame:
-    """The app inventory, or an empty one when the listing is unavailable."""
-    return apps if apps is not None else spark.createDataFrame([], APPS)

@@ -1,39 +1,30 @@
-"""The budget check run incrementally: each usage file is priced once, when it arrives.
+"""The budget check without re-reading the month: usage is summed once, when it arrives.
 
-A daily batch check re-reads all usage of the month so far (terabytes late in a month on a large
+A daily batch check reads all usage of the month so far (terabytes late in a month on a large
 account). Here a Structured Streaming query with an ``availableNow`` trigger, started on the same
-schedule, prices only the files that arrived since its last run (stream-static join to the
-checked, broadcast price list) and keeps the spend per usage month as state: a few rows, one per
-month. Each micro-batch overwrites a small totals table with the complete per-month result, so
-a retried batch writes the same table again. The budget status then sums the months from the
-current one on (no upper bound, as in the batch check).
-
-Equal to :func:`spendguard.plans.budget_check` when price versions are added ahead of the usage
-they price (a version changed after usage was priced is not applied retroactively).
-
-All new usage falls in one or two months, so the month key is hot by nature; the aggregation is
-partial per task first, and only one row per task and month crosses the shuffle. The number of
-state partitions is fixed when the stream first starts (``spark.sql.shuffle.partitions`` at that
-moment); the state holds one row per month, so start it with a small value (8-64).
+schedule, reads only the files that arrived since its last run and sums their quantities per SKU and
+end time into a totals table, one partition per micro-batch. The totals table has the columns of a
+usage table, so the check itself is :func:`spendguard.plans.budget_check` over it, with the prices of
+that moment: a price that arrives late, or a version that changes, counts from the next check on, and
+the size of the price list is checked on every run.
+
+No state is kept between batches. A micro-batch replaces its own partition and nothing else, so a
+retried batch leaves the same rows, and a reader sees every earlier batch whole at any time.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spendguard.functions.dates import month_start
-from spendguard.plans.budget import budget_status_of, price_usage
-from spendguard.schemas import DEFAULT_THRESHOLD
+from spendguard.plans.audit import insert_by_name, quote_name
+from spendguard.schemas import USAGE_TOTALS
 
 
-def month_spend(priced: DataFrame) -> DataFrame:
-    """Spend and priced row count per usage month."""
-    return priced.groupBy(F.trunc("usage_date", "month").alias("usage_month")).agg(
-        F.sum("line_cost").alias("spend"), F.count(F.lit(1)).alias("priced_rows"))
+def usage_totals(usage: DataFrame) -> DataFrame:
+    """Usage summed per SKU and end time: priced alike, since a price holds for a SKU at a time."""
+    return usage.groupBy("sku_name", "usage_end_time", "usage_date").agg(F.sum("usage_quantity").alias("usage_quantity"))
 
 
 def default_checkpoint(spark: SparkSession, name: str) -> str:
@@ -45,37 +36,37 @@ def default_checkpoint(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/spendguard/{name}"
 
 
-def start_month_spend(usage_stream: DataFrame, prices: DataFrame, *, table: str, checkpoint: str | None = None,
-                      trigger: dict | None = None, **join_options) -> StreamingQuery:
-    """Start the incremental pricing of ``usage_stream`` into ``table`` (``usage_month``,
-    ``spend``, ``priced_rows``). The default trigger processes what has arrived and stops
-    (``availableNow``); pass e.g. ``{"processingTime": "1 hour"}`` to keep it running."""
+def ensure_totals_table(spark: SparkSession, table: str, end_time_type: str = "timestamp") -> None:
+    """Create the totals table if it is missing, partitioned by batch. ``end_time_type`` is the type
+    of the usage's end times."""
+    cols = ", ".join(f"{f.name} {end_time_type if f.name == 'usage_end_time' else f.dataType.simpleString()}" for f in USAGE_TOTALS.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {quote_name(table)} ({cols}) USING parquet PARTITIONED BY (batch_id)")
+
+
+def start_usage_totals(usage_stream: DataFrame, *, table: str, checkpoint: str | None = None,
+                       trigger: dict | None = None) -> StreamingQuery:
+    """Start summing ``usage_stream`` into ``table``. The default trigger processes what has arrived
+    and stops (``availableNow``); pass e.g. ``{"processingTime": "1 hour"}`` to keep it running.
+    One checkpoint belongs to one table."""
     spark = usage_stream.sparkSession
-    totals = month_spend(price_usage(usage_stream, prices, **join_options))
+    ensure_totals_table(spark, table, usage_stream.schema["usage_end_time"].dataType.simpleString())
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        # The complete per-month result replaces the table's rows (not its definition or
-        # location), so a retried batch leaves the same table behind.
+        totals = usage_totals(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
         session = batch.sparkSession
-        if session.catalog.tableExists(table):
-            batch.write.insertInto(table, overwrite=True)
-        else:
-            batch.write.saveAsTable(table)
-
-    writer = (totals.writeStream.outputMode("complete").foreachBatch(publish)
-              .option("checkpointLocation", checkpoint or default_checkpoint(spark, f"month_spend/{table}")))
+        key, before = "spark.sql.sources.partitionOverwriteMode", session.conf.get("spark.sql.sources.partitionOverwriteMode")
+        session.conf.set(key, "dynamic")  # of the stream's own session: only this batch's partition is replaced
+        try:
+            insert_by_name(totals, table, totals.schema, overwrite=True)
+        finally:
+            session.conf.set(key, before)
+
+    writer = usage_stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint or default_checkpoint(spark, f"usage_totals/{table}"))
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def read_month_spend(spark: SparkSession, table: str) -> DataFrame:
-    """The totals table as the stream last wrote it (the stream writes through its own session,
-    so cached file listings of this session are refreshed first)."""
-    spark.catalog.refreshTable(table)
-    return spark.table(table)
-
-
-def budget_from_month_spend(totals: DataFrame, threshold: object = DEFAULT_THRESHOLD,
-                            as_of: _dt.date | str | Column | None = None) -> DataFrame:
-    """``(budget_status, current_spend)`` from the per-month totals: one row, as in the batch check."""
-    spend = totals.filter(F.col("usage_month") >= month_start(as_of)).agg(F.sum("spend").alias("current_spend"))
-    return budget_status_of(spend, threshold)
+def read_usage_totals(spark: SparkSession, table: str) -> DataFrame:
+    """The totals as a usage table (the stream writes through its own session, so cached file
+    listings of this session are refreshed first)."""
+    spark.catalog.refreshTable(quote_name(table))
+    return spark.table(quote_name(table)).drop("batch_id")

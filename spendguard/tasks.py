@@ -18,7 +18,7 @@ from spendguard.operators.job_settings import PLACEHOLDER_REMOVE
 from spendguard.plans import audit
 from spendguard.plans.budget import budget_check, status_values
 from spendguard.plans.resume import run_resume
-from spendguard.plans.stop import EnforcementPlan, enforcement_plan
+from spendguard.plans.stop import EnforcementPlan, take_snapshot
 from spendguard.schemas import ALL_TARGETS, AUDIT_TABLE, DEFAULT_THRESHOLD
 
 
@@ -36,7 +36,7 @@ def check_budget(usage: DataFrame, prices: DataFrame, budget_threshold: object =
 
 @dataclass(frozen=True)
 class StopResult:
-    plan: EnforcementPlan
+    plan: EnforcementPlan  # fixed rows: what was recorded is what the caller reads here
     table: str
     recorded: int  # audit rows written
 
@@ -47,14 +47,15 @@ def stop_activity(spark: SparkSession, *, catalog: str, schema: str, table: str
                   current_cluster_id: str | None = None, target_clusters: object = ALL_TARGETS,
                   target_jobs: object = ALL_TARGETS, target_warehouses: object = ALL_TARGETS,
                   target_apps: object = ALL_TARGETS, status: DataFrame | None = None,
-                  outcomes: DataFrame | None = None,
+                  outcomes: DataFrame | None = None, stops_table: str | None = None, runs_table: str | None = None,
                   now: _dt.datetime | str | Column | None = None) -> StopResult:
-    """Plan the stops and record them.
+    """Plan the stops and record them, both from one snapshot.
 
     ``current_job_id`` / ``resumer_job_id`` are exempt (an empty current id means "not known":
     then runs without a job id are exempt too, as in a text comparison of the two). ``status``
     gates everything (omit it to stop unconditionally, as when the step runs only after the
-    check said over budget).
+    check said over budget); it is computed once. ``stops_table`` and ``runs_table`` keep the plans
+    as named tables (see :func:`spendguard.plans.take_snapshot`).
     """
     name = audit_table_name(catalog, schema, table)
     audit.ensure_table(spark, name)  # a table that cannot be created fails the step before any plan exists
@@ -65,7 +66,7 @@ def stop_activity(spark: SparkSession, *, catalog: str, schema: str, table: str
                 exempt_jobs=exempt, own_cluster_id=current_cluster_id)
     if status is None:
         status = spark.createDataFrame([("OVER_BUDGET", None)], "budget_status string, current_spend decimal(38,12)")
-    plan = enforcement_plan(status, runs=runs, **args)
+    plan = take_snapshot(status, runs=runs, stops_table=stops_table, runs_table=runs_table, **args)
     recorded = audit.record_actions(plan.stops, name, outcomes=outcomes, now=now)
     return StopResult(plan=plan, table=name, recorded=recorded)
 

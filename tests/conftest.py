@@ -40,9 +40,9 @@ def settings(name, *, schedule=None, continuous=None, trigger=None):
     return (name, schedule, continuous, trigger)
 
 
-def make_job(job_id, name, paused=False):
-    """A scheduled job, like the reference's test helper."""
-    return (job_id, settings(name, schedule=schedule(status="PAUSED" if paused else "UNPAUSED")))
+def job(job_id, status="UNPAUSED"):
+    """An inventory row: a job on a schedule, named after its id."""
+    return (job_id, settings(f"job {job_id}", schedule=schedule(status=status)))
 
 
 @pytest.fixture

@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from conftest import make_job, schedule, settings
+import pytest
+from conftest import job, schedule, settings
 
 from spendguard import schemas as S
 from spendguard.plans import audit, resume_plan, run_resume
@@ -14,7 +15,7 @@ NOW = dt.datetime(2026, 4, 20, 9, 30)
 
 
 def _plan(spark, rows):
-    return spark.createDataFrame(rows, S.STOP_PLAN)
+    return spark.createDataFrame(rows, "step int, resource_type string, resource_id string, resource_name string")
 
 
 def _table():
@@ -123,7 +124,7 @@ def test_resume_plan_shuffle_join_when_inventory_large(spark):
 
 def test_user_paused_job_stays_paused_through_stop_and_resume(spark, jobs_df):
     from spendguard.plans import job_stop_plan, stop_plan
-    jobs = jobs_df([make_job(200, "A"), make_job(201, "B", paused=True)])
+    jobs = jobs_df([job(200), job(201, "PAUSED")])
     assert [r.job_id for r in job_stop_plan(jobs).collect()] == [200]
     plan = stop_plan(jobs=jobs, clusters=spark.createDataFrame([], S.CLUSTERS),
                      warehouses=spark.createDataFrame([], S.WAREHOUSES), apps=None)
@@ -157,15 +158,14 @@ def test_default_now_stamps_one_time_and_its_month(spark):
     assert month == ts.strftime("%Y-%m")
 
 
-def test_read_table_and_optional_apps(spark, tmp_path):
-    from spendguard.sources import optional_apps, read_table
+def test_read_table(spark, tmp_path):
+    from spendguard.sources import read_table
     path = str(tmp_path / "apps")
     spark.createDataFrame([("a",), ("b",)], S.APPS).write.parquet(path)
     assert sorted(r.name for r in read_table(spark, path).collect()) == ["a", "b"]
     table = _table()
     audit.ensure_table(spark, table)
     assert read_table(spark, table).columns == list(S.AUDIT_COLUMNS)
-    assert optional_apps(spark, None).count() == 0
 
 
 def test_run_resume_into_named_plan_table(spark):
@@ -176,3 +176,32 @@ def test_run_resume_into_named_plan_table(spark):
     assert audit.read_audit(spark, table).count() == 0
     assert sorted(r.resume_action for r in spark.table(plan_table).collect()) == ["START", "UNPAUSE"]
     assert plan.count() == 2
+
+
+def test_append_and_clear_whatever_the_table_looks_like(spark, tmp_path):
+    """Columns in another order and more of them, a name that needs quoting, an external table."""
+    rows = audit.audit_rows(_plan(spark, [(1, "JOB", "41", "nightly")]), NOW)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reversed(S.AUDIT.fields))
+    for name, extra, where in (("7_managed", "note STRING, ", ""), ("7_external", "", f" LOCATION '{tmp_path / 'there'}'")):
+        name = f"{name}_{uuid.uuid4().hex[:8]}"
+        spark.sql(f"CREATE TABLE `{name}` ({extra}{columns}) USING parquet{where}")
+        assert audit.append(rows, name) == 1
+        got = audit.read_audit(spark, name).collect()
+        assert [(r.resource_type, r.resource_id, r.resource_name, r.month) for r in got] == [("JOB", "41", "nightly", "2026-04")]
+        audit.clear(spark, name)
+        assert audit.read_audit(spark, name).count() == 0 and audit.append(rows, name) == 1
+        spark.sql(f"DROP TABLE `{name}`")
+
+
+def test_append_to_a_table_without_a_column_is_refused(spark):
+    name = f"sg_short_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE TABLE {name} (resource_type STRING) USING parquet")
+    with pytest.raises(ValueError, match="resource_id"):
+        audit.append(audit.audit_rows(_plan(spark, [(1, "JOB", "41", "nightly")]), NOW), name)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_default_clock_is_the_sessions(spark):
+    """Without ``now`` and ``as_of`` the plans use the query's own time."""
+    row = audit.audit_rows(_plan(spark, [(5, "APP", "a", "a")])).selectExpr("*", "current_timestamp() AS t", "date_format(current_date(), 'yyyy-MM') AS m").first()
+    assert row.timestamp == row.t and row.month == row.m

@@ -13,6 +13,9 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 import __spark_entry__ as entry  # noqa: E402
 from check_oracle import compare, duck  # noqa: E402
 
+from spendguard.oracle import SQL  # noqa: E402
+from spendguard.registry import QUERIES  # noqa: E402
+
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="generated tables not present")
 
@@ -23,12 +26,13 @@ def con():
 
 
 def test_every_query_has_oracle_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(SQL) == set(QUERIES)
+    assert set(SQL) <= set(entry.oracle_sql()) and set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    ok, line, details = compare(spark, con, SF_DIR, name, entry.queries()[name], entry.oracle_sql().get(name))
+    ok, line, details = compare(spark, con, SF_DIR, name, QUERIES[name], SQL[name])
     assert ok, line + "\n" + details
 
 

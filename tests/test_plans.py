@@ -15,9 +15,10 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 
-import __spark_entry__ as entry  # noqa: E402
 from plan_report import plan_text, summary  # noqa: E402
 
+from spendguard.registry import QUERIES  # noqa: E402
+
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="generated tables not present")
 
@@ -27,7 +28,7 @@ NO_SHUFFLE = {
     "cluster_stop_plan_targeted", "warehouse_stop_plan", "warehouse_stop_plan_targeted", "app_stop_plan",
     "app_stop_plan_targeted", "stop_plan_union", "stop_plan_targeted", "audit_rows", "audit_rows_succeeded",
     "audit_previous_month", "resume_plan", "resume_plan_unpause_placeholder", "resume_previous_month",
-    "job_paused_settings", "resume_job_settings", "resume_unknown",
+    "job_paused_settings", "resume_job_settings", "resume_unknown", "app_stop_plan_all_listed", "app_stop_plan_missing",
 }
 ONE_EXCHANGE = {"current_spend", "budget_status", "budget_status_empty_month", "budget_report_line"}
 
@@ -35,23 +36,26 @@ ONE_EXCHANGE = {"current_spend", "budget_status", "budget_status_empty_month", "
 @pytest.fixture(scope="module")
 def plans(spark):
     out = {}
-    for name, fn in entry.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, SF_DIR)
         df.collect()
         out[name] = plan_text(df)
     return out
 
 
-SHUFFLED = {"price_as_of_usage_shuffled", "job_stop_plan_targeted_shuffled", "resume_plan_shuffled"}
+SHUFFLED = {"price_as_of_usage_shuffled", "job_stop_plan_targeted_shuffled", "resume_plan_shuffled",
+            "run_cancel_plan_targeted_shuffled", "jobs_not_exempt_shuffled"}
+# These return rows that were written: their plans are a scan of the checkpoint.
+WRITTEN = {"budget_status_incremental", "audit_roundtrip", "audit_append_empty", "enforcement_cycle", "resume_cycle"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_quadratic_join(plans, name):
     joins = summary(plans[name])["joins"]
     assert not {"CartesianProduct", "BroadcastNestedLoopJoin"} & set(joins), joins
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SHUFFLED))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SHUFFLED))
 def test_small_sides_are_broadcast(plans, name):
     assert "SortMergeJoin" not in summary(plans[name])["joins"]
 
@@ -83,12 +87,32 @@ def _jobs(spark, name):
     group = f"plan-{name}"
     sc.setJobGroup(group, group)
     try:
-        entry.queries()[name](spark, SF_DIR).collect()
+        QUERIES[name](spark, SF_DIR).collect()
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
     return len(sc.statusTracker().getJobIdsForGroup(group))
 
 
+def test_audit_is_read_once_and_settings_are_pruned(spark, plans):
+    # audit and job inventory both come from orders: one scan each when the inventory is broadcast
+    assert plans["resume_plan"].count("Scan parquet") == 2
+
+
+def test_an_extra_settings_field_is_not_read(spark, tmp_path):
+    from spendguard.plans import resume_plan
+    from spendguard.sources import fixtures as fx
+
+    jobs = fx.jobs(spark, SF_DIR).selectExpr("job_id", "named_struct('name', settings.name, 'tasks', repeat('x', 50), 'schedule', settings.schedule, "
+                                             "'continuous', settings.continuous, 'trigger', settings.trigger) AS settings")
+    jobs.write.parquet(str(tmp_path / "jobs"))
+    stored = spark.read.parquet(str(tmp_path / "jobs"))
+    for options in ({}, {"max_broadcast_rows": 0}):
+        df = resume_plan(fx.audit(spark, SF_DIR), stored, **options)
+        df.collect()
+        text = plan_text(df)
+        assert "quartz_cron_expression" in text and "tasks" not in text
+
+
 def test_gate_subquery_runs_once(spark, plans):
     # The gate's scalar subquery is pushed into every union branch but computed once: the gated
     # plan runs exactly the jobs of the budget check plus those of the ungated plan.

@@ -1,88 +1,126 @@
-"""Stop plans on small inventories: exemptions, targets, states, job kinds and pause rewrites."""
+"""Stop plans against a plain evaluation of their rules, on random inventories; then the corners."""
 
 from __future__ import annotations
 
-from conftest import ids, make_job, schedule, settings
+import random
+
+import pytest
+from conftest import ids, job, schedule, settings
+from pyspark.sql import functions as F
 
 from spendguard import schemas as S
+from spendguard.functions import parse_targets
+from spendguard.operators import CheckedIds, check_id_sets
 from spendguard.plans import (
     action_counts,
     app_stop_plan,
     cluster_stop_plan,
+    enforcement_plan,
     gated_stop_plan,
     job_stop_plan,
     run_cancel_plan,
     stop_plan,
+    take_snapshot,
     warehouse_stop_plan,
 )
-from spendguard.functions import parse_targets
-
-EXEMPT = ["100", "300"]
-
-
-# --- jobs ------------------------------------------------------------------------------------------
-
-def test_own_job_exempt(jobs_df):
-    jobs = jobs_df([make_job(100, "Controller"), make_job(200, "Other")])
-    assert ids(job_stop_plan(jobs, exempt=EXEMPT), "job_id") == [200]
-
-
-def test_resumer_job_exempt(jobs_df):
-    jobs = jobs_df([make_job(100, "Controller"), make_job(200, "Other"), make_job(300, "Resumer")])
-    assert ids(job_stop_plan(jobs, exempt=EXEMPT), "job_id") == [200]
-
-
-def test_target_jobs_all(jobs_df):
-    jobs = jobs_df([make_job(100, "E"), make_job(200, "A"), make_job(300, "R"), make_job(400, "B")])
-    assert ids(job_stop_plan(jobs, targets=None, exempt=EXEMPT), "job_id") == [200, 400]
-
-
-def test_target_jobs_specific(jobs_df):
-    jobs = jobs_df([make_job(100, "E"), make_job(200, "A"), make_job(300, "R"), make_job(400, "B")])
-    assert ids(job_stop_plan(jobs, targets={"200"}, exempt=EXEMPT), "job_id") == [200]
-
-
-def test_target_jobs_excludes_nontargets(jobs_df):
-    jobs = jobs_df([make_job(200, "A"), make_job(400, "B"), make_job(500, "C")])
-    assert ids(job_stop_plan(jobs, targets={"400"}, exempt=EXEMPT), "job_id") == [400]
-
-
-def test_own_job_exempt_even_when_targeted(jobs_df):
-    jobs = jobs_df([make_job(100, "E"), make_job(200, "A")])
-    assert ids(job_stop_plan(jobs, targets={"100", "200"}, exempt=EXEMPT), "job_id") == [200]
-
-
-def test_resumer_exempt_even_when_targeted(jobs_df):
-    jobs = jobs_df([make_job(300, "R"), make_job(200, "A")])
-    assert ids(job_stop_plan(jobs, targets={"300", "200"}, exempt=EXEMPT), "job_id") == [200]
-
-
-def test_empty_target_means_nothing_stopped(jobs_df, spark):
-    jobs = jobs_df([make_job(200, "A"), make_job(400, "B")])
-    assert ids(job_stop_plan(jobs, targets=set(), exempt=EXEMPT), "job_id") == []
-    assert ids(job_stop_plan(jobs, targets=parse_targets(spark, ","), exempt=EXEMPT), "job_id") == []
 
-
-def test_no_settings_skipped(jobs_df):
-    assert ids(job_stop_plan(jobs_df([(200, None)]), exempt=EXEMPT), "job_id") == []
-
-
-def test_targets_as_dataframe_use_semi_join(jobs_df, spark):
-    jobs = jobs_df([make_job(200, "A"), make_job(400, "B"), make_job(711404742026056, "Big")])
-    targets = parse_targets(spark, "7.11404742026056e+14, 400")
-    assert ids(job_stop_plan(jobs, targets=targets), "job_id") == [400, 711404742026056]
-    assert ids(job_stop_plan(jobs, targets=targets, max_broadcast_rows=0), "job_id") == [400, 711404742026056]
-
-
-def test_null_or_blank_exempt_ids_exempt_nothing(jobs_df):
-    jobs = jobs_df([make_job(200, "A"), make_job(400, "B")])
-    assert ids(job_stop_plan(jobs, exempt=[None, ""]), "job_id") == [200, 400]
+OWN, RESUMER, OWN_CLUSTER = 8101, 8102, "k-own"
+EXEMPT = [str(OWN), str(RESUMER)]
+STATES = ["RUNNING", "RESIZING", "PENDING", "TERMINATED", "STARTING", "STOPPED", "DELETING", None]
+
+
+class Inventory:
+    """Rows drawn at random, with the two exempt jobs and the own cluster among them."""
+
+    def __init__(self, seed):
+        rng = random.Random(seed)
+        self.jobs = [(i, rng.choice(["none", "paused", "live"])) for i in [OWN, RESUMER, *rng.sample(range(1, 8000), 12)]]
+        known = [i for i, _ in self.jobs] + [None, 9999]
+        self.runs = [(100 + k, rng.choice(known), rng.choice([True, True, False, None])) for k in range(20)]
+        self.clusters = [(c, f"name of {c}", rng.choice(STATES)) for c in [OWN_CLUSTER, *(f"k-{n}" for n in range(9))]]
+        self.warehouses = [(f"h{n}", f"H {n}", rng.choice(STATES)) for n in range(9)]
+        self.apps = [f"app-{n}" for n in range(6)]
+        pool = [str(i) for i, _ in self.jobs] + [r[0] for r in self.clusters + self.warehouses] + self.apps
+        self.some = rng.sample(pool, len(pool) // 2) + [str(OWN), OWN_CLUSTER, "unheard-of"]
+
+    def frames(self, spark):
+        made = {"none": None, "paused": settings("j", schedule=schedule(status="PAUSED")), "live": settings("j", schedule=schedule())}
+        return dict(
+            jobs=spark.createDataFrame([(i, made[kind]) for i, kind in self.jobs], S.JOBS),
+            clusters=spark.createDataFrame(self.clusters, S.CLUSTERS),
+            warehouses=spark.createDataFrame(self.warehouses, S.WAREHOUSES),
+            apps=spark.createDataFrame([(a,) for a in self.apps], S.APPS))
+
+    def expected(self, wanted):
+        """What each plan must hold when ``wanted(id as text)`` says what is targeted."""
+        exempt = set(EXEMPT)
+        return dict(
+            jobs={i for i, kind in self.jobs if kind == "live" and str(i) not in exempt and wanted(str(i))},
+            runs={r for r, i, active in self.runs if active and str(i) not in exempt and wanted(str(i))},
+            clusters={c for c, _, state in self.clusters if c != OWN_CLUSTER and state in S.ACTIVE_CLUSTER_STATES and wanted(c)},
+            warehouses={w for w, _, state in self.warehouses if state in S.ACTIVE_WAREHOUSE_STATES and wanted(w)},
+            apps={a for a in self.apps if wanted(a)})
+
+
+def _targets(spark, inventory, form):
+    """A target set in one of the forms a caller may give it, and what it means."""
+    some = set(inventory.some)
+    if form == "everything":
+        return None, {}, lambda x: True
+    if form == "nothing":
+        return parse_targets(spark, " , ,"), {}, lambda x: False
+    if form == "list":
+        return inventory.some, {}, some.__contains__
+    table = spark.createDataFrame([(x,) for x in inventory.some * 2], "target_id string")
+    return table, {"max_broadcast_rows": 0} if form == "shuffled table" else {}, some.__contains__
+
+
+@pytest.mark.parametrize("form", ["everything", "nothing", "list", "table", "shuffled table"])
+def test_plans_follow_their_rules(spark, form):
+    inventory = Inventory(form)
+    frames = inventory.frames(spark)
+    targets, options, wanted = _targets(spark, inventory, form)
+    runs = spark.createDataFrame(inventory.runs, S.RUNS)
+    got = dict(
+        jobs=ids(job_stop_plan(frames["jobs"], targets=targets, exempt=EXEMPT, **options), "job_id"),
+        runs=ids(run_cancel_plan(runs, targets=targets, exempt=EXEMPT, **options), "run_id"),
+        clusters=ids(cluster_stop_plan(frames["clusters"], targets=targets, own_cluster_id=OWN_CLUSTER, **options), "cluster_id"),
+        warehouses=ids(warehouse_stop_plan(frames["warehouses"], targets=targets, **options), "id"),
+        apps=ids(app_stop_plan(frames["apps"], targets=targets, **options), "name"))
+    assert got == {k: sorted(v) for k, v in inventory.expected(wanted).items()}
+
+
+def test_a_list_that_says_all_in_a_table_of_lists(spark):
+    from spendguard.functions import explode_target_lists
+
+    inventory = Inventory("lists")
+    frames = inventory.frames(spark)
+    lists = spark.createDataFrame([("app-1, h2",), (" All ",), (",",)], "raw string")
+    for part, expected in ((lists, lambda x: True), (lists.where("raw not like '%All%'"), {"app-1", "h2"}.__contains__)):
+        targets = explode_target_lists(part)
+        for options in ({}, {"max_broadcast_rows": 0}):
+            assert ids(app_stop_plan(frames["apps"], targets=targets, **options), "name") == sorted(inventory.expected(expected)["apps"])
+    exempt = explode_target_lists(lists)  # an exempt table that says ALL spares every job
+    assert job_stop_plan(frames["jobs"], exempt=exempt).count() == 0
+
+
+def test_numbers_in_target_text_match_ids_and_padded_ids_do_not(spark):
+    frames = dict(jobs=spark.createDataFrame([job(640000000000123), job(77)], S.JOBS),
+                  clusters=spark.createDataFrame([("0077", "padded", "RUNNING")], S.CLUSTERS))
+    targets = parse_targets(spark, "6.40000000000123e+14, 0077")
+    assert ids(job_stop_plan(frames["jobs"], targets=targets), "job_id") == [77, 640000000000123]
+    assert ids(cluster_stop_plan(frames["clusters"], targets=targets), "cluster_id") == []
+
+
+def test_blank_exempt_ids_exempt_nothing(spark):
+    jobs = spark.createDataFrame([job(5), job(6)], S.JOBS)
+    assert ids(job_stop_plan(jobs, exempt=[None, ""]), "job_id") == [5, 6]
 
 
 def test_unknown_own_job_id_exempts_runs_without_job(spark):
-    runs = spark.createDataFrame([(1, None, True), (2, 200, True)], S.RUNS)
-    assert ids(run_cancel_plan(runs, exempt=[None, "300"]), "run_id") == [2]
-    assert ids(run_cancel_plan(runs, exempt=["100", "300"]), "run_id") == [1, 2]
+    runs = spark.createDataFrame([(1, None, True), (2, 44, True)], S.RUNS)
+    assert ids(run_cancel_plan(runs, exempt=[None, "61"]), "run_id") == [2]
+    assert ids(run_cancel_plan(runs, exempt=["60", "61"]), "run_id") == [1, 2]
 
 
 def test_job_kinds_and_pause_rewrites(jobs_df):
@@ -113,63 +151,6 @@ def test_job_kinds_and_pause_rewrites(jobs_df):
     assert rows[8].job_kind == "SCHEDULE" and tuple(rows[8].new_settings.schedule) == (None, None, "PAUSED")
 
 
-# --- runs ------------------------------------------------------------------------------------------
-
-def _runs(spark, rows):
-    return spark.createDataFrame([(run_id, job_id, True) for job_id, run_id in rows], S.RUNS)
-
-
-def test_own_job_runs_not_canceled(spark):
-    assert ids(run_cancel_plan(_runs(spark, [(100, 1), (200, 2)]), exempt=EXEMPT), "run_id") == [2]
-
-
-def test_resumer_runs_not_canceled(spark):
-    assert ids(run_cancel_plan(_runs(spark, [(300, 1), (200, 2)]), exempt=EXEMPT), "run_id") == [2]
-
-
-def test_only_targeted_runs_canceled(spark):
-    plan = run_cancel_plan(_runs(spark, [(200, 1), (400, 2)]), targets={"200"}, exempt=EXEMPT)
-    assert ids(plan, "run_id") == [1]
-
-
-def test_own_job_exempt_even_in_target(spark):
-    plan = run_cancel_plan(_runs(spark, [(100, 1), (200, 2)]), targets={"100", "200"}, exempt=EXEMPT)
-    assert ids(plan, "run_id") == [2]
-
-
-def test_inactive_runs_not_canceled_and_runs_without_job_kept(spark):
-    runs = spark.createDataFrame([(1, 200, False), (2, 200, None), (3, None, True)], S.RUNS)
-    assert ids(run_cancel_plan(runs, exempt=EXEMPT), "run_id") == [3]
-    assert ids(run_cancel_plan(runs, targets={"200"}, exempt=EXEMPT), "run_id") == []
-
-
-# --- clusters --------------------------------------------------------------------------------------
-
-def test_all_clusters_targeted(clusters_df):
-    c = clusters_df([("c1", "Cluster 1", "RUNNING"), ("c2", "Cluster 2", "RUNNING")])
-    assert ids(cluster_stop_plan(c, own_cluster_id="current"), "cluster_id") == ["c1", "c2"]
-
-
-def test_specific_cluster_targeted(clusters_df):
-    c = clusters_df([("c1", "Cluster 1", "RUNNING"), ("c2", "Cluster 2", "RUNNING")])
-    assert ids(cluster_stop_plan(c, targets={"c1"}, own_cluster_id="current"), "cluster_id") == ["c1"]
-
-
-def test_current_cluster_exempt(clusters_df):
-    c = clusters_df([("current", "Mine", "RUNNING"), ("c2", "Other", "RUNNING")])
-    assert ids(cluster_stop_plan(c, own_cluster_id="current"), "cluster_id") == ["c2"]
-
-
-def test_current_cluster_exempt_even_when_targeted(clusters_df):
-    c = clusters_df([("current", "Mine", "RUNNING"), ("c2", "Other", "RUNNING")])
-    assert ids(cluster_stop_plan(c, targets={"current", "c2"}, own_cluster_id="current"), "cluster_id") == ["c2"]
-
-
-def test_non_active_cluster_skipped(clusters_df):
-    c = clusters_df([("c1", "Cluster 1", "TERMINATED")])
-    assert ids(cluster_stop_plan(c, own_cluster_id="current"), "cluster_id") == []
-
-
 def test_cluster_states_null_and_case(clusters_df):
     c = clusters_df([("a", "A", "RESIZING"), ("b", "B", "PENDING"), ("c", "C", None), ("d", "D", "running"),
                      (None, "nameless", "RUNNING")])
@@ -178,122 +159,89 @@ def test_cluster_states_null_and_case(clusters_df):
     assert ids(cluster_stop_plan(c, own_cluster_id=None), "cluster_name") == ["A", "B"]
 
 
-def test_leading_zero_target_does_not_match_cluster(clusters_df, spark):
-    c = clusters_df([("0410", "Z", "RUNNING")])
-    assert ids(cluster_stop_plan(c, targets=parse_targets(spark, "0410")), "cluster_id") == []
-
-
-# --- warehouses, apps ------------------------------------------------------------------------------
-
-def _wh(spark, rows):
-    return spark.createDataFrame(rows, S.WAREHOUSES)
-
-
-def test_all_warehouses_targeted(spark):
-    w = _wh(spark, [("w1", "WH 1", "RUNNING"), ("w2", "WH 2", "RUNNING")])
-    assert ids(warehouse_stop_plan(w), "id") == ["w1", "w2"]
-
-
-def test_specific_warehouse_targeted(spark):
-    w = _wh(spark, [("w1", "WH 1", "RUNNING"), ("w2", "WH 2", "RUNNING")])
-    assert ids(warehouse_stop_plan(w, targets={"w1"}), "id") == ["w1"]
-
-
-def test_stopped_warehouse_skipped(spark):
-    w = _wh(spark, [("w1", "WH 1", "STOPPED"), ("w2", "WH 2", "STARTING"), ("w3", "WH 3", None)])
-    assert ids(warehouse_stop_plan(w), "id") == ["w2"]
-
-
-def _apps(spark, names):
-    return spark.createDataFrame([(n,) for n in names], S.APPS)
-
-
-def test_all_apps_targeted(spark):
-    assert ids(app_stop_plan(_apps(spark, ["app1", "app2"])), "name") == ["app1", "app2"]
-
-
-def test_specific_app_targeted(spark):
-    assert ids(app_stop_plan(_apps(spark, ["app1", "app2"]), targets={"app1"}), "name") == ["app1"]
-
-
-def test_no_apps_when_empty_target(spark):
-    assert ids(app_stop_plan(_apps(spark, ["app1"]), targets=set()), "name") == []
-
-
 def test_missing_app_listing_is_empty(spark):
     assert app_stop_plan(None).count() == 0
 
 
-# --- union and gate --------------------------------------------------------------------------------
-
-def _inventory(spark, jobs_df, clusters_df):
-    return dict(
-        jobs=jobs_df([make_job(100, "E"), make_job(200, "A"), make_job(400, "B", paused=True)]),
-        clusters=clusters_df([("c1", "C1", "RUNNING"), ("c2", "C2", "TERMINATED")]),
-        warehouses=_wh(spark, [("w1", "W1", "STARTING")]),
-        apps=_apps(spark, ["a1", "a1"]),
-        exempt_jobs=EXEMPT,
-        own_cluster_id="cX",
-    )
-
-
-def test_stop_plan_union_keeps_duplicates_and_steps(spark, jobs_df, clusters_df):
-    plan = stop_plan(**_inventory(spark, jobs_df, clusters_df))
-    rows = sorted(tuple(r) for r in plan.collect())
-    assert rows == [(1, "JOB", "200", "A"), (3, "CLUSTER", "c1", "C1"), (4, "WAREHOUSE", "w1", "W1"),
-                    (5, "APP", "a1", "a1"), (5, "APP", "a1", "a1")]
-    counts = {r.resource_type: r.actions for r in action_counts(plan).collect()}
-    assert counts == {"JOB": 1, "CLUSTER": 1, "WAREHOUSE": 1, "APP": 2}
-
+# --- union, gate, snapshot ------------------------------------------------------------------------
 
 def _status(spark, status, spend="1.0"):
     return spark.createDataFrame([(status, spend)], "budget_status string, current_spend string")
 
 
-def test_gate_opens_only_over_budget(spark, jobs_df, clusters_df):
-    inv = _inventory(spark, jobs_df, clusters_df)
-    assert gated_stop_plan(_status(spark, "OVER_BUDGET"), **inv).count() == 5
-    assert gated_stop_plan(_status(spark, "WITHIN_BUDGET"), **inv).count() == 0
-    assert gated_stop_plan(_status(spark, None), **inv).count() == 0
-
-
-def test_end_to_end_parse_then_filter(spark, jobs_df, clusters_df):
-    targets = parse_targets(spark, "200,400")
-    jobs = jobs_df([make_job(100, "E"), make_job(200, "A"), make_job(300, "R"), make_job(400, "B"),
-                    make_job(500, "C")])
-    assert ids(job_stop_plan(jobs, targets=targets, exempt=EXEMPT), "job_id") == [200, 400]
-    c = clusters_df([("c1", "1", "RUNNING"), ("c2", "2", "RUNNING"), ("c3", "3", "RUNNING")])
-    assert ids(cluster_stop_plan(c, targets=parse_targets(spark, "c2")), "cluster_id") == ["c2"]
-    w = _wh(spark, [("w1", "1", "RUNNING"), ("w2", "2", "RUNNING"), ("w3", "3", "RUNNING")])
-    assert ids(warehouse_stop_plan(w, targets=parse_targets(spark, "w1,w3")), "id") == ["w1", "w3"]
-    assert parse_targets(spark, "ALL") is None
-    assert ids(job_stop_plan(jobs_df([make_job(200, "A"), make_job(400, "B")]), targets=None), "job_id") == [200, 400]
-
-
-def test_enforcement_plan_gates_stops_and_runs(spark, jobs_df, clusters_df):
-    from spendguard.plans import enforcement_plan
-    inv = _inventory(spark, jobs_df, clusters_df)
-    runs = spark.createDataFrame([(1, 200, True), (2, 100, True), (3, 400, False)], S.RUNS)
-    over = enforcement_plan(_status(spark, "OVER_BUDGET"), runs=runs, **inv)
-    assert over.stops.count() == 5 and ids(over.runs, "run_id") == [1]
-    within = enforcement_plan(_status(spark, "WITHIN_BUDGET"), runs=runs, **inv)
-    assert within.stops.count() == 0 and within.runs.count() == 0
-    assert enforcement_plan(_status(spark, "OVER_BUDGET"), **inv).runs.count() == 0
-
-
-def test_check_id_sets_counts_each_set_once(spark):
-    from spendguard.operators import CheckedIds, check_id_sets
+def test_union_holds_every_plan_with_its_step(spark):
+    inventory = Inventory("union")
+    inventory.apps.append(inventory.apps[0])  # a repeated row stays repeated
+    expected = inventory.expected(lambda x: True)
+    plan = stop_plan(**inventory.frames(spark), exempt_jobs=EXEMPT, own_cluster_id=OWN_CLUSTER)
+    rows = sorted((r.step, r.resource_type, r.resource_id) for r in plan.collect())
+    assert rows == sorted([(1, "JOB", str(i)) for i in expected["jobs"]] + [(3, "CLUSTER", c) for c in expected["clusters"]]
+                          + [(4, "WAREHOUSE", w) for w in expected["warehouses"]] + [(5, "APP", a) for a in inventory.apps])
+    counts = {r.resource_type: r.actions for r in action_counts(plan).collect()}
+    assert counts["APP"] == len(inventory.apps) and sum(counts.values()) == len(rows)
+
+
+@pytest.mark.parametrize("verdict", ["OVER_BUDGET", "WITHIN_BUDGET", None])
+def test_gate_opens_only_over_budget(spark, verdict):
+    inventory = Inventory("gate")
+    args = dict(inventory.frames(spark), exempt_jobs=EXEMPT, own_cluster_id=OWN_CLUSTER)
+    runs = spark.createDataFrame(inventory.runs, S.RUNS)
+    expected = inventory.expected(lambda x: True)
+    n = sum(len(v) for k, v in expected.items() if k != "runs") if verdict == "OVER_BUDGET" else 0
+    cancelled = sorted(expected["runs"]) if verdict == "OVER_BUDGET" else []
+    assert gated_stop_plan(_status(spark, verdict), **args).count() == n
+    for make in (enforcement_plan, take_snapshot):
+        plan = make(_status(spark, verdict), runs=runs, **args)
+        assert plan.stops.count() == n and ids(plan.runs, "run_id") == cancelled
+        assert make(_status(spark, verdict), **args).runs.count() == 0
+
+
+def test_snapshot_stays_when_the_inventory_changes(spark, tmp_path):
+    path = str(tmp_path / "clusters")
+    before = [("k1", "one", "RUNNING"), ("k2", "two", "PENDING")]
+    spark.createDataFrame(before, S.CLUSTERS).write.parquet(path)
+    args = dict(Inventory("snapshot").frames(spark), clusters=spark.read.schema(S.CLUSTERS).parquet(path))
+    kept = take_snapshot(_status(spark, "OVER_BUDGET"), **args)
+    named = take_snapshot(_status(spark, "OVER_BUDGET"), stops_table="7_sg_stops", runs_table="7_sg_runs", **args)
+    spark.createDataFrame([(c, n, "TERMINATED") for c, n, _ in before], S.CLUSTERS).write.mode("overwrite").parquet(path)
+    for plan in (kept, named):
+        assert ids(plan.stops.where("resource_type = 'CLUSTER'"), "resource_id") == ["k1", "k2"]
+    for name in ("7_sg_stops", "7_sg_runs"):
+        spark.sql(f"DROP TABLE `{name}`")
+
+
+def test_id_sets_are_counted_once_and_keep_their_duplicates(spark):
     shared = spark.createDataFrame([("1",), ("2",), ("2",)], "target_id string")
     other = spark.createDataFrame([("x",)], "id string")
     a, b, c, d, e = check_id_sets([shared, other, shared, None, ["9"]])
     assert isinstance(a, CheckedIds) and a is c and a.broadcast
     assert isinstance(b, CheckedIds) and d is None and e == ["9"]
     big = check_id_sets([shared], max_broadcast_rows=2)[0]
-    assert not big.broadcast and sorted(r[0] for r in big.ids.collect()) == ["1", "2"]  # de-duplicated
+    assert not big.broadcast and sorted(r[0] for r in big.ids.collect()) == ["1", "2", "2"]
+
+
+def test_hot_job_id_is_split_in_semi_and_anti_joins(spark):
+    """Half of the runs belong to one job: on the shuffle path AQE splits its partition (the
+    thresholds are lowered to this data size)."""
+    runs = spark.range(20_000).select(F.col("id").alias("run_id"), F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("job_id"),
+                                      F.lit(True).alias("active"))
+    table = spark.range(4_000).select(F.col("id").cast("string").alias("target_id"))
+    lowered = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+               "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in lowered}
+    try:
+        for k, v in lowered.items():
+            spark.conf.set(k, v)
+        for plan, n in ((run_cancel_plan(runs, targets=table, max_broadcast_rows=0), 12_000 - 1), (run_cancel_plan(runs, exempt=table, max_broadcast_rows=0), 8_000)):
+            rows = plan.collect()
+            assert abs(len(rows) - n) <= 1
+            assert "SortMergeJoin(skew=true)" in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_concurrent_checks_run_in_the_callers_job_group(spark):
-    from spendguard.operators import check_id_sets
     sc = spark.sparkContext
     sets = [spark.createDataFrame([(str(i),)], "target_id string") for i in range(3)]
     sc.setJobGroup("sg-checks", "size checks")

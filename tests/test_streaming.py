@@ -1,9 +1,7 @@
-"""Incremental budget check: usage files priced once as they arrive, totals equal to the batch."""
+"""Incremental usage totals: each file is summed once, and the check over the sums equals the batch."""
 
 from __future__ import annotations
 
-import contextlib
-import io
 import os
 
 import pytest
@@ -11,59 +9,75 @@ from pyspark.sql import functions as F
 
 from spendguard.plans import budget_check
 from spendguard.sources import fixtures as fx
-from spendguard.streaming import budget_from_month_spend, read_month_spend, start_month_spend
+from spendguard.streaming import read_usage_totals, start_usage_totals, usage_totals
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="generated tables not present")
 
 
-def _values(df):
-    row = df.first()
-    return row.budget_status, row.current_spend
+def _check(usage, prices):
+    return tuple(budget_check(usage, prices, fx.THRESHOLD, fx.AS_OF).first())
 
 
-def test_two_runs_process_only_new_files_and_match_batch(spark, tmp_path):
+@pytest.fixture
+def landing(spark, tmp_path):
+    """A folder that usage files land in, and a way to run the stream over what has arrived."""
     lineitem = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
-    cut = lineitem.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_orderkey)")).first()[0]
-    first, second = lineitem.filter(F.col("l_orderkey") < cut), lineitem.filter(F.col("l_orderkey") >= cut)
-    landing, table = str(tmp_path / "landing"), "sg_stream_month_spend"
-    checkpoint = str(tmp_path / "stream")
-    spark.sql(f"CREATE TABLE {table} (usage_month DATE, spend DECIMAL(38,12), priced_rows BIGINT) "
-              f"USING parquet LOCATION '{tmp_path / 'totals'}'")
-    prices = fx.list_prices(spark, SF_DIR)
-
-    plans = []
+    path, table = str(tmp_path / "landing"), f"7_sg_{tmp_path.name}"
 
     def run():
-        stream = fx.usage_from_lineitem(spark.readStream.schema(lineitem.schema).parquet(landing))
-        query = start_month_spend(stream, prices, table=table, checkpoint=checkpoint)
+        stream = fx.usage_from_lineitem(spark.readStream.schema(lineitem.schema).parquet(path))
+        query = start_usage_totals(stream, table=table, checkpoint=str(tmp_path / "stream"))
         query.awaitTermination()
-        buf = io.StringIO()
-        with contextlib.redirect_stdout(buf):
-            query.explain()
-        plans.append(buf.getvalue())
         return sum(p["numInputRows"] for p in query.recentProgress)
 
-    first.write.parquet(landing)
+    yield lineitem, path, table, run
+    spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+
+
+def test_two_runs_read_only_new_files_and_match_the_batch(spark, landing):
+    lineitem, path, table, run = landing
+    first, second = lineitem.filter("l_orderkey % 2 = 0"), lineitem.filter("l_orderkey % 2 = 1")
+    prices = fx.list_prices(spark, SF_DIR)
+    first.write.parquet(path)
     assert run() == first.count()
-    batch_first = budget_check(fx.usage_from_lineitem(first), prices, fx.THRESHOLD, fx.AS_OF)
-    assert _values(budget_from_month_spend(read_month_spend(spark, table), fx.THRESHOLD, fx.AS_OF)) == _values(batch_first)
-
-    second.write.mode("append").parquet(landing)
-    assert run() == second.count()  # only the new files are read
-    # Micro-batch plan: the checked price list is broadcast, the month totals are pre-aggregated
-    # per task before the state store.
-    assert "BroadcastHashJoin" in plans[-1] and "partial_sum" in plans[-1] and "StateStoreSave" in plans[-1]
-    batch_all = budget_check(fx.usage(spark, SF_DIR), prices, fx.THRESHOLD, fx.AS_OF)
-    assert _values(budget_from_month_spend(read_month_spend(spark, table), fx.THRESHOLD, fx.AS_OF)) == _values(batch_all)
-    totals = read_month_spend(spark, table)
-    assert str(tmp_path / "totals") in totals.inputFiles()[0]  # the table kept its location
-    assert totals.agg(F.sum("priced_rows")).first()[0] == fx.usage(spark, SF_DIR).join(
-        prices.withColumnRenamed("sku_name", "s"), F.expr(
-            "sku_name = s AND usage_end_time >= price_start_time AND "
-            "(price_end_time IS NULL OR usage_end_time < price_end_time)")).count()
-
-
-def test_empty_totals_are_within_budget(spark):
-    empty = spark.createDataFrame([], "usage_month date, spend decimal(38,12), priced_rows bigint")
-    assert _values(budget_from_month_spend(empty, 0, fx.AS_OF)) == ("WITHIN_BUDGET", None)
+    assert _check(read_usage_totals(spark, table), prices) == _check(fx.usage_from_lineitem(first), prices)
+    early = spark.table(f"`{table}`").where("batch_id = 0").collect()
+    second.write.mode("append").parquet(path)
+    assert run() == second.count()
+    assert _check(read_usage_totals(spark, table), prices) == _check(fx.usage(spark, SF_DIR), prices)
+    assert sorted(map(str, spark.table(f"`{table}`").where("batch_id = 0").collect())) == sorted(map(str, early))  # untouched
+    assert run() == 0
+
+
+def test_a_price_that_arrives_late_prices_earlier_usage(spark, landing):
+    lineitem, path, table, run = landing
+    lineitem.write.parquet(path)
+    run()
+    prices = fx.list_prices(spark, SF_DIR)
+    few = prices.filter(F.crc32(F.col("sku_name").cast("binary")) % 3 == 0)
+    for known in (few, prices):
+        assert _check(read_usage_totals(spark, table), known) == _check(fx.usage(spark, SF_DIR), known)
+
+
+def test_a_repeated_batch_replaces_its_own_partition(spark, landing, tmp_path):
+    """The stream's checkpoint is lost after the write: the batch runs again under its number."""
+    import shutil
+
+    lineitem, path, table, run = landing
+    lineitem.write.parquet(path)
+    run()
+    shutil.rmtree(tmp_path / "stream" / "commits")
+    run()
+    totals = read_usage_totals(spark, table)
+    assert totals.agg(F.sum("usage_quantity")).first()[0] == fx.usage(spark, SF_DIR).agg(F.sum("usage_quantity")).first()[0]
+
+
+def test_price_list_beyond_the_broadcast_bound(spark):
+    usage, prices = fx.usage(spark, SF_DIR), fx.list_prices(spark, SF_DIR)
+    shuffled = budget_check(usage_totals(usage), prices, fx.THRESHOLD, fx.AS_OF, max_broadcast_rows=0)
+    assert tuple(shuffled.first()) == _check(usage, prices)
+
+
+def test_no_totals_are_within_budget(spark):
+    assert _check(usage_totals(fx.usage(spark, SF_DIR).limit(0)), fx.list_prices(spark, SF_DIR)) == ("WITHIN_BUDGET", None)

@@ -13,29 +13,19 @@ def parsed(spark, raw):
     return None if df is None else {r.target_id for r in df.collect()}
 
 
-@pytest.mark.parametrize("raw", ["ALL", "all", "All", "", "   ", "  ALL  ", None, "\tall\n"])
+@pytest.mark.parametrize("raw", ["aLL", "\tALL \n", "\n", None, "ALL\x0b"])
 def test_all_and_blank_mean_everything(spark, raw):
     assert parsed(spark, raw) is None
 
 
-@pytest.mark.parametrize("raw, expected", [
-    ("12345", {"12345"}),
-    ("111,222,333", {"111", "222", "333"}),
-    (" 111 , 222 , 333 ", {"111", "222", "333"}),
-    ("0410-123456-abc123,0410-789012-def456", {"0410-123456-abc123", "0410-789012-def456"}),
-    ("111,222,", {"111", "222"}),
-    ("my-app,data-explorer", {"my-app", "data-explorer"}),
-    ("711404742026056", {"711404742026056"}),
-    ("7.11404742026056e+14", {"711404742026056"}),
-    ("711404742026056.0", {"711404742026056"}),
-    ("711404742026056,1.23456789e+11", {"711404742026056", "123456789000"}),
-    (711404742026056, {"711404742026056"}),
-    (7.11404742026056e+14, {"711404742026056"}),
-    ("0410-123456-abc123", {"0410-123456-abc123"}),
-    ("8c622aa24ea3a6da", {"8c622aa24ea3a6da"}),
-])
-def test_parse_cases(spark, raw, expected):
-    assert parsed(spark, raw) == expected
+def test_items_are_split_stripped_and_read_as_the_numbers_they_are(spark):
+    """Every spelling of some numbers, among names that only look like numbers, in one list."""
+    numbers = [7, 40, 123456, 98765432109876]
+    spellings = [f(n) for n in numbers for f in (str, "{:.1f}".format, "{:e}".format, "  {}\t".format, "00{}".format, "+{}".format) if float(f(n)) == n]
+    names = ["k-77-x1", "e5", "12e", "7f3a9c", "svc one", "1,5".replace(",", "_")]
+    raw = " ,".join(spellings + names) + ",,"
+    assert parsed(spark, raw) == {str(n) for n in numbers} | set(names)
+    assert parsed(spark, 98765432109876) == parsed(spark, 98765432109876.0) == {"98765432109876"}
 
 
 def test_comma_only_is_empty_not_all(spark):
@@ -61,6 +51,14 @@ def test_all_among_items_is_literal(spark):
     ("inf", "inf"),
     ("1e400", "1e400"),       # infinite as a double
     ("9007199254740993", "9007199254740992"),  # beyond 2^53 precision is lost, as with a float
+    ("8.99e18", "8990000000000000000"),
+    ("9e18", "9000000000000000000"),
+    ("1e19", "10000000000000000000"),
+    ("-1e19", "-10000000000000000000"),
+    ("12345678901234567890", "12345678901234567168"),
+    ("1e23", "99999999999999991611392"),
+    ("8.1e31", "81000000000000000203279728377856"),
+    ("8.2e31", "8.2e31"),     # from 2^106 on the text stays
     ("c1", "c1"),
 ])
 def test_normalize_id(spark, item, expected):
@@ -73,12 +71,13 @@ def test_normalize_null_stays_null(spark):
     assert got is None
 
 
-def test_explode_keeps_other_columns_and_skips_all_lists(spark):
+def test_explode_keeps_other_columns_and_flags_all_lists(spark):
     lists = spark.createDataFrame(
-        [("JOB", " 1 , 2.0 ,"), ("JOB", "ALL"), ("CLUSTER", "c1,,c2"), ("APP", ",")],
+        [("JOB", " 1 , 2.0 ,"), ("JOB", "ALL"), ("CLUSTER", "c1,,c2"), ("APP", ","), ("APP", "\t"), ("APP", None)],
         "resource_type string, raw string")
-    rows = sorted(tuple(r) for r in explode_target_lists(lists).collect())
-    assert rows == [("CLUSTER", "c1"), ("CLUSTER", "c2"), ("JOB", "1"), ("JOB", "2")]
+    rows = sorted((tuple(r) for r in explode_target_lists(lists).collect()), key=str)
+    assert rows == sorted([("CLUSTER", "c1", False), ("CLUSTER", "c2", False), ("JOB", "1", False), ("JOB", "2", False),
+                           ("JOB", None, True), ("APP", None, True)], key=str)
 
 
 def test_is_all_targets(spark):

@@ -8,7 +8,7 @@ import uuid
 
 import pytest
 
-from conftest import ids, make_job
+from conftest import ids, job
 from spendguard import schemas as S
 from spendguard.plans import audit
 from spendguard.sources import fixtures as fx
@@ -20,8 +20,7 @@ NOW = dt.datetime(2026, 4, 20, 8, 0)
 
 def _inv(spark, jobs_df, clusters_df):
     return dict(
-        jobs=jobs_df([make_job(100, "Controller"), make_job(200, "A"), make_job(300, "Resumer"), make_job(400, "B"),
-                      make_job(500, "C")]),
+        jobs=jobs_df([job(i) for i in (100, 200, 300, 400, 500)]),
         clusters=clusters_df([("c1", "C1", "RUNNING"), ("c2", "C2", "RUNNING"), ("own", "Own", "RUNNING")]),
         warehouses=spark.createDataFrame([("w1", "W1", "RUNNING"), ("w2", "W2", "STOPPED")], S.WAREHOUSES),
         apps=spark.createDataFrame([("my-app",), ("other",)], S.APPS),

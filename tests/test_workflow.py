@@ -9,7 +9,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from spendguard.plans import audit, budget_check, enforcement_plan, run_resume, status_values
+from spendguard.plans import audit, budget_check, run_resume, status_values, take_snapshot
 from spendguard.sources import fixtures as fx
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -27,7 +27,7 @@ def test_stop_record_resume_cycle(spark):
     status = budget_check(fx.usage(spark, SF_DIR), fx.list_prices(spark, SF_DIR), fx.THRESHOLD, fx.AS_OF)
     assert status_values(status)[0] == "OVER_BUDGET"
 
-    plan = enforcement_plan(status, runs=fx.runs(spark, SF_DIR), **_inventory(spark))
+    plan = take_snapshot(status, runs=fx.runs(spark, SF_DIR), **_inventory(spark))
     stops = plan.stops.collect()
     assert plan.runs.count() > 0 and len(stops) > 0
     outcomes = fx.outcomes(spark, SF_DIR)
@@ -56,7 +56,22 @@ def test_stop_record_resume_cycle(spark):
 def test_within_budget_records_nothing(spark):
     table = f"sg_flow_{uuid.uuid4().hex[:8]}.paused_jobs"
     status = budget_check(fx.usage(spark, SF_DIR), fx.list_prices(spark, SF_DIR), 10 ** 15, fx.AS_OF)
-    plan = enforcement_plan(status, runs=fx.runs(spark, SF_DIR), **_inventory(spark))
+    plan = take_snapshot(status, runs=fx.runs(spark, SF_DIR), **_inventory(spark))
     assert not audit.record_actions(plan.stops, table, now=fx.NOW)
     assert plan.runs.count() == 0
     assert run_resume(spark, table, fx.jobs(spark, SF_DIR)) is None
+
+
+def test_one_control_run_reads_the_usage_once(spark, tmp_path):
+    """The status is computed once and handed on as a value: later reads of the plan, its recording
+    and its counting touch no usage (whose files are gone by then)."""
+    import shutil
+
+    path = str(tmp_path / "usage")
+    fx.usage(spark, SF_DIR).write.parquet(path)
+    status = budget_check(spark.read.parquet(path), fx.list_prices(spark, SF_DIR), fx.THRESHOLD, fx.AS_OF)
+    plan = take_snapshot(status, runs=fx.runs(spark, SF_DIR), **_inventory(spark))
+    shutil.rmtree(path)
+    assert plan.status.first().budget_status == "OVER_BUDGET" and plan.runs.count() > 0
+    table = f"sg_flow_{uuid.uuid4().hex[:8]}.paused_jobs"
+    assert audit.record_actions(plan.stops, table, now=fx.NOW) == plan.stops.count() > 0
