@@ -22,20 +22,24 @@ from spendguard.session import checkpoint_dir
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Each row as one column beside its text, so that no column of a stage meets one of the table."""
+    return docs.select(F.struct(*map(column, docs.columns)).alias("doc"), text_of("text").alias("text"))
+
+
 def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain finds toxic go."""
     bound_batches(spark)
     chain = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), toxicity.categories())
-    rows = toxicity.score(docs.withColumn("_all_text", text_of("text")), chain, text_col="_all_text", out_col="_toxicity")
-    return rows.where(F.col("_toxicity.toxic") < toxicity.THRESHOLD).select(*map(column, docs.columns))
+    rows = toxicity.score(_whole(docs), chain, text_col="text", out_col="found")
+    return rows.where(F.col("found.toxic") < toxicity.THRESHOLD).select("doc.*")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold go."""
     bound_batches(spark)
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    rows = quality.score(docs, model, out_col="_quality")
-    return rows.where(F.col("_quality") >= quality.THRESHOLD).select(*map(column, docs.columns))
+    return quality.score(_whole(docs), model, text_col="text", out_col="found").where(F.col("found") >= quality.THRESHOLD).select("doc.*")
 
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
