@@ -23,6 +23,7 @@ from .common import column, text_of
 
 #: Characters that stand between words, and phrases whose places are always reported.
 _BETWEEN = "\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F"
+_SEPARATORS = "".join(chr(c) for c in (*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)))
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: A licence word is rare from this inverse document frequency on (natural logarithm).
 MIN_IDF = 2.0
@@ -60,7 +61,7 @@ TEMPLATES = (
 
 def words_of(text: Column) -> Column:
     """The lower-case words of a text, in order."""
-    inner = F.regexp_replace(F.lower(text), f"^[{_BETWEEN}]+|[{_BETWEEN}]+$", "")
+    inner = F.btrim(F.lower(text), F.lit(_SEPARATORS))
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"[{_BETWEEN}]+"))
 
 
