@@ -171,17 +171,17 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], *, id_co
     last = F.col(f"_y{len(names) - 1}")
     few = known.where(last == 1).orderBy(by_hash, "_id").limit(max_rows).unionByName(known.where(last == 0).orderBy(by_hash, "_id").limit(max_rows))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def features_of(text: pd.Series) -> pd.Series:
         words = _Known(word_features)
-        return text.map(lambda t: sorted(features(t, words)))
+        return text.map(lambda t: np.array(sorted(features(t, words)), dtype="<i4").tobytes())
 
     texts = docs.select(column(id_col).alias("_id"), text_of(text_col).alias("_text"))
     sample = (texts.join(F.broadcast(few), "_id")  # bounded by max_rows
               .select(features_of("_text").alias("f"), (F.crc32(F.col("_text").cast("binary")) % FOLDS).alias("fold"),
                       *(f"_y{k}" for k in range(len(names)))).collect())
-    sample.sort(key=lambda r: (r["fold"], r["f"], [r[f"_y{k}"] for k in range(len(names))]))
-    chain = fit_chain([np.array(r["f"], dtype=np.int64) for r in sample], np.array([r["fold"] for r in sample], dtype=int),
+    sample.sort(key=lambda r: (r["fold"], bytes(r["f"]), [r[f"_y{k}"] for k in range(len(names))]))
+    chain = fit_chain([np.frombuffer(r["f"], dtype="<i4") for r in sample], np.array([r["fold"] for r in sample], dtype=int),
                       {name: np.array([r[f"_y{k}"] for r in sample], dtype=float) for k, name in enumerate(names)})
     # the sample may hold fewer rows of the larger class: the last category's odds go back to the table's
     share = {r["y"]: r["n"] for r in known.groupBy(last.alias("y")).agg(F.count("*").alias("n")).collect()}
