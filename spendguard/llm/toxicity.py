@@ -62,8 +62,8 @@ def features(text: str, known: dict) -> set[int]:
 
 @dataclass(frozen=True)
 class Link:
-    """One category's model: weights of the kept features, of the log-odds of the categories before
-    it, and an intercept."""
+    """One category's model: weights of the kept features and of the probabilities of the categories
+    before it, and an intercept."""
 
     name: str
     weights: dict[int, float]
@@ -75,11 +75,11 @@ class Link:
 class Chain:
     links: tuple[Link, ...] = field(default=())
 
-    def log_odds(self, found: set[int]) -> list[float]:
+    def probabilities(self, found: set[int]) -> list[float]:
         out: list[float] = []
         for link in self.links:
-            z = link.intercept + sum(link.weights[f] for f in found if f in link.weights)
-            out.append(float(np.clip(z + sum(a * b for a, b in zip(link.before, out, strict=True)), -30, 30)))
+            z = link.intercept + sum(link.weights[f] for f in sorted(found) if f in link.weights)
+            out.append(float(_sigmoid(z + sum(a * b for a, b in zip(link.before, out, strict=True)))))
         return out
 
 
@@ -152,7 +152,7 @@ def fit_chain(texts: list[np.ndarray], folds: np.ndarray, targets: dict[str, np.
             full = np.zeros(DIMENSIONS)
             full[kept] = weights[:len(kept)]
             z = np.bincount(rows, weights=full[values], minlength=n) + before @ weights[len(kept):] + intercept
-            out[here] = np.clip(z[here], -30, 30)
+            out[here] = _sigmoid(z[here])
         before = np.column_stack([before, out])
     return Chain(tuple(links))
 
@@ -199,7 +199,7 @@ def score(docs: DataFrame, chain: Chain, *, text_col: str = "text", out_col: str
     @F.pandas_udf(", ".join(f"`{link.name}` double" for link in chain.links))
     def probabilities(text: pd.Series) -> pd.DataFrame:
         known = _worker_words(kept)
-        return pd.DataFrame([_sigmoid(np.array(chain.log_odds(features(t, known)))) for t in text], columns=[x.name for x in chain.links])
+        return pd.DataFrame([chain.probabilities(features(t, known)) for t in text], columns=[x.name for x in chain.links])
 
     return docs.withColumn(out_col, probabilities(text_of(text_col)))
 

@@ -41,7 +41,7 @@ def test_stages_and_run(spark, tmp_path):
 
     chain = toxicity.fit(docs, labels, toxicity.categories())
     words = toxicity._Known(toxicity.word_features)
-    toxic = {i for i, r in seen.items() if chain.log_odds(toxicity.features(r[1] or "", words))[-1] >= 0}
+    toxic = {i for i, r in seen.items() if chain.probabilities(toxicity.features(r[1] or "", words))[-1] >= 0.5}
     one = step("toxicity", docs)
     assert kept(one) == set(seen) - toxic
     toxic_labels = {r.doc_id for r in labels.where("toxic = 1").collect()}

@@ -55,16 +55,17 @@ def test_fit_does_not_depend_on_the_order_of_rows(spark):
 
 
 def test_later_model_uses_out_of_fold_predictions():
-    """The second category is the first one: its weight on the first one's odds is what tells it."""
+    """The second category is the first one: its weight on the first one's probability tells it."""
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 300).astype(float)
     texts = [np.array(sorted({int(7 + v), *rng.integers(100, 2000, 5)})) for v in y]
     chain = toxicity.fit_chain(texts, np.arange(300) % toxicity.FOLDS, {"a": y, "b": y})
-    assert chain.links[0].before == () and chain.links[1].before[0] > 0
-    # random first categories have out-of-fold odds that say nothing
+    first = chain.links[1].before[0]
+    assert chain.links[0].before == () and first > 0.5
+    # a random first category has out-of-fold probabilities that say nothing
     noise = rng.integers(0, 2, 300).astype(float)
     chain = toxicity.fit_chain(texts, np.arange(300) % toxicity.FOLDS, {"a": noise, "b": y})
-    assert abs(chain.links[1].before[0]) < 0.5
+    assert abs(chain.links[1].before[0]) < 1 < 2 * first
 
 
 def test_without_labels_or_with_one_class(spark):
