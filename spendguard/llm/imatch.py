@@ -68,7 +68,7 @@ def _subset_hash(terms: Column, seed: int, least: Column) -> Column:
     the power of two that is next above the least field."""
     bound = F.pow(F.lit(2.0), F.length(F.bin(least))).cast("long")
     inside = F.filter(terms, lambda t: _field(t, seed) < bound)
-    return F.lower(F.hex(F.xxhash64(F.lit(seed), bound, inside)))
+    return F.xxhash64(F.lit(seed), bound, inside)
 
 
 def with_fingerprint(rows: DataFrame, text: str, out: str, bitmap: Column) -> DataFrame:
@@ -93,6 +93,10 @@ def _least(terms: str, seed: int) -> Column:
     return F.array_min(F.transform(terms, lambda t: _field(t, seed)))
 
 
+def _shown(hashes: str) -> Column:
+    return F.array_join(F.transform(hashes, lambda h: F.lower(F.hex(h))), "-")
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of the seeds whose hashes agree; 0 where there is no fingerprint to compare with."""
     same = sum((F.coalesce(F.get(a, F.lit(s)) == F.get(b, F.lit(s)), F.lit(False)).cast("int") for s in range(SEEDS)), F.lit(0))
@@ -151,5 +155,5 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     nexts = (done.where(F.col("_id").isNotNull()).groupBy(F.col("_id").alias("_next")).agg(F.min("_f").alias("_g")))
     return (done.join(nexts, "_next", "left")
             .select(F.col("_id").alias(id_col), "n_chars", "edited_sha256",
-                    F.array_join("_f", "-").alias("fingerprint"), F.array_join("_e", "-").alias("edited_fingerprint"),
+                    _shown("_f").alias("fingerprint"), _shown("_e").alias("edited_fingerprint"),
                     likeness(F.col("_f"), F.col("_e")).alias("near_edited"), likeness(F.col("_f"), F.col("_g")).alias("near_next")))
