@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +33,16 @@ def text_of(text_col: str) -> Column:
 
 def column(name: str) -> Column:
     return F.col(f"`{name}`")
+
+
+_TABLE: dict[Hashable, Any] = {}
+
+
+def worker_table(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A table that a Python worker keeps between tasks, made when it is first asked for. A worker
+    keeps the table of one operator only: the next operator's takes its place, so the memory of a
+    worker that serves many operators is that of the largest table, not of all."""
+    if key not in _TABLE:
+        _TABLE.clear()
+        _TABLE[key] = make()
+    return _TABLE[key]

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, text_of
+from .common import column, text_of, worker_table
 
 SEQUENCE_TOKENS, BUFFER_TOKENS = 2_048, 1 << 20
 #: Cost of a token, and of a pair of tokens that attend to each other, in a layer of width 1024:
@@ -31,7 +30,7 @@ LINEAR, QUADRATIC = 1.0, 4.0 / (24 * 1024)
 #: Closes each document.
 END_ID = 1
 #: Spellings and words that a worker remembers the ids of (about 200 bytes each), and how long they may be.
-KNOWN_SPELLINGS, KNOWN_WORDS, KNOWN_CHARS = 700_000, 1_200_000, 64
+KNOWN_SPELLINGS, KNOWN_WORDS, KNOWN_CHARS = 400_000, 900_000, 64
 
 _LETTERS_THEN_MARKS = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 _BEYOND_LATIN = re.compile(r"[^\x00-\xff]").search
@@ -84,9 +83,8 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@lru_cache(maxsize=2)
 def word_ids(tokenizer_path: str) -> WordIds:
-    return WordIds(tokenizer_path)
+    return worker_table(("word ids", tokenizer_path), lambda: WordIds(tokenizer_path))
 
 
 def assign(lengths: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int]]:

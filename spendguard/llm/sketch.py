@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import worker_table
+
 #: Words whose hashes a worker remembers, and how long such a word may be.
-KNOWN_WORDS, KNOWN_BYTES = 500_000, 64
+KNOWN_WORDS, KNOWN_BYTES = 400_000, 64
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -29,9 +31,6 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct word shingles of a text. Words are what white space
     (0x20 and 0x09 to 0x0D) separates, with A-Z in lower case; a text of fewer words is one shingle,
@@ -39,7 +38,8 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    hashes = worker_table("word hashes", _WordHashes)
+    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     n = max(1, len(h) - width + 1)
     out = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):

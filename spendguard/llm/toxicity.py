@@ -17,16 +17,15 @@ import re
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, text_of
+from .common import column, text_of, worker_table
 
-MAX_ROWS, DIMENSIONS, STEMS = 4_000, 1 << 18, (3, 4, 5)
+MAX_ROWS, DIMENSIONS, STEMS = 2_500, 1 << 18, (3, 4, 5)
 KEPT_FEATURES, FOLDS, RIDGE = 2_048, 3, 1e-3
 THRESHOLD = 0.5
 #: Words that a worker remembers the features of.
@@ -134,8 +133,8 @@ def fit_chain(texts: list[np.ndarray], folds: np.ndarray, targets: dict[str, np.
     """``texts`` holds each row's features. A category that one class alone stands for has the
     log-odds of its share."""
     n = len(texts)
-    rows = np.repeat(np.arange(n), [len(x) for x in texts])
-    values = np.concatenate([*texts, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in texts])
+    values = np.concatenate([*texts, np.zeros(0, dtype=np.int32)]).astype(np.int32)
     before, links = np.zeros((n, 0)), []
     for name, y in targets.items():
         kept, weights, intercept, _ = fit_linear(rows, values, y, before)
@@ -204,10 +203,9 @@ def score(docs: DataFrame, chain: Chain, *, text_col: str = "text", out_col: str
     return docs.withColumn(out_col, probabilities(text_of(text_col)))
 
 
-@lru_cache(maxsize=1)
 def _worker_words(kept: frozenset) -> _Known:
     """The kept features of the words that this worker has met."""
-    return _Known(lambda word: tuple(f for f in word_features(word) if f in kept))
+    return worker_table(("kept features", kept), lambda: _Known(lambda word: tuple(f for f in word_features(word) if f in kept)))
 
 
 def scored(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
