@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import column, text_of, worker_table
 
 MAX_ROWS, DIMENSIONS, STEMS = 2_500, 1 << 18, (3, 4, 5)
-KEPT_FEATURES, FOLDS, RIDGE = 2_048, 3, 1e-3
+KEPT_FEATURES, FOLDS, RIDGE = 2_048, 3, 1e-4
 THRESHOLD = 0.5
 #: Words that a worker remembers the features of.
 KNOWN_WORDS = 200_000
