@@ -30,7 +30,7 @@ LINEAR, QUADRATIC = 1.0, 4.0 / (24 * 1024)
 #: Closes each document.
 END_ID = 1
 #: Spellings and words that a worker remembers the ids of (about 200 bytes each), and how long they may be.
-KNOWN_SPELLINGS, KNOWN_WORDS, KNOWN_CHARS = 400_000, 900_000, 64
+KNOWN_SPELLINGS, KNOWN_WORDS, KNOWN_CHARS = 300_000, 750_000, 64
 
 _LETTERS_THEN_MARKS = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 _BEYOND_LATIN = re.compile(r"[^\x00-\xff]").search
