@@ -7,7 +7,7 @@ and the votes that agree are intersected. A template is reported where enough of
 at the right places relative to each other and the file holds its mandatory key phrases.
 
 Everything is DataFrame functions: the index is a literal, document frequencies are counted for the
-index's words alone, and only files that hold several of its rare words are exploded.
+index's words alone, and only files that hold a template's mandatory phrases are exploded.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from .common import column, text_of
 _BETWEEN = "\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F"
 _SEPARATORS = "".join(chr(c) for c in (*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)))
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: A licence word is rare from this inverse document frequency on (natural logarithm).
+#: A licence word is rare from this inverse document frequency on (natural logarithm), and the rarer
+#: half of a template's words are its rare words however many files hold them.
 MIN_IDF = 2.0
 #: Rarest words of a file that are looked up, and the share of a template's weight that must agree.
 RARE_WORDS, MIN_COVERAGE = 24, 0.5
@@ -95,9 +96,15 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     words = docs.select(column(id_col).alias("_id"), words_of(text_of(text_col)).alias("_words"))
     n, df = document_frequencies(words, lexicon)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in lexicon}
-    # in a table of few rows no word is rare by its count: then the rarer half of the lexicon is
-    bound = min(min_idf, sorted(idf.values())[len(idf) // 2])
-    rare = sorted((w for w in lexicon if idf[w] >= bound), key=lambda w: (-idf[w], w))
+    # in a table of few rows, or where many hold a notice, none of its words is rare by its count
+    rare_of = []
+    for template in templates:
+        own = sorted(idf[w] for w in {*template.words()})
+        bound = min([min_idf, *own[len(own) // 2:]])
+        rare_of.append({w for w in template.words() if idf[w] >= bound})
+    rare = sorted({w for own in rare_of for w in own}, key=lambda w: (-idf[w], w))
+    # a word that every row holds still weighs something, less than any other
+    weights = {w: max(idf[w], 1 / (n + 2)) for w in rare}
 
     last_words = _array(sorted({p.split()[-1] for p, _ in BASE_PHRASES}))
     at = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.array_contains(last_words, F.element_at("_words", i + 1)))
@@ -113,9 +120,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     present = F.slice(F.array_intersect(_array(rare), "_words"), 1, rare_words)
     files = (words.withColumn("_ends", ends).withColumn("_n", F.size("_words").cast("long"))
              .withColumn("base", F.when(F.size("_ends") > 0, found).otherwise(F.array().cast("array<struct<phrase:int,place:bigint>>")))
-             .withColumn("_present", present))
-    least = 2
-    candidate = F.size("_present") >= least
+             .withColumn("_present", present)
+             .withColumn("_keys", F.array_intersect(_array(sorted({w for t in templates for p in t.mandatory for w in p.split()})), "_words")))
+    # no label without the words of its mandatory phrases
+    candidate = _any([_all([F.array_contains("_keys", w) for w in sorted({w for p in t.mandatory for w in p.split()})]) for t in templates])
     plain = files.where(~candidate).select(column("_id").alias(id_col), F.col("_n").alias("n_words"), "base",
                                            F.array().cast("array<string>").alias("found"), F.lit(0.0).alias("coverage"))
 
@@ -123,12 +131,12 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, template in enumerate(templates):
         for q, w in enumerate(template.words()):
-            if w in idf and idf[w] >= bound:
+            if w in rare_of[t]:
                 postings.setdefault(w, []).append((t, q))
     posting_map = _lookup({w: F.array(*(F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in places)) for w, places in postings.items()},
                           "array<struct<t:int,q:int>>")
-    weight = _lookup({w: F.lit(float(idf[w])) for w in postings}, "double")
-    totals = _lookup({str(t): F.lit(sum(idf[w] for w in x.words() if w in postings) or 1.0) for t, x in enumerate(templates)}, "double")
+    weight = _lookup({w: F.lit(float(weights[w])) for w in postings}, "double")
+    totals = _lookup({str(t): F.lit(sum(weights[w] for w in x.words() if w in rare_of[t]) or 1.0) for t, x in enumerate(templates)}, "double")
     labels = _array([t.label for t in templates])
 
     joined = F.concat(F.lit(" "), F.concat_ws(" ", "_words"), F.lit(" "))
@@ -161,6 +169,13 @@ def _all(conditions: list[Column]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
 def report(scanned: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """The row of ``op8``: counts and places of the base phrases, and labels as text. The score is
     the coverage of the best template, or 1 for a file with a base phrase."""

@@ -35,6 +35,15 @@ def test_base_phrases_and_edges(spark):
     assert licenses.report(licenses.scan(docs.limit(0))).collect() == []
 
 
+def test_a_notice_in_a_third_of_the_rows_or_in_all(spark):
+    lgpl, agpl, bsd = (next(t.text for t in licenses.TEMPLATES if t.label == x) for x in ("lgpl", "agpl", "bsd"))
+    for rows in ([(0, f"x {bsd} y", "bsd")] * 40 + [(1, f"plain words of row {i}", "") for i in range(80)],
+                 [(0, lgpl, "lgpl")] * 40 + [(1, agpl, "agpl")]):
+        out = licenses.report(licenses.scan(spark.createDataFrame([r[:2] for r in rows], SCHEMA))).collect()
+        labels = {r[0]: set(r[2].split(",")) - {"gpl", ""} for r in rows}
+        assert len(out) == len(rows) and all(set(r.labels.split(",")) - {"gpl", ""} == labels[r.doc_id] for r in out)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
