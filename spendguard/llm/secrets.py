@@ -28,7 +28,8 @@ _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Greedy runs: a shorter one is no match of the pattern with + that the length would keep.
 _HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+#: The segments after the first are looked ahead at, so that one that fails is tried as a header.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.(?=([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 _HEX_ANY = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{64,}(?![A-Za-z0-9])")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)KEY-----\s*([A-Za-z0-9+/=\s]*?)-----END \1KEY-----")
@@ -139,8 +140,12 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    if "." in text:
-        found += [(m.start(), 3, m.end()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])] if "ey" in text else []
+    if "ey" in text and "." in text:
+        last = -1
+        for m in _JWT.finditer(text):
+            if m.start() >= last and is_signed_token(m[1], m[2]):
+                last = m.end(3)
+                found.append((m.start(), 3, last))
     keys = []
     if "-----BEGIN" in text:
         keys += [(m.start(), m.end()) for m in _PEM.finditer(text) if _is_key(_unbase64("".join(m[2].split())))]

@@ -46,6 +46,14 @@ def test_structure_is_confirmed():
     assert secrets.find_spans("eyJub3QiOjF9.e30.x") == []
 
 
+def test_token_behind_words_and_dots():
+    for before in ("Authorization.", "example-host.", "the key is reissued.", "long-word-1.long-word-2.long-word-3."):
+        at = len(before)
+        assert secrets.find_spans(f"{before}{JWT} x") == [("jwt", at, at + len(JWT))], before
+        assert secrets.mask(f"{before}{JWT} x", "<secret>") == f"{before}<secret> x"
+    assert secrets.find_spans(f"{JWT}.{JWT}") == [("jwt", 0, len(JWT)), ("jwt", len(JWT) + 1, 2 * len(JWT) + 1)]
+
+
 def brute(text):
     """The plain kinds as their patterns say, then dropping the failing matches."""
     found = [(m.start(), 0, m.end()) for m in re.finditer(
