@@ -1,7 +1,7 @@
 """Licence scans by a positional index of rare words.
 
 The index holds, for each rare word of the licence templates, the templates and the positions where
-it stands. Of each file the licence words of highest inverse document frequency are looked up; a word
+it stands. All of these words of a file are looked up, so a file may hold any number of notices; a word
 at place p of the file that stands at place q of a template votes for the template to begin at p - q,
 and the votes that agree are intersected. A template is reported where enough of its rare words stand
 at the right places relative to each other and the file holds its mandatory key phrases.
@@ -28,8 +28,8 @@ BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general
 #: A licence word is rare from this inverse document frequency on (natural logarithm), and the rarer
 #: half of a template's words are its rare words however many files hold them.
 MIN_IDF = 2.0
-#: Rarest words of a file that are looked up, and the share of a template's weight that must agree.
-RARE_WORDS, MIN_COVERAGE = 24, 0.5
+#: Share of a template's weight that must agree.
+MIN_COVERAGE = 0.5
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ def document_frequencies(words: DataFrame, lexicon: list[str]) -> tuple[int, dic
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES,
-         min_idf: float = MIN_IDF, rare_words: int = RARE_WORDS, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+         min_idf: float = MIN_IDF, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_words``, ``base`` (array of phrase number and place,
     for each place of each of ``BASE_PHRASES``), ``found`` (the labels of the templates) and
     ``coverage`` (the highest share of a reported template's weight, else 0).
@@ -102,7 +102,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
         own = sorted(idf[w] for w in {*template.words()})
         bound = min([min_idf, *own[len(own) // 2:]])
         rare_of.append({w for w in template.words() if idf[w] >= bound})
-    rare = sorted({w for own in rare_of for w in own}, key=lambda w: (-idf[w], w))
+    rare = sorted({w for own in rare_of for w in own})
     # a word that every row holds still weighs something, less than any other
     weights = {w: max(idf[w], 1 / (n + 2)) for w in rare}
 
@@ -117,7 +117,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
             lambda e: F.struct(F.lit(k).alias("phrase"), (e - len(parts) + 1).cast("long").alias("place")))
 
     found = F.concat(*(places(k, p) for k, (p, _) in enumerate(BASE_PHRASES)))
-    present = F.slice(F.array_intersect(_array(rare), "_words"), 1, rare_words)
+    present = F.array_intersect(_array(rare), "_words")
     files = (words.withColumn("_ends", ends).withColumn("_n", F.size("_words").cast("long"))
              .withColumn("base", F.when(F.size("_ends") > 0, found).otherwise(F.array().cast("array<struct<phrase:int,place:bigint>>")))
              .withColumn("_present", present)

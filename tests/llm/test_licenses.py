@@ -44,6 +44,13 @@ def test_a_notice_in_a_third_of_the_rows_or_in_all(spark):
         assert len(out) == len(rows) and all(set(r.labels.split(",")) - {"gpl", ""} == labels[r.doc_id] for r in out)
 
 
+def test_a_file_of_many_notices(spark):
+    every = " ; ".join(t.text for t in licenses.TEMPLATES)
+    rows = [(0, every), *((i, f"plain words of row {i}") for i in range(1, 60))]
+    out = {r.doc_id: r for r in licenses.report(licenses.scan(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert set(out[0].labels.split(",")) == {t.label for t in licenses.TEMPLATES} and out[0].score == 1.0
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
