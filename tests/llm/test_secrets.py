@@ -54,6 +54,15 @@ def test_token_behind_words_and_dots():
     assert secrets.find_spans(f"{JWT}.{JWT}") == [("jwt", 0, len(JWT)), ("jwt", len(JWT) + 1, 2 * len(JWT) + 1)]
 
 
+def test_token_whose_header_starts_with_a_line_break():
+    for header, payload in (('{\n "alg": "HS256"}', '{\n "sub": "1"\n}'), ('{\r\n "alg": "RS256"\r\n}', "{\r\n}")):
+        token = ".".join((b64(header.encode(), True), b64(payload.encode(), True), b64(bytes(32), True)))
+        assert "ey" not in token
+        for text in (token, f"x {token} y", f"they {token} key"):
+            at = text.index(token)
+            assert secrets.find_spans(text) == [("jwt", at, at + len(token))], text
+
+
 def brute(text):
     """The plain kinds as their patterns say, then dropping the failing matches."""
     found = [(m.start(), 0, m.end()) for m in re.finditer(
