@@ -48,8 +48,6 @@ def best_of_tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
         found = []
         for v0 in range(0, len(ids), SLICE_VECTORS):
             scores = part @ turned[:, v0:v0 + SLICE_VECTORS]
-            if kind is object:
-                scores = scores.astype(np.float64)
             scores[query_ids[q0:q0 + SLICE_QUERIES, None] == ids[None, v0:v0 + SLICE_VECTORS]] = -np.inf
             for _ in range(min(k, scores.shape[1])):
                 at = scores.argmax(axis=1)  # the first of equal ones, so the smallest id

@@ -45,3 +45,10 @@ def test_edges(spark):
 def test_query_against_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert same(op9_topk(spark, sf), sf, ORACLE_SQL["op9_topk"])
+
+
+def test_scores_beyond_doubles_keep_their_order():
+    big = 2 ** 30
+    vectors = np.array([[big, i] for i in range(4)], dtype=np.int64)
+    out = topk.best_of_tile(np.array([3]), np.array([[big, 1]], dtype=np.int64), np.arange(4), vectors, 4)
+    assert out == [(0, i, big * big + i) for i in (2, 1, 0)]
