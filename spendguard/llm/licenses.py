@@ -122,8 +122,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
              .withColumn("base", F.when(F.size("_ends") > 0, found).otherwise(F.array().cast("array<struct<phrase:int,place:bigint>>")))
              .withColumn("_present", present)
              .withColumn("_keys", F.array_intersect(_array(sorted({w for t in templates for p in t.mandatory for w in p.split()})), "_words")))
-    # no label without the words of its mandatory phrases
-    candidate = _any([_all([F.array_contains("_keys", w) for w in sorted({w for p in t.mandatory for w in p.split()})]) for t in templates])
+    # no label without the words of its mandatory phrases; the array binds them, as a filter computes a column where it is named
+    candidate = F.exists(F.array("_keys"), lambda keys: _any([
+        _all([F.array_contains(keys, w) for w in sorted({w for p in t.mandatory for w in p.split()})]) for t in templates]))
     plain = files.where(~candidate).select(column("_id").alias(id_col), F.col("_n").alias("n_words"), "base",
                                            F.array().cast("array<string>").alias("found"), F.lit(0.0).alias("coverage"))
 
