@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendguard.functions.ids import id_list
-from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, shuffle_side
+from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, shuffle_side
 from spendguard.schemas import OVER_BUDGET
 
 
@@ -49,8 +49,9 @@ def check_ids(ids: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_RO
     col = "target_id" if "target_id" in ids.columns else ids.columns[0]
     frame = ids.select(F.col(col).cast("string").alias("_id")).filter(F.col("_id").isNotNull())
     if "all_targets" in ids.columns:
-        found = ids.agg(F.count_if(F.col(col).isNotNull()).alias("n"), F.coalesce(F.bool_or("all_targets"), F.lit(False)).alias("everything")).first()
-        small = found["n"] <= max_broadcast_rows and max_broadcast_rows > 0
+        found = ids.agg(F.count_if(F.col(col).isNotNull()).alias("n"), F.coalesce(F.bool_or("all_targets"), F.lit(False)).alias("everything"),
+                        F.coalesce(F.sum(F.octet_length(F.col(col).cast("string"))), F.lit(0)).alias("bytes")).first()
+        small = found["n"] <= max_broadcast_rows and max_broadcast_rows > 0 and found["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES
         return CheckedIds(F.broadcast(frame) if small else shuffle_side(frame), small, found["everything"])
     side, small = broadcast_if_bounded(frame, max_broadcast_rows)
     return CheckedIds(side, small)

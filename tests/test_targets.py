@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendguard.functions import explode_target_lists, is_all_targets, normalize_id, parse_targets
+from spendguard.operators import selection
 
 
 def parsed(spark, raw):
@@ -83,3 +84,10 @@ def test_explode_keeps_other_columns_and_flags_all_lists(spark):
 def test_is_all_targets(spark):
     df = spark.createDataFrame([("ALL",), ("x",), ("",), (" all ",)], "raw string")
     assert [r.a for r in df.select(is_all_targets(F.col("raw")).alias("a")).collect()] == [True, False, True, True]
+
+
+def test_id_set_with_all_targets_is_bounded_by_its_bytes(spark, monkeypatch):
+    ids = spark.createDataFrame([("x" * 50, False), ("y" * 50, False), (None, False)], "target_id string, all_targets boolean")
+    assert selection.check_ids(ids).broadcast
+    monkeypatch.setattr(selection, "DEFAULT_MAX_BROADCAST_BYTES", 99, raising=False)
+    assert not selection.check_ids(ids).broadcast
