@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], *, id_co
     """The chain of the labelled rows of ``docs``; ``targets`` are conditions on ``labels``.
 
     A row counts for a category if any of its labels does; a null condition is no. Rows without an
-    id are not learned from. No labelled row gives a chain that finds each category as likely as not.
+    id are not learned from; of rows that share an id one is, that of the smallest features. No labelled row gives a chain that finds each category as likely as not.
     """
     names = list(targets)
     known = (labels.where(column(id_col).isNotNull()).groupBy(column(id_col).alias("_id"))
@@ -176,9 +176,10 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], *, id_co
         return text.map(lambda t: np.array(sorted(features(t, words)), dtype="<i4").tobytes())
 
     texts = docs.select(column(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    sample = (texts.join(F.broadcast(few), "_id")  # bounded by max_rows
-              .select(features_of("_text").alias("f"), (F.crc32(F.col("_text").cast("binary")) % FOLDS).alias("fold"),
-                      *(f"_y{k}" for k in range(len(names)))).collect())
+    classes = [f"_y{k}" for k in range(len(names))]
+    sample = (texts.join(F.broadcast(few), "_id")  # ids bounded by max_rows, each with any number of rows
+              .select("_id", *classes, F.struct(features_of("_text").alias("f"), (F.crc32(F.col("_text").cast("binary")) % FOLDS).alias("fold")).alias("_row"))
+              .groupBy("_id", *classes).agg(F.min("_row").alias("_row")).select("_row.*", *classes).collect())
     sample.sort(key=lambda r: (r["fold"], bytes(r["f"]), [r[f"_y{k}"] for k in range(len(names))]))
     chain = fit_chain([np.frombuffer(r["f"], dtype="<i4") for r in sample], np.array([r["fold"] for r in sample], dtype=int),
                       {name: np.array([r[f"_y{k}"] for r in sample], dtype=float) for k, name in enumerate(names)})

@@ -93,3 +93,10 @@ def test_features_are_words_and_stems():
     known = toxicity._Known(toxicity.word_features)
     found = toxicity.features("Grumpfa grumpfe", known)
     assert len(found) == 5 and zlib.crc32(b"grump*") % toxicity.DIMENSIONS in found
+
+
+def test_a_repeated_id_is_learned_once(spark):
+    rows = [(i, f"word{i % 7} {'vile' if i % 3 == 0 else 'kind'} text{i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    once, often = (toxicity.fit(spark.createDataFrame(x, "doc_id long, text string"), labels, toxicity.categories()) for x in (rows, rows + [rows[0]] * 30))
+    assert once == often
