@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, imatch, licenses, line_rules, near_dedup, packing, quality, secrets, topk, toxicity
+from . import byte_bpe, chat, imatch, lexical, licenses, line_rules, near_dedup, packing, prefix_trie, quality, secrets, topk, toxicity
 from .common import bound_batches, table
 
 
@@ -67,14 +67,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_packing, op4_imatch, op5_near_dedup, op6_quality, op7_chat, op8_licenses, op9_topk, op10_secrets,
-                            op12_line_rules)
+                            op11_lexical, op12_line_rules, op13_prefix_trie)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op7_chat": chat.SQL, "op9_topk": topk.SQL, "op12_line_rules": line_rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_chat": chat.SQL, "op9_topk": topk.SQL, "op11_lexical": lexical.SQL, "op12_line_rules": line_rules.SQL,
+                              "op13_prefix_trie": prefix_trie.SQL}
