@@ -6,13 +6,15 @@ from spendguard.functions.ids import (
     id_list,
     is_all_targets,
     normalize_id,
+    parse_integer,
     parse_targets,
     strip_text,
 )
-from spendguard.functions.money import money_text
+from spendguard.functions.money import exact_product, money_text
 
 __all__ = [
     "as_of_date",
+    "exact_product",
     "explode_target_lists",
     "id_list",
     "is_all_targets",
@@ -21,6 +23,7 @@ __all__ = [
     "money_text",
     "normalize_id",
     "now_timestamp",
+    "parse_integer",
     "parse_targets",
     "previous_month_label",
     "strip_text",

@@ -8,7 +8,10 @@ Resource ids themselves are never normalised; only the list items are.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,43 +19,107 @@ from pyspark.sql import types as T
 
 from spendguard.schemas import ALL_TARGETS
 
-# An item is read as a number only when it is plain decimal or scientific notation. Spark's
-# string->double cast alone would also accept '12345d', '8f' or '0x1p3' and mangle hex-like
-# warehouse ids, which must stay unchanged.
-NUMERIC_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-# Doubles from 2^53 on are whole multiples of a power of two: the quotient by 2^53 and the rest are
-# exact, and together they reach up to 2^106.
-_WHOLE = 2 ** 53
-_LIMIT = float(2 ** 106)
-# The whitespace characters of regex ``\s``: stripped from both ends of list items.
-_WHITESPACE = " \t\n\x0b\x0c\r"
+# What an item may look like to be read as a number, once its digits are ASCII and its underscores
+# are gone: plain decimal or scientific notation. Spark's string->double cast alone would also accept
+# '12345d', '8f' or '0x1p3' and mangle hex-like warehouse ids, which must stay unchanged.
+NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+INTEGER_TEXT = r"^[+-]?[0-9]+\z"
+# Underscores stand between two digits or nowhere.
+_STRAY_UNDERSCORE = r"(^|[^0-9])_|_([^0-9]|\z)"
+_BEYOND_ASCII = r"[^\x00-\x7F]"
+# Every character that is white space to a text's own strip: all of them lie below U+3001.
+_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+# A number may have all of it around but the four ASCII separators.
+_NUMBER_SPACE = "".join(c for c in _WHITESPACE if not "\x1c" <= c <= "\x1f")
+
+# Whole numbers beyond a long are written in limbs of nine digits, multiplied by 2^20 at most at a time.
+_LIMB, _LIMB_DIGITS, _STEP = 10 ** 9, 9, 10
+_LONG = 63
 
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@lru_cache(maxsize=1)
+def _decimal_digits() -> str:
+    """The decimal digits of all scripts beyond ASCII, ten of a script in a row."""
+    zeros = [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.decimal(chr(c), None) == 0]
+    return "".join(chr(zero + k) for zero in zeros for k in range(10))
+
+
+def ascii_digits(c: Column | str) -> Column:
+    """The text with the decimal digits of every script as ASCII digits."""
+    digits = _decimal_digits()
+    plain = F.translate(_c(c), digits, "0123456789" * (len(digits) // 10))
+    return F.when(_c(c).rlike(_BEYOND_ASCII), plain).otherwise(_c(c))
+
+
 def strip_text(c: Column | str) -> Column:
-    """Remove leading/trailing whitespace of every kind (tabs, newlines), not only spaces."""
+    """Remove leading/trailing white space of every kind (tabs, newlines, no-break and wide spaces)."""
     return F.trim(_c(c), F.lit(_WHITESPACE))
 
 
+def number_text(c: Column | str, pattern: str) -> Column:
+    """The text as plain ASCII if it is a number of that pattern, else NULL: white space around it,
+    digits of any script and single underscores between digits are allowed."""
+    text = ascii_digits(F.trim(_c(c), F.lit(_NUMBER_SPACE)))
+    plain = F.replace(text, F.lit("_"), F.lit(""))
+    return F.when(plain.rlike(pattern) & ~text.rlike(_STRAY_UNDERSCORE), plain)
+
+
+def _quotient(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b).cast("long"))
+
+
+def _times(limbs: Column, factor: Column) -> Column:
+    """Limbs, lowest first, times a factor of at most 2^20."""
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("carry"))
+
+    def step(seen: Column, limb: Column) -> Column:
+        product = limb * factor + seen["carry"]
+        return F.struct(F.concat(seen["out"], F.array(product % _LIMB)).alias("out"), _quotient(product, _LIMB).alias("carry"))
+
+    return F.aggregate(limbs, start, step, lambda seen: F.when(seen["carry"] > 0, F.concat(seen["out"], F.array(seen["carry"]))).otherwise(seen["out"]))
+
+
+def _digits_of(size: Column) -> Column:
+    """All digits of a finite double of 2^63 or more. It is a long times a power of 2^10: the long is
+    cut into limbs, and they are multiplied step by step."""
+    tens = F.size(F.filter(F.sequence(F.lit(0), F.lit((1024 - _LONG) // _STEP)), lambda j: size >= F.pow(F.lit(2.0), j * _STEP + _LONG)))
+    whole = (size / F.pow(F.lit(2.0), tens * _STEP)).cast("long")
+    limbs = F.array(whole % _LIMB, _quotient(whole, _LIMB) % _LIMB, _quotient(whole, _LIMB * _LIMB))
+    factors = F.transform(F.sequence(F.lit(1), F.ceil(tens / 2).cast("int")),
+                          lambda i: F.pow(F.lit(2.0), F.least(F.lit(2), tens - (i - 1) * 2) * _STEP).cast("long"))
+    product = F.reverse(F.aggregate(factors, limbs, _times))
+    rest = F.transform(F.slice(product, 2, F.size(product)), lambda x: F.lpad(x.cast("string"), _LIMB_DIGITS, "0"))
+    return F.ltrim(F.concat(F.element_at(product, 1).cast("string"), F.array_join(rest, "")), F.lit("0"))
+
+
+def integer_text(number: Column) -> Column:
+    """A double cut towards zero, with all its digits; NULL if it is not finite."""
+    size = F.abs(number)
+    # a lambda's variable: the number is computed once however often it is used
+    big = F.get(F.transform(F.array(size), _digits_of), F.lit(0))
+    sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
+    return (F.when(size < F.lit(float(2 ** _LONG)), number.cast("long").cast("string"))
+            .when(size < F.lit(float("inf")), F.concat(sign, big)))
+
+
 def normalize_id(c: Column | str) -> Column:
     """``'7.11404742026056e+14'`` -> ``'711404742026056'``; ``'-5.7'`` -> ``'-5'``;
-    ``'0410'`` -> ``'410'``; ``'1e19'`` -> ``'10000000000000000000'``: the exact integer of the double
-    that the text denotes, cut towards zero.
+    ``'0410'`` -> ``'410'``; ``'1_000'`` -> ``'1000'``; ``'1e23'`` -> ``'99999999999999991611392'``: the exact
+    integer of the double that the text denotes, cut towards zero.
 
-    Non-numeric items are returned unchanged, and so are infinite ones and those of 2^106 (8.1e31)
-    and beyond, whose integer has more digits than two exact longs can hold.
+    Items that are no number are returned unchanged, and so are those without an end (``1e400``).
     """
     text = _c(c)
-    number = F.when(text.rlike(NUMERIC_TEXT), text.try_cast(T.DoubleType()))
-    size = F.abs(number)
-    high = F.floor(size / F.lit(float(_WHOLE)))
-    low = F.floor(size - high * F.lit(float(_WHOLE)))
-    whole = high.cast("decimal(16,0)") * F.lit(_WHOLE).cast("decimal(16,0)") + low.cast("decimal(16,0)")
-    sign = F.when((number < 0) & (whole > 0), F.lit("-")).otherwise(F.lit(""))
-    return F.when(size < F.lit(_LIMIT), F.concat(sign, whole.cast("decimal(38,0)").cast(T.StringType()))).otherwise(text)
+    return F.coalesce(integer_text(number_text(text, NUMERIC_TEXT).try_cast(T.DoubleType())), text)
+
+
+def parse_integer(c: Column | str) -> Column:
+    """Integer text -> BIGINT, NULL for anything else (``'12.7'``, ``'bad-1'``) and what does not fit."""
+    return number_text(c, INTEGER_TEXT).try_cast("bigint")
 
 
 def is_all_targets(raw: Column | str) -> Column:

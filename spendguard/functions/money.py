@@ -1,11 +1,40 @@
-"""Money text: ``$1,234,567.89``, rounding half to even at the cent like Python's Decimal
-formatting of the spend. NULL spend gives NULL text (the original job fails there instead)."""
+"""Money: exact products of wide decimals, and money text: ``$1,234,567.89``, rounding half to even at
+the cent like Python's Decimal formatting of the spend. NULL spend gives NULL text (the original job
+fails there instead)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MAX_DIGITS = 38
 
 
 def money_text(amount: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(F.bround(amount, 2), 2))
+
+
+def exact_product(quantity: Column, quantity_type: T.DataType, price: Column, price_type: T.DataType) -> Column:
+    """``quantity * price`` with every decimal place.
+
+    Where the product's digits may pass 38, Spark cuts its scale; the quantity is then multiplied in
+    two limbs, multiples of a power of ten and the rest. Each partial product fits as it is, and
+    their sum is a decimal(38) with all places; a product that does not fit into it is an error, as an
+    overflow is anywhere. Types other than decimals are multiplied as they are.
+    """
+    if not (isinstance(quantity_type, T.DecimalType) and isinstance(price_type, T.DecimalType)):
+        return quantity * price
+    scale = quantity_type.scale + price_type.scale
+    if quantity_type.precision + price_type.precision + 1 <= MAX_DIGITS:
+        return quantity * price
+    whole = quantity_type.precision - quantity_type.scale
+    places = max(1, whole + price_type.precision + 1 - MAX_DIGITS)  # of the lower limb, before the point
+    if places + quantity_type.scale + price_type.precision + 1 > MAX_DIGITS or scale + 2 > MAX_DIGITS or places >= whole:
+        return quantity * price  # too wide for two limbs
+    unit = F.lit(10 ** places).cast(T.DecimalType(places + 1, 0))
+    high = F.floor(quantity / unit).cast(T.DecimalType(whole - places + 1, 0))
+    low = (quantity - (high * unit).cast(quantity_type)).cast(T.DecimalType(places + quantity_type.scale, quantity_type.scale))
+    high_cost = (high.cast(T.DecimalType(whole - places, 0)) * price).cast(T.DecimalType(MAX_DIGITS - places - 2, price_type.scale)) * unit
+    part = T.DecimalType(MAX_DIGITS - 1, scale)
+    return high_cost.cast(part) + (low * price).cast(part)

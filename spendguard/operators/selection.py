@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendguard.functions.ids import id_list
-from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded, shuffle_side
+from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS, shuffle_side
 from spendguard.schemas import OVER_BUDGET
+from spendguard.session import checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,11 @@ def _key(key: Column | str) -> Column:
 
 
 def check_ids(ids: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> CheckedIds:
-    """Count an id set once and decide its join strategy.
+    """Read an id set once and decide its join strategy.
+
+    The ids are written to the checkpoint folder; their number, their bytes and whether a list names
+    every id are taken from what was written, and so are the ids that are joined. The lists behind
+    them are scanned, split and normalised a single time, whichever strategy it becomes.
 
     Duplicates stay in either strategy: they cost nothing in a hash semi/anti join, and an
     aggregation between the exchange and the sort of a large set would keep AQE from splitting a
@@ -47,24 +52,24 @@ def check_ids(ids: DataFrame, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_RO
     ``explode_target_lists``) names every id where that is true.
     """
     col = "target_id" if "target_id" in ids.columns else ids.columns[0]
-    frame = ids.select(F.col(col).cast("string").alias("_id")).filter(F.col("_id").isNotNull())
-    if "all_targets" in ids.columns:
-        found = ids.agg(F.count_if(F.col(col).isNotNull()).alias("n"), F.coalesce(F.bool_or("all_targets"), F.lit(False)).alias("everything"),
-                        F.coalesce(F.sum(F.octet_length(F.col(col).cast("string"))), F.lit(0)).alias("bytes")).first()
-        small = found["n"] <= max_broadcast_rows and max_broadcast_rows > 0 and found["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES
-        return CheckedIds(F.broadcast(frame) if small else shuffle_side(frame), small, found["everything"])
-    side, small = broadcast_if_bounded(frame, max_broadcast_rows)
-    return CheckedIds(side, small)
+    everything = F.coalesce(F.col("all_targets"), F.lit(False)) if "all_targets" in ids.columns else F.lit(False)
+    checkpoint_dir(ids.sparkSession)
+    kept = ids.select(F.col(col).cast("string").alias("_id"), everything.alias("_all")).where(F.col("_id").isNotNull() | F.col("_all")).checkpoint(eager=True)
+    found = kept.agg(F.count("_id").alias("n"), F.coalesce(F.sum(F.octet_length("_id")), F.lit(0)).alias("bytes"),
+                     F.coalesce(F.bool_or("_all"), F.lit(False)).alias("everything")).first()
+    small = max_broadcast_rows > 0 and found["n"] <= max_broadcast_rows and found["bytes"] <= DEFAULT_MAX_BROADCAST_BYTES
+    frame = kept.where(F.col("_id").isNotNull()).select("_id")
+    return CheckedIds(F.broadcast(frame) if small else shuffle_side(frame), small, found["everything"])
 
 
 def check_id_sets(sets: Sequence[IdSet], max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> list[IdSet]:
-    """Check every table-valued set of ``sets`` at once: the counts run as concurrent Spark jobs
+    """Check every table-valued set of ``sets`` at once: the passes run as concurrent Spark jobs
     (submitted from driver threads) instead of one after another. Other values pass through; the
     same DataFrame given twice is checked once."""
     todo = {id(s): s for s in sets if isinstance(s, DataFrame)}
     if not todo:
         return list(sets)
-    inherit = _job_properties(next(iter(todo.values())))
+    inherit = job_properties(next(iter(todo.values())))
 
     def check(df: DataFrame) -> CheckedIds:
         inherit()
@@ -78,7 +83,7 @@ def check_id_sets(sets: Sequence[IdSet], max_broadcast_rows: int = DEFAULT_MAX_B
 _INHERITED = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel", "spark.scheduler.pool")
 
 
-def _job_properties(df: DataFrame):
+def job_properties(df: DataFrame):
     """A function that copies the calling thread's job group, description and pool into the
     thread that runs it (they are thread-local), so concurrent checks are attributed to, and
     cancelled with, the caller's job group."""

@@ -24,7 +24,7 @@ DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
 
 
-def _text_bytes(df: DataFrame) -> Column:
+def text_bytes(df: DataFrame) -> Column:
     """Bytes of the strings of a row, nested ones included."""
     def sizes(column: Column, kind: T.DataType) -> list[Column]:
         if isinstance(kind, (T.StringType, T.BinaryType)):
@@ -43,7 +43,7 @@ def _text_bytes(df: DataFrame) -> Column:
 def has_at_most(df: DataFrame, max_rows: int, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
     if max_rows <= 0:
         return False
-    found = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_text_bytes(df)), F.lit(0)).alias("bytes")).first()
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(text_bytes(df)), F.lit(0)).alias("bytes")).first()
     return found["rows"] <= max_rows and found["bytes"] <= max_bytes
 
 

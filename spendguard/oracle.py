@@ -7,6 +7,9 @@ decimal and cast to DOUBLE, as on the Spark side.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from spendguard.registry import EMPTY_MONTH_AS_OF, UNREACHABLE_THRESHOLD
 from spendguard.sources import fixtures as fx
 
@@ -14,9 +17,28 @@ AS_OF = f"DATE '{fx.AS_OF.isoformat()}'"
 NOW = f"TIMESTAMP '{fx.NOW.isoformat(sep=' ')}'"
 EXEMPT = ", ".join(f"'{j}'" for j in fx.EXEMPT_JOBS)
 OWN_CLUSTER = f"'{fx.OWN_CLUSTER}'"
-EDGE_SPACE = r"'^\s+|\s+$'"
+# White space of every kind, and the decimal digits of every script, as a text's own strip and int() see them.
+SPACE = "'" + "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()) + "'"
+NUMBER_SPACE = "'" + "".join(c for c in SPACE[1:-1] if c not in "\x1c\x1d\x1e\x1f") + "'"
+DIGITS = "".join(chr(c) for c in range(128, sys.maxunicode + 1) if chr(c).isdecimal())
+ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
 # Plain decimal or scientific notation, written here on its own.
 NUMBER = r"[+-]?(\d+|\d+\.\d*|\.\d+)([eE][+-]?\d+)?"
+STRAY = r"(^|\D)_|_(\D|$)"
+
+
+def _digits(item: str) -> str:
+    return f"translate(trim({item}, {NUMBER_SPACE}), '{DIGITS}', '{ASCII_DIGITS}')"
+
+
+def _normalized(item: str) -> str:
+    """The integer of the double that a text denotes, in all its digits, else the text."""
+    digits = _digits(item)
+    plain = f"replace({digits}, '_', '')"
+    value = f"TRY_CAST({plain} AS DOUBLE)"
+    return f"""CASE WHEN regexp_full_match({plain}, '{NUMBER}') AND NOT regexp_matches({digits}, '{STRAY}') AND isfinite({value})
+              THEN CAST(CAST(trunc({value}) AS BIGNUM) AS VARCHAR) ELSE {item} END"""
+
 
 FIXTURES = rf"""
 usage AS (
@@ -129,18 +151,16 @@ target_lists AS (
   SELECT '{fx.EDGE}', [{", ".join("'" + x + "'" for x in fx.EDGE_LISTS)}][CAST(s_suppkey % {len(fx.EDGE_LISTS)} + 1 AS INTEGER)] FROM supplier
 ),
 list_kinds AS (
-  SELECT *, (upper(regexp_replace(raw, {EDGE_SPACE}, '', 'g')) = 'ALL' OR regexp_replace(raw, {EDGE_SPACE}, '', 'g') = '') AS all_targets
+  SELECT *, (upper(trim(raw, {SPACE})) = 'ALL' OR trim(raw, {SPACE}) = '') AS all_targets
   FROM target_lists
 ),
 target_items AS (
-  SELECT resource_type, regexp_replace(item, {EDGE_SPACE}, '', 'g') AS item
+  SELECT resource_type, trim(item, {SPACE}) AS item
   FROM (SELECT resource_type, unnest(string_split(raw, ',')) AS item FROM list_kinds WHERE NOT all_targets)
 ),
 targets AS (
   SELECT DISTINCT resource_type,
-         CASE WHEN regexp_full_match(item, '{NUMBER}') AND abs(TRY_CAST(item AS DOUBLE)) < pow(2.0, 106)
-              THEN CAST(CAST(trunc(TRY_CAST(item AS DOUBLE)) AS HUGEINT) AS VARCHAR)
-              ELSE item END AS target_id
+         {_normalized('item')} AS target_id
   FROM target_items
   WHERE item <> ''
 ),
@@ -298,6 +318,85 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",".join((FIXTURES,) + ctes) + "\n"
 
 
+def _millionths(n: str) -> str:
+    return f"CAST(CAST(({n}) % 1000000 AS DECIMAL(18,6)) * CAST(0.000001 AS DECIMAL(7,6)) AS DECIMAL(18,6))"
+
+
+def _replaced(name: str, columns: str, source: str, where: str = "TRUE") -> str:
+    return f"""
+{name} AS (SELECT * REPLACE ({columns}) FROM {source} WHERE {where})"""
+
+
+# The fixtures' usage and prices come from lineitem and part: the variants replace those columns first.
+FRACTIONAL = FIXTURES.replace("FROM lineitem", "FROM (SELECT * REPLACE (CAST(CAST(l_quantity AS DECIMAL(18,6)) + "
+                              + _millionths("l_orderkey * 7919 + l_partkey * 104729") + " AS DECIMAL(18,6)) AS l_quantity) FROM lineitem)", 1).replace(
+    "unit_price\n  FROM part", "unit_price\n  FROM (SELECT * REPLACE (CAST(CAST(p_retailprice AS DECIMAL(18,6)) + "
+    + _millionths("p_partkey * 15485863") + " AS DECIMAL(18,6)) AS p_retailprice) FROM part)", 1)
+FRACTIONAL_STATUS = "WITH " + FRACTIONAL + "," + _status() + """
+SELECT budget_status, CAST(current_spend AS VARCHAR) AS current_spend, 'WITHIN_BUDGET' AS status_at_spend FROM status"""
+
+_PART_KEY = "CAST(p_partkey AS BIGINT)"
+HOT = f"""
+hot_prices AS (
+  SELECT sku_name, price_start_time, price_end_time, unit_price FROM list_prices
+  UNION ALL
+  SELECT '{fx.HOT_SKU}', start_time, CASE WHEN kind <> 0 THEN start_time + to_days(CAST(CASE kind WHEN 1 THEN {fx.HOT_LONG_DAYS} ELSE 1 END AS INTEGER)) END, price
+  FROM (SELECT TIMESTAMP '1995-01-01 00:00:00' + to_days(CAST({_PART_KEY} * 37 % {fx.HOT_DAYS} AS INTEGER)) + to_hours({_PART_KEY} % 24) AS start_time,
+               {_PART_KEY} % {fx.HOT_KINDS} AS kind, CAST(p_retailprice AS DECIMAL(18,6)) AS price FROM part)
+),
+skus AS (
+  SELECT sku_name, xor(4294967295, list_reduce(list_transform(string_split(sku_name, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+         lambda c, x: list_reduce(range(8), lambda b, i: xor(b >> 1, 3988292384 * (b & 1)), xor(c, x)), CAST(4294967295 AS BIGINT))) AS crc
+  FROM (SELECT DISTINCT sku_name FROM usage)
+),
+hot_usage AS (
+  SELECT CASE WHEN crc % 3 = 0 THEN '{fx.HOT_SKU}' ELSE sku_name END AS sku_name, usage_quantity, usage_end_time, usage_date FROM usage JOIN skus USING (sku_name)
+)"""
+HOT_PRICED = _with(HOT, _priced().replace("FROM usage u", "FROM hot_usage u").replace("JOIN list_prices p", "JOIN hot_prices p")) + """
+SELECT sku_name, usage_end_time, usage_date, CAST(usage_quantity AS DOUBLE) AS usage_quantity,
+       CAST(unit_price AS DOUBLE) AS unit_price, CAST(line_cost AS DOUBLE) AS line_cost,
+       price_start_time, price_end_time
+FROM priced"""
+
+SINCE = f"CAST(date_diff('day', {AS_OF}, current_date) AS INTEGER)"
+TODAY_STATUS = _with(f"""
+usage_today AS (SELECT * REPLACE (usage_end_time + to_days({SINCE}) AS usage_end_time, usage_date + {SINCE} AS usage_date) FROM usage),
+prices_today AS (SELECT * REPLACE (price_start_time + to_days({SINCE}) AS price_start_time, price_end_time + to_days({SINCE}) AS price_end_time) FROM list_prices)""",
+                     _status(as_of="current_date").replace("FROM usage u", "FROM usage_today u").replace("JOIN list_prices p", "JOIN prices_today p")) + """
+SELECT budget_status, CAST(current_spend AS DOUBLE) AS current_spend FROM status"""
+
+_FORMS = "[" + ", ".join(f"'{x}'" for x in fx.NUMBER_FORMS) + "]"
+NUMBER_ITEMS = f"""
+SELECT item, {_normalized('item')} AS target_id FROM (
+  SELECT replace({_FORMS}[CAST(p_partkey % {len(fx.NUMBER_FORMS)} + 1 AS INTEGER)], '#', CASE p_partkey % 4
+           WHEN 1 THEN translate(CAST(p_partkey AS VARCHAR), '0123456789', '{fx.ARABIC}')
+           WHEN 2 THEN translate(CAST(p_partkey AS VARCHAR), '0123456789', '{fx.DEVANAGARI}')
+           WHEN 3 THEN translate(CAST(p_partkey AS VARCHAR), '0123456789', '{fx.WIDE}') ELSE CAST(p_partkey AS VARCHAR) END) AS item
+  FROM part)"""
+
+_ID_FORMS = "[" + ", ".join(f"'{x}'" for x in fx.JOB_ID_FORMS) + "]"
+SPELLED = f"""
+spelled AS (
+  SELECT 'JOB' AS resource_type, 'STOPPED' AS action,
+         CASE form WHEN 'wide' THEN translate(key, '0123456789', '{fx.WIDE}') WHEN 'arabic' THEN translate(key, '0123456789', '{fx.ARABIC}')
+              ELSE replace(form, '#', key) END AS resource_id,
+         'n' || key AS resource_name, o_orderdate AS "timestamp", 'budget_enforcer' AS acted_by, strftime(o_orderdate, '%Y-%m') AS "month"
+  FROM (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderdate, {_ID_FORMS}[CAST(o_custkey % {len(fx.JOB_ID_FORMS)} + 1 AS INTEGER)] AS form FROM orders)
+)"""
+_JOB_ID = f"""CASE WHEN regexp_full_match(replace({_digits('resource_id')}, '_', ''), '[+-]?[0-9]+') AND NOT regexp_matches({_digits('resource_id')}, '{STRAY}')
+                   THEN TRY_CAST(replace({_digits('resource_id')}, '_', '') AS BIGINT) END"""
+RESUME_SPELLED = _with(SPELLED) + f"""
+SELECT resource_id, resource_name, s.job_id,
+       CASE WHEN s.job_id IS NULL OR j.job_id IS NULL OR NOT j.has_settings THEN 'FAILED'
+            WHEN j.job_kind = 'ON_DEMAND' OR (j.job_kind = 'SCHEDULE' AND j.schedule_cron = '0 0 0 1 1 ? 2099') THEN 'REMOVE_SCHEDULE'
+            ELSE 'UNPAUSE' END AS resume_action
+FROM (SELECT *, {_JOB_ID} AS job_id FROM spelled) s LEFT JOIN job_kinds j ON s.job_id = j.job_id"""
+_DONE = "EXISTS (SELECT 1 FROM outcomes o WHERE o.ok AND o.resource_type = p.resource_type AND o.resource_id = p.resource_id)"
+RECORD_ONCE = _with(_stop_plan()) + f"""
+SELECT {AUDIT_ROW_COLUMNS}, run_id, (SELECT count(*) FROM stop_plan p WHERE {_DONE}) AS recorded_first, CAST(0 AS BIGINT) AS recorded_again,
+       (SELECT count(*) FROM stop_plan p WHERE NOT {_DONE}) AS recorded_rest
+FROM (SELECT *, 'run-1' AS run_id FROM stop_plan UNION ALL SELECT *, 'run-2' FROM stop_plan WHERE resource_type = 'APP')"""
+
 _EMPTY_AS_OF = f"DATE '{EMPTY_MONTH_AS_OF.isoformat()}'"
 
 SQL: dict[str, str] = {
@@ -400,4 +499,24 @@ FROM resume_out WHERE resume_action = 'UNPAUSE'""",
     "resume_unknown": _with(_resume()) + """
 SELECT resource_type, action, resource_id, resource_name, "timestamp", acted_by, "month"
 FROM resume_out WHERE resume_action = 'UNKNOWN'""",
+    "budget_status_fractional": FRACTIONAL_STATUS,
+    "budget_status_incremental_fractional": FRACTIONAL_STATUS,
+    "budget_status_today": TODAY_STATUS,
+    "price_as_of_usage_versioned": HOT_PRICED,
+    "price_as_of_usage_versioned_shuffled": HOT_PRICED,
+    "targets_number_grammar": NUMBER_ITEMS,
+    "app_stop_plan_listing_fails": _with(_stop_plan()) + "SELECT * FROM stop_plan WHERE resource_type <> 'APP'",
+    "audit_rows_today": _with(_stop_plan()) + """
+SELECT resource_type, 'STOPPED' AS action, resource_id, resource_name, 'budget_enforcer' AS acted_by,
+       strftime(current_date, '%Y-%m') AS "month", current_date AS day
+FROM stop_plan""",
+    "audit_previous_month_today": _with() + f"""
+SELECT * FROM (SELECT * REPLACE ("timestamp" + to_days({SINCE}) AS "timestamp", strftime("timestamp" + to_days({SINCE}), '%Y-%m') AS "month") FROM audit)
+WHERE "month" = strftime(current_date - INTERVAL 1 MONTH, '%Y-%m')""",
+    "audit_record_once": RECORD_ONCE,
+    "resume_spelled_ids": RESUME_SPELLED,
+    "resume_clears_planned": _with(_resume(), SPELLED) + """
+SELECT *, 'plan' AS place FROM resume_out
+UNION ALL BY NAME
+SELECT *, 'table' AS place FROM spelled""",
 }

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as _dt
 import re
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from spendguard.schemas import ACTED_BY, ACTION_STOPPED, AUDIT, AUDIT_COLUMNS
 
 MONTH_ALL = None
 MONTH_PREVIOUS = "previous"
+# Names the control run that recorded a row, in tables that tell runs apart.
+RUN_ID = "run_id"
 
 
 def audit_rows(plan: DataFrame, now: _dt.datetime | str | Column | None = None, *,
@@ -80,7 +83,14 @@ def ensure_table(spark: SparkSession, table: str, fmt: str = "parquet", location
     spark.sql(f"CREATE TABLE IF NOT EXISTS {quote_name(table)} ({cols}) USING {fmt}{where}")
 
 
-def append(rows: DataFrame, table: str, *, skip_empty: bool = True) -> int:
+def ensure_run_ids(spark: SparkSession, table: str) -> None:
+    """Give the audit table a ``run_id`` column if it has none; rows so far belong to no run."""
+    ensure_table(spark, table)
+    if RUN_ID not in [c.lower() for c in spark.table(quote_name(table)).columns]:
+        spark.sql(f"ALTER TABLE {quote_name(table)} ADD COLUMNS ({RUN_ID} STRING)")
+
+
+def append(rows: DataFrame, table: str, *, skip_empty: bool = True, schema: T.StructType = AUDIT) -> int:
     """Append audit rows, matched to the table by column name, and return how many were written.
 
     An empty ``rows`` writes nothing (checked with a one-row probe, not a count). The number is
@@ -91,7 +101,7 @@ def append(rows: DataFrame, table: str, *, skip_empty: bool = True) -> int:
     if skip_empty and rows.isEmpty():
         return 0
     written = Observation(f"spendguard_audit_append_{uuid.uuid4().hex}")
-    insert_by_name(rows.observe(written, F.count(F.lit(1)).alias("rows")), table, AUDIT)
+    insert_by_name(rows.observe(written, F.count(F.lit(1)).alias("rows")), table, schema)
     return int(written.get["rows"])
 
 
@@ -111,11 +121,29 @@ def insert_by_name(rows: DataFrame, table: str, schema: T.StructType, *, overwri
 
 
 def record_actions(plan: DataFrame, table: str, *, outcomes: DataFrame | None = None,
-                   now: _dt.datetime | str | Column | None = None) -> int:
+                   now: _dt.datetime | str | Column | None = None, run_id: str | None = None,
+                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> int:
     """Stop plan -> (successful rows only, when outcomes are given) -> audit rows -> append.
-    Returns the number of actions recorded."""
-    done = succeeded(plan, outcomes) if outcomes is not None else plan
-    return append(audit_rows(done, now), table)
+    Returns the number of actions recorded.
+
+    With ``run_id`` an action is recorded once per run: what the run has recorded before (an earlier
+    attempt of the same step, or the calls that succeeded then) is left out, and what has succeeded
+    since is added. The rows carry the run, so other runs' rows of the same resource stand beside
+    them. One attempt of a run writes at a time; two at once could both add a row.
+    """
+    done = succeeded(plan, outcomes, max_broadcast_rows=max_broadcast_rows) if outcomes is not None else plan
+    rows = audit_rows(done, now)
+    if run_id is None:
+        return append(rows, table)
+    spark = plan.sparkSession
+    ensure_run_ids(spark, table)
+    spark.catalog.refreshTable(quote_name(table))
+    before = spark.table(quote_name(table)).where(F.col(RUN_ID) == F.lit(run_id)).select(
+        F.col("resource_type").alias("_done_type"), F.col("resource_id").alias("_done_id"))
+    before, _ = broadcast_if_bounded(before, max_broadcast_rows)
+    same = F.col("resource_type").eqNullSafe(F.col("_done_type")) & F.col("resource_id").eqNullSafe(F.col("_done_id"))
+    schema = T.StructType([*AUDIT.fields, T.StructField(RUN_ID, T.StringType())])
+    return append(rows.join(before, same, "left_anti").withColumn(RUN_ID, F.lit(run_id)), table, schema=schema)
 
 
 def read_audit(spark: SparkSession, table: str, *, month_filter: str | None = MONTH_ALL,
@@ -134,11 +162,45 @@ def filter_month(audit: DataFrame, *, month_filter: str | None = MONTH_ALL,
     return audit.filter(F.col("month") == previous_month_label(as_of))
 
 
-def clear(spark: SparkSession, table: str) -> None:
+@dataclass(frozen=True)
+class AuditSnapshot:
+    """The audit rows as they stood at one moment: what is appended later is neither read through
+    ``rows`` nor removed by ``clear(..., only=snapshot)``."""
+
+    rows: DataFrame
+    files: tuple[str, ...]  # of the table at that moment; data files never change
+
+
+def read_snapshot(spark: SparkSession, table: str) -> AuditSnapshot:
+    """All audit rows of this moment: the table's files are listed once, and those files are read. For
+    tables of plain files without partitions, which is what ``ensure_table`` makes."""
+    name = quote_name(table)
+    spark.catalog.refreshTable(name)
+    whole = spark.table(name)
+    described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    if "# Partition Information" in described:
+        raise ValueError(f"{table} is partitioned: its rows of one moment cannot be told by files alone")
+    files = tuple(whole.inputFiles())
+    rows = spark.read.format(described["Provider"]).schema(whole.schema).load(list(files)) if files else whole.limit(0)
+    return AuditSnapshot(rows, files)
+
+
+def clear(spark: SparkSession, table: str, *, only: AuditSnapshot | None = None) -> None:
     """Remove every audit row (all months). An external table, which cannot be truncated, is
-    overwritten with no rows."""
+    overwritten with no rows.
+
+    With ``only`` the rows of that snapshot go and no others: its files are removed, and rows
+    appended since stand in files of their own. A file that is gone already is no error, so a clear
+    that was broken off can be repeated.
+    """
     name = quote_name(table)
-    if spark.catalog.getTable(name).tableType == "EXTERNAL":
+    if only is not None:
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        for file in only.files:  # names alone: as many as the table has files
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+            path.getFileSystem(conf).delete(path, False)
+        spark.catalog.refreshTable(name)
+    elif spark.catalog.getTable(name).tableType == "EXTERNAL":
         spark.createDataFrame([], spark.table(name).schema).write.insertInto(name, overwrite=True)
         spark.catalog.refreshTable(name)
     else:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendguard.functions.dates import month_start
-from spendguard.functions.money import money_text
+from spendguard.functions.money import exact_product, money_text
 from spendguard.operators.range_join import DEFAULT_SALT_BUCKETS, effective_dated_join
 from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS
 from spendguard.schemas import DEFAULT_THRESHOLD, OVER_BUDGET, WITHIN_BUDGET
@@ -51,14 +51,17 @@ def price_usage(usage: DataFrame, prices: DataFrame, *, price_field: str = PRICE
     """Each usage row with the price version in force at its ``usage_end_time``, plus
     ``unit_price`` and ``line_cost = usage_quantity * unit_price``.
 
-    Unpriced usage drops out; usage under two overlapping versions is priced twice.
+    Unpriced usage drops out; usage under two overlapping versions is priced twice. The cost keeps
+    every decimal place, also for quantities that were summed before (see ``exact_product``).
     """
     versions = prices.select("sku_name", "price_start_time", "price_end_time",
                              F.col(price_field).alias("unit_price"))
     priced = effective_dated_join(usage, versions, key="sku_name", at="usage_end_time",
                                   start="price_start_time", end="price_end_time",
                                   max_broadcast_rows=max_broadcast_rows, salt_buckets=salt_buckets)
-    return priced.withColumn("line_cost", F.col("usage_quantity") * F.col("unit_price"))
+    kinds = {f.name: f.dataType for f in priced.schema.fields}
+    cost = exact_product(F.col("usage_quantity"), kinds["usage_quantity"], F.col("unit_price"), kinds["unit_price"])
+    return priced.withColumn("line_cost", cost)
 
 
 def current_spend(priced: DataFrame) -> DataFrame:

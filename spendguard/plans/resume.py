@@ -18,6 +18,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendguard.functions.dates import previous_month_label
+from spendguard.functions.ids import parse_integer
 from spendguard.operators.job_settings import PLACEHOLDER_REMOVE, resume_decision, scheduling_settings
 from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
 from spendguard.plans import audit as audit_table
@@ -34,15 +36,13 @@ from spendguard.schemas import (
 )
 from spendguard.session import checkpoint_dir
 
-# An integer the way a job id is written: optional sign, digits, whitespace around.
-_INTEGER_TEXT = r"^\s*([+-]?[0-9]+)\s*$"
+CLEAR_ALL = "all"
+CLEAR_PLANNED = "planned"
 
 
 def parse_job_id(resource_id: Column) -> Column:
-    """Job id text -> BIGINT; NULL for anything that is not a plain integer (``'12.7'``,
-    ``'bad-1'``) or does not fit."""
-    digits = F.regexp_extract(resource_id, _INTEGER_TEXT, 1)
-    return F.when(digits != F.lit(""), digits.try_cast("bigint"))
+    """Job id text -> BIGINT; NULL for anything that is not an integer or does not fit."""
+    return parse_integer(resource_id)
 
 
 def resume_plan(audit: DataFrame, jobs: DataFrame, *, placeholder: str = PLACEHOLDER_REMOVE,
@@ -80,18 +80,31 @@ def resume_plan(audit: DataFrame, jobs: DataFrame, *, placeholder: str = PLACEHO
 
 def run_resume(spark: SparkSession, table: str, jobs: DataFrame, *, placeholder: str = PLACEHOLDER_REMOVE,
                month_filter: str | None = audit_table.MONTH_ALL,
-               as_of: _dt.date | str | Column | None = None, plan_table: str | None = None) -> DataFrame | None:
+               as_of: _dt.date | str | Column | None = None, plan_table: str | None = None,
+               clear: str = CLEAR_ALL) -> DataFrame | None:
     """Plan the resume from the audit table, then clear the table.
 
     Returns ``None`` (and leaves the table alone) when the table does not exist or holds
     nothing to resume. Otherwise the plan is materialised *before* the truncate (a lazy plan
     read after it would see an empty table): into ``plan_table`` when given (overwritten; it
     outlives a driver failure and can be read again by name), else checkpointed into the
-    cluster's checkpoint folder. The whole table is cleared even under a month filter.
+    cluster's checkpoint folder.
+
+    The whole table is cleared, also under a month filter and with what was appended meanwhile, as a
+    truncate does. With ``clear="planned"`` only the planned rows go: the table is read as it
+    stands at the start, rows appended while the plan is made stay for the next resume, and so do
+    the rows of other months (written anew before the files that held them are removed; if the run
+    breaks off in between they stand twice, and none is lost).
     """
+    if clear not in (CLEAR_ALL, CLEAR_PLANNED):
+        raise ValueError(f"clear must be {CLEAR_ALL!r} or {CLEAR_PLANNED!r}")
     if not spark.catalog.tableExists(audit_table.quote_name(table)):
         return None
-    audit = audit_table.read_audit(spark, table, month_filter=month_filter, as_of=as_of)
+    snapshot = audit_table.read_snapshot(spark, table) if clear == CLEAR_PLANNED else None
+    if snapshot is None:
+        audit = audit_table.read_audit(spark, table, month_filter=month_filter, as_of=as_of)
+    else:
+        audit = audit_table.filter_month(snapshot.rows, month_filter=month_filter, as_of=as_of)
     if audit.isEmpty():
         return None
     plan = resume_plan(audit, jobs, placeholder=placeholder)
@@ -102,5 +115,11 @@ def run_resume(spark: SparkSession, table: str, jobs: DataFrame, *, placeholder:
     else:
         checkpoint_dir(spark)
         plan = plan.checkpoint(eager=True)
-    audit_table.clear(spark, table)
+    if snapshot is not None and month_filter is not audit_table.MONTH_ALL:
+        checkpoint_dir(spark)
+        planned = F.coalesce(F.col("month") == previous_month_label(as_of), F.lit(False))
+        others = snapshot.rows.where(~planned).checkpoint(eager=True)
+        if not others.isEmpty():
+            audit_table.insert_by_name(others, table, others.schema)
+    audit_table.clear(spark, table, only=snapshot)
     return plan

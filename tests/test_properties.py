@@ -68,8 +68,8 @@ def test_normalize_id_matches_oracle_sql(spark, items):
     got = {r.i: r.n for r in df.select("i", normalize_id(F.col("v")).alias("n")).collect()}
     con = duckdb.connect()
     rows = con.execute(
-        f"""SELECT i, CASE WHEN regexp_full_match(v, '{NUMERIC_TEXT}') AND abs(TRY_CAST(v AS DOUBLE)) < 9e18
-                           THEN CAST(CAST(trunc(TRY_CAST(v AS DOUBLE)) AS BIGINT) AS VARCHAR) ELSE v END
+        f"""SELECT i, CASE WHEN regexp_full_match(v, '{NUMERIC_TEXT}') AND isfinite(TRY_CAST(v AS DOUBLE))
+                           THEN CAST(CAST(trunc(TRY_CAST(v AS DOUBLE)) AS BIGNUM) AS VARCHAR) ELSE v END
             FROM (SELECT unnest(range(?)) AS i, unnest(?) AS v)""", [len(items), items]).fetchall()
     assert got == dict(rows)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 import pytest
@@ -81,3 +82,30 @@ def test_price_list_beyond_the_broadcast_bound(spark):
 
 def test_no_totals_are_within_budget(spark):
     assert _check(usage_totals(fx.usage(spark, SF_DIR).limit(0)), fx.list_prices(spark, SF_DIR)) == ("WITHIN_BUDGET", None)
+
+
+def test_fractions_of_a_millionth_decide_alike(spark):
+    """Ten rows of a millionth at a price of 0.4 pass a threshold that their cut total would not."""
+    from decimal import Decimal
+
+    from spendguard import schemas as S
+
+    at = dt.datetime(2026, 4, 2)
+    usage = spark.createDataFrame([("a", Decimal("0.000001"), at, at.date())] * 10, S.USAGE)
+    prices = spark.createDataFrame([("a", dt.datetime(2026, 1, 1), None, ((Decimal("0.400000"),),))], S.LIST_PRICES)
+    for rows in (usage, usage_totals(usage).withColumn("usage_quantity", F.col("usage_quantity").cast("decimal(28,6)"))):
+        assert tuple(budget_check(rows, prices, "0.0000035", at.date()).first()) == ("OVER_BUDGET", Decimal("0.000004000000"))
+        assert budget_check(rows, prices, "0.000004", at.date()).first()[0] == "WITHIN_BUDGET"
+
+
+def test_a_lost_checkpoint_is_refused_or_rebuilds(spark, landing, tmp_path):
+    lineitem, path, table, run = landing
+    lineitem.write.parquet(path)
+    run()
+    total = read_usage_totals(spark, table).agg(F.sum("usage_quantity")).first()[0]
+    stream = fx.usage_from_lineitem(spark.readStream.schema(lineitem.schema).parquet(path))
+    with pytest.raises(ValueError, match="rebuild"):
+        start_usage_totals(stream, table=table, checkpoint=str(tmp_path / "other"))
+    start_usage_totals(stream, table=table, checkpoint=str(tmp_path / "other"), rebuild=True).awaitTermination()
+    assert read_usage_totals(spark, table).agg(F.sum("usage_quantity")).first()[0] == total
+    assert run() == 0  # the first checkpoint is still known
