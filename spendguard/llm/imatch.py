@@ -1,14 +1,16 @@
 """I-Match fingerprints on several randomised lexicon subsets.
 
 The lexicon holds the terms of a chosen band of inverse document frequency, counted over all
-documents. Of a text the distinct lexicon terms are kept and sorted. For each of several seeds the
-lexicon is halved again and again at random into nested subsets; a text takes, of each seed, the
-smallest subset that still holds a term of it, and hashes its sorted terms of that subset. Two texts
-are as alike as the share of seeds whose hashes agree.
-
-Only DataFrame functions are used. Membership is looked up in a bitmap of term hashes, a single value
-of fixed size whatever the lexicon; a term outside of the lexicon that shares a bit is kept as well,
-and is so in every text.
+documents. Subsets of it are drawn once, by seeds, before any text is looked at: each holds a fixed
+share of the lexicon, a half to 1/256. Of a text the distinct lexicon terms are kept and sorted, and
+each subset gives one hash of those that it holds. The large subsets tell texts that differ in a few
+terms; the small ones are what texts that share a part of their terms still have in common. Two
+texts are as alike as the share of their subsets with a term whose hashes agree.
+
+Only DataFrame functions are used. The lexicon is a single value, an array of buckets by the leading
+bits of a term's hash, so membership is exact and takes one bucket of a few terms. A term of the band
+stands in a minimum share of all documents, so the lexicon has at most (terms of an average document) /
+(that share) terms, however many documents there are.
 """
 
 from __future__ import annotations
@@ -21,86 +23,81 @@ from .common import column, text_of
 
 #: Share of all documents that hold a lexicon term: at least, at most.
 MIN_SHARE, MAX_SHARE = 1e-3, 2e-2
-#: A lexicon term stands in so many documents at least; the band reaches so far at least.
-MIN_DOCUMENTS, MIN_TOP = 2, 4
-SEEDS, BITMAP_BITS = 16, 22
-_WORD_SHIFT = 6  # 64 bits of the bitmap in a long
-_FIELD = 16  # bits of a term's hash that one seed uses; four seeds share a hash
+#: A seed's subset holds one of 2^k terms. More of the small ones: texts that share two thirds of a
+#: hundred lexicon terms have little but those in common.
+HALVINGS = (1, 2, 3, 4, 5, 5, 6, 6, 6, 7, 7, 7, 8, 8, 8, 8)
+SEEDS = len(HALVINGS)
+#: Bits of a term's hash that one seed uses; four seeds share a hash.
+_FIELD = 16
 
 
 def terms_of(text: Column) -> Column:
     """Hashes of the distinct lower-case words of a text; no order."""
-    words = F.array_distinct(F.split(F.lower(text), "[\\x09-\\x0D\\x20]+"))
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    text = F.lower(text)
+    for gap in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(gap), F.lit(" "))
+    return F.array_distinct(F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon_bitmap(docs: DataFrame, n: int, *, text_col: str, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> Column:
-    """The lexicon of ``docs``, of ``n`` rows, as a scalar: an array of 2^BITMAP_BITS bits in longs."""
-    low = max(MIN_DOCUMENTS, n * min_share)
-    high = max(MIN_TOP, n * max_share)
+def lexicon_of(docs: DataFrame, n: int, *, text_col: str, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> tuple[Column, int]:
+    """The lexicon of ``docs``, of ``n`` rows: a scalar, an array of 2^bits buckets of terms, and bits."""
     terms = docs.select(F.explode(terms_of(text_of(text_col))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    lexicon = terms.where(F.col("df").between(low, high)).select(_bit("t").alias("bit"))
-    words = lexicon.groupBy(F.shiftright("bit", _WORD_SHIFT).alias("at")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(bit & {(1 << _WORD_SHIFT) - 1} as int))")).alias("bits"))
-    size = 1 << (BITMAP_BITS - _WORD_SHIFT)
-    # as many rows as the bitmap has longs, so the one task that orders them has a fixed size
-    dense = docs.sparkSession.range(size).join(words, F.col("id") == F.col("at"), "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
-    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap")).scalar()
+    lexicon = terms.where(F.col("df").between(n * min_share, n * max_share)).select("t").checkpoint()
+    bits = max(1, lexicon.count().bit_length())
+    buckets = lexicon.groupBy(_bucket(F.col("t"), bits).alias("at")).agg(F.collect_list("t").alias("terms"))
+    # as many rows as the lexicon has terms, twice at most
+    every = docs.sparkSession.range(1 << bits).join(buckets, F.col("id") == F.col("at"), "left").select("id", F.coalesce("terms", F.array().cast("array<bigint>")).alias("terms"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "terms"))), lambda x: x["terms"]).alias("lexicon")).scalar(), bits
 
 
-def _bit(term: Column | str) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit("lexicon"), term), 64 - BITMAP_BITS)
+def _bucket(term: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(term, 64 - bits)
 
 
-def _in_lexicon(bitmap: Column, term: Column) -> Column:
-    bit = _bit(term)
-    word = F.get(bitmap, F.shiftright(bit, _WORD_SHIFT).cast("int"))
-    return F.call_function("getbit", word, bit.bitwiseAND(F.lit((1 << _WORD_SHIFT) - 1)).cast("int")) == 1
+def in_subset(term: Column, seed: int) -> Column:
+    """Whether a term belongs to the subset of a seed, which is so for one of 2^k terms."""
+    mixed = F.shiftrightunsigned(F.xxhash64(F.lit(seed // 4), term), _FIELD * (seed % 4))
+    return mixed.bitwiseAND(F.lit((1 << HALVINGS[seed]) - 1)) == 0
 
 
-def _field(term: Column, seed: int) -> Column:
-    mixed = F.xxhash64(F.lit(seed // 4), term)
-    return F.shiftrightunsigned(mixed, _FIELD * (seed % 4)).bitwiseAND(F.lit((1 << _FIELD) - 1))
+def _subset_hash(terms: Column, seed: int) -> Column:
+    """Hash of the terms that the seed's subset holds; null if it holds none."""
+    inside = F.filter(terms, lambda t: in_subset(t, seed))
+    return F.when(F.exists(terms, lambda t: in_subset(t, seed)), F.xxhash64(F.lit(seed), inside))
 
 
-def _subset_hash(terms: Column, seed: int, least: Column) -> Column:
-    """Hash of the terms in the smallest subset of a seed that has any: those whose field is below
-    the power of two that is next above the least field."""
-    bound = F.pow(F.lit(2.0), F.length(F.bin(least))).cast("long")
-    inside = F.filter(terms, lambda t: _field(t, seed) < bound)
-    return F.xxhash64(F.lit(seed), bound, inside)
-
-
-def with_fingerprint(rows: DataFrame, text: str, out: str, bitmap: Column) -> DataFrame:
+def with_fingerprint(rows: DataFrame, text: str, out: str, lexicon: Column, bits: int) -> DataFrame:
     """``rows`` with the hashes of the seeds of column ``text`` as an array in ``out``: of its sorted
     distinct lexicon terms; of a text without any all of its terms, and of one without words its own
-    hash, so that texts are never alike for want of terms."""
+    hash. A subset without a term of the text has no hash; a text of which no subset holds a term has
+    one hash of all the terms in their place."""
     # A subquery may not stand in a lambda; as a column that is used once it is put there by the
-    # optimizer (CollapseProject), and no row ever carries the bitmap.
+    # optimizer (CollapseProject), and no row ever carries the lexicon.
     before = rows.columns
-    kept = f"_{out}_kept"
-    rows = (rows.select("*", terms_of(F.col(text)).alias("_terms"), bitmap.alias("_bitmap"))
-            .select(*before, F.filter("_terms", lambda t: _in_lexicon(F.col("_bitmap"), t)).alias(kept)))
-    every = terms_of(F.col(text))
-    rows = rows.withColumn(kept, F.array_sort(F.when(F.size(kept) > 0, F.col(kept)).when(F.size(every) > 0, every)
-                                              .otherwise(F.array(F.xxhash64(F.lit("text"), F.col(text))))))
-    rows = rows.withColumns({f"_{out}_{s}": _least(kept, s) for s in range(SEEDS)})
-    hashes = F.array(*(_subset_hash(F.col(kept), s, F.col(f"_{out}_{s}")) for s in range(SEEDS)))
-    return rows.withColumn(out, hashes).drop(kept, *(f"_{out}_{s}" for s in range(SEEDS)))
-
-
-def _least(terms: str, seed: int) -> Column:
-    return F.array_min(F.transform(terms, lambda t: _field(t, seed)))
+    kept, every = f"_{out}_kept", f"_{out}_every"
+    rows = rows.select("*", terms_of(F.col(text)).alias(every))  # used more than once, so a step of its own
+    rows = rows.select("*", lexicon.alias("_lexicon")).select(
+        *before, every, F.filter(every, lambda t: F.array_contains(F.get("_lexicon", _bucket(t, bits).cast("int")), t)).alias(kept))
+    rows = rows.select(*before, F.array_sort(F.when(F.size(kept) > 0, F.col(kept)).when(F.size(every) > 0, F.col(every))
+                                             .otherwise(F.array(F.xxhash64(F.lit("text"), F.col(text))))).alias(kept))
+    hashes = F.array(*(_subset_hash(F.col(kept), s) for s in range(SEEDS)))
+    rows = rows.select(*before, kept, hashes.alias(out))
+    found = F.exists(out, lambda h: h.isNotNull())
+    return rows.select(*before, F.when(found, F.col(out)).otherwise(F.array(F.xxhash64(F.lit("terms"), F.col(kept)))).alias(out))
 
 
 def _shown(hashes: str) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.lower(F.hex(h))), "-")
+    return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.hex(h)), F.lit("0"))), "-")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the seeds whose hashes agree; 0 where there is no fingerprint to compare with."""
-    same = sum((F.coalesce(F.get(a, F.lit(s)) == F.get(b, F.lit(s)), F.lit(False)).cast("int") for s in range(SEEDS)), F.lit(0))
-    return same / F.lit(float(SEEDS))
+    """Share of the subsets with a term of either text whose hashes agree; 0 where there is no
+    fingerprint to compare with, and 1 for equal ones."""
+    def count(test) -> Column:
+        return sum((F.coalesce(test(F.get(a, F.lit(s)), F.get(b, F.lit(s))), F.lit(False)).cast("int") for s in range(SEEDS)), F.lit(0))
+
+    same, either = count(lambda x, y: x == y), count(lambda x, y: x.isNotNull() | y.isNotNull())
+    return F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(same / F.greatest(either, F.lit(1)))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -125,13 +122,14 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     descending order of the ids (the first one's after the last). A null text is the empty text. Of
     rows that share an id the one with the smallest text is the next document of others. A row
     without an id is nobody's next; its last third is left out and it has no next to be like (0).
-    Other columns are ignored; an empty table has no rows.
+    Repeated rows stay repeated. A text of any length is one row, whose terms are an array in one
+    task. Other columns are ignored; an empty table has no rows.
     """
     checkpoint_dir(docs.sparkSession)
     rows = docs.select(column(id_col).alias("_id"), text_of(text_col).alias("_text"))
     sizes = rows.groupBy("_id").agg(F.max(F.floor(F.char_length("_text") / 3)).alias("_need"), F.count("*").alias("_rows")).checkpoint()
     n = sizes.agg(F.sum("_rows")).first()[0] or 0
-    bitmap = lexicon_bitmap(rows, n, text_col="_text")
+    lexicon, bits = lexicon_of(rows, n, text_col="_text")
 
     named = rows.where(F.col("_id").isNotNull())
     known = sizes.where(F.col("_id").isNotNull())
@@ -148,11 +146,16 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         cut = F.floor(F.col("_n") / 3).cast("int")
         part = part.withColumn("_n", F.char_length("_text"))
         part = part.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), F.col("_n") - cut), F.substring("_start", F.lit(1), cut)))
-        part = with_fingerprint(with_fingerprint(part, "_text", "_f", bitmap), "_edited", "_e", bitmap)
-        return part.select("_id", "_next", F.col("_n").cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), "_f", "_e")
+        part = with_fingerprint(with_fingerprint(part, "_text", "_f", lexicon, bits), "_edited", "_e", lexicon, bits)
+        return part.select("_id", "_next", F.col("_n").cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
+                           "_f", "_e", F.xxhash64("_text").alias("_h"))
 
     done = printed(both.unionByName(alone)).checkpoint()
-    nexts = (done.where(F.col("_id").isNotNull()).groupBy(F.col("_id").alias("_next")).agg(F.min("_f").alias("_g")))
+    # of rows that share an id the smallest text's
+    repeated = known.where(F.col("_rows") > 1).select("_id")
+    least = named.join(repeated.hint("merge"), "_id", "left_semi").groupBy("_id").agg(F.xxhash64(F.min("_text")).alias("_least"))
+    nexts = (done.where(F.col("_id").isNotNull()).select("_id", "_f", "_h").join(least, "_id", "left").where(F.coalesce(F.col("_least") == F.col("_h"), F.lit(True)))
+             .groupBy(F.col("_id").alias("_next")).agg(F.min("_f").alias("_g")))
     return (done.join(nexts, "_next", "left")
             .select(F.col("_id").alias(id_col), "n_chars", "edited_sha256",
                     _shown("_f").alias("fingerprint"), _shown("_e").alias("edited_fingerprint"),
