@@ -31,7 +31,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.sizing import has_at_most
 from ..session import checkpoint_dir
 from .common import column, text_of
 
@@ -40,8 +39,9 @@ PRIME = (1 << 61) - 1
 POINTS = (1_220_703_125_000_003, 762_939_453_125_017)
 #: Rebuilding: conversations of one hundred share the first turns of the first one, fewer than so many.
 GROUP, MOST_SHARED = 100, 6
-#: Nodes that may be broadcast (about 150 bytes each).
-BROADCAST_NODES = 200_000
+#: Rows (nodes, or conversations that are searched for) that may be broadcast, about 150 bytes each;
+#: and rows of a written table that one task reads.
+BROADCAST_NODES, TASK_ROWS = 200_000, 20_000
 #: Turns of one number are ordered by role, by so many characters of text, and by the text's hash.
 TIE_CHARS = 32
 #: Ids that are joined into one text on their way to a hash.
@@ -160,90 +160,121 @@ def rebuilt(own: DataFrame) -> DataFrame:
 
 # --- the trie --------------------------------------------------------------------------------------
 
-_NODE = ("a", "a1", "a2", "g", "e1", "e2", "n1", "n2", "f", "f1", "f2", "rep")
+_NODE = ("a", "a1", "a2", "g", "e1", "e2", "n1", "n2", "f", "f1", "f2", "c_a", "c_g", "rep")
 
 
-def _at(prefix: DataFrame, depth: str, *names: str, conv: str = "conv") -> DataFrame:
-    """The prefix table to be joined by ``conv`` and ``depth``, its hashes under ``names``."""
+def _written(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows in the checkpoint folder, read by as many tasks as they need, and their number."""
+    df = df.checkpoint()
+    n = df.count()
+    return df.coalesce(max(1, -(-n // TASK_ROWS))), n
+
+
+def _hashes(prefix: DataFrame, conv: str, depth: str, *names: str) -> DataFrame:
     return prefix.select(F.col("conv").alias(conv), F.col("d").alias(depth), *(F.col(x).alias(n) for x, n in zip(("h1", "h2", "c"), names)))
 
 
-def _nodes(edges: DataFrame, prefix: DataFrame) -> DataFrame:
-    """Nodes for the edges (``rep``, ``a``, ``g``): the hashes at both ends, one turn behind the upper
-    end, and at the handle."""
+def _look(rows: DataFrame, prefix: DataFrame, conv: str, depth: str, *names: str, small: bool) -> DataFrame:
+    """``rows`` with the hashes (and the code points) of the prefix of ``conv`` at ``depth``. Few rows are
+    sent to the prefixes; many meet them in a shuffle by conversation and depth."""
+    table = _hashes(prefix, conv, depth, *names)
+    return table.join(F.broadcast(rows), [conv, depth]) if small else rows.join(table, [conv, depth])
+
+
+def _walk(rows: DataFrame, prefix: DataFrame, first: Column, last: Column, *names: str, small: bool) -> DataFrame:
+    """``rows`` with the prefixes of ``rep`` at every depth ``d`` from ``first`` to ``last``."""
+    table = _hashes(prefix, "rep", "d", *names)
+    if small:
+        return table.join(F.broadcast(rows), "rep").where((F.col("d") >= first) & (F.col("d") <= last))
+    return rows.where(first <= last).withColumn("d", F.explode(F.sequence(first, last))).join(table, ["rep", "d"])
+
+
+def _nodes(edges: DataFrame, prefix: DataFrame, small: bool) -> DataFrame:
+    """Nodes for the edges (``rep``, ``a``, ``g``): the hashes and lengths at both ends, the hash one turn
+    behind the upper end and the one at the handle."""
     edges = edges.withColumn("f", two_fattest(F.col("a"), F.col("g")))
     wanted = edges.select("rep", "a", "g", "f", F.explode(F.array(
         *(F.struct(F.lit(i).alias("i"), x.alias("d")) for i, x in enumerate((F.col("a"), F.col("g"), F.col("a") + 1, F.col("f")))))).alias("w"))
-    found = wanted.select("rep", "a", "g", "f", "w.*").join(_at(prefix, "d", "h1", "h2", conv="rep"), ["rep", "d"])
+    found = _look(wanted.select("rep", "a", "g", "f", "w.*"), prefix, "rep", "d", "h1", "h2", "c", small=small)
     sums = [F.max(F.when(F.col("i") == i, F.col(f"h{k}"))).alias(f"{x}{k}") for i, x in enumerate("aenf") for k in (1, 2)]
+    sums += [F.max(F.when(F.col("i") == i, F.col("c"))).alias(x) for i, x in enumerate(("c_a", "c_g"))]
     return found.groupBy("rep", "a", "g", "f").agg(*sums).select(*_NODE)
 
 
-def _search(pending: DataFrame, nodes: DataFrame, prefix: DataFrame, rounds: int) -> DataFrame:
+def _search(pending: DataFrame, nodes: DataFrame, prefix: DataFrame, rounds: int, small: bool) -> DataFrame:
     """Fat binary search of all ``pending`` (``conv``, ``size``, ``low``: depth of a node on its
-    path) at once: ``low`` becomes the depth of the deepest node whose extent is on its path."""
-    handles = nodes.select(F.col("f"), F.col("f1").alias("q1"), F.col("f2").alias("q2"), F.col("a").alias("_a"), F.col("g").alias("_g"), "e1", "e2")
-    now = pending.select("conv", "size", "low", F.col("size").alias("high"))
+    path) at once: ``low`` becomes the depth of the deepest node whose extent is on its path.
+
+    A handle on the path of a node says that the path reaches into its edge. Whether it has the whole of
+    it is looked up at the end, for the last such node alone: a later one behind it proves it.
+    """
+    handles = nodes.select("f", "f1", "f2", F.col("a").alias("_a"), F.col("g").alias("_g"))
+    now = pending.select("conv", "size", "low", F.col("size").alias("high"), F.lit(None).cast("long").alias("before"))
     for k in range(rounds):
-        now = now.withColumn("f", F.when(F.col("low") < F.col("high"), two_fattest(F.col("low"), F.col("high"))))
-        now = now.join(_at(prefix, "f", "q1", "q2"), ["conv", "f"], "left").join(handles, ["f", "q1", "q2"], "left")
-        now = now.join(_at(prefix, "_g", "x1", "x2"), ["conv", "_g"], "left")
-        found = F.col("_g").isNotNull() & F.col("f").isNotNull()
-        whole = found & (F.col("x1") == F.col("e1")) & (F.col("x2") == F.col("e2"))
-        whole = F.coalesce(whole, F.lit(False))
-        # a handle on the path of a node whose extent is not: the path leaves the trie on this edge
-        low = F.when(whole, F.col("_g")).when(found, F.col("_a")).otherwise(F.col("low"))
-        high = F.when(whole, F.col("high")).when(found, F.col("_a")).when(F.col("f").isNotNull(), F.col("f") - 1).otherwise(F.col("high"))
-        now = now.select("conv", "size", low.alias("low"), high.alias("high"))
-        if k % 3 == 2:
-            now = now.checkpoint()
-    return now.select("conv", "size", "low")
-
-
-def build(sizes: DataFrame, prefix: DataFrame, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
-    """The compacted nodes of the conversations ``sizes`` (``conv``, ``size``) with the prefixes
-    ``prefix``, without the root. Every end of a conversation is the lower end of a node."""
+        # depth 0, where no handle is, for those that are done
+        now = now.withColumn("f", F.when(F.col("low") < F.col("high"), two_fattest(F.col("low"), F.col("high"))).otherwise(0))
+        now = _look(now, prefix, "conv", "f", "f1", "f2", small=small).join(handles, ["f", "f1", "f2"], "left")
+        found = F.col("_g").isNotNull()
+        inside = found & (F.col("_g") <= F.col("size"))
+        low = F.when(inside, F.col("_g")).when(found, F.col("_a")).otherwise(F.col("low"))
+        high = F.when(inside, F.greatest("high", "_g")).when(found, F.col("_a")).when(F.col("f") > 0, F.col("f") - 1).otherwise(F.col("high"))
+        now = now.select("conv", "size", low.alias("low"), high.alias("high"), F.when(inside, F.col("_a")).when(found, F.lit(None)).otherwise(F.col("before")).alias("before"))
+        if k % 4 == 3:
+            now, _ = _written(now)
+    extents = nodes.select(F.col("g").alias("low"), F.col("e1").alias("x1"), F.col("e2").alias("x2"), F.lit(True).alias("whole"))
+    now = _look(now, prefix, "conv", "low", "x1", "x2", small=small).join(extents, ["low", "x1", "x2"], "left")
+    return now.select("conv", "size", F.when(F.col("whole") | F.col("before").isNull(), F.col("low")).otherwise(F.col("before")).alias("low"))
+
+
+def build(ends: DataFrame, prefix: DataFrame, broadcast_nodes: int = BROADCAST_NODES) -> tuple[DataFrame, int]:
+    """The compacted nodes, without the root, and their number, of the conversations ``ends`` (``conv``,
+    ``size``) with the prefixes ``prefix``. Every end of a conversation is the lower end of a node."""
     spark = prefix.sparkSession
-    nodes = spark.createDataFrame([], ", ".join(f"{x} long" for x in _NODE))
-    pending = sizes.where("size > 0").select("conv", "size", F.lit(0).cast("long").alias("low")).checkpoint()
-    while True:
-        left = pending.agg(F.count("*").alias("n"), F.max(F.col("size") - F.col("low")).alias("longest")).first()
-        if not left["n"]:
-            return nodes
-        small = has_at_most(nodes, broadcast_nodes)
+    nodes, n_nodes = spark.createDataFrame([], ", ".join(f"{x} long" for x in _NODE)), 0
+    pending, n = _written(ends.where("size > 0").select("conv", "size", F.lit(0).cast("long").alias("low")))
+    rounds = (pending.agg(F.max("size")).first()[0] or 0).bit_length()
+    while n:
+        few, small = n <= broadcast_nodes, n_nodes <= broadcast_nodes
         table = F.broadcast(nodes) if small else nodes
-        found = pending if left["longest"] is None or nodes.isEmpty() else _search(pending, table, prefix, left["longest"].bit_length() + 1)
-        out = found.where("low < size").withColumn("next", F.col("low") + 1).join(_at(prefix, "next", "n1", "n2"), ["conv", "next"])
+        found = _search(pending, table, prefix, rounds, few) if n_nodes else pending
+        out = _look(found.where("low < size").withColumn("next", F.col("low") + 1), prefix, "conv", "next", "n1", "n2", small=few)
         edge = nodes.select(F.col("a").alias("low"), "n1", "n2", "g", "rep")
-        out = out.join(F.broadcast(edge) if small else edge, ["low", "n1", "n2"], "left").checkpoint()
+        out, _ = _written(out.join(F.broadcast(edge) if small else edge, ["low", "n1", "n2"], "left"))
         leaving = out.where(F.col("rep").isNull()).select("conv", "size", F.col("low").alias("m"), "n1", "n2")
-        on_edge = out.where(F.col("rep").isNotNull()).select("conv", "size", "low", "g", "rep")
+        on_edge = out.where(F.col("rep").isNotNull()).select("conv", "size", "low", "g", F.col("rep"))
         # what a conversation shares with its exit node's path
-        mine = prefix.select("conv", "d", "h1", "h2").join(on_edge, "conv").where((F.col("d") > F.col("low")) & (F.col("d") <= F.least("g", "size")))
-        both = mine.join(_at(prefix, "d", "h1", "h2", conv="rep"), ["rep", "d", "h1", "h2"])
-        shared = both.groupBy("conv", "size", "low", "g", "rep").agg(F.max("d").alias("m")).checkpoint()
+        mine = _walk(on_edge.select(F.col("conv").alias("rep"), F.col("rep").alias("other"), "size", "low", "g"), prefix,
+                     F.col("low") + 1, F.least("g", "size"), "x1", "x2", small=few).withColumnsRenamed({"rep": "conv", "other": "rep"})
+        both = mine.join(_hashes(prefix, "rep", "d", "x1", "x2"), ["rep", "d", "x1", "x2"])
+        shared, _ = _written(both.groupBy("conv", "size", "low", "g", "rep").agg(F.max("d").alias("m")))
         cuts = shared.where("m < g").select("low", "g", "rep", "m").distinct()
-        old = nodes.join(cuts.select(F.col("low").alias("a"), "g", "rep").distinct(), ["a", "g", "rep"], "left_anti")
+        gone = cuts.select(F.col("low").alias("a"), "g", "rep").distinct()  # no more rows than conversations are pending
+        old = nodes.join(F.broadcast(gone) if few else gone, ["a", "g", "rep"], "left_anti")
         places = cuts.unionByName(cuts.select("low", "g", "rep", F.col("g").alias("m")).distinct())
         # as many as different conversations leave one edge at different depths
         order = Window.partitionBy("low", "g", "rep").orderBy("m")
         pieces = places.select("rep", F.coalesce(F.lag("m").over(order), F.col("low")).alias("a"), F.col("m").alias("g"))
-        beyond = (shared.where("m < size").withColumn("next", F.col("m") + 1).join(_at(prefix, "next", "n1", "n2"), ["conv", "next"])
-                  .select("conv", "size", "m", "n1", "n2"))
-        going = leaving.unionByName(beyond).checkpoint()
+        beyond = _look(shared.where("m < size").withColumn("next", F.col("m") + 1), prefix, "conv", "next", "n1", "n2", small=few)
+        going, _ = _written(leaving.unionByName(beyond.select("conv", "size", "m", "n1", "n2")))
         leaders = going.groupBy("m", "n1", "n2").agg(F.min(F.struct("conv", "size")).alias("leader"))
         leaves = leaders.select(F.col("leader.conv").alias("rep"), F.col("m").alias("a"), F.col("leader.size").alias("g"))
-        pending = going.join(leaders.select(F.col("leader.conv").alias("conv")), "conv", "left_anti").select("conv", "size", F.col("m").alias("low")).checkpoint()
-        nodes = old.unionByName(_nodes(pieces.unionByName(leaves), prefix)).checkpoint()
+        first = leaders.select(F.col("leader.conv").alias("conv"))
+        pending, n = _written(going.join(F.broadcast(first) if few else first, "conv", "left_anti").select("conv", "size", F.col("m").alias("low")))
+        nodes, n_nodes = _written(old.unionByName(_nodes(pieces.unionByName(leaves), prefix, few)))
+    return nodes, n_nodes
 
 
 # --- rows of the trie ------------------------------------------------------------------------------
 
 def _joined_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for node, ids in batch.groupby("node", sort=False)["conv"]:
-            values = ids.tolist()
-            yield pd.DataFrame([(node, values[k], ",".join(map(str, values[k:k + CHUNK_IDS]))) for k in range(0, len(values), CHUNK_IDS)], columns=["node", "first", "ids"])
+        nodes, convs = batch["node"].tolist(), batch["conv"].tolist()
+        out, start = [], 0
+        for k in range(1, len(nodes) + 1):
+            if k == len(nodes) or nodes[k] != nodes[start] or k - start == CHUNK_IDS:
+                out.append((nodes[start], convs[start], ",".join(map(str, convs[start:k]))))
+                start = k
+        yield pd.DataFrame(out, columns=["node", "first", "ids"])
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,61 +315,56 @@ def trie(turns: DataFrame, *, conversation_col: str = "conv_id", turn_col: str =
     """
     spark = turns.sparkSession
     checkpoint_dir(spark)
-    own = prefixes(turns, conversation_col=conversation_col, turn_col=turn_col, role_col=role_col, text_col=text_col).checkpoint()
-    prefix = rebuilt(own).checkpoint()
-    sizes = prefix.groupBy("conv").agg(F.max("d").alias("size")).checkpoint()
-    nodes = build(sizes, prefix, broadcast_nodes).withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    own, _ = _written(prefixes(turns, conversation_col=conversation_col, turn_col=turn_col, role_col=role_col, text_col=text_col))
+    prefix, _ = _written(rebuilt(own))
+    # the longest prefix of a conversation is all of it
+    whole = prefix.groupBy("conv").agg(F.max(F.struct("d", "h1", "h2")).alias("end")).select("conv", F.col("end.d").alias("size"), "end.h1", "end.h2")
+    whole, n_convs = _written(whole)
+    nodes, n_nodes = build(whole.select("conv", "size"), prefix, broadcast_nodes)
+    small = n_nodes <= broadcast_nodes
+    few = F.broadcast if small else (lambda df: df)  # tables of a row per node
+    nodes, _ = _written(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     # ends of conversations, at the node of that extent; at the root (-1) those without a turn
     root = F.lit(-1).cast("long")
     extents = nodes.select(F.col("g").alias("size"), F.col("e1").alias("h1"), F.col("e2").alias("h2"), "node")
-    small = has_at_most(extents, broadcast_nodes)
-    known = F.broadcast(extents) if small else extents
-    ends = (sizes.join(_at(prefix, "size", "h1", "h2"), ["conv", "size"]).join(known, ["size", "h1", "h2"], "left")
-            .select("conv", "size", F.when(F.col("size") == 0, root).otherwise(F.col("node")).alias("node"))).checkpoint()
+    ends, _ = _written(whole.join(few(extents), ["size", "h1", "h2"], "left").select("conv", F.when(F.col("size") == 0, root).otherwise(F.col("node")).alias("node")))
     ending = ends.groupBy("node").agg(F.count("*").alias("n_ends"), F.min("conv").alias("least"))
-
-    parents = nodes.join(known.select(F.col("size").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("node").alias("up")), ["a", "a1", "a2"], "left")
-    lengths = (parents.select("node", "rep", "a", "g", F.coalesce("up", root).alias("up"))
-               .join(_at(prefix, "a", "_1", "_2", "c_a", conv="rep").drop("_1", "_2"), ["rep", "a"])
-               .join(_at(prefix, "g", "_1", "_2", "c_g", conv="rep").drop("_1", "_2"), ["rep", "g"]))
-    below = lengths.groupBy(F.col("up").alias("node")).agg(F.count("*").alias("n_below"))
-    whole = (lengths.join(below, "node", "left").join(ending, "node", "left")
-             .select("node", "rep", "a", "g", "up", "c_a", "c_g", F.coalesce("n_below", F.lit(0)).alias("n_below"), F.coalesce("n_ends", F.lit(0)).alias("n_ends"), "least")).checkpoint()
+    up = extents.select(F.col("size").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("node").alias("up"))
+    edges = nodes.join(few(up), ["a", "a1", "a2"], "left").select("node", "rep", "a", "g", F.coalesce("up", root).alias("up"), "c_a", "c_g")
+    below = edges.groupBy(F.col("up").alias("node")).agg(F.count("*").alias("n_below"))
+    edges, _ = _written(edges.join(few(below), "node", "left").join(few(ending), "node", "left")
+                        .select("node", "rep", "a", "g", "up", "c_a", "c_g", F.coalesce("n_below", F.lit(0)).alias("n_below"), F.coalesce("n_ends", F.lit(0)).alias("n_ends"), "least"))
 
     # each node with the nodes on its path, itself included: no more rows than the conversations have turns
-    path = (whole.select("node", "rep", F.explode(F.sequence(F.lit(1).cast("long"), "g")).alias("size")).join(_at(prefix, "size", "h1", "h2", conv="rep"), ["rep", "size"])
-            .join((F.broadcast(extents) if small else extents).withColumnRenamed("node", "over"), ["size", "h1", "h2"]).select("node", "over")).checkpoint()
-    facts = whole.select("node", "n_ends", "least", (F.col("n_below") == 0).cast("long").alias("leaf"))
-    counts = (path.join(facts, "node").groupBy(F.col("over").alias("node")).agg(
-        F.sum("n_ends").alias("n_convs"), F.min("least").alias("conv_id"), F.sum("leaf").alias("n_leaves"))).checkpoint()
-    weights = whole.join(counts.select("node", "n_convs"), "node").select("node", ((F.col("n_convs") - 1) * (F.col("c_g") - F.col("c_a"))).alias("saved"))
-    saved = path.where(F.col("node") != F.col("over")).join(weights, "node").groupBy(F.col("over").alias("node")).agg(F.sum("saved").alias("saved_below"))
-
-    hashes = ends_hash(ends.select("node", "conv"))
-    every = sizes.agg(F.count("*").alias("n_convs"), F.min("conv").alias("conv_id"))
-    tops = whole.agg(F.coalesce(F.sum((F.col("up") == root).cast("long")), F.lit(0)).alias("n_children"), F.sum((F.col("n_below") == 0).cast("long")).alias("n_leaves"))
-    total = weights.agg(F.coalesce(F.sum("saved"), F.lit(0)).alias("saved_tokens"))
+    path = _walk(edges.select("node", "rep", "g"), prefix, F.lit(1).cast("long"), F.col("g"), "h1", "h2", small=small).select("node", F.col("d").alias("size"), "h1", "h2")
+    path, _ = _written(path.join(few(extents.withColumnRenamed("node", "over")), ["size", "h1", "h2"]).select("node", "over"))
+    facts = edges.select("node", "n_ends", "least", (F.col("n_below") == 0).cast("long").alias("leaf"))
+    counts, _ = _written(path.join(few(facts), "node").groupBy(F.col("over").alias("node")).agg(
+        F.sum("n_ends").alias("n_convs"), F.min("least").alias("conv_id"), F.sum("leaf").alias("n_leaves")))
+    weights = edges.join(few(counts.select("node", "n_convs")), "node").select("node", ((F.col("n_convs") - 1) * (F.col("c_g") - F.col("c_a"))).alias("saved"))
+    saved = path.where(F.col("node") != F.col("over")).join(few(weights), "node").groupBy(F.col("over").alias("node")).agg(F.sum("saved").alias("saved_below"))
+    hashes, _ = _written(ends_hash(ends))
+
+    # one row each
+    least = whole.agg(F.min("conv")).first()[0]
+    tops = edges.agg(F.count_if(F.col("up") == root).alias("children"), F.count_if(F.col("n_below") == 0).alias("leaves")).first()
+    total = weights.agg(F.sum("saved")).first()[0] or 0
+    own_sha = hashes.where(F.col("node") == -1).select("sha").first()
+    top = spark.createDataFrame([(least, 0, None, n_convs, tops["children"], tops["leaves"] or 1, total, own_sha["sha"] if own_sha else _EMPTY_SHA)],
+                                "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string")
+
     nothing = F.lit(_EMPTY_SHA)
-    at_root = hashes.where(F.col("node") == -1).agg(F.max("sha").alias("sha"))
-    # four tables of one row each, taken as values
-    value = lambda df, name: df.select(name).scalar()
-    top = spark.range(1).select(
-        value(every, "conv_id").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"),
-        value(every, "n_convs").alias("n_convs"), value(tops, "n_children").alias("n_children"),
-        F.coalesce(value(tops, "n_leaves"), F.lit(1).cast("long")).alias("n_leaves"), value(total, "saved_tokens").cast("long").alias("saved_tokens"),
-        F.coalesce(value(at_root, "sha"), nothing).alias("ends_sha256"))
-
-    done = (whole.join(counts, "node").join(saved, "node", "left").join(hashes, "node", "left")
-            .join(counts.select(F.col("node").alias("up"), F.col("conv_id").alias("up_conv")), "up", "left")
-            .withColumn("up_conv", F.when(F.col("up") == root, value(every, "conv_id")).otherwise(F.col("up_conv"))))
-    rows = done.withColumn("depth", F.explode(F.sequence(F.col("a") + 1, "g"))).withColumn("above", F.col("depth") - 1)
-    rows = rows.join(_at(prefix, "above", "_1", "_2", "c_above", conv="rep").drop("_1", "_2"), ["rep", "above"])
+    above = counts.select(F.col("node").alias("up"), F.col("conv_id").alias("up_conv"))
+    done = (edges.drop("n_ends", "least").join(few(counts), "node").join(few(saved), "node", "left").join(few(hashes), "node", "left").join(few(above), "up", "left")
+            .withColumn("up_conv", F.when(F.col("up") == root, F.lit(least).cast("long")).otherwise(F.col("up_conv"))))
+    # a row per depth: the prefix before it tells what its text adds
+    rows = _walk(done, prefix, F.col("a"), F.col("g") - 1, "_1", "_2", "c_before", small=small).withColumn("depth", F.col("d") + 1)
     last = F.col("depth") == F.col("g")
     return rows.select(
-        "conv_id", "depth", F.when(F.col("above") == F.col("a"), F.col("up_conv")).otherwise(F.col("conv_id")).alias("parent_conv_id"), "n_convs",
+        "conv_id", "depth", F.when(F.col("d") == F.col("a"), F.col("up_conv")).otherwise(F.col("conv_id")).alias("parent_conv_id"), "n_convs",
         F.when(last, F.col("n_below")).otherwise(F.lit(1)).cast("long").alias("n_children"), "n_leaves",
-        (F.coalesce("saved_below", F.lit(0)) + (F.col("n_convs") - 1) * (F.col("c_g") - F.col("c_above"))).cast("long").alias("saved_tokens"),
+        (F.coalesce("saved_below", F.lit(0)) + (F.col("n_convs") - 1) * (F.col("c_g") - F.col("c_before"))).cast("long").alias("saved_tokens"),
         F.when(last, F.coalesce("sha", nothing)).otherwise(nothing).alias("ends_sha256")).unionByName(top)
 
 
