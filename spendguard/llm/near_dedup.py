@@ -129,7 +129,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A null text, an empty one and one without words have no shingles and no links. A row without an
     id takes no part in links: its component is null and it is kept. Rows that share an id are one
     document, linked if any of their texts is; a repeated row is kept as often as it stands there.
-    Ids are integers; other columns are ignored.
+    A text of any length is one set of its shingles. Ids are integers; other columns are ignored,
+    and an empty table has no rows.
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
@@ -174,9 +175,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     grouped = (classes.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
                .select("key", "rep", F.coalesce("component", "rep").alias("component")))
     rest = shared.where((F.col("key") != F.col("hub")) & (F.col("rows") > 2)).select("bucket", "key", "rows").join(grouped, "key")
-    mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket").checkpoint()
     blocks = F.ceil((F.col("rows") - 1) / TILE).cast("int")
-    cells = (rest.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    # a bucket's rows are exploded where they are, not gathered by bucket first
+    cells = (_within(rest, mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
              .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
              .select("bucket", "i", "j", "key", "rep", "component", "block").join(sets, ["key", "rep"]))

@@ -48,7 +48,8 @@ def _blocks(text: str, size: int) -> list[bytes]:
 
 
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A dictionary of the samples. Too few to train on serve as the dictionary themselves."""
+    """A dictionary of the samples, of ``size`` bytes at most. Samples too few or too alike to train on
+    serve as the dictionary themselves, as many of their bytes as a dictionary holds."""
     import zstandard
 
     size = min(size, sum(map(len, samples)) // 4)
@@ -108,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """The model of the labelled rows of ``docs``, without those that are held out.
 
     Rows without an id or a label of 0 or 1 are not learned from; a row with several labels takes
-    the smallest. No labelled row at all gives a model that scores 0.5.
+    the smallest, and of the rows that share an id the one of the least difference stands for it. No
+    labelled row at all gives a model that scores 0.5; long texts give all their blocks to the draw.
     """
     known = (labels.where(column(id_col).isNotNull() & column(label_col).isin(0, 1)).groupBy(column(id_col).alias("_id"))
              .agg(F.min(column(label_col)).cast("int").alias("_label"))
@@ -141,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return difference(text, good, bad)
 
     seen = rows(1, True, max_calibration).unionByName(rows(0, True, max_calibration))
-    points = seen.select(difference_of("_text").alias("x"), "_label").collect()
+    # of the rows that share an id one, so the limits bound what reaches the driver
+    points = seen.select("_id", difference_of("_text").alias("x"), "_label").groupBy("_id").agg(F.min("x").alias("x"), F.min("_label").alias("_label")).collect()
     # the sample holds as many rows of either class at most: weigh the curve back to the classes' shares
     shares = {r["_label"]: r["n"] for r in known.where(F.col("_part") == CALIBRATES).groupBy("_label").agg(F.count("*").alias("n")).collect()}
     x, y = np.array([p["x"] for p in points], dtype=float), np.array([p["_label"] for p in points], dtype=float)
@@ -153,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with the probability of good quality. A null or empty text has no difference, and
-    so the probability of a text that is as near to either class."""
+    so the probability of a text that is as near to either class. Each row is scored by its own whole
+    text, a repeated row alike; an empty table stays empty, and ``out_col`` replaces a column of that name."""
     @F.pandas_udf("double")
     def probability(text: pd.Series) -> pd.Series:
         z = model.slope * difference(text, model.good, model.bad) + model.intercept
