@@ -14,6 +14,7 @@ encoded where it is read.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +31,9 @@ CHUNK_CHARS, OVERLAP_CHARS = 65_536, 2_048
 _UNSURE = 4
 #: Separators that Python's classes call white space and the encoder's do not, as another such character.
 _NOT_SPACE = {c: "!" for c in range(0x1C, 0x20)}
+#: White space as the encoder's classes have it, and a run of it that is encoded on its own.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"[{_WHITE}]{{2048,}}")
 
 
 @lru_cache(maxsize=4)
@@ -47,9 +51,39 @@ def _token_bytes(ranks_path: str) -> dict[int, bytes]:
         return {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
 
 
+@lru_cache(maxsize=4)
+def _white_first(pattern: str) -> bool:
+    """Whether the pattern's matches hold white space in front at most, and take of a run of it all but
+    the last character, or all of it at the end of a text. Found by trying it on short runs."""
+    import regex
+
+    find = regex.compile(pattern).findall
+    runs = [a * 5 for a in (" ", "\n", "\t", "\u3000", " \n", "\r\n\t", "\u00a0 ")]
+    return all("".join(find(f"{x}{run}{y}")) == f"{x}{run}{y}" and find(f"{x}{run}")[-1] == run and find(f"{run}{y}")[0] == run[:-1]
+               and run[:-1] in find(f"{x}{run}{y}") for run in runs for x in ("a", "1", "!", "'", "é") for y in ("b", "2", "?", "'s", "日"))
+
+
 def encode_text(text: str, ranks_path: str, pattern: str) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit integers."""
-    return np.array(_encoding(ranks_path, pattern).encode_ordinary(text), dtype="<u4").tobytes()
+    """The ids of a text as little-endian unsigned 32-bit integers.
+
+    A long run of white space is a single match but for its last character, and finding that match
+    overflows the stack of the library's matcher. Such a run is cut out and its match is encoded on its own.
+    """
+    encoding = _encoding(ranks_path, pattern)
+    ids: list[int] = []
+    at = 0
+    for run in _LONG_RUN.finditer(text) if _white_first(pattern) else ():
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoding.encode_ordinary(text[at:run.start()])
+        ids += run_ids(text[run.start():end], encoding)
+        at = end
+    ids += encoding.encode_ordinary(text[at:] if at else text)
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+def run_ids(run: str, encoding) -> list[int]:
+    """Ids of a run of white space that is one match."""
+    return encoding._encode_single_piece(run)
 
 
 def boundaries(text: str, pattern: str, low: int, high: int, whole: bool) -> list[int]:
@@ -64,6 +98,12 @@ def boundaries(text: str, pattern: str, low: int, high: int, whole: bool) -> lis
             if low <= (e := m.end()) <= min(high, sure) and not text[e - 1].isspace()]
 
 
+def sure_boundaries(text: str, pattern: str, ends: list[int]) -> list[int]:
+    """Those of the ends that are boundaries whatever stands before: white space follows, and no match
+    goes from another character into white space."""
+    return [e for e in ends if e < len(text) and text[e].isspace() and text[e] not in "\x1c\x1d\x1e\x1f"] if _white_first(pattern) else []
+
+
 def _chunks(batches: Iterator[pd.DataFrame], size: int, overlap: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row, key, text in zip(batch["_n"], batch["_key"], batch["_text"], strict=True):
@@ -73,33 +113,64 @@ def _chunks(batches: Iterator[pd.DataFrame], size: int, overlap: int) -> Iterato
                                     "_text": [text[k * size:(k + 1) * size + overlap]]})
 
 
+def _check_sizes(chunk_chars: int, overlap_chars: int) -> None:
+    if not 0 < overlap_chars <= chunk_chars:
+        raise ValueError("0 < overlap_chars <= chunk_chars")
+
+
+def pieces_of(beyond: DataFrame, pattern: str, size: int, overlap: int) -> DataFrame:
+    """``_n``, ``_key``, ``_piece`` and ``_text``: the texts of ``beyond`` (``_n``, ``_key``, ``_text``)
+    cut at boundaries of pre-tokens that neighbouring chunks share."""
+    @F.pandas_udf("head array<int>, tail array<int>, sure array<int>")
+    def pretokenise(text: pd.Series, last: pd.Series) -> pd.DataFrame:
+        """Boundaries in the overlaps with the chunk before and the chunk after, both counted from
+        the start of the overlap."""
+        out = []
+        for t, is_last in zip(text, last, strict=True):
+            head = [] if len(t) == 0 else boundaries(t[:min(len(t), overlap)], pattern, 1, overlap, is_last and len(t) <= overlap)
+            tail = [] if is_last else boundaries(t, pattern, size + 1, size + overlap, False)
+            sure = sure_boundaries(t, pattern, tail)
+            out.append((head, [e - size for e in tail], [e - size for e in sure]))
+        return pd.DataFrame(out, columns=["head", "tail", "sure"])
+
+    chunks = (beyond.mapInPandas(lambda b: _chunks(b, size, overlap), "_n long, _key string, _chunk long, _last boolean, _text string")
+              .repartition("_n", "_key", "_chunk")
+              .withColumn("_at", pretokenise("_text", "_last")))
+    in_order = Window.partitionBy("_n", "_key").orderBy("_chunk")
+    heads = F.lead("_at.head").over(in_order)
+    stitched = (chunks
+                .withColumn("_sure", F.when(~F.col("_last"), F.array_min(F.array_intersect(F.col("_at.sure"), heads))))
+                .withColumn("_to", F.when(~F.col("_last"), F.coalesce("_sure", F.array_min(F.array_intersect(F.col("_at.tail"), heads)))))
+                .withColumn("_from", F.lag("_to").over(in_order))
+                # without a stitch a chunk's own boundaries are in doubt, and stay so up to the next one that is sure in itself
+                .withColumn("_event", F.when(F.col("_chunk") == 0, 0).when(F.col("_from").isNull(), 1).when(F.lag("_sure").over(in_order).isNotNull(), 0))
+                .withColumn("_lost", F.last("_event", ignorenulls=True).over(in_order))
+                .withColumn("_next_lost", F.coalesce(F.lead("_lost").over(in_order), F.lit(0)))
+                .withColumn("_piece", F.max(F.when(F.col("_lost") == 0, F.col("_chunk"))).over(in_order)))
+    begin = F.when(F.col("_lost") == 0, F.coalesce("_from", F.lit(0))).otherwise(0)
+    # up to the stitch if the next chunk is sure, else up to where the next chunk starts
+    end = F.when(F.col("_last"), F.char_length("_text")).when(F.col("_next_lost") == 0, size + F.col("_to")).otherwise(size)
+    return (stitched.select("_n", "_key", "_piece", "_chunk", F.substring("_text", begin + 1, end - begin).alias("_text"))
+            .groupBy("_n", "_key", "_piece")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_text"))), lambda x: x["_text"]), "").alias("_text")))
+
+
 def encode(docs: DataFrame, *, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
            chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """One row per row of ``docs``: its id and ``ids`` (binary, little-endian unsigned 32-bit).
 
     A null text is the empty text and has no ids. Repeated rows stay repeated; a null id stays null;
-    other columns are ignored. A text without a common boundary in an overlap (such as one run of
-    letters longer than the overlap) is encoded from the last stitch on as one piece.
+    other columns are ignored, and an empty table gives an empty one. Where an overlap has no common
+    boundary (such as in one run of letters longer than it) the piece goes on to the next overlap
+    with one that is sure whatever stands before, so only such a run itself is ever one piece.
     """
-    if not 0 < overlap_chars <= chunk_chars:
-        raise ValueError("0 < overlap_chars <= chunk_chars")
+    _check_sizes(chunk_chars, overlap_chars)
     size, overlap = chunk_chars, overlap_chars
 
     @F.pandas_udf("binary")
     def encode_piece(text: pd.Series) -> pd.Series:
         return text.map(lambda t: encode_text(t, ranks_path, pattern))
 
-    @F.pandas_udf("head array<int>, tail array<int>")
-    def pretokenise(text: pd.Series, last: pd.Series) -> pd.DataFrame:
-        """Boundaries in the overlaps with the chunk before and the chunk after, both counted from
-        the start of the overlap."""
-        out = []
-        for t, is_last in zip(text, last, strict=True):
-            head = [] if len(t) == 0 else boundaries(t[:min(len(t), overlap)], pattern, 1, overlap, is_last and len(t) <= overlap)
-            tail = [] if is_last else [e - size for e in boundaries(t, pattern, size + 1, size + overlap, False)]
-            out.append((head, tail))
-        return pd.DataFrame(out, columns=["head", "tail"])
-
     @F.pandas_udf("binary")
     def join_ids(pieces: pd.Series) -> pd.Series:
         return pieces.map(lambda parts: b"".join(parts))
@@ -111,25 +182,7 @@ def encode(docs: DataFrame, *, ranks_path: str, pattern: str, id_col: str = "doc
     # the id as text with a number of its row: equal rows stay apart
     beyond = base.where(F.char_length("_text") > size).select(
         F.monotonically_increasing_id().alias("_n"), F.col("_id").cast("string").alias("_key"), "_text")
-    chunks = (beyond.mapInPandas(lambda b: _chunks(b, size, overlap), "_n long, _key string, _chunk long, _last boolean, _text string")
-              .repartition("_n", "_key", "_chunk")
-              .withColumn("_at", pretokenise("_text", "_last")))
-    in_order = Window.partitionBy("_n", "_key").orderBy("_chunk")
-    stitched = (chunks
-                .withColumn("_to", F.when(~F.col("_last"), F.array_min(F.array_intersect(
-                    F.col("_at.tail"), F.lead("_at.head").over(in_order)))))
-                .withColumn("_from", F.lag("_to").over(in_order))
-                # pieces with no stitch before them, or any such chunk before them, go with the last sure one
-                .withColumn("_lost", F.max(F.when((F.col("_chunk") > 0) & F.col("_from").isNull(), 1).otherwise(0)).over(in_order))
-                .withColumn("_next_lost", F.coalesce(F.lead("_lost").over(in_order), F.lit(0)))
-                .withColumn("_piece", F.max(F.when(F.col("_lost") == 0, F.col("_chunk"))).over(in_order)))
-    begin = F.when(F.col("_lost") == 0, F.coalesce("_from", F.lit(0))).otherwise(0)
-    # up to the stitch if the next chunk is sure, else up to where the next chunk starts
-    end = F.when(F.col("_last"), F.char_length("_text")).when(F.col("_next_lost") == 0, size + F.col("_to")).otherwise(size)
-    pieces = (stitched.select("_n", "_key", "_piece", "_chunk", F.substring("_text", begin + 1, end - begin).alias("_text"))
-              .groupBy("_n", "_key", "_piece")
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_text"))), lambda x: x["_text"]), "").alias("_text"))
-              .withColumn("ids", encode_piece("_text")))
+    pieces = pieces_of(beyond, pattern, size, overlap).withColumn("ids", encode_piece("_text"))
     long = (pieces.groupBy("_n", "_key")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("_piece", "ids"))), lambda x: x["ids"]).alias("ids"))
             .select(F.col("_key").cast(base.schema["_id"].dataType).alias("_id"), join_ids("ids").alias("ids")))

@@ -41,6 +41,31 @@ def test_stitched_chunks(spark):
     assert run(spark, rows, chunk_chars=64, overlap_chars=32) == expected(rows)
 
 
+@pytest.mark.parametrize("white", [" ", "\n", " \n\t", "\u3000 "])
+def test_long_runs_of_white_space_are_what_the_library_makes_of_them(white):
+    run = (white * 3_000)[:5_000]
+    for text in ["a" + run + "b", run, "x" + run, run + "'s y", "1" + run + "2" + run + "\x1c" + run + "!", "é" + run[:2_047] + "b" + run[:2_048] + "日"]:
+        assert np.frombuffer(byte_bpe.encode_text(text, RANKS, PATTERN), "<u4").tolist() == direct(text)
+
+
+@pytest.mark.parametrize("white", [" ", "\n"])
+def test_two_million_characters_of_white_space(spark, white):
+    rows = [(1, "a" + white * 2_000_000 + "b c")]
+    (_, ids, decoded), = run(spark, rows)
+    assert decoded == rows[0][1].encode()
+    tail = direct("a" + white * 4_000 + "b c")
+    assert ids[0] == tail[0] and ids[-3:] == tail[-3:]
+
+
+def test_a_lost_stitch_is_followed_by_several_pieces(spark):
+    text = "x y " * 100 + "b" * 300 + " c d" * 400
+    assert run(spark, [(1, text)], chunk_chars=64, overlap_chars=32) == expected([(1, text)])
+    beyond = spark.createDataFrame([(0, "1", text)], "_n long, _key string, _text string")
+    pieces = sorted((r["_piece"], r["_text"]) for r in byte_bpe.pieces_of(beyond, PATTERN, 64, 32).collect())
+    assert "".join(t for _, t in pieces) == text
+    assert len(pieces) > 20 and max(len(t) for _, t in pieces) < 500
+
+
 def test_extra_columns_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "x " * 100, "a", b"b")], "doc_id long, text string, _text string, ids binary")
     assert byte_bpe.encode(docs, ranks_path=RANKS, pattern=PATTERN, chunk_chars=16, overlap_chars=8).columns == ["doc_id", "ids"]
