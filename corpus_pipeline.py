@@ -59,7 +59,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as pieces of sequences of 2048 tokens."""
     bound_batches(spark)
-    packed = packing.pack(docs, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"))
+    # smaller tables than on their own: the workers have served the other stages before
+    packed = packing.pack(docs, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), known_words=750_000, known_spellings=300_000)
     return packing.pieces_with_crc(packed)
 
 
@@ -77,11 +78,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``. Each result is written to the shared folder of
-    ``spark.checkpoint.dir`` and read again, so that a lost executor costs one stage at most."""
+    ``spark.checkpoint.dir`` and read again, so that a lost executor costs one stage at most. A stage's
+    folder goes when the next one is written; the last one is what the result is read from."""
     folder = f"{checkpoint_dir(spark)}/corpus_pipeline-{uuid.uuid4().hex}"
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            old = spark._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
+        before = path
     return docs

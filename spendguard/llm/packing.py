@@ -12,6 +12,7 @@ tokens, and sequence numbers are unique because they start with the number of th
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -30,9 +31,15 @@ LINEAR, QUADRATIC = 1.0, 4.0 / (24 * 1024)
 #: Closes each document.
 END_ID = 1
 #: Spellings and words that a worker remembers the ids of (about 200 bytes each), and how long they may be.
-KNOWN_SPELLINGS, KNOWN_WORDS, KNOWN_CHARS = 300_000, 750_000, 64
-
-_LETTERS_THEN_MARKS = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+KNOWN_SPELLINGS, KNOWN_WORDS, KNOWN_CHARS = 600_000, 1_600_000, 64
+#: What the vocabulary's tokens at the end of a word end with.
+WORD_END = "</w>"
+#: Characters of the texts whose new words are looked up together.
+GROUP_CHARS = 1 << 20
+
+#: Letters and the marks behind them, or else a whole line.
+_PARTS = re.compile(r"^([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)$|^(.*)$", re.MULTILINE).findall
+_LETTERS = re.compile(r"[a-zà-öø-ÿ]+").fullmatch
 _BEYOND_LATIN = re.compile(r"[^\x00-\xff]").search
 
 
@@ -41,7 +48,8 @@ class WordIds(dict):
 
     The tokenizer drops white space and no match of its pattern spans any, so a text's ids are the
     ids of its words in order. A new word is looked up by its lower-case letters and by the marks
-    behind them (two matches of the pattern), so that few spellings reach the tokenizer itself.
+    behind them (two matches of the pattern), so that few spellings reach the tokenizer itself. The
+    new words of a group of texts are looked up together, in one call of the tokenizer.
     The table of spellings is emptied when it is full; of the words' two halves the older one goes
     when the younger one is full, and words that are met again move to the younger one.
     """
@@ -49,42 +57,102 @@ class WordIds(dict):
     def __init__(self, tokenizer_path: str, known_words: int = KNOWN_WORDS, known_spellings: int = KNOWN_SPELLINGS):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer, self.known_words, self.known_spellings = Tokenizer.from_file(tokenizer_path), known_words, known_spellings
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _part(self, part: str) -> bytes:
-        ids = self.young.get(part)
-        if ids is None:
-            ids = self.old.get(part)
-            if ids is None:
-                ids = self._encode(part)
-            if len(self.young) >= self.known_words // 2:
-                self.young, self.old = {}, self.young
-            self.young[part] = ids
-        return ids
-
-    def __missing__(self, word: str) -> bytes:
-        if len(word) > KNOWN_CHARS:
-            return self._encode(word)
-        # lower case differs between libraries beyond Latin-1; special tokens are told by their case
-        plain = word if "<|" in word or _BEYOND_LATIN(word) else word.lower()
-        parts = _LETTERS_THEN_MARKS(plain)
-        ids = self._part(parts[1]) + self._part(parts[2]) if parts else self._part(plain)
-        if len(self) >= self.known_spellings:
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+
+    def _encode(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of each part, in the order of the parts. Words of letters alone are one match of the
+        pattern each; they are encoded as one text, whose ids show where a word ends."""
+        plain = [p for p in parts if _LETTERS(p)]
+        ids = np.array(self._ids([" ".join(plain)])[0] if plain else [], dtype="<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) == len(plain):
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            found = {p: data[a:b] for p, a, b in zip(plain, at, at[1:])}
+        else:  # a vocabulary without word ends
+            found = {}
+        rest = [p for p in parts if p not in found]
+        found |= {p: np.array(x, dtype="<u4").tobytes() for p, x in zip(rest, self._ids(rest), strict=True)}
+        return map(found.__getitem__, parts)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        joined, odd = "\n".join(words), set()
+        if "<|" in joined or _BEYOND_LATIN(joined) or max(map(len, words), default=0) > KNOWN_CHARS:
+            # lower case differs between libraries beyond Latin-1; special tokens are told by their case
+            odd = {w for w in words if len(w) > KNOWN_CHARS or "<|" in w or _BEYOND_LATIN(w)}
+            words = [w for w in words if w not in odd]
+            joined = "\n".join(words)
+        parts = _PARTS(joined.lower()) if words else []
+        ids: dict[str, bytes] = {}
+        asked = [w for w in odd if len(w) > KNOWN_CHARS]
+        young, old = self.young, self.old
+        every = {w for w in odd if len(w) <= KNOWN_CHARS}
+        for column in zip(*parts):
+            every.update(column)
+        every.discard("")
+        for part in every:
+            known = young.get(part)
+            if known is None:
+                known = old.get(part)
+                if known is None:
+                    asked.append(part)
+                    continue
+                young[part] = known
+            ids[part] = known
+        for part, found in zip(asked, self._encode(asked), strict=True):
+            ids[part] = found
+            if len(part) <= KNOWN_CHARS:
+                if len(self.young) >= self.known_words // 2:
+                    self.young, self.old = {}, self.young
+                self.young[part] = found
+        ids[""] = b""
+        for word, (letters, marks, other) in zip(words, parts, strict=True):
+            self[word] = ids[letters] + ids[marks] if marks else ids[letters or other]
+        for word in odd:
+            self[word] = ids[word]
+
+    def of_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        words = set().union(*split)
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > self.known_spellings:
             self.clear()
-        self[word] = ids
-        return ids
+            new = list(words)
+        self._learn(new)
+        get = self.__getitem__
+        return [b"".join(map(get, own)) for own in split]
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.of_all([text])[0]
+
+
+def word_ids(tokenizer_path: str, known_words: int, known_spellings: int) -> WordIds:
+    return worker_table(("word ids", tokenizer_path, known_words, known_spellings), lambda: WordIds(tokenizer_path, known_words, known_spellings))
 
 
-def word_ids(tokenizer_path: str) -> WordIds:
-    return worker_table(("word ids", tokenizer_path), lambda: WordIds(tokenizer_path))
+def _groups(batch: pd.DataFrame, chars: int) -> Iterator[tuple[list, list[str]]]:
+    """The ids and texts of a batch in groups of about so many characters."""
+    keys: list = []
+    texts: list[str] = []
+    size = 0
+    for key, text in zip(batch["key"].tolist(), batch["text"], strict=True):
+        keys.append(key)
+        texts.append(text)
+        size += len(text)
+        if size >= chars:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
 
 
 def assign(lengths: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int]]:
@@ -143,25 +211,28 @@ class _Packer:
 
 
 def pack(docs: DataFrame, *, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-         sequence_tokens: int = SEQUENCE_TOKENS, buffer_tokens: int = BUFFER_TOKENS, end_id: int = END_ID) -> DataFrame:
+         sequence_tokens: int = SEQUENCE_TOKENS, buffer_tokens: int = BUFFER_TOKENS, end_id: int = END_ID,
+         known_words: int = KNOWN_WORDS, known_spellings: int = KNOWN_SPELLINGS) -> DataFrame:
     """One row per piece: the document's id, ``start`` (its ids before the piece), ``length``,
     ``ids`` (binary, little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id`` and ``offset``.
 
     A null or empty text is a document of the closing id alone. Every row is a document of its own,
     also a repeated one or one with a null id; other columns are ignored. An empty table has no
-    pieces.
+    pieces. A text of any length becomes as many pieces as it needs. What a worker remembers
+    (``known_words``, ``known_spellings``) saves time and changes no result.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
     names = ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = word_ids(tokenizer_path).of
+        ids_of = word_ids(tokenizer_path, known_words, known_spellings).of_all
         packer = _Packer(TaskContext.get().partitionId() << 33, sequence_tokens)
         for batch in batches:
-            for key, text in zip(batch["key"].tolist(), batch["text"], strict=True):
-                packer.add(key, ids_of(text) + end)
-                if packer.tokens >= buffer_tokens:
-                    packer.flush()
+            for keys, texts in _groups(batch, GROUP_CHARS):
+                for key, ids in zip(keys, ids_of(texts), strict=True):
+                    packer.add(key, ids + end)
+                    if packer.tokens >= buffer_tokens:
+                        packer.flush()
             if packer.out:
                 yield pd.DataFrame(packer.take(), columns=names)
         packer.flush()

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -12,10 +13,15 @@ from spendguard.llm.queries import op3_packing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def direct(text):
+@lru_cache(maxsize=1)
+def _tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(PATH)
+
+
+def direct(text):
+    return _tokenizer().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def check(pieces, ids, capacity):
