@@ -29,7 +29,7 @@ NO_SHUFFLE = {
     "app_stop_plan_targeted", "stop_plan_union", "stop_plan_targeted", "audit_rows", "audit_rows_succeeded",
     "audit_previous_month", "resume_plan", "resume_plan_unpause_placeholder", "resume_previous_month",
     "job_paused_settings", "resume_job_settings", "resume_unknown", "app_stop_plan_all_listed", "app_stop_plan_missing",
-    "price_as_of_usage_versioned", "targets_number_grammar", "app_stop_plan_listing_fails", "audit_rows_today", "audit_previous_month_today",
+    "targets_number_grammar", "app_stop_plan_listing_fails", "audit_rows_today", "audit_previous_month_today",
     "resume_spelled_ids",
 }
 ONE_EXCHANGE = {"current_spend", "budget_status", "budget_status_empty_month", "budget_report_line"}
