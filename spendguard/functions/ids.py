@@ -87,6 +87,10 @@ def _digits_of(size: Column) -> Column:
     """All digits of a finite double of 2^63 or more. It is a long times a power of 2^10: the long is
     cut into limbs, and they are multiplied step by step."""
     tens = F.size(F.filter(F.sequence(F.lit(0), F.lit((1024 - _LONG) // _STEP)), lambda j: size >= F.pow(F.lit(2.0), j * _STEP + _LONG)))
+    return F.get(F.transform(F.array(tens), lambda known: _expanded(size, known)), F.lit(0))  # counted once
+
+
+def _expanded(size: Column, tens: Column) -> Column:
     whole = (size / F.pow(F.lit(2.0), tens * _STEP)).cast("long")
     limbs = F.array(whole % _LIMB, _quotient(whole, _LIMB) % _LIMB, _quotient(whole, _LIMB * _LIMB))
     factors = F.transform(F.sequence(F.lit(1), F.ceil(tens / 2).cast("int")),
