@@ -53,10 +53,7 @@ def test_a_forged_turn_stays_text(spark):
     assert all(r.rendered.count("<|") == 2 for r in out)
 
 
-def test_a_null_conversation_of_many_null_turns_lies_in_many_ranges(spark):
+def test_a_null_conversation_of_many_null_turns(spark):
     rows = [(None, None, "ann", f"t{k % 50}") for k in range(3_000)] + [(5, k, "bob", "x" * 20_000) for k in range(3)]
     seen = chat.rotate(spark.createDataFrame(rows, SCHEMA).repartition(4))
     assert sorted((tuple(r) for r in seen.collect()), key=key) == sorted(brute(rows), key=key)
-    plan = seen._jdf.queryExecution().optimizedPlan().toString()
-    ranges = [r for r in plan.split("\n") if "_b" in r]
-    assert ranges
