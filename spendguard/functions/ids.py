@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,15 +32,22 @@ _WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # A number may have all of it around but the four ASCII separators.
 _NUMBER_SPACE = "".join(c for c in _WHITESPACE if not "\x1c" <= c <= "\x1f")
 
-# Whole numbers beyond a long are written in limbs of nine digits, multiplied by 2^20 at most at a time.
+# Whole numbers beyond a long are a long times a power of 2^10, multiplied in limbs of nine digits.
 _LIMB, _LIMB_DIGITS, _STEP = 10 ** 9, 9, 10
 _LONG = 63
+# What a double's size is divided by leaves 2^52.5 to 2^62.5: a whole number, and one that fits a long.
+_WHOLE_BITS = 52.5
 
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it (a lambda's variable)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @lru_cache(maxsize=1)
 def _decimal_digits() -> str:
     """The decimal digits of all scripts beyond ASCII, ten of a script in a row."""
@@ -63,51 +70,62 @@ def strip_text(c: Column | str) -> Column:
 def number_text(c: Column | str, pattern: str) -> Column:
     """The text as plain ASCII if it is a number of that pattern, else NULL: white space around it,
     digits of any script and single underscores between digits are allowed."""
-    text = ascii_digits(F.trim(_c(c), F.lit(_NUMBER_SPACE)))
-    plain = F.replace(text, F.lit("_"), F.lit(""))
-    return F.when(plain.rlike(pattern) & ~text.rlike(_STRAY_UNDERSCORE), plain)
+    def checked(text: Column) -> Column:
+        plain = F.replace(text, F.lit("_"), F.lit(""))
+        return F.when(plain.rlike(pattern) & ~text.rlike(_STRAY_UNDERSCORE), plain)
+
+    return _let(_let(F.trim(_c(c), F.lit(_NUMBER_SPACE)), ascii_digits), checked)
 
 
 def _quotient(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b).cast("long"))
 
 
-def _times(limbs: Column, factor: Column) -> Column:
-    """Limbs, lowest first, times a factor of at most 2^20."""
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("carry"))
-
-    def step(seen: Column, limb: Column) -> Column:
-        product = limb * factor + seen["carry"]
-        return F.struct(F.concat(seen["out"], F.array(product % _LIMB)).alias("out"), _quotient(product, _LIMB).alias("carry"))
+@lru_cache(maxsize=1)
+def _powers() -> str:
+    """The powers of 2^10 that a double may hold, their limbs lowest first and three empty ones to carry into."""
+    def limbs(n: int) -> list[int]:
+        return [n % _LIMB, *limbs(n // _LIMB)] if n else [0, 0, 0]
 
-    return F.aggregate(limbs, start, step, lambda seen: F.when(seen["carry"] > 0, F.concat(seen["out"], F.array(seen["carry"]))).otherwise(seen["out"]))
+    return ";".join(",".join(map(str, limbs(1 << _STEP * k))) for k in range((1024 - int(_WHOLE_BITS)) // _STEP + 1))
 
 
 def _digits_of(size: Column) -> Column:
-    """All digits of a finite double of 2^63 or more. It is a long times a power of 2^10: the long is
-    cut into limbs, and they are multiplied step by step."""
-    tens = F.size(F.filter(F.sequence(F.lit(0), F.lit((1024 - _LONG) // _STEP)), lambda j: size >= F.pow(F.lit(2.0), j * _STEP + _LONG)))
-    return F.get(F.transform(F.array(tens), lambda known: _expanded(size, known)), F.lit(0))  # counted once
+    """All digits of a finite double of 2^63 or more, which is a long times a power of 2^10."""
+    def expanded(tens: Column) -> Column:
+        power = F.split(F.get(F.split(F.lit(_powers()), ";"), tens), ",").cast("array<bigint>")
+        whole = (size / F.pow(F.lit(2.0), tens * _STEP)).cast("long")
+        return _let(whole, lambda n: _let(F.array(n % _LIMB, _quotient(n, _LIMB) % _LIMB, _quotient(n, _LIMB * _LIMB)), lambda limbs: _product(power, limbs)))
 
+    return _let(F.floor((F.log2(size) - F.lit(_WHOLE_BITS)) / _STEP).cast("int"), expanded)
 
-def _expanded(size: Column, tens: Column) -> Column:
-    whole = (size / F.pow(F.lit(2.0), tens * _STEP)).cast("long")
-    limbs = F.array(whole % _LIMB, _quotient(whole, _LIMB) % _LIMB, _quotient(whole, _LIMB * _LIMB))
-    factors = F.transform(F.sequence(F.lit(1), F.ceil(tens / 2).cast("int")),
-                          lambda i: F.pow(F.lit(2.0), F.least(F.lit(2), tens - (i - 1) * 2) * _STEP).cast("long"))
-    product = F.reverse(F.aggregate(factors, limbs, _times))
-    rest = F.transform(F.slice(product, 2, F.size(product)), lambda x: F.lpad(x.cast("string"), _LIMB_DIGITS, "0"))
-    return F.ltrim(F.concat(F.element_at(product, 1).cast("string"), F.array_join(rest, "")), F.lit("0"))
+
+def _product(power: Column, limbs: Column) -> Column:
+    """A power times three limbs, in one pass: each step meets the last three limbs of the power, and
+    their products, two of at most 10^18 and one of 10^10, fit a long with what is carried."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("sum"), F.lit("").alias("text"), zero.alias("last"), zero.alias("before"))
+
+    def text(seen: Column) -> Column:
+        return F.concat(F.lpad((seen["sum"] % _LIMB).cast("string"), _LIMB_DIGITS, "0"), seen["text"])
+
+    def step(seen: Column, limb: Column) -> Column:
+        found = limb * F.get(limbs, F.lit(0)) + seen["last"] * F.get(limbs, F.lit(1)) + seen["before"] * F.get(limbs, F.lit(2))
+        return F.struct((found + _quotient(seen["sum"], _LIMB)).alias("sum"), text(seen).alias("text"), limb.alias("last"), seen["last"].alias("before"))
+
+    # the first step's text is of no limb: nine zeros behind the number
+    return F.aggregate(power, start, step, lambda seen: F.ltrim(F.regexp_replace(text(seen), r"0{9}\z", ""), F.lit("0")))
 
 
 def integer_text(number: Column) -> Column:
     """A double cut towards zero, with all its digits; NULL if it is not finite."""
-    size = F.abs(number)
-    # a lambda's variable: the number is computed once however often it is used
-    big = F.get(F.transform(F.array(size), _digits_of), F.lit(0))
-    sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
-    return (F.when(size < F.lit(float(2 ** _LONG)), number.cast("long").cast("string"))
-            .when(size < F.lit(float("inf")), F.concat(sign, big)))
+    def written(value: Column) -> Column:
+        size = F.abs(value)
+        sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+        return (F.when(size < F.lit(float(2 ** _LONG)), value.cast("long").cast("string"))
+                .when(size < F.lit(float("inf")), F.concat(sign, _digits_of(size))))
+
+    return _let(number, written)
 
 
 def normalize_id(c: Column | str) -> Column:
@@ -117,8 +135,7 @@ def normalize_id(c: Column | str) -> Column:
 
     Items that are no number are returned unchanged, and so are those without an end (``1e400``).
     """
-    text = _c(c)
-    return F.coalesce(integer_text(number_text(text, NUMERIC_TEXT).try_cast(T.DoubleType())), text)
+    return _let(_c(c), lambda text: F.coalesce(integer_text(number_text(text, NUMERIC_TEXT).try_cast(T.DoubleType())), text))
 
 
 def parse_integer(c: Column | str) -> Column:

@@ -107,6 +107,14 @@ def test_numbers_are_read_as_float_and_int_read_them(spark):
     assert not wrong, wrong[:5]
 
 
+def test_an_item_is_read_in_one_go(spark):
+    """However often a step's result is used, the plan computes it once."""
+    df = spark.createDataFrame([("1e300",)], "v string").select(normalize_id("v").alias("n"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert {step: plan.count(step) for step in ("translate(", "aggregate(", "try_cast")} == {"translate(": 1, "aggregate(": 1, "try_cast": 1}
+    assert df.first().n == str(int(1e300))
+
+
 def test_an_id_set_is_read_once(spark, tmp_path):
     """The lists behind a set are scanned for the check alone; what is joined is what was written."""
     spark.createDataFrame([("1, 2_0",), ("3.0",)], "raw string").write.parquet(str(tmp_path / "lists"))
