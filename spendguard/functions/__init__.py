@@ -10,7 +10,7 @@ from spendguard.functions.ids import (
     parse_targets,
     strip_text,
 )
-from spendguard.functions.money import exact_product, money_text
+from spendguard.functions.money import exact_product, money_text, with_double
 
 __all__ = [
     "as_of_date",
@@ -27,4 +27,5 @@ __all__ = [
     "parse_targets",
     "previous_month_label",
     "strip_text",
+    "with_double",
 ]

@@ -160,6 +160,32 @@ def test_sums_of_many_decimals_are_priced_exactly(spark):
             assert r.cost == (None if r.q is None or r.p is None else r.q * r.p), r
 
 
+def test_amounts_with_trailing_zeros_are_cast_to_the_nearest_double(spark):
+    """Also those of more places than are usual, at the ends of the type, and of types without room for a carry."""
+    from spendguard.functions import with_double
+
+    texts = ["0", "1234.5", "20987.520000", "-20987.520001", "0.000000000001", "0.1000005", "33333.333333333333", "4503599627.370497",
+             "123456789012345678.123456", "9999999999999999999999999.999999999999", "-9999999999999999999999999.9999995", None]
+    amounts = [None if x is None else Decimal(x) for x in texts]
+    for kind in (T.DecimalType(37, 12), T.DecimalType(38, 12), T.DecimalType(31, 6)):
+        fit = [x for x in amounts if x is None or -x.as_tuple().exponent <= kind.scale]
+        fit = [x for x in fit if x is None or x.adjusted() < kind.precision - kind.scale]
+        df = spark.createDataFrame(list(enumerate(fit)), T.StructType([T.StructField("n", T.LongType()), T.StructField("cost", kind)]))
+        made = with_double(df, "cost")
+        assert made.columns == ["n", "cost"]
+        assert {r.n: r.cost for r in made.collect()} == {n: None if x is None else float(x) for n, x in enumerate(fit)}
+
+
+def test_costs_are_cast_from_few_places(spark):
+    """A cost that is the same with fewer places does not pass through its text."""
+    from spendguard.registry import _flat_priced
+
+    u, p = usage(spark, [("A", "7.25", dt.datetime(2026, 4, 11))]), prices(spark, STD_PRICES)
+    flat = _flat_priced(price_usage(u, p))
+    assert flat.first().line_cost == 21.75 and flat.schema["line_cost"].dataType == T.DoubleType()
+    assert "decimal(32,6)" in flat._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _versions(spark, n, key="hot"):
     """One version after the other for an hour each, and one that is open."""
     start = dt.datetime(2024, 1, 1)
