@@ -10,7 +10,7 @@ from spendguard.functions.ids import (
     parse_targets,
     strip_text,
 )
-from spendguard.functions.money import exact_product, money_text, with_double
+from spendguard.functions.money import exact_product, money_text, product_as_double, whole_parts, with_double
 
 __all__ = [
     "as_of_date",
@@ -26,6 +26,8 @@ __all__ = [
     "parse_integer",
     "parse_targets",
     "previous_month_label",
+    "product_as_double",
     "strip_text",
+    "whole_parts",
     "with_double",
 ]

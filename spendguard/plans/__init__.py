@@ -7,6 +7,7 @@ from spendguard.plans.budget import (
     current_spend,
     month_to_date,
     price_usage,
+    price_usage_in_doubles,
     report_line,
     status_values,
     task_values,
@@ -41,6 +42,7 @@ __all__ = [
     "month_to_date",
     "parse_job_id",
     "price_usage",
+    "price_usage_in_doubles",
     "report_line",
     "resume_plan",
     "run_cancel_plan",

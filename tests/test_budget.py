@@ -226,3 +226,61 @@ def test_candidates_do_not_grow_with_versions(spark):
         tested = f.join(w, (F.col("sku") == F.col("v")) & agree).groupBy("id").count().agg(F.max("count")).first()[0]
         most.append(tested)
     assert most[0] == most[1] <= 8
+
+
+def test_versions_of_a_bin_are_joined_by_runs(spark):
+    """Each run holds neighbours in time, spans them, and no version is lost, also where many start at once."""
+    from spendguard.operators import range_join
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [("hot", 0, 0, day + dt.timedelta(hours=k % 130), None if k % 3 == 0 else day + dt.timedelta(hours=k % 130 + 2), k) for k in range(1_000)]
+    rows += [("hot", 2, 5, day, day + dt.timedelta(hours=1), 1_000 + k) for k in range(130)]
+    rows += [("cold", -1, 0, day, None, 2_000), (None, -1, 0, day, None, 2_001)]
+    v = spark.createDataFrame(rows, "v string, _version_level int, _version_bin long, s timestamp, e timestamp, version int")
+    runs = range_join._runs(v, ["v", "_version_level", "_version_bin"], "s", "e").collect()
+    assert len(runs) == 16 + 3 + 1
+    assert sorted(x.version for r in runs for x in r._run) == [*range(1_130), 2_000]
+    for r in runs:
+        assert len(r._run) <= range_join.RUN_VERSIONS
+        assert r._first == min(x.s for x in r._run)
+        assert r._last == (None if any(x.e is None for x in r._run) else max(x.e for x in r._run))
+    spans = sorted((r._first, max(x.s for x in r._run)) for r in runs if r._version_level == 0)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_a_fact_meets_runs_not_versions(spark, rows):
+    """The join itself gives one row a run; its versions are tested after it."""
+    v = _versions(spark, 500).unionByName(_versions(spark, 500))
+    f = spark.createDataFrame([("hot", dt.datetime(2024, 1, 1) + dt.timedelta(hours=k, minutes=30)) for k in range(20)] + [("cold", dt.datetime(2025, 1, 1))], "sku string, t timestamp")
+    made = effective_dated_join(f, v, key="sku", at="t", start="s", end="e", max_broadcast_rows=rows)
+    assert made.columns == ["sku", "t", "s", "e", "version"]
+    assert sorted((r.sku, r.version) for r in made.collect()) == sorted([("hot", k) for k in range(20)] * 2 + [("hot", -1)] * 40 + [("cold", -2)] * 2)
+    assert "inline(_run" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_usage_in_doubles_is_nearest_to_the_exact_amounts(spark):
+    """By whole digits where they multiply without loss, and by the decimal product elsewhere."""
+    from spendguard.plans import price_usage_in_doubles
+
+    quantities = ["17", "0.25", "-0.1", "0", "123.456789", "0.000001", "-1234567.654321", "999999999999.999999", "-999999999999", "77"]
+    amounts = ["901.01", "0", "-3.3", "0.000001", "1234.567891", "999999999999.999999", "999999999999", "-1000000000", "77"]
+    at = dt.datetime(2026, 4, 11)
+    u = usage(spark, [(f"{k}", q, at) for k in range(len(amounts)) for q in quantities])
+    u = u.withColumn("usage_quantity", F.when(F.col("usage_quantity") != 77, F.col("usage_quantity")))
+    p = prices(spark, [(f"{k}", dt.datetime(2026, 1, 1), None, a) for k, a in enumerate(amounts)])
+    p = p.withColumn("pricing", F.when(F.col("pricing.effective_list.default") != 77, F.col("pricing")))
+    made, exact = price_usage_in_doubles(u, p), price_usage(u, p)
+    assert made.columns == exact.columns and all(made.schema[c].dataType == T.DoubleType() for c in ("usage_quantity", "unit_price", "line_cost"))
+    want = [tuple(None if r[c] is None else float(r[c]) for c in ("usage_quantity", "unit_price", "line_cost")) for r in exact.collect()]
+    got = [tuple(r[c] for c in ("usage_quantity", "unit_price", "line_cost")) for r in made.collect()]
+    assert len(got) == len(quantities) * len(amounts) and sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_usage_in_doubles_takes_other_types(spark):
+    from spendguard.plans import price_usage_in_doubles
+
+    u = usage(spark, [("A", "7.25", dt.datetime(2026, 4, 11))])
+    for kind in ("double", "decimal(28,6)", "decimal(38,6)"):
+        row = price_usage_in_doubles(u.withColumn("usage_quantity", F.col("usage_quantity").cast(kind)), prices(spark, STD_PRICES)).first()
+        assert (row.usage_quantity, row.unit_price, row.line_cost) == (7.25, 3.0, 21.75)
