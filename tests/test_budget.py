@@ -284,3 +284,17 @@ def test_usage_in_doubles_takes_other_types(spark):
     for kind in ("double", "decimal(28,6)", "decimal(38,6)"):
         row = price_usage_in_doubles(u.withColumn("usage_quantity", F.col("usage_quantity").cast(kind)), prices(spark, STD_PRICES)).first()
         assert (row.usage_quantity, row.unit_price, row.line_cost) == (7.25, 3.0, 21.75)
+
+
+def test_heavy_keys_are_counted_before_the_index(spark):
+    """A key's share is that of its usage; rows made for the levels of the index do not count."""
+    from unittest import mock
+
+    from spendguard.operators import range_join
+
+    v = _versions(spark, 500)
+    f = spark.createDataFrame([("hot", dt.datetime(2024, 1, 2))] * 3 + [("cold", dt.datetime(2024, 1, 2))] * 3, "sku string, t timestamp")
+    with mock.patch.object(range_join, "heavy_keys", wraps=range_join.heavy_keys) as counted:
+        made = effective_dated_join(f, v, key="sku", at="t", start="s", end="e", max_broadcast_rows=0)
+    assert counted.call_args.args[0].columns == ["sku", "t"]
+    assert sorted(r.version for r in made.collect()) == [-2] * 3 + [-1] * 3 + [24] * 3
