@@ -298,3 +298,18 @@ def test_heavy_keys_are_counted_before_the_index(spark):
         made = effective_dated_join(f, v, key="sku", at="t", start="s", end="e", max_broadcast_rows=0)
     assert counted.call_args.args[0].columns == ["sku", "t"]
     assert sorted(r.version for r in made.collect()) == [-2] * 3 + [-1] * 3 + [24] * 3
+
+
+def test_versions_without_a_bin_are_spread_further(spark, monkeypatch):
+    """For keys with many facts alone, and with the same rows; other versions are copied as before."""
+    from spendguard.operators import range_join
+
+    v = _versions(spark, 200)
+    f = spark.range(400).select(F.lit("hot").alias("sku"), F.timestamp_seconds(F.col("id") * 1_800 + 1_704_067_200).alias("t"), "id")
+    made = []
+    for many in (401, 400):
+        monkeypatch.setattr(range_join, "MANY_FACTS", many)
+        joined = effective_dated_join(f, v, key="sku", at="t", start="s", end="e", max_broadcast_rows=0, salt_buckets=3)
+        made.append((sorted((r.id, r.version) for r in joined.collect()), joined._jdf.queryExecution().optimizedPlan().toString()))
+    assert made[0][0] == made[1][0] and len(made[0][0]) == 800
+    assert ["THEN 48 ELSE 3" in plan for _, plan in made] == [False, True]
